@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import langid, minhash, packing, quality
+from . import langid, minhash, packing, quality, secrets, secrets_sql
 from .shared import documents
 
 
@@ -14,6 +14,10 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(documents(spark, sf_dir))
 
 
+def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(documents(spark, sf_dir))
+
+
 def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.languages(documents(spark, sf_dir))
 
@@ -27,6 +31,7 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_secrets": op1_secrets,
     "op4_language": op4_language,
     "op7_quality": op7_quality,
     "op9_packing": op9_packing,
@@ -39,7 +44,7 @@ WITH RECURSIVE w AS (
   FROM documents
 ), s AS (
   SELECT doc_id, list_distinct(CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 5 THEN [array_to_string(words, ' ')]
-    ELSE list_transform(range(1, len(words) - 3), i -> array_to_string(words[i:i + 4], ' ')) END) AS shingles
+    ELSE [array_to_string(words[i:i + 4], ' ') for i in range(1, len(words) - 3)] END) AS shingles
   FROM w
 ), n AS (SELECT doc_id, len(shingles) AS n_shingles FROM s),
 x AS (SELECT doc_id, unnest(shingles) AS shingle FROM s),
@@ -57,5 +62,6 @@ FROM n JOIN (SELECT doc_id, min(seen) AS component_id FROM reach GROUP BY 1) c O
 """
 
 SQL: dict[str, str] = {
+    "op1_secrets": secrets_sql.sql(),
     "op10_minhash": OP10_SQL,
 }
