@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import langid, minhash, packing, quality, secrets, secrets_sql
+from . import annparts, langid, minhash, packing, quality, secrets, secrets_sql, urlfilter
 from .shared import documents
 
 
@@ -18,10 +19,18 @@ def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(documents(spark, sf_dir))
 
 
+def op2_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlfilter.judge_pages(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.languages(documents(spark, sf_dir))
 
 
+def op6_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return annparts.nearest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 100 == 0)
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
@@ -32,7 +41,9 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secrets": op1_secrets,
+    "op2_urls": op2_urls,
     "op4_language": op4_language,
+    "op6_neighbours": op6_neighbours,
     "op7_quality": op7_quality,
     "op9_packing": op9_packing,
     "op10_minhash": op10_minhash,
@@ -63,5 +74,6 @@ FROM n JOIN (SELECT doc_id, min(seen) AS component_id FROM reach GROUP BY 1) c O
 
 SQL: dict[str, str] = {
     "op1_secrets": secrets_sql.sql(),
+    "op2_urls": urlfilter.sql(),
     "op10_minhash": OP10_SQL,
 }
