@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import annparts, langid, minhash, packing, quality, secrets, secrets_sql, urlfilter
+from . import annparts, langid, media, minhash, packing, quality, secrets, secrets_sql, urlfilter
 from .shared import documents
 
 
@@ -35,6 +35,10 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.media_columns(documents(spark, sf_dir))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir))
 
@@ -45,6 +49,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_language": op4_language,
     "op6_neighbours": op6_neighbours,
     "op7_quality": op7_quality,
+    "op8_media": op8_media,
     "op9_packing": op9_packing,
     "op10_minhash": op10_minhash,
 }
