@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import annparts, langid, media, minhash, packing, quality, secrets, secrets_sql, urlfilter
+from . import annparts, langid, media, minhash, packing, quality, secrets, secrets_sql, spviterbi, urlfilter
 from .shared import documents
 
 
@@ -23,6 +23,10 @@ def op2_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge_pages(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
+def op3_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spviterbi.encode_documents(documents(spark, sf_dir))
+
+
 def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.languages(documents(spark, sf_dir))
 
@@ -46,6 +50,7 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secrets": op1_secrets,
     "op2_urls": op2_urls,
+    "op3_pieces": op3_pieces,
     "op4_language": op4_language,
     "op6_neighbours": op6_neighbours,
     "op7_quality": op7_quality,
