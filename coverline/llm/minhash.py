@@ -8,7 +8,8 @@ With 40 bands of 4, a pair at the threshold of 0.75 shares no band with probabil
 falls below ``SLACK`` under the threshold (over five standard errors) about as rarely.
 
 Work stays linear in the copies: equal sets are one node before banding; each bucket first links its members to its
-smallest member; only buckets that still hold several components are compared in full, in blocks of bounded size.
+smallest member; only buckets that still hold several components are compared in full, in blocks of bounded size, from
+which only links that join something are returned.
 """
 
 from __future__ import annotations
@@ -27,7 +28,8 @@ from .textkit import buffers, constants, mix64, slices, word_hashes, words
 SHINGLE = 5
 BANDS, ROWS, BITS = 40, 4, 2
 SLACK = 0.22
-BLOCK = 1024
+#: Shingles of a bucket's rows that are compared at once.
+BLOCK = 1 << 18
 #: Minima that fit one 64-bit word, and the mask of their lowest bits.
 _LANES = 64 // BITS
 _LOW = sum(1 << (BITS * i) for i in range(_LANES))
@@ -174,39 +176,41 @@ def _likely(pairs: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
     return both.where(estimate("sign_a", "sign_b") >= threshold - SLACK).select("a", "b")
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
-    """The pairs whose full sets reach the threshold; sets are made anew, for the proposed nodes only."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+def _sets_of(wanted: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, shingles) of some nodes, made anew from one text each."""
     ids = nodes.select("node", "first_id").join(wanted, "node").select(F.col("first_id").alias("wanted_id"))
     texts = docs.select("doc_id", "text").join(ids, F.col("doc_id").eqNullSafe(F.col("wanted_id")), "left_semi").select("text")
-    sets = texts.mapInArrow(_sets, "node long, shingles array<long>").dropDuplicates(["node"])
-    sets = keep(sets, "sets")
+    return keep(texts.mapInArrow(_sets, "node long, shingles array<long>").dropDuplicates(["node"]), "sets")
+
+
+def _confirmed(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
+    """The pairs whose full sets reach the threshold."""
+    sets = _sets_of(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), docs, nodes)
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("set_a")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("set_b")), "b")
     both = both.withColumn("shared", F.size(F.array_intersect("set_a", "set_b")).cast("long"))
     union = F.size("set_a") + F.size("set_b") - F.col("shared")
     return both.where(F.col("shared") * 100 >= union * F.lit(round(threshold * 100))).select("a", "b")
 
 
-def _block_pairs(threshold: float):
-    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come sorted by group; a group is compared whole, by shifts of one row at a time."""
+def _block_links(threshold: float):
+    def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come sorted by group; every pair of a group is tried, and links that join what was apart are returned."""
         held: list[pa.Table] = []
         for batch in batches:
-            table = pa.Table.from_batches([batch])
-            if table.num_rows == 0:
+            if not batch.num_rows:
                 continue
-            held.append(table)
-            whole = pa.concat_tables(held).combine_chunks()
+            held.append(pa.Table.from_batches([batch]))
+            whole = pa.concat_tables(held)
             group = _groups(whole)
             last = np.flatnonzero(group != group[-1])
             stop = int(last[-1]) + 1 if len(last) else 0
             if stop:
-                yield from _compared(whole.slice(0, stop), threshold)
+                yield _linked(whole.slice(0, stop), threshold)
             held = [whole.slice(stop)]
         if held:
-            yield from _compared(pa.concat_tables(held).combine_chunks(), threshold)
+            yield _linked(pa.concat_tables(held), threshold)
 
-    return pairs
+    return links
 
 
 def _column(table: pa.Table, name: str) -> np.ndarray:
@@ -222,41 +226,91 @@ def _groups(table: pa.Table) -> np.ndarray:
     return np.cumsum(change)
 
 
-def _compared(table: pa.Table, threshold: float) -> Iterator[pa.RecordBatch]:
+def _linked(table: pa.Table, threshold: float) -> pa.RecordBatch:
     group, node, comp, block = _groups(table), _column(table, "node"), _column(table, "comp"), _column(table, "block")
     crossing = _column(table, "left") != _column(table, "right")
     sign = np.stack([_column(table, f"s{j}") for j in range(_PACKS)]).view(np.uint64)
-    rows = np.arange(len(node))
-    low, chance, d = np.uint64(_LOW), 2.0**-BITS, 1
-    found_a, found_b, held = [], [], 0
-    while len(rows):
-        rows = rows[rows + d < len(node)]
-        rows = rows[group[rows] == group[rows + d]]
-        i, j = rows, rows + d
-        # in a group of two blocks, only pairs across them; pairs within a block are compared in the block's own group
-        use = (comp[i] != comp[j]) & (~crossing[i] | (block[i] != block[j]))
-        i, j = i[use], j[use]
+    lists = table.column("shingles").combine_chunks()
+    at, flat = np.asarray(lists.offsets), np.asarray(lists.values)
+    found: list[tuple[int, int]] = []
+    stops = np.flatnonzero(np.diff(group, append=group[-1] + 1)) + 1
+    begin = 0
+    for stop in stops.tolist():
+        i, j = _open_pairs(comp[begin:stop], block[begin:stop], bool(crossing[begin]), sign[:, begin:stop], threshold)
         if len(i):
-            x = sign[:, i] ^ sign[:, j]
-            folded = x.copy()
-            for k in range(1, BITS):
-                folded |= x >> np.uint64(k)
-            match = 1 - np.bitwise_count(folded & low).sum(axis=0) / (BANDS * ROWS)
-            good = (match - chance) / (1 - chance) >= threshold - SLACK
-            found_a.append(np.minimum(node[i[good]], node[j[good]]))
-            found_b.append(np.maximum(node[i[good]], node[j[good]]))
-            held += int(good.sum())
-            if held > 1 << 18:
-                yield _pair_batch(found_a, found_b)
-                found_a, found_b, held = [], [], 0
-        d += 1
-    yield _pair_batch(found_a, found_b)
-
-
-def _pair_batch(a: list[np.ndarray], b: list[np.ndarray]) -> pa.RecordBatch:
-    pairs = np.stack([np.concatenate(a), np.concatenate(b)]) if a else np.empty((2, 0), np.int64)
-    pairs = np.unique(pairs, axis=1) if pairs.size else pairs
-    return pa.RecordBatch.from_arrays([pa.array(pairs[0], pa.int64()), pa.array(pairs[1], pa.int64())], names=["a", "b"])
+            sets = [flat[at[k] : at[k + 1]] for k in range(begin, stop)]
+            shared = _shared(sets, i, j)
+            size = np.array([len(x) for x in sets])
+            good = 100 * shared >= round(threshold * 100) * (size[i] + size[j] - shared)
+            found += _forest(node[begin:stop], comp[begin:stop], i[good], j[good])
+        begin = stop
+    pairs = np.array(sorted(set(found)), np.int64).reshape(-1, 2)
+    return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+
+
+def _open_pairs(comp: np.ndarray, block: np.ndarray, crossing: bool, sign: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of different components that the estimate does not rule out, by shifts of one row at a time.
+
+    In a group of two blocks only pairs across them count; those within a block are tried in the block's own group.
+    """
+    chance, low = 2.0**-BITS, np.uint64(_LOW)
+    left, right = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    for d in range(1, len(comp)):
+        i = np.flatnonzero((comp[:-d] != comp[d:]) & ((block[:-d] != block[d:]) | (not crossing)))
+        if not len(i):
+            continue
+        x = sign[:, i] ^ sign[:, i + d]
+        folded = x.copy()
+        for k in range(1, BITS):
+            folded |= x >> np.uint64(k)
+        match = 1 - np.bitwise_count(folded & low).sum(axis=0) / (BANDS * ROWS)
+        i = i[(match - chance) / (1 - chance) >= threshold - SLACK]
+        left.append(i)
+        right.append(i + d)
+    return np.concatenate(left), np.concatenate(right)
+
+
+def _shared(sets: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """How many shingles each pair of sets has in common: few pairs by merging, many by rows of bits."""
+    if len(i) <= 32:
+        return np.array([len(np.intersect1d(sets[a], sets[b], assume_unique=True)) for a, b in zip(i.tolist(), j.tolist())], np.int64)
+    owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    _, name, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    several = count > 1
+    number = np.cumsum(several) - 1
+    use = several[name]
+    owner, name = owner[use], number[name[use]]
+    out, width = np.zeros(len(i), np.int64), 1 << 14
+    order = np.argsort(name, kind="stable")
+    owner, name = owner[order], name[order]
+    for first in range(0, int(several.sum()), width):
+        a, b = np.searchsorted(name, [first, first + width])
+        bits = np.zeros((len(sets), width), np.uint8)
+        bits[owner[a:b], name[a:b] - first] = 1
+        packed = np.packbits(bits, axis=1).view(np.uint64)
+        packed = packed[:, packed.any(axis=0)]
+        for k in range(0, len(i), 8192):
+            out[k : k + 8192] += np.bitwise_count(packed[i[k : k + 8192]] & packed[j[k : k + 8192]]).sum(axis=1, dtype=np.int64)
+    return out
+
+
+def _forest(node: np.ndarray, comp: np.ndarray, i: np.ndarray, j: np.ndarray) -> list[tuple[int, int]]:
+    """Of confirmed links, those that join components not yet joined here."""
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while parent.get(x, x) != x:
+            parent[x] = parent.get(parent[x], parent[x])
+            x = parent[x]
+        return x
+
+    out = []
+    for a, b in zip(i.tolist(), j.tolist()):
+        p, q = root(int(comp[a])), root(int(comp[b]))
+        if p != q:
+            parent[p] = q
+            out.append((min(int(node[a]), int(node[b])), max(int(node[a]), int(node[b]))))
+    return out
 
 
 def near_duplicates(docs: DataFrame, threshold: float = 0.75) -> DataFrame:
@@ -268,27 +322,29 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.75) -> DataFrame:
     """
     sketches = keep(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_sketches, f"doc_id long, n_shingles long, node long, bands array<long>, {', '.join(f's{j} long' for j in range(_PACKS))}"), "sketches")
     one = F.struct("bands", *(f"s{j}" for j in range(_PACKS)))
-    nodes = keep(sketches.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("first_id"), F.first(one).alias("x")).select("node", "first_id", "x.*"), "nodes")
+    nodes = keep(sketches.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("first_id"), F.first("n_shingles").alias("n_shingles"), F.first(one).alias("x")).select("node", "first_id", "n_shingles", "x.*"), "nodes")
 
-    rows = nodes.select("node", F.explode("bands").alias("key"))
-    shared = rows.groupBy("key").agg(F.min("node").alias("least"), F.count("*").alias("n")).where("n > 1")
-    buckets = keep(rows.join(shared, "key"), "buckets")
+    rows = nodes.select("node", "n_shingles", F.explode("bands").alias("key"))
+    shared = rows.groupBy("key").agg(F.min("node").alias("least"), F.count("*").alias("n"), F.sum("n_shingles").alias("total")).where("n > 1")
+    buckets = keep(rows.select("node", "key").join(shared, "key"), "buckets")
     star = keep(buckets.where("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b")).distinct(), "star")
     links = keep(_confirmed(keep(_likely(star, nodes, threshold), "likely"), docs, nodes, threshold), "links")
     labels = components(links)
 
-    # buckets that still hold several components: every pair across components is tried that has not been
-    placed = buckets.where("n > 2").select("key", "node", "n").join(labels, "node", "left").withColumn("comp", F.coalesce("label", "node")).drop("label")
+    # buckets that still hold several components: every pair across components is tried
+    placed = buckets.where("n > 2").select("key", "node", "total").join(labels, "node", "left").withColumn("comp", F.coalesce("label", "node")).drop("label")
     mixed = placed.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("key")
-    open_rows = placed.join(mixed, "key").join(nodes.drop("bands", "first_id"), "node")
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    open_rows = open_rows.withColumn("block", F.pmod(F.xxhash64("node"), blocks).cast("int"))
+    unsettled = keep(placed.join(mixed, "key"), "unsettled")
+    blocks = F.ceil(F.col("total") / BLOCK).cast("int")
+    unsettled = unsettled.withColumn("block", F.pmod(F.xxhash64("node"), blocks).cast("int"))
     other = F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other")
-    spread = open_rows.select("*", other).withColumns({"left": F.least("block", "other"), "right": F.greatest("block", "other")})
-    more = spread.repartition("key", "left", "right").sortWithinPartitions("key", "left", "right")
-    more = more.select("key", "left", "right", "block", "node", "comp", *(f"s{j}" for j in range(_PACKS)))
-    more = more.mapInArrow(_block_pairs(threshold), "a long, b long").distinct().join(star, ["a", "b"], "left_anti")
-    again = keep(_confirmed(keep(more, "more"), docs, nodes, threshold), "again")
+    spread = unsettled.select("*", other).withColumns({"left": F.least("block", "other"), "right": F.greatest("block", "other")})
+    sets = _sets_of(unsettled.select("node").distinct(), docs, nodes)
+    signs = nodes.select("node", *(f"s{j}" for j in range(_PACKS)))
+    spread = spread.select("key", "left", "right", "block", "node", "comp").join(signs.join(sets, "node"), "node")
+    spread = spread.repartition("key", "left", "right").sortWithinPartitions("key", "left", "right")
+    more = spread.select("key", "left", "right", "block", "node", "comp", *(f"s{j}" for j in range(_PACKS)), "shingles")
+    again = keep(more.mapInArrow(_block_links(threshold), "a long, b long").distinct(), "again")
     labels = components(links.unionByName(again))
 
     named = nodes.select("node", "first_id").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
