@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import annparts, langid, media, minhash, packing, quality, secrets, secrets_sql, spviterbi, urlfilter
+from . import annparts, langid, licenses, media, minhash, packing, quality, secrets, secrets_sql, spviterbi, urlfilter
 from .shared import documents
 
 
@@ -31,6 +31,10 @@ def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.languages(documents(spark, sf_dir))
 
 
+def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(documents(spark, sf_dir))
+
+
 def op6_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return annparts.nearest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 100 == 0)
 
@@ -52,6 +56,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_urls": op2_urls,
     "op3_pieces": op3_pieces,
     "op4_language": op4_language,
+    "op5_licenses": op5_licenses,
     "op6_neighbours": op6_neighbours,
     "op7_quality": op7_quality,
     "op8_media": op8_media,
