@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from coverline.plans import counts  # noqa: F401  enters its queries
+from coverline.plans import checks, counts  # noqa: F401  they enter their queries
 from coverline.plans.registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]
