@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from datetime import datetime, timedelta
 
 from pyspark.sql import Column
@@ -11,6 +12,11 @@ from pyspark.sql import functions as F
 SECTIONS = ("world", "politics", "conflicts", "business", "tech", "sports", "health", "entertainment", "lifestyle", "arts", "science", "climate", "others")
 
 
+def let(x: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of ``x``, with ``x`` worked out once however often it is used."""
+    return F.get(F.transform(F.array(x), body), 0)
+
+
 def present(x: str | Column) -> Column:
     """Trimmed text, null where nothing is left."""
     return F.nullif(F.trim(x if isinstance(x, Column) else F.col(x)), F.lit(""))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from coverline.functions.columns import let
+
 #: Query parameters that never name an article; utm_* are dropped as well.
 DROPPED = ("gclid", "fbclid", "ocid", "cmpid", "ref", "output")
 #: The same for the newer form, which keeps the others and their order.
@@ -28,21 +30,25 @@ def _params(query: Column, dropped: tuple[str, ...]) -> Column:
     return F.filter(listed, lambda p: ~name(p).startswith("utm_") & ~name(p).isin(*dropped))
 
 
+def _unwrapped(link: Column) -> Column:
+    """What a news search's click link leads to, else the link."""
+    wrapped = F.regexp_extract(link, r"(?i)^https?://(?:[^/?#]*\.)?bing\.com/[^?#]*news/apiclick\.aspx[^#]*[?&]url=([^&#]+)", 1)
+    return let(wrapped, lambda w: F.when(w != "", F.coalesce(F.try_url_decode(w), w)).otherwise(link))
+
+
+def _sorted_link(clean: Column) -> Column:
+    scheme = F.lower(_part(clean, 1))
+    host = F.regexp_replace(F.regexp_replace(F.concat(scheme, F.lit("://"), F.lower(_part(clean, 2))), "^(https://.*):443$", "$1"), "^(http://.*):80$", "$1")
+    path = let(F.regexp_replace(_part(clean, 3), "/+$", ""), lambda p: F.when(p == "", "/").otherwise(p))
+    kept = F.transform(F.array_sort(_params(_part(clean, 4), DROPPED)), lambda p: F.when(F.instr(p, "=") > 0, p).otherwise(F.concat(p, F.lit("="))))
+    query = let(F.array_join(kept, "&"), lambda q: F.when(q != "", F.concat(F.lit("?"), q)).otherwise(""))
+    return F.when(clean.rlike(_PARTS), F.concat(host, path, query)).otherwise(F.regexp_replace(clean, "/+$", ""))
+
+
 def normalize_link(url: Column) -> Column:
     """One form for links to the same article: unwrapped, no fragment, tracking dropped, parameters sorted, host in lower case."""
     clean = F.regexp_replace(F.trim(F.coalesce(url, F.lit(""))), "(?i)&amp;", "&")
-    for _ in range(2):
-        wrapped = F.regexp_extract(clean, r"(?i)^https?://(?:[^/?#]*\.)?bing\.com/[^?#]*news/apiclick\.aspx[^#]*[?&]url=([^&#]+)", 1)
-        clean = F.when(wrapped != "", F.coalesce(F.try_url_decode(wrapped), wrapped)).otherwise(clean)
-    scheme = F.lower(_part(clean, 1))
-    host = F.lower(_part(clean, 2))
-    host = F.when(scheme == "https", F.regexp_replace(host, ":443$", "")).when(scheme == "http", F.regexp_replace(host, ":80$", "")).otherwise(host)
-    path = F.regexp_replace(_part(clean, 3), "/+$", "")
-    path = F.when(path == "", "/").otherwise(path)
-    kept = F.array_sort(_params(_part(clean, 4), DROPPED))
-    kept = F.transform(kept, lambda p: F.when(F.instr(p, "=") > 0, p).otherwise(F.concat(p, F.lit("="))))
-    query = F.when(F.size(kept) > 0, F.concat(F.lit("?"), F.array_join(kept, "&"))).otherwise("")
-    return F.when(clean.rlike(_PARTS), F.concat(scheme, F.lit("://"), host, path, query)).otherwise(F.regexp_replace(clean, "/+$", ""))
+    return let(clean, lambda c: let(_unwrapped(c), lambda d: let(_unwrapped(d), _sorted_link)))
 
 
 def article_url(url: Column) -> Column:
@@ -68,9 +74,9 @@ def article_id(link: Column) -> Column:
 def feed_stable_id(guid: Column, link: Column) -> Column:
     """An item's id within its feed: a link in normal form, or the text with spaces collapsed, under the link's host."""
     clean = F.regexp_replace(F.trim(F.coalesce(guid, F.lit(""))), "(?i)&amp;", "&")
-    value = F.when(clean.rlike("(?i)^https?://"), normalize_link(clean)).otherwise(F.substring(F.trim(F.regexp_replace(clean, r"\s+", " ")), 1, 512))
-    host = host_of(normalize_link(link))
-    return F.when(value == "", "").when(host == "", F.concat(F.lit("feed:"), value)).otherwise(F.concat(F.lit("feed:"), host, F.lit(":"), value))
+    value = let(clean, lambda c: F.when(c.rlike("(?i)^https?://"), normalize_link(c)).otherwise(F.substring(F.trim(F.regexp_replace(c, r"\s+", " ")), 1, 512)))
+    host = let(host_of(normalize_link(link)), lambda h: F.when(h == "", "").otherwise(F.concat(h, F.lit(":"))))
+    return let(value, lambda v: F.when(v == "", "").otherwise(F.concat(F.lit("feed:"), host, v)))
 
 
 def title_from_link(url: Column) -> Column:
