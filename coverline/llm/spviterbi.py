@@ -12,6 +12,7 @@ model made by merging pairs this is the best reading under its scores, not the o
 from __future__ import annotations
 
 import functools
+import hashlib
 import zlib
 from dataclasses import dataclass
 
@@ -20,11 +21,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .textkit import buffers, constants, mix64, slices, word_hashes
+from .textkit import buffers, constants, mix64, slices
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _META = "▁".encode()
-_WORK = 1 << 21
+_WORK, _SLICE = 1 << 20, 1 << 20
 _NONE = np.float64(-1e30)
 
 
@@ -228,9 +229,8 @@ def encoded(text: str = "text", path: str | None = None) -> Column:
         model = pieces(path)
         raw, starts, ends = buffers(texts)
         flat, counts, crc, low = [], [], [], []
-        is_byte = np.zeros(len(model.first_of), bool)
-        is_byte[model.byte_ids] = True
-        for part in slices(starts, ends, 1 << 22):
+        is_byte = _byte_ids(model)
+        for part in slices(starts, ends, _SLICE):
             ids, count = encode_rows(model, raw, starts[part], ends[part])
             flat.append(ids)
             counts.append(count)
@@ -258,13 +258,48 @@ def decoded(ids: Column, path: str | None = None) -> Column:
     return decode(ids)
 
 
+def _byte_ids(model: Pieces) -> np.ndarray:
+    out = np.zeros(len(model.first_of), bool)
+    out[model.byte_ids] = True
+    return out
+
+
+def there_and_back(text: str = "text", path: str | None = None) -> Column:
+    """Of a text column: the number of ids, of byte ids, the ids' crc32, and the text decoded from the ids as a digest and compared.
+
+    Ids of a slice of rows are made, decoded and dropped again, so that no column of ids is held.
+    """
+
+    @F.arrow_udf("struct<n_ids: bigint, n_byte_ids: bigint, ids_crc32: bigint, decoded_sha256: string, round_trip: boolean>")
+    def check(texts: pa.Array) -> pa.Array:
+        model = pieces(path)
+        is_byte = _byte_ids(model)
+        raw, starts, ends = buffers(texts)
+        out: tuple[list, ...] = ([], [], [], [], [])
+        for part in slices(starts, ends, _SLICE):
+            ids, count = encode_rows(model, raw, starts[part], ends[part])
+            data = memoryview(ids.astype("<i4").tobytes())
+            low = np.concatenate([[0], np.cumsum(is_byte[ids])])
+            stops = np.cumsum(count)
+            back = decode_rows(model, ids, count)
+            for k, (stop, n, again) in enumerate(zip(stops.tolist(), count.tolist(), back), part.start):
+                out[0].append(n)
+                out[1].append(int(low[stop] - low[stop - n]))
+                out[2].append(zlib.crc32(data[4 * (stop - n) : 4 * stop]))
+                encoded_again = again.encode()
+                out[3].append(hashlib.sha256(encoded_again).hexdigest())
+                out[4].append(encoded_again == raw[starts[k] : ends[k]].tobytes().replace(_META, b" "))
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_())
+        return pa.StructArray.from_arrays([pa.array(v, t) for v, t in zip(out, kinds)], names=["n_ids", "n_byte_ids", "ids_crc32", "decoded_sha256", "round_trip"])
+
+    return check(F.col(text))
+
+
 def encode_documents(docs: DataFrame, path: str | None = None) -> DataFrame:
     """One row per document: doc_id, n_ids, n_byte_ids, ids_crc32, decoded_sha256, round_trip.
 
     ``docs`` needs doc_id and text; other columns are not read. A null or empty text has no ids and decodes to an empty
     one. round_trip says whether decoding gives the text again (with the mark of a space, U+2581, read as a space).
     """
-    marked = F.translate(F.coalesce(F.col("text"), F.lit("")), "▁", " ")
-    found = docs.select("doc_id", marked.alias("text")).withColumn("x", encoded())
-    back = found.select("doc_id", "text", "x", decoded(F.col("x.ids")).alias("back"))
-    return back.select("doc_id", F.size("x.ids").cast("long").alias("n_ids"), F.col("x.n_byte_ids").cast("long").alias("n_byte_ids"), "x.ids_crc32", F.sha2("back", 256).alias("decoded_sha256"), (F.col("back") == F.col("text")).alias("round_trip"))
+    found = docs.select("doc_id", "text").withColumn("x", there_and_back(path=path))
+    return found.select("doc_id", "x.n_ids", "x.n_byte_ids", "x.ids_crc32", "x.decoded_sha256", "x.round_trip")
