@@ -147,7 +147,9 @@ class ArchiveReader(DataSourceReader):
             out += [Range(info.path, a, min(a + self.range, info.size)) for a in range(0, max(info.size, 1), self.range)]
         return out
 
-    def read(self, partition: Range) -> Iterator[pa.RecordBatch]:
+    def read(self, partition: Range | None) -> Iterator[pa.RecordBatch]:
+        if partition is None:  # a folder without archives
+            return
         fs, _ = _filesystem(self.folder)
         with fs.open_input_file(partition.archive) as f:
             size = f.size()
