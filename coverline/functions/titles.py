@@ -50,12 +50,9 @@ def clean_text(text: Column, max_chars: int) -> Column:
 
 
 def display_source(source: Column) -> Column:
-    """Spaces collapsed; cut at the first `` - `` after which the word sitemap comes."""
+    """Spaces collapsed; cut at the first `` - `` if the word sitemap comes anywhere after it."""
     clean = F.trim(F.regexp_replace(source, r"\s+", " "))
-    parts = F.split(clean, " - ")
-    about = F.transform(parts, lambda p, i: F.when((i > 0) & F.array_join(F.slice(parts, i + 1, 1000), " - ").rlike(r"(?i)\bsitemap\b"), i))
-    cut = F.array_max(about)
-    return F.when(cut.isNull(), clean).otherwise(F.trim(F.array_join(F.slice(parts, 1, F.array_min(about)), " - ")))
+    return F.regexp_replace(clean, r"(?i)^(.+?) - (?=.*\bsitemap\b).*$", "$1")
 
 
 def source_key(source: Column) -> Column:

@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from coverline.functions.columns import SECTIONS, present, section_rank
 from coverline.functions.urls import host_of
@@ -20,7 +21,7 @@ KEYWORDS = (
 )
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def fold_text(texts: pd.Series) -> pd.Series:
     """Lower case without accents (compatibility forms taken apart)."""
     return texts.map(lambda t: None if t is None else "".join(c for c in unicodedata.normalize("NFKD", t) if not unicodedata.combining(c)).lower())

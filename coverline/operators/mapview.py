@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from coverline.functions.columns import at, percent, present, since
+from coverline.functions.titles import display_source
 
 WINDOWS = {"1h": timedelta(hours=1), "24h": timedelta(hours=24), "7d": timedelta(days=7)}
 METRICS = ("pub", "fresh", "late", "first_seen")
@@ -34,12 +35,6 @@ def map_source_metrics(articles: DataFrame, as_of: datetime, window: str = "7d")
     return out if window == "7d" else out.where((F.col(f"pub_{window}") > 0) | (F.col(f"first_seen_{window}") > 0))
 
 
-def display_source(source: Column) -> Column:
-    """Spaces collapsed, and cut at the first `` - `` whose rest is about a sitemap."""
-    clean = F.trim(F.regexp_replace(source, r"\s+", " "))
-    return F.trim(F.regexp_replace(clean, r"(?i) - [^-]*\bsitemap\b.*$", ""))
-
-
 def endpoint_breakdown(feeds: DataFrame) -> DataFrame:
     """Per country: direct sources configured, and how many have a feed, a sitemap or both."""
     runnable = feeds.where(F.col("enabled") & (F.col("distribution_class") != "portal") & (F.col("rss_url").isNotNull() | F.col("sitemap_url").isNotNull()))
