@@ -85,9 +85,8 @@ def visible_articles(articles: DataFrame, as_of: datetime, hours: int = 48, coun
     if text:
         like = F.lit(f"%{text}%")
         rows = rows.where(F.ilike("title_original", like) | F.ilike("source", like) | F.ilike("country", like) | F.exists("feed_categories", lambda c: F.ilike(c, like)))
-    total = rows.agg(F.count("*").alias("total_count"))
     page = rows.orderBy(F.desc("publication_datetime"), F.desc("created_at"), "external_id", "title_original").offset(offset).limit(limit)
-    return page.crossJoin(F.broadcast(total)).select("external_id", "title_original", "source", "publication_datetime", "total_count")  # total is one row
+    return page.select("external_id", "title_original", "source", "publication_datetime", rows.agg(F.count("*")).scalar().alias("total_count"))
 
 
 def filter_values(articles: DataFrame) -> DataFrame:

@@ -41,7 +41,7 @@ def category_coverage(articles: DataFrame, limit: int = 10) -> tuple[DataFrame,
     filled = F.size("feed_categories") > 0
     totals = articles.agg(F.count_if(filled).alias("categorised"), F.count_if(~F.coalesce(filled, F.lit(False))).alias("uncategorised"))
     rows = articles.select(F.explode("feed_categories").alias("category")).groupBy("category").agg(F.count("*").alias("n"))
-    totals = totals.crossJoin(rows.agg(F.count("*").alias("n_categories")))  # one row each
+    totals = totals.withColumn("n_categories", rows.agg(F.count("*")).scalar())
     return totals, rows.orderBy(F.desc("n"), "category").limit(limit)
 
 
@@ -50,8 +50,8 @@ def recent_dates(articles: DataFrame, as_of: datetime, limit: int = 7) -> DataFr
     day = F.to_date("publication_datetime")
     dates = articles.groupBy(day.alias("day")).agg(F.count("*").alias("n")).orderBy(F.desc("day")).limit(limit)
     today = F.lit(as_of.date().isoformat()).cast("date")
-    shown = dates.agg(F.coalesce(F.max(F.when(F.col("day") < today, F.col("day"))), F.max("day")).alias("shown"))
-    return dates.crossJoin(F.broadcast(shown)).select("day", "n", (F.col("day") == F.col("shown")).alias("preview"))  # at most `limit` rows by one
+    shown = dates.agg(F.coalesce(F.max(F.when(F.col("day") < today, F.col("day"))), F.max("day")))
+    return dates.select("day", "n", (F.col("day") == shown.scalar()).alias("preview"))
 
 
 def preview(articles: DataFrame, feeds: DataFrame, as_of: datetime, hours: int = 24, top: int = 10) -> DataFrame:

@@ -45,8 +45,8 @@ def failure_reasons(runs: DataFrame, as_of: datetime, hours: int = 24) -> DataFr
 
 def paged(rows: DataFrame, order: list[Column], page: int, size: int, updated: str) -> DataFrame:
     """One page, each row with the number of rows and the newest update of the whole; totals are an aggregate of their own."""
-    totals = rows.agg(F.count("*").alias("total_count"), F.max(updated).alias("last_updated"))
-    return rows.orderBy(*order).offset(page * size).limit(size).crossJoin(F.broadcast(totals))  # totals is one row
+    one_page = rows.orderBy(*order).offset(page * size).limit(size)
+    return one_page.withColumns({"total_count": rows.agg(F.count("*")).scalar(), "last_updated": rows.agg(F.max(updated)).scalar()})
 
 
 def feed_lag(runs: DataFrame, as_of: datetime) -> DataFrame:

@@ -21,8 +21,7 @@ STATUS = "CASE event_type WHEN 'click' THEN 'working_nonempty' WHEN 'view' THEN
 def observations(spark: SparkSession, d: str) -> DataFrame:
     """Collections of endpoints: each shows a few pages; some ids come twice, some documents are indexes."""
     e, p = table(spark, d, "events"), table(spark, d, "pages")
-    n = p.agg(F.count("*").alias("n"))
-    keyed = e.crossJoin(F.broadcast(n))  # n is one row
+    keyed = e.withColumn("n", p.agg(F.count("*")).scalar())
     picks = keyed.select("event_id", F.explode(F.array(F.col("event_id") % F.col("n"), (F.col("event_id") * 7 + 3) % F.col("n"))).alias("page_id"))
     urls = picks.join(p.select("page_id", "url"), "page_id").groupBy("event_id").agg(F.array_sort(F.collect_list("url")).alias("urls"))
     k = F.col("user_id")
