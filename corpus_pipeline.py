@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from coverline.llm import langid, minhash, packing, quality, secrets
 from coverline.llm.shared import documents, keep
+from coverline.plans.ship import ship
 
 #: A document is kept if its language is known and at least this likely, and if its quality is not this unlikely.
 LANGUAGE_AT_LEAST = 0.3
@@ -15,6 +16,7 @@ QUALITY_AT_LEAST = 0.5
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is recognised."""
+    ship(spark)
     names = docs.columns
     found = docs.withColumn("__language", langid.language(langid.learn(docs)))
     return found.where((F.col("__language.lang_pred") != langid.UNKNOWN) & (F.col("__language.score") >= LANGUAGE_AT_LEAST)).select(*names)
@@ -22,6 +24,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are likelier good than not."""
+    ship(spark)
     names = docs.columns
     model = quality.learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return docs.withColumn("__score", quality.score(model)).where(F.col("__score") >= QUALITY_AT_LEAST).select(*names)
@@ -29,6 +32,7 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates: the one with the smallest doc_id."""
+    ship(spark)
     kept = minhash.near_duplicates(docs).where("kept").select("doc_id")
     return docs.join(kept.distinct(), docs.doc_id.eqNullSafe(kept.doc_id), "left_semi").select(*docs.columns)
 
@@ -41,6 +45,7 @@ def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token pieces in sequences."""
+    ship(spark)
     return packing.pack(docs)
 
 
