@@ -8,7 +8,7 @@ from datetime import datetime, timedelta
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Fixed order of the sections.
+#: The sections in their order.
 SECTIONS = ("world", "politics", "conflicts", "business", "tech", "sports", "health", "entertainment", "lifestyle", "arts", "science", "climate", "others")
 
 
@@ -56,15 +56,26 @@ def section_rank(section: Column) -> Column:
     return F.when(place > 0, place).otherwise(len(SECTIONS) + 1)
 
 
+#: Shapes of titles that reports leave out, then those that single sources use for their sections.
+LOW_SIGNAL_TITLES = (
+    r"^(c[0-9]+\s+[0-9]+(\.html)?|art[- ]?[0-9]+(\.html)?|story[0-9]{8}([-_ ]?[0-9]+)?(\.html)?|[0-9]{6,}|news|latest|domestic|international|photo|video)$",
+    r"^[0-9a-f]{32}$",
+    r"^cision[a-z0-9]+$",
+    r"^catalog(\.aspx)?(\?.+)?$",
+)
+LOW_SIGNAL_BY_SOURCE = (
+    ("oricon", r"^(full|news|anime|comic|voiceactor)$"),
+    ("abema times", r"^(full|news|anime)$"),
+    ("parapolitika", r"^[a-z0-9_-]{4,180}$"),
+)
+
+
 def low_signal_title(title: Column, url: Column, source: Column, quality: Column) -> Column:
     """Titles that reports leave out: suspect ones, bare links, file or id-like names, and names some sources use for sections."""
     t = F.coalesce(present(title), F.lit(""))
-    shape = r"(?i)^(c[0-9]+\s+[0-9]+(\.html)?|art[- ]?[0-9]+(\.html)?|story[0-9]{8}([-_ ]?[0-9]+)?(\.html)?|[0-9]{6,}|news|latest|domestic|international|photo|video)$"
-    named = lambda name, pattern: source.rlike(f"(?i){name}") & t.rlike(pattern)
-    tests = [
-        F.coalesce(present(quality), F.lit("ok")) == "suspect", t == F.coalesce(url, F.lit("")), t.rlike("(?i)^http"), t.rlike(shape), t.rlike("(?i)^[0-9a-f]{32}$"), t.rlike("(?i)^cision[a-z0-9]+$"), t.rlike(r"(?i)^catalog(\.aspx)?(\?.+)?$"),
-        named("oricon", "(?i)^(full|news|anime|comic|voiceactor)$"), named("abema times", "(?i)^(full|news|anime)$"), named("parapolitika", "(?i)^[a-z0-9_-]{4,180}$"),
-    ]
+    tests = [F.coalesce(present(quality), F.lit("ok")) == "suspect", t == F.coalesce(url, F.lit("")), t.rlike("(?i)^http")]
+    tests += [t.rlike(f"(?i){shape}") for shape in LOW_SIGNAL_TITLES]
+    tests += [source.rlike(f"(?i){name}") & t.rlike(f"(?i){shape}") for name, shape in LOW_SIGNAL_BY_SOURCE]
     out = F.lit(False)
     for test in tests:
         out = out | F.coalesce(test, F.lit(False))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from coverline.functions.columns import at, let
 
-#: Minutes east of UTC of zone abbreviations.
+#: Minutes east of UTC of zone abbreviations.
 ZONES = {"UTC": 0, "GMT": 0, "EST": -300, "EDT": -240, "CST": -360, "CDT": -300, "MST": -420, "MDT": -360, "PST": -480, "PDT": -420, "CET": 60, "CEST": 120, "EET": 120, "EEST": 180, "BST": 60, "MSK": 180, "JST": 540, "IST": 330}
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from coverline.functions.columns import let
 from coverline.functions.urls import title_from_link
 
-#: Entities that feeds carry most; numbered ones are decoded by rule.
+#: Fixed values of the standard: entities that feeds carry most; numbered ones are decoded by rule.
 ENTITIES = {"amp": "&", "lt": "<", "gt": ">", "quot": '"', "apos": "'", "nbsp": " ", "ndash": "–", "mdash": "—", "hellip": "…", "rsquo": "’", "lsquo": "‘", "ldquo": "“", "rdquo": "”", "eacute": "é", "egrave": "è", "agrave": "à", "ccedil": "ç", "ouml": "ö", "uuml": "ü", "auml": "ä", "szlig": "ß", "ntilde": "ñ", "oacute": "ó", "aacute": "á", "iacute": "í", "euro": "€", "copy": "©"}
 
 
@@ -59,7 +59,7 @@ def source_key(source: Column) -> Column:
     return F.lower(display_source(source))
 
 
-#: Shapes of titles that say nothing: file names, ids, section names.
+#: Shapes of titles that say nothing (file names, ids, section names).
 LOW_SIGNAL = (
     r"(?i)^c[0-9]+\s+[0-9]+(\.html)?$", r"(?i)^art[- ][0-9]+(\.html)?$", r"(?i)^audio\s+[0-9]+(\.html)?$", r"(?i)^a[0-9]{6,}(\.html)?$", r"(?i)^story[0-9]{8}([-_ ][0-9]+)?(\.html)?$", r"^[0-9]{6,}$",
     r"(?i)^[a-f0-9]{32}$", r"(?i)^https?(://|%3a%2f%2f)", r"(?i)^[\w\s'’.-]{3,}\.(html|jpg|jpeg|png|gif|webp)$", r"(?i)^(news|latest|domestic|international|photo|video)$",

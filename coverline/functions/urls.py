@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from coverline.functions.columns import let
 
-#: Query parameters that never name an article; utm_* are dropped as well.
+#: Query parameters that never name an article; utm_* are dropped as well.
 DROPPED = ("gclid", "fbclid", "ocid", "cmpid", "ref", "output")
-#: The same for the newer form, which keeps the others and their order.
+#: The same for the newer form, which keeps the others and their order.
 DROPPED_V1 = ("fbclid", "gclid", "dclid", "msclkid", "mc_cid", "mc_eid")
 _PARTS = r"(?s)^([A-Za-z][A-Za-z0-9+.-]*)://([^/?#]*)([^?#]*)(\?[^#]*)?(#.*)?$"
 

@@ -12,6 +12,7 @@ from pyspark.sql.types import StringType
 from coverline.functions.columns import SECTIONS, present, section_rank
 from coverline.functions.urls import host_of
 
+#: Confidence of a match in the first and second tier, and of none.
 HIGH, MEDIUM, FALLBACK = 0.84, 0.72, 0.51
 #: A small rule set in order; a deployment passes its own table of (priority, tier, keyword, section).
 KEYWORDS = (
@@ -90,7 +91,7 @@ def classify_section(by_category: Column, keyword_section: Column, keyword_confi
     return F.array_max(options)
 
 
-#: What each kind of evidence adds to a section's score.
+#: What each kind of evidence adds to a section's score.
 WEIGHTS = {"override": 0.95, "profile": 0.85, "feed_category": 0.55, "fallback": 0.5, "structured": 0.45, "title": 0.35, "context": 0.3, "hint": 0.25, "snippet": 0.2, "stored": 0.1}
 
 

@@ -12,7 +12,7 @@ from coverline.functions.columns import at, percent, since
 from coverline.functions.urls import host_of
 
 NEWEST = ("ran_at", "id")
-#: Statuses that a repeat seldom cures.
+#: Statuses that a repeat seldom cures.
 PERMANENT = (401, 403, 404, 410, 451)
 
 
