@@ -1,10 +1,11 @@
 """Operator 5: licence notices in whole texts, in DataFrame functions only.
 
-A paragraph (a line) that holds a licence word is turned into its distinct one- to three-word runs. A sparse logistic
-regression over these runs, trained here on notices written for each family and on paragraphs that only talk about
-licences, gives each family a probability, with a class for none of them; a temperature fitted on held-out variants keeps
-the probabilities honest. A prediction counts only if the paragraph also shares enough runs with a notice of that family.
-Paragraphs without a licence word hold no run of weight and are unknown without being scored.
+A paragraph is a line, or consecutive lines over which a notice is wrapped. It is turned into its distinct one- to
+three-word runs. A sparse logistic regression over these runs, trained here on notices written for each family and on
+paragraphs that only talk about licences, gives each family a probability, with a class for none of them; a temperature
+fitted on notices that were not trained on keeps the probabilities honest. A prediction counts only if the paragraph also shares enough runs with a notice
+of that family. Sharing that many needs a shared pair of words: of n words at most n of some 3n - 3 runs are single words,
+under 0.6 from three words on. So paragraphs without a pair of words of some notice are unknown without being scored.
 """
 
 from __future__ import annotations
@@ -21,16 +22,16 @@ from pyspark.sql import functions as F
 UNKNOWN = "unknown"
 #: Notices of each family; the text of a notice is fixed by its licence.
 NOTICES: dict[str, tuple[str, ...]] = {
-    "agpl-3.0": ("Licensed under the GNU Affero General Public License, version 3.", "This program is free software under the GNU AGPL v3."),
+    "agpl-3.0": ("Licensed under the GNU Affero General Public License, version 3.", "This program is free software under the GNU AGPL v3.", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
     "apache-2.0": ("Licensed under the Apache License, Version 2.0.", "This file is licensed under the Apache License 2.0; you may not use it except in compliance with the License.", "SPDX-License-Identifier: Apache-2.0"),
     "bsd-3-clause": ("Redistribution and use in source and binary forms, with or without modification, are permitted.", "Released under the BSD 3-Clause License.", "Licensed under the BSD License."),
     "cc-by-4.0": ("This work is licensed under a Creative Commons Attribution 4.0 International License.", "Licensed under CC BY 4.0."),
     "cc-by-nc-4.0": ("Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
     "cc-by-sa-4.0": ("Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
     "cc0-1.0": ("Released under CC0 1.0 Universal, dedicated to the public domain.", "To the extent possible under law, the author has waived all copyright under CC0."),
-    "gpl-2.0": ("Licensed under the GNU General Public License, version 2.", "This program is free software; you can redistribute it under the terms of the GNU GPL version 2."),
-    "gpl-3.0": ("This work is licensed under the GNU General Public License, version 3.", "This program is free software under the terms of the GNU GPL v3.", "SPDX-License-Identifier: GPL-3.0-only"),
-    "lgpl-3.0": ("Licensed under the GNU Lesser General Public License, version 3.", "This library is free software under the GNU LGPL v3."),
+    "gpl-2.0": ("Licensed under the GNU General Public License, version 2.", "This program is free software; you can redistribute it under the terms of the GNU GPL version 2.", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 2 of the License, or (at your option) any later version."),
+    "gpl-3.0": ("This work is licensed under the GNU General Public License, version 3.", "This program is free software under the terms of the GNU GPL v3.", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.", "SPDX-License-Identifier: GPL-3.0-only"),
+    "lgpl-3.0": ("Licensed under the GNU Lesser General Public License, version 3.", "This library is free software under the GNU LGPL v3.", "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
     "mit": ("Released under the MIT License.", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software.", "Licensed under the MIT license."),
     "mpl-2.0": ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "Licensed under the Mozilla Public License 2.0."),
 }
@@ -40,6 +41,13 @@ OTHERS = (
     "Permission to enter was refused at the gate.", "The restaurant lost its license to serve alcohol.", "A version of this story appeared in the public press.", "The general public may visit under the new terms.",
     "Under the law a warranty covers the engine.", "The apache helicopter landed at the base.", "Students of the mit visited the software company.", "You may license this image from our agency.",
 )
+#: Wordings that are not trained on; the temperature is fitted on them.
+HELD = (
+    ("agpl-3.0", "Distributed under the terms of the GNU Affero General Public License version 3."), ("apache-2.0", "Distributed under the Apache License, Version 2.0."), ("apache-2.0", "Available under the Apache 2.0 license."), ("bsd-3-clause", "Use of this source code is governed by a BSD 3-Clause License."),
+    ("cc-by-4.0", "Available under the Creative Commons Attribution 4.0 International License."), ("cc-by-nc-4.0", "Shared under CC BY-NC 4.0."), ("cc-by-sa-4.0", "Shared under the terms of CC BY-SA 4.0."), ("cc0-1.0", "Dedicated to the public domain under CC0 1.0 Universal."),
+    ("gpl-2.0", "You may copy it under the GNU General Public License, version 2."), ("gpl-3.0", "You may share it under the GNU General Public License, version 3."), ("lgpl-3.0", "You may link it under the GNU Lesser General Public License, version 3."), ("mit", "Distributed under the MIT License."), ("mpl-2.0", "Available under the Mozilla Public License, v. 2.0."),
+    (UNKNOWN, "The museum holds copyright in all the pictures."), (UNKNOWN, "He was granted a licence to sell wine."), (UNKNOWN, "The use of the public park is free of charge."), (UNKNOWN, "Permission of the owner is required by law."), (UNKNOWN, "The terms of the contract were made public by the company."),
+)
 WORD = r"[a-z0-9]+(?:\.[0-9]+)*"
 ANCHOR = r"(?i)licen[sc]|copyright|permission|redistribut|creative commons|public domain|\bcc0\b|\bcc[ -]by|free software"
 ACCEPT, SHARED, LEAST_SHARED = 0.5, 0.6, 3
@@ -50,6 +58,11 @@ def runs(text: str) -> list[str]:
     return sorted({" ".join(found[i : i + n]) for n in (1, 2, 3) for i in range(len(found) - n + 1)})
 
 
+def longest() -> int:
+    """Words of the longest notice."""
+    return max(len(re.findall(WORD, t.lower())) for texts in NOTICES.values() for t in texts)
+
+
 @functools.cache
 def model() -> tuple[list[str], dict[str, list[float]], float]:
     """Classes, a weight of each run for each class, and the temperature."""
@@ -88,33 +101,52 @@ def model() -> tuple[list[str], dict[str, list[float]], float]:
                         step = g + 1e-4 * weight[r][k]
                         seen[r][k] += step * step
                         weight[r][k] -= 0.3 * step / math.sqrt(seen[r][k])
-    held = [(odds(x), y) for x, y in variants(3)]
+    held = [(odds([r for r in runs(t) if r in weight]), classes.index(f)) for f, t in HELD]
     loss = lambda t: -sum(math.log(softmax([v / t for v in z])[y] + 1e-12) for z, y in held)
     return classes, weight, min((0.5 + 0.1 * k for k in range(36)), key=loss)
 
 
-def _runs(paragraph: Column) -> Column:
-    found = F.regexp_extract_all(F.lower(paragraph), F.lit(f"({WORD})"), F.lit(1))
-    gram = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.size(found) - n + 1, F.lit(0))), lambda i: F.array_join(F.slice(found, i, n), " "))
-    some = lambda n: F.when(F.size(found) >= n, gram(n)).otherwise(F.array().cast("array<string>"))
-    return F.array_distinct(F.concat(*(some(n) for n in (1, 2, 3))))
+def _let(value: Column, use) -> Column:
+    """``use`` of a value that is computed once."""
+    return F.get(F.transform(F.array(value), use), 0)
 
 
-def _judged(paragraph: Column, line: Column) -> Column:
-    classes, weight, temperature = model()
+def _constant(value, kind: str) -> Column:
     # one constant each, where thousands of literals would weigh on the plan
-    constant = lambda value, kind: F.from_json(F.lit(json.dumps(value)), kind)
-    table = constant({r: [round(v, 6) for v in w] for r, w in weight.items()}, "map<string,array<double>>")
-    templates = constant([[runs(t) for t in NOTICES[f]] for f in classes[:-1]], "array<array<array<string>>>")
+    return F.from_json(F.lit(json.dumps(value)), kind)
+
+
+def _words(line: Column) -> Column:
+    return F.regexp_extract_all(F.lower(line), F.lit(f"({WORD})"), F.lit(1))
+
+
+def _pairs(found: Column) -> Column:
+    n = F.greatest(F.size(found) - 1, F.lit(0))
+    return F.zip_with(F.slice(found, 1, n), F.slice(found, 2, n), lambda a, b: F.concat_ws(" ", a, b))
+
+
+def _runs(found: Column) -> Column:
+    n = F.greatest(F.size(found) - 2, F.lit(0))
+    three = lambda pairs: F.zip_with(F.slice(pairs, 1, n), F.slice(found, 3, n), lambda a, b: F.concat_ws(" ", a, b))
+    return _let(_pairs(found), lambda pairs: F.array_distinct(F.concat(found, pairs, three(pairs))))
+
+
+def _judged(words: Column) -> Column:
+    """Class, probability, and the runs shared with the nearest notice of that class: 0 where the notice is not confirmed."""
+    classes, weight, temperature = model()
+    known = sorted(weight)
+    vocabulary = _constant(known, "array<string>")
+    table = _constant({r: [round(v, 6) for v in weight[r]] for r in known}, "map<string,array<double>>")
+    templates = _constant([[runs(t) for t in NOTICES[f]] for f in classes[:-1]], "array<array<array<string>>>")
     zero = F.array(*(F.lit(0.0) for _ in classes))
-    known = lambda found: F.filter(found, lambda r: F.element_at(table, r).isNotNull())
 
     def decide(found: Column) -> Column:
-        used = known(found)
+        return _let(F.array_intersect(found, vocabulary), lambda used: F.struct(summed(used).alias("odds"), found.alias("runs")))
+
+    def summed(used: Column) -> Column:
         total = F.aggregate(used, zero, lambda acc, r: F.zip_with(acc, F.element_at(table, r), lambda a, b: a + b))
         scale = F.sqrt(F.greatest(F.size(used), F.lit(1)).cast("double")) * temperature
-        odds = F.transform(total, lambda t: F.exp(F.least(t / scale, F.lit(60.0))))
-        return F.struct(odds.alias("odds"), found.alias("runs"))
+        return _let(total, lambda total: F.transform(total, lambda t: F.exp((t - F.array_max(total)) / scale)))
 
     def choose(x: Column) -> Column:
         share = F.transform(x.odds, lambda o: o / F.aggregate(x.odds, F.lit(0.0), lambda a, b: a + b))
@@ -122,31 +154,86 @@ def _judged(paragraph: Column, line: Column) -> Column:
         return F.struct((-best.k).alias("k"), best.p.alias("p"), x.runs.alias("runs"))
 
     def confirm(x: Column) -> Column:
-        def share(t: Column) -> Column:
-            n = F.size(F.array_intersect(x.runs, t))
-            return F.when(n >= LEAST_SHARED, n / F.least(F.size(x.runs), F.size(t))).otherwise(0.0)
+        def shared(t: Column) -> Column:
+            enough = lambda n: F.when((n >= LEAST_SHARED) & (n >= SHARED * F.least(F.size(x.runs), F.size(t))), n).otherwise(0)
+            return _let(F.size(F.array_intersect(x.runs, t)), enough)
+
+        near = F.coalesce(F.array_max(F.transform(F.get(templates, x.k), shared)), F.lit(0))
+        return F.struct(x.k.alias("k"), x.p.alias("p"), F.when(x.p >= ACCEPT, near).otherwise(0).alias("shared"))
 
-        near = F.coalesce(F.array_max(F.transform(F.get(templates, x.k), share)), F.lit(0.0))
-        names = F.array(*(F.lit(c) for c in classes))
-        return F.struct(line.alias("line"), F.when((x.p >= ACCEPT) & (near >= SHARED), F.get(names, x.k)).otherwise(UNKNOWN).alias("family"), x.p.alias("probability"))
+    return _let(_let(_let(_runs(words), decide), choose), confirm)
 
-    one = F.transform(F.transform(F.transform(F.array(_runs(paragraph)), decide), choose), confirm)
-    return F.get(one, 0)
+
+def _wrapped(words: Column, hot: Column, single: Column) -> Column:
+    """Notices over several lines: (first, last, judged), each sharing more with its notice than its lines do on their own.
+
+    A window starts and ends in a line with a pair of words of some notice, holds no line without words, and goes on until
+    it has as many words as the longest notice, however narrow its lines.
+    """
+    span = lambda rows, i, j: F.slice(rows, i + 1, j - i + 1)
+    begins = F.filter(F.sequence(F.lit(0), F.size(words) - 1), lambda i: F.get(hot, i))
+
+    def inside(i: Column, j: Column) -> Column:
+        return F.get(hot, j) & ~F.exists(span(words, i, j), lambda w: F.size(w) == 0) & (F.aggregate(span(words, i, j - 1), F.lit(0), lambda n, w: n + F.size(w)) < longest())
+
+    def from_line(i: Column) -> Column:
+        last = F.least(i + longest(), F.size(words) - 1)
+        ends = F.when(last > i, F.filter(F.sequence(i + 1, last), lambda j: inside(i, j))).otherwise(F.array().cast("array<int>"))
+        return F.transform(ends, lambda j: F.struct(i.alias("first"), j.alias("last"), _judged(F.flatten(span(words, i, j))).alias("x")))
+
+    def better(w: Column) -> Column:
+        return w.x.shared > F.aggregate(span(single, w["first"], w["last"]), F.lit(0), lambda n, x: n + F.coalesce(x.shared, F.lit(0)))
+
+    found = F.filter(F.flatten(F.transform(begins, from_line)), better)
+
+    # of windows that overlap, the one that shares most, then the earlier and shorter one
+    def choose(kept: Column, w: Column) -> Column:
+        held = F.get(kept, F.size(kept) - 1)
+        apart = F.coalesce(w["first"] > held["last"], F.lit(True))
+        rest = F.when(apart, kept).otherwise(F.slice(kept, 1, F.greatest(F.size(kept) - 1, F.lit(0))))
+        return F.when(apart | (w.x.shared > held.x.shared), F.concat(rest, F.array(w))).otherwise(kept)
+
+    return _let(found, lambda found: F.aggregate(found, F.slice(found, 1, 0), choose))
 
 
 def with_licenses(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with found: an array of (line, family, probability) for paragraphs with a licence word, in order."""
-    lines = F.transform(F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1), lambda p, i: F.struct(i.alias("line"), p.alias("paragraph")))
-    held = F.filter(lines, lambda x: x.paragraph.rlike(ANCHOR))
-    marked = F.when(F.col(text).rlike(ANCHOR), held).otherwise(F.array().cast("array<struct<line:int,paragraph:string>>"))
-    return docs.withColumn("held", marked).withColumn("found", F.transform("held", lambda x: _judged(x.paragraph, x.line))).drop("held")
+    """``docs`` with found: an array of (line, family, probability), in order, for paragraphs with a licence word or a known family."""
+    classes, _, _ = model()
+    names = F.array(*(F.lit(c) for c in classes))
+    pairs = _constant(sorted({r for texts in NOTICES.values() for t in texts for r in runs(t) if r.count(" ") == 1}), "array<string>")
+
+    def with_lines(lines: Column) -> Column:
+        return _let(F.transform(lines, _words), lambda words: with_words(lines, words))
+
+    def with_words(lines: Column, words: Column) -> Column:
+        def near(w: Column, i: Column) -> Column:
+            before, after = F.get(words, i - 1), F.get(words, i + 1)
+            edge = lambda side, at: F.coalesce(F.slice(side, at, 1), F.array().cast("array<string>"))
+            last = F.when(F.size(before) > 0, F.slice(before, -1, 1))
+            return F.coalesce(F.arrays_overlap(_pairs(F.concat(F.coalesce(last, F.array().cast("array<string>")), w, edge(after, 1))), pairs), F.lit(False))
+
+        return _let(F.transform(words, near), lambda hot: with_hot(lines, words, hot))
+
+    def with_hot(lines: Column, words: Column, hot: Column) -> Column:
+        single = F.transform(words, lambda w, i: F.when(F.get(hot, i) | F.get(lines, i).rlike(ANCHOR), _judged(w)))
+        return _let(single, lambda single: _let(_wrapped(words, hot, single), lambda over: listed(lines, single, over)))
+
+    def listed(lines: Column, single: Column, over: Column) -> Column:
+        entry = lambda line, last, x: F.struct(line.alias("line"), last.alias("last"), F.when(x.shared > 0, F.get(names, x.k)).otherwise(UNKNOWN).alias("family"), x.p.alias("probability"))
+        held = F.filter(F.transform(single, lambda x, i: entry(i, i, x)), lambda e: e.probability.isNotNull() & ((e.family != UNKNOWN) | F.get(lines, e.line).rlike(ANCHOR)))
+        alone = lambda held: F.filter(held, lambda e: ~F.exists(over, lambda w: e.line.between(w["first"], w["last"])))
+        rows = _let(held, lambda held: F.concat(alone(held), F.transform(over, lambda w: entry(w["first"], w["last"], w.x))))
+        return F.transform(F.array_sort(rows), lambda e: F.struct(e.line, e.family, e.probability))
+
+    return docs.withColumn("found", _let(F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1), with_lines))
 
 
 def scan(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, n_paragraphs, n_licenses, families, spans.
 
-    n_paragraphs counts paragraphs with a licence word, n_licenses those of a known family; families are distinct, in
-    order; spans are family:line (from 0). ``docs`` needs doc_id and text; other columns are not read. A null or empty
+    n_paragraphs counts paragraphs with a licence word or of a known family, a notice wrapped over lines once; n_licenses
+    counts those of a known family; families are distinct, in order; spans are family:line (from 0), the first line of
+    wrapped notices. ``docs`` needs doc_id and text; other columns are not read. A null or empty
     text has none. Repeated rows give repeated results.
     """
     found = with_licenses(docs.select("doc_id", "text"))

@@ -364,6 +364,19 @@ def test_every_notice_is_its_own_family(spark):
     assert sum(got[k] == f for k, _, f in anchored) >= len(anchored) - 1
 
 
+def test_licences_without_a_licence_word_and_over_several_lines(spark):
+    header = "This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation, either version {} of the License, or\n(at your option) any later version."
+    texts = [
+        ("Distributed under the terms of the GNU GPL v3.", "gpl-3.0:0"), ("Intro\n\n" + header.format(3) + "\n\nend", "gpl-3.0:2"), (header.format(2), "gpl-2.0:0"),
+        ("one\nLicensed under the GNU General Public\nLicense, version 2.\ntwo", "gpl-2.0:1"), ("a\nLicensed\nunder\nthe\nApache\nLicense,\nVersion\n2.0.\nb", "apache-2.0:1"),
+        ("Licensed under the Apache\nLicense, Version 2.0.\nReleased under the\nMIT License.", "apache-2.0:0,mit:2"), ("The terms of the deal were free.\nOf the general public, some may use it.", ""),
+    ]
+    rows = spark.createDataFrame([(k, t) for k, (t, _) in enumerate(texts)], "doc_id long, text string")
+    got = {r.doc_id: r for r in licenses.scan(rows).collect()}
+    assert [got[k].spans for k in range(len(texts))] == [want for _, want in texts]
+    assert got[1].n_paragraphs == got[1].n_licenses == 1
+
+
 # 6: neighbours
 
 
