@@ -33,13 +33,31 @@ def keyword_table(spark: SparkSession, rules: tuple = KEYWORDS) -> DataFrame:
     return spark.createDataFrame(rows, "priority int, confidence double, keyword string, section string, n_words int")
 
 
-def keyword_matches(rows: DataFrame, id_column: str, folded: Column, rules: DataFrame, longest: int = 3) -> DataFrame:
-    """(id, section, confidence) of the first rule that a text holds: its word runs meet the rule table, no row meets every rule."""
-    words = F.filter(F.split(folded, "[^a-z0-9]+"), lambda w: w != "")
-    base = rows.select(F.col(id_column).alias("id"), words.alias("words"))
-    gram = lambda n: F.when(F.size("words") >= n, F.transform(F.sequence(F.lit(1), F.size("words") - n + 1), lambda i: F.array_join(F.slice("words", i, n), " "))).otherwise(F.array().cast("array<string>"))
-    runs = base.select("id", F.explode(F.array_distinct(F.concat(*(gram(n) for n in range(1, longest + 1))))).alias("keyword"))
-    found = runs.join(F.broadcast(rules), "keyword")  # the rule table has the size of its file
+#: What separates words of any script; keywords in scripts that put no spaces between words are met anywhere in a text.
+APART = r"[^\p{L}\p{M}\p{N}]+"
+UNSPACED = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsHangul}\p{IsThai}]"
+
+
+def _pieces(of: Column, length: Column, mark: str) -> Column:
+    """Distinct runs of so many parts of a value that is computed once."""
+    run = lambda x: F.transform(F.sequence(F.lit(1), F.size(x) - length + 1), lambda i: F.array_join(F.slice(x, i, length), mark))
+    every = lambda x: F.when(F.size(x) >= length, F.array_distinct(run(x))).otherwise(F.array().cast("array<string>"))
+    return F.get(F.transform(F.array(of), every), 0)
+
+
+def keyword_matches(rows: DataFrame, id_column: str, folded: Column, rules: DataFrame) -> DataFrame:
+    """(id, section, confidence) of the first rule that a text holds: runs of as many words as some rule has (of characters, for unspaced scripts) meet the rule table, no row meets every rule."""
+    words = lambda text: F.filter(F.split(text, APART), lambda w: w != "")
+    letters = lambda text: F.filter(F.split(text, ""), lambda c: c != "")
+    base = rows.select(F.col(id_column).alias("id"), folded.alias("text"))
+    own = rules.withColumn("keyword", fold_text("keyword")).withColumn("unspaced", F.col("keyword").rlike(UNSPACED))
+
+    def met(base: DataFrame, own: DataFrame, parts, mark: str) -> DataFrame:
+        table = own.select("priority", "section", "confidence", F.size(parts(F.col("keyword"))).alias("n"), F.array_join(parts(F.col("keyword")), mark).alias("keyword")).where("n > 0")
+        runs = base.crossJoin(F.broadcast(table.select("n").distinct())).select("id", "n", F.explode(_pieces(parts(F.col("text")), F.col("n"), mark)).alias("keyword"))
+        return runs.join(F.broadcast(table), ["n", "keyword"])  # the rule table has the size of its file
+
+    found = met(base, own.where(~F.col("unspaced")), words, " ").unionByName(met(base.where(F.col("text").rlike(UNSPACED)), own.where("unspaced"), letters, ""))
     return found.groupBy("id").agg(F.min_by(F.struct("section", "confidence"), "priority").alias("x")).select("id", "x.*")
 
 

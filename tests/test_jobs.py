@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from coverline.functions import columns, dates, titles, urls
-from coverline.operators import activity, benchmark, health, merge
+from coverline.operators import activity, benchmark, classify, health, merge
 from coverline.plans import flows
 from coverline.plans.views import AS_OF, articles, feeds, runs
 from coverline.sources import registry
@@ -115,6 +115,17 @@ def test_policy_folds_in_order_of_time(spark):
     assert got[1].status == "disabled_temporary" and got[1].consecutive_failures == 4 and got[1].disabled_until == time(4) and got[2].status == "disabled_permanent"
 
 
+# rules
+
+
+def test_keywords_of_any_length_and_script(spark):
+    rules = classify.keyword_table(spark, (("high", "bank of the south", "business"), ("high", "выборы", "politics"), ("medium", "選挙", "politics"), ("medium", "انتخابات", "world"), ("high", "covid-19", "health"), ("medium", "경제", "business")))
+    texts = ["the Bank of the South, again", "Сегодня ВЫБОРЫ!", "昨日の選挙の結果", "عن انتخابات اليوم", "a covid 19 case", "한국경제는", "bank of the north", "перевыборы", ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").select("doc_id", classify.fold_text("text").alias("folded"))
+    got = {r.doc_id: r.section for r in classify.classify_keyword(docs, "doc_id", F.col("folded"), rules).collect()}
+    assert [got[k] for k in range(len(texts))] == ["business", "politics", "politics", "world", "health", "business", "others", "others", "others"]
+
+
 def test_streams_equal_their_batches(spark, small):
     r = runs(spark, small).withColumn("ran_at", F.col("ran_at").cast("timestamp"))
     keys = ["bucket", "outlet_id", "method", "attempts", "failures"]
