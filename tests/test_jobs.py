@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import json
+import random
 from datetime import datetime
+from types import SimpleNamespace
 
 import pytest
 from pyspark.sql import functions as F
@@ -115,6 +117,17 @@ def test_policy_folds_in_order_of_time(spark):
     assert got[1].status == "disabled_temporary" and got[1].consecutive_failures == 4 and got[1].disabled_until == time(4) and got[2].status == "disabled_permanent"
 
 
+def test_policy_by_aggregates_equals_the_fold(spark):
+    rng = random.Random(4)
+    rows = [(k, time(rng.randint(1, 20)), rng.randint(1, 60), "sitemap", "u", True, rng.random() < 0.25, rng.choice([200, 301, 404, 410, 500, 500, 500]), None) for k in range(400)]
+    want = {}
+    for k, at, outlet, _, _, _, ok, code, _ in sorted(rows, key=lambda r: (r[1], r[0])):
+        want[outlet] = health.policy_step(want.get(outlet, dict(health.NEW_POLICY)), SimpleNamespace(ok=ok, status_code=code, ran_at=at))
+    found = health.sitemap_policy(spark.createDataFrame(rows, R))
+    assert {r.outlet_id: {c: r[c] for c in health.NEW_POLICY} for r in found.collect()} == want
+    assert "Pandas" not in found._jdf.queryExecution().toString()
+
+
 # rules
 
 
