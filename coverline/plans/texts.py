@@ -114,15 +114,16 @@ def n14(spark: SparkSession, d: str) -> DataFrame:
     return compare.persistable_rows(items, datetime(2024, 1, 31))
 
 
-def _feeds_xml(spark: SparkSession, d: str) -> DataFrame:
-    """Documents as RSS and Atom feeds of their source."""
+def _feeds_xml(spark: SparkSession, d: str, ids: int | None = None) -> DataFrame:
+    """Documents as RSS and Atom feeds of their source: one of all its items, or one for each block of so many ids."""
     docs = table(spark, d, "documents").select("doc_id", "source", F.regexp_replace(F.substring("text", 1, 80), r"[^A-Za-z0-9 ]", "").alias("t"))
     k = F.col("doc_id").cast("string")
     rss = F.concat(F.lit("<item><title><![CDATA["), "t", F.lit("]]></title><link>https://x.example.com/a/"), k, F.lit("?a=1&amp;b=2</link><guid>g"), k, F.lit("</guid><category>News</category><category>"), "source", F.lit("</category><description>&lt;p&gt;d"), k, F.lit("&lt;/p&gt;</description><pubDate>Mon, 01 Jan 2024 10:00:00 +0200</pubDate></item>"))
     atom = F.concat(F.lit("<entry><title>"), "t", F.lit('</title><link href="https://y.example.com/a/'), k, F.lit('"/><id>g'), k, F.lit('</id><category term="News"/><category term="'), "source", F.lit('"/><summary>d'), k, F.lit("</summary><published>2024-01-01T08:00:00Z</published></entry>"))
     is_rss = F.substring("source", -1, 1).cast("int") % 2 == 0
     items = docs.select("source", "doc_id", F.when(is_rss, rss).otherwise(atom).alias("item"))
-    bodies = items.groupBy("source").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "item"))), lambda x: x.item), "\n").alias("items"))
+    block = F.floor(F.col("doc_id") / ids) if ids else F.lit(0)
+    bodies = items.groupBy("source", block.alias("block")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "item"))), lambda x: x.item), "\n").alias("items"))
     return bodies.select(F.concat(F.lit("https://"), "source", F.lit(".example.com/feed")).alias("url"), F.concat(F.lit("<feed>"), "items", F.lit("</feed>")).alias("body"))
 
 
@@ -150,7 +151,7 @@ def p2(spark: SparkSession, d: str) -> DataFrame:
 
 @query("p3_feed_item_stats", f"WITH {ITEMS} SELECT url, count(*) AS total, count(*) FILTER (title <> '') AS valid, count(*) FILTER (title = '') AS missing_title, 0 AS missing_summary, 0 AS missing_published_at, 0 AS missing_link FROM it WHERE place < 1000000 GROUP BY 1".replace("0 AS missing", "CAST(0 AS BIGINT) AS missing"))
 def p3(spark: SparkSession, d: str) -> DataFrame:
-    return raw.feed_item_stats(raw.parse_feeds(_feeds_xml(spark, d), 1_000_000))
+    return raw.feed_item_stats(raw.parse_feeds(_feeds_xml(spark, d, 50), None))
 
 
 TITLE = "trim(regexp_replace(replace(replace(replace(replace(replace(regexp_extract(html, '<title>(.*?)</title>', 1), '&amp;', '&'), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#x27;', ''''), '[ \\t\\n]+', ' ', 'g'))"

@@ -17,11 +17,12 @@ def _inner(block: Column, tag: str) -> Column:
     return let(F.trim(F.regexp_replace(found, r"(?s)<!\[CDATA\[(.*?)\]\]>", "$1")), lambda t: F.when(t != "", t))
 
 
-def parse_feeds(raw: DataFrame, limit: int = 100) -> DataFrame:
-    """Items of RSS, else entries of Atom documents (url, body): the first ``limit`` of each."""
+def parse_feeds(raw: DataFrame, limit: int | None = 100) -> DataFrame:
+    """Items of RSS, else entries of Atom documents (url, body): the first ``limit`` of each, or all."""
     items = F.regexp_extract_all("body", F.lit(r"(?is)(<item[\s>].*?</item>)"), F.lit(1))
     entries = F.regexp_extract_all("body", F.lit(r"(?is)(<entry[\s>].*?</entry>)"), F.lit(1))
-    blocks = F.slice(F.when(F.size(items) > 0, items).otherwise(entries), 1, limit)
+    blocks = F.when(F.size(items) > 0, items).otherwise(entries)
+    blocks = blocks if limit is None else F.slice(blocks, 1, limit)
     rows = raw.select("url", F.posexplode(blocks).alias("place", "block"))
     href = F.nullif(F.regexp_extract("block", r"(?is)<link[^>]*\bhref=[\"']([^\"']+)", 1), F.lit(""))
     rows = rows.withColumn("link", decode_entities(F.coalesce(_inner(F.col("block"), "link"), href)))

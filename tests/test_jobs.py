@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from coverline.functions import columns, dates, titles, urls
 from coverline.operators import activity, benchmark, classify, health, merge
-from coverline.plans import flows
+from coverline.plans import flows, texts
 from coverline.plans.views import AS_OF, articles, feeds, runs
 from coverline.sources import registry
 from coverline.streaming import jobs
@@ -204,5 +204,13 @@ def test_rounding_is_half_up(spark):
     assert one(spark, columns.percent(F.lit(1), F.lit(200))) == 1 and one(spark, columns.basis_points(F.lit(1), F.lit(3))) == 3333 and one(spark, columns.percent(F.lit(1), F.lit(0))) == 0
 
 
+def test_feeds_are_of_bounded_size_and_counted_whole(spark, tmp_path):
+    docs = spark.range(1000).select(F.col("id").alias("doc_id"), F.lit("text of it").alias("text"), F.lit("en").alias("lang"), F.lit("src_2").alias("source"), F.lit(10).alias("n_chars"))
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    feeds_ = texts._feeds_xml(spark, str(tmp_path), 50).select(F.size(F.split("body", "<item>")).alias("n")).collect()
+    assert len(feeds_) == 20 and {r.n for r in feeds_} == {51}
+    assert [(r.total, r.valid) for r in texts.p3(spark, str(tmp_path)).collect()] == [(1000, 1000)]
+
+
 def test_fnv(spark):
     assert one(spark, health.fnv1a(F.lit("foobar"))) == 0xBF9CF968
