@@ -211,6 +211,15 @@ def _nearest(table: pa.Table, k: int) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in found], names=["query_id", "vec_id", "score"])
 
 
+def visits(order: np.ndarray, probes: int, held: np.ndarray | None, k: int) -> pa.ListArray:
+    """Of each row's parts in order the first ``probes``, and as many more as it takes to hold k candidates besides the row itself."""
+    much = np.full(len(order), min(probes, order.shape[1]) if len(order) else 0)
+    if held is not None and len(order):
+        much = np.clip((np.cumsum(held[order], axis=1) <= k).sum(axis=1) + 1, much, order.shape[1])
+    kept = np.arange(order.shape[1])[None, :] < much[:, None]
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(much)]).astype(np.int32)), pa.array(order[kept]))
+
+
 def nearest(rows: DataFrame, is_query: Column, k: int = 10) -> DataFrame:
     """query_id, rank, vec_id, score: each query's k nearest found among all other rows.
 
@@ -234,14 +243,21 @@ def nearest(rows: DataFrame, is_query: Column, k: int = 10) -> DataFrame:
         x = _matrix(good.select("embedding").limit(1).toArrow().column(0))
     router, scale, probes = fit(np.unique(x, axis=0), parts)
 
-    @F.arrow_udf("array<int>")
-    def route(vectors: pa.Array) -> pa.Array:
-        order = np.argsort(-router.scores(_matrix(vectors) * scale), axis=1, kind="stable")[:, :probes].astype(np.int32)
-        return pa.ListArray.from_arrays(pa.array(np.arange(len(order) + 1, dtype=np.int32) * order.shape[1]), pa.array(order.ravel()))
-
-    placed = good.select("vec_id", "embedding", route("embedding").alias("parts"))
-    blocks = placed.groupBy(F.col("parts")[0].alias("part")).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    blocks = F.broadcast(blocks)  # at most MOST_PARTS rows
+    def routed(held: np.ndarray | None):
+        @F.arrow_udf("array<int>")
+        def route(vectors: pa.Array) -> pa.Array:
+            order = np.argsort(-router.scores(_matrix(vectors) * scale), axis=1, kind="stable").astype(np.int32)
+            return visits(order, probes, held, k)
+
+        return route
+
+    home = good.select("vec_id", routed(None)("embedding")[0].alias("part"))
+    sizes = home.groupBy("part").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"), F.count_distinct("vec_id").alias("held")).collect()  # at most MOST_PARTS rows
+    held = np.zeros(MOST_PARTS, np.int64)
+    for r in sizes:
+        held[r.part] = r.held
+    blocks = F.broadcast(spark.createDataFrame([(r.part, r.blocks) for r in sizes], "part int, blocks int"))
+    placed = good.select("vec_id", "embedding", routed(held)("embedding").alias("parts"))
     candidates = placed.select("vec_id", "embedding", F.col("parts")[0].alias("part")).join(blocks, "part")
     candidates = candidates.select("part", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int").alias("block"), F.lit(False).alias("asks"), "vec_id", "embedding")
     queries = placed.where(is_query).select("vec_id", "embedding", F.explode("parts").alias("part")).join(blocks, "part")

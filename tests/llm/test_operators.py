@@ -408,6 +408,15 @@ def test_neighbours_of_few_and_none(spark):
     assert annparts.nearest(few.where("vec_id = 0"), F.col("vec_id") == 0).collect() == []
 
 
+@pytest.mark.parametrize("n", [5, 12, 20, 35, 50])
+def test_neighbours_of_small_tables_are_as_many_as_there_are(spark, n):
+    rng = np.random.default_rng(n)
+    x = rng.normal(size=(n, 6)) * 0.01 + np.eye(6)[np.arange(n) % 5] * 10
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    got = Counter(r.query_id for r in annparts.nearest(rows, F.lit(True)).collect())
+    assert got == {i: min(10, n - 1) for i in range(n)}
+
+
 # 8: media
 
 
