@@ -22,7 +22,8 @@ def sql() -> str:
     kinds = "CASE " + " ".join(f"WHEN regexp_matches(match, {_quoted(shape)}) THEN {KINDS.index(name)}" for name, shape, _ in CLASSES) + " END"
     limits = "CASE kind " + " ".join(f"WHEN {KINDS.index(name)} THEN {most(bits)}" for name, _, bits in CLASSES) + " END"
     names = "CASE kind " + " ".join(f"WHEN {k} THEN '{name}'" for k, name in enumerate(KINDS)) + " END"
-    allowed = " AND ".join(f"NOT regexp_matches(match, {_quoted(p)})" for p in ALLOW)
+    fits = lambda p: f"regexp_matches(match, {_quoted(p)})"
+    allowed = " AND ".join("NOT (" + " AND ".join([*map(fits, every), *(f"NOT {fits(p)}" for p in none)]) + ")" for every, none in ALLOW)
     return f"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
 {_matches("a", ASSIGN)},
