@@ -4,8 +4,9 @@ On a bounded sample a graph of near neighbours is built and cut into parts of eq
 parted; a small classifier then learns which part a vector belongs to. It places every row in its most probable part and
 sends a query to the most probable ones, where the exact distance ranks the candidates. How many parts a query visits is
 measured: on sample rows that the classifier has not seen, the fewest that reach ``TARGET`` of the true neighbours. Where
-vectors have no structure to learn, that is most of the parts. A part is dealt over blocks of about ``BLOCK`` rows, so no
-task holds more of it, however many rows it has.
+vectors have no structure to learn, that is most of the parts. A part is dealt over blocks of about ``BLOCK`` rows; a task
+holds one block, past which the queries stream, and of each block only k rows a query go on. The number of parts grows with
+the table up to ``MOST_PARTS``, and the sample with the number of parts; beyond that parts grow, and blocks with them in number.
 """
 
 from __future__ import annotations
@@ -15,14 +16,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SAMPLE, GRAPH_K, HIDDEN = 6000, 10, 64
+#: Vectors in the sample: this many, or so many a part if that is more (16,384 at most).
+SAMPLE, SAMPLE_PART, GRAPH_K, HIDDEN = 6000, 16, 10, 64
 #: Rows to a part at first; the number of parts lies between the two bounds.
-PART_ROWS, LEAST_PARTS, MOST_PARTS = 4096, 8, 256
+PART_ROWS, LEAST_PARTS, MOST_PARTS = 4096, 8, 1024
 TARGET, UNSEEN = 0.95, 0.2
-BLOCK = 512
+BLOCK = 4096
 
 
 @dataclass
@@ -157,58 +159,65 @@ def _matrix(vectors: pa.Array) -> np.ndarray:
 
 def _ranked(k: int):
     def rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows sorted by block; of each block every query's k nearest candidates."""
-        held: list[pa.Table] = []
+        """Rows sorted by block, candidates before queries: a block's candidates are held while its queries stream past."""
+        here, held, block = None, [], None
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            held.append(pa.Table.from_batches([batch]))
-            whole = pa.concat_tables(held)
-            key = _keys(whole)
-            edge = np.flatnonzero(key != key[-1])
-            stop = int(edge[-1]) + 1 if len(edge) else 0
-            if stop:
-                yield from _nearest(whole.slice(0, stop), k)
-            held = [whole.slice(stop)]
-        if held:
-            yield from _nearest(pa.concat_tables(held), k)
+            parts, blocks, asks = (batch.column(c).to_numpy(zero_copy_only=False) for c in range(3))
+            edges = np.flatnonzero((parts[1:] != parts[:-1]) | (blocks[1:] != blocks[:-1]) | (asks[1:] != asks[:-1])) + 1
+            for a, b in zip([0, *edges.tolist()], [*edges.tolist(), len(parts)]):
+                if a == b:
+                    continue
+                if here != (parts[a], blocks[a]):
+                    here, held, block = (parts[a], blocks[a]), [], None
+                ids, vectors = batch.column(3).to_numpy()[a:b], _matrix(batch.column(4).slice(a, b - a))
+                if not asks[a]:
+                    held.append((ids, vectors))
+                elif held:
+                    block = block or Block(*(np.concatenate(x) for x in zip(*held)))
+                    yield block.nearest(ids, vectors, k)
 
     return rank
 
 
-def _keys(table: pa.Table) -> np.ndarray:
-    change = np.zeros(table.num_rows, np.int64)
-    for name in ("part", "block"):
-        x = table.column(name).to_numpy()
-        change[1:] |= x[1:] != x[:-1]
-    return np.cumsum(change)
-
-
-def _nearest(table: pa.Table, k: int) -> Iterator[pa.RecordBatch]:
-    key, ids, asks = _keys(table), table.column("vec_id").to_numpy(), table.column("asks").to_numpy(zero_copy_only=False)
-    lists = table.column("embedding").combine_chunks()
-    stops = (np.flatnonzero(np.diff(key, append=key[-1] + 1)) + 1).tolist()
-    begin = 0
-    for stop in stops:
-        rows = np.arange(begin, stop)
-        begin = stop
-        query, candidate = rows[asks[rows]], rows[~asks[rows]]
-        if not len(query) or not len(candidate):
-            continue
-        c, c_ids = _matrix(lists.take(pa.array(candidate))), ids[candidate]
-        for a in range(0, len(query), 64):
-            q, q_ids = _matrix(lists.take(pa.array(query[a : a + 64]))), ids[query[a : a + 64]]
-            found: tuple[list, list, list] = ([], [], [])
-            for i in range(len(q)):
-                # differences, not products: the measure on the original vectors, exact for near copies
-                distance = np.sqrt(((c - q[i]) ** 2).sum(axis=1))
-                distance[c_ids == q_ids[i]] = np.inf
-                best = np.lexsort((c_ids, distance))[:k]
+class Block:
+    """Candidates of one block, by id."""
+
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray):
+        order = np.argsort(ids, kind="stable")
+        self.ids, self.vectors = ids[order], vectors[order]
+        self.square = (self.vectors * self.vectors).sum(axis=1)
+        self.repeated = bool((self.ids[1:] == self.ids[:-1]).any())
+
+    def nearest(self, q_ids: np.ndarray, q: np.ndarray, k: int) -> pa.RecordBatch:
+        """Each query's k nearest ids. Products find what may be among them, differences measure it.
+
+        Products are off by far less than the margin, so whatever is as near as the k-th is measured on the original
+        vectors, and near copies come out exact. Of an id that repeats, the nearest row counts.
+        """
+        found: tuple[list, list, list] = ([], [], [])
+        n = len(self.ids)
+        for a in range(0, len(q), 64):
+            part = q[a : a + 64]
+            square = (part * part).sum(axis=1)
+            rough = square[:, None] + self.square[None] - 2 * (part @ self.vectors.T)
+            margin = 1e-9 * (square + self.square.max())
+            own = q_ids[a : a + 64]
+            rough[self.ids[None, :] == own[:, None]] = np.inf
+            kth = np.partition(rough, k - 1, axis=1)[:, k - 1] if not self.repeated and n > k else np.full(len(part), np.inf)
+            for i in range(len(part)):
+                near = np.flatnonzero(rough[i] <= kth[i] + 2 * margin[i])
+                near = near[self.ids[near] != own[i]]
+                distance = np.sqrt(((self.vectors[near] - part[i]) ** 2).sum(axis=1))
+                best = np.lexsort((self.ids[near], distance))
+                if self.repeated:
+                    _, first = np.unique(self.ids[near][best], return_index=True)
+                    best = best[np.sort(first)]
+                best = best[:k]
                 best = best[np.isfinite(distance[best])]
-                found[0].append(np.full(len(best), q_ids[i]))
-                found[1].append(c_ids[best])
+                found[0].append(np.full(len(best), own[i]))
+                found[1].append(self.ids[near][best])
                 found[2].append(distance[best])
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in found], names=["query_id", "vec_id", "score"])
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in found], names=["query_id", "vec_id", "score"])
 
 
 def visits(order: np.ndarray, probes: int, held: np.ndarray | None, k: int) -> pa.ListArray:
@@ -225,19 +234,21 @@ def nearest(rows: DataFrame, is_query: Column, k: int = 10) -> DataFrame:
 
     ``rows`` needs vec_id and embedding; other columns are not read. Vectors that are null, zero, or hold a null or
     non-finite component take no part; neither do rows without a vec_id or vectors of another length than most. Equal
-    distances go by the smaller vec_id; rows that repeat a vec_id count once for each query. An empty table gives no rows.
+    distances go by the smaller vec_id. Rows that repeat a vec_id are one: the nearest of them counts, and a query's own
+    id is never found. An empty table gives no rows.
     """
     spark = rows.sparkSession
     good = rows.select("vec_id", F.col("embedding").cast("array<double>").alias("embedding")).where(F.col("vec_id").isNotNull() & usable(F.col("embedding")))
-    sizes = good.groupBy(F.size("embedding").alias("size")).count().orderBy(F.desc("count"), "size").first()
+    sizes = good.groupBy(F.size("embedding").alias("size")).agg(F.count("*").alias("count"), F.approx_count_distinct("vec_id").alias("ids")).orderBy(F.desc("count"), "size").first()
     empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     if sizes is None:
         return empty
-    width, total = sizes
+    width, total, ids = sizes
     good = good.where(F.size("embedding") == width)
     parts = int(min(MOST_PARTS, max(LEAST_PARTS, total // PART_ROWS)))
     share = F.pmod(F.xxhash64("vec_id", F.lit("sample")), F.lit(1 << 30)) / float(1 << 30)
-    sample = good.where(share < min(1.0, SAMPLE / total)).select("embedding").toArrow()
+    # one row an id, so that repeats cannot swell the sample
+    sample = good.where(share < min(1.0, max(SAMPLE, SAMPLE_PART * parts) / max(1, ids))).groupBy("vec_id").agg(F.min("embedding").alias("embedding")).select("embedding").toArrow()
     x = _matrix(sample.column(0))
     if not len(x):
         x = _matrix(good.select("embedding").limit(1).toArrow().column(0))
@@ -251,19 +262,25 @@ def nearest(rows: DataFrame, is_query: Column, k: int = 10) -> DataFrame:
 
         return route
 
-    home = good.select("vec_id", routed(None)("embedding")[0].alias("part"))
-    sizes = home.groupBy("part").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"), F.count_distinct("vec_id").alias("held")).collect()  # at most MOST_PARTS rows
+    def home_of():
+        @F.arrow_udf("int")
+        def home(vectors: pa.Array) -> pa.Array:
+            return pa.array(router.scores(_matrix(vectors) * scale).argmax(axis=1).astype(np.int32))
+
+        return home
+
+    placed = good.select("vec_id", "embedding", home_of()("embedding").alias("part"))
+    sizes = placed.groupBy("part").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"), F.count_distinct("vec_id").alias("held")).collect()  # at most MOST_PARTS rows
     held = np.zeros(MOST_PARTS, np.int64)
     for r in sizes:
         held[r.part] = r.held
     blocks = F.broadcast(spark.createDataFrame([(r.part, r.blocks) for r in sizes], "part int, blocks int"))
-    placed = good.select("vec_id", "embedding", routed(held)("embedding").alias("parts"))
-    candidates = placed.select("vec_id", "embedding", F.col("parts")[0].alias("part")).join(blocks, "part")
-    candidates = candidates.select("part", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int").alias("block"), F.lit(False).alias("asks"), "vec_id", "embedding")
-    queries = placed.where(is_query).select("vec_id", "embedding", F.explode("parts").alias("part")).join(blocks, "part")
+    candidates = placed.join(blocks, "part").select("part", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int").alias("block"), F.lit(False).alias("asks"), "vec_id", "embedding")
+    queries = good.where(is_query).select("vec_id", "embedding", F.explode(routed(held)("embedding")).alias("part")).join(blocks, "part")
     queries = queries.select("part", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(True).alias("asks"), "vec_id", "embedding")
-    together = candidates.unionByName(queries).repartition("part", "block").sortWithinPartitions("part", "block")
-    found = together.select("part", "block", "asks", "vec_id", "embedding").mapInArrow(_ranked(k), "query_id long, vec_id long, score double").distinct()
-    best = found.groupBy("query_id").agg(F.slice(F.array_sort(F.collect_list(F.struct("score", "vec_id"))), 1, k).alias("best"))
-    out = best.select("query_id", F.posexplode("best").alias("place", "x"))
-    return out.select("query_id", (F.col("place") + 1).alias("rank"), "x.vec_id", "x.score")
+    together = candidates.unionByName(queries).repartition("part", "block").sortWithinPartitions("part", "block", "asks")
+    found = together.select("part", "block", "asks", "vec_id", "embedding").mapInArrow(_ranked(k), "query_id long, vec_id long, score double")
+    found = found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
+    # ranks cut each task's rows to k a query before they are shuffled
+    best = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id")))
+    return best.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

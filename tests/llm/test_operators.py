@@ -437,6 +437,20 @@ def test_neighbours_of_small_tables_are_as_many_as_there_are(spark, n):
     assert got == {i: min(10, n - 1) for i in range(n)}
 
 
+def test_neighbours_of_repeated_rows(spark):
+    """Twelve copies of every row change nothing; of an id with several vectors the nearest counts."""
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(300, 8)).round(3)
+    schema = "vec_id long, embedding array<double>"
+    once = [(i, v.tolist()) for i, v in enumerate(x)]
+    found = lambda rows: sorted(map(tuple, annparts.nearest(spark.createDataFrame(rows, schema), F.col("vec_id") % 100 == 0).collect()))
+    plain, often = found(once), found(once * 12)
+    assert len(plain) == len(often) == 30 and len({r[:3] for r in plain} & {r[:3] for r in often}) >= 27
+    assert all(s == pytest.approx(float(np.sqrt(((x[q] - x[v]) ** 2).sum())), rel=1e-12) for q, _, v, s in often)
+    several = found([(0, [0.0, 1.0]), (1, [9.0, 9.0]), (1, [0.0, 2.0]), (2, [0.0, 4.0])])
+    assert several == [(0, 1, 1, 1.0), (0, 2, 2, 3.0)]
+
+
 # 8: media
 
 
