@@ -5,6 +5,10 @@ of a batch are grouped by their length in bytes and advance together: hashes of
 once among the sorted keys of pieces of that length, and for every end the best score over all piece lengths, and the
 length that gave it, come from vectorised maxima. Characters without a piece fall back to their bytes.
 
+A word of more than ``LONG`` bytes (a script without spaces, an encoded blob) is first cut wherever no piece of the model that
+occurs in it goes across: no path can differ there, so its segments are words like any other. What stays long without such a
+place is solved on its own, one end after another over the pieces that occur, in windows of ``WINDOW`` bytes.
+
 The best path is the one with the largest sum of the model's piece scores; of equal ones the longer last piece holds. For a
 model made by merging pairs this is the best reading under its scores, not the order in which it would merge.
 """
@@ -27,6 +31,7 @@ _BASE = np.uint64(0x9E3779B97F4A7C15)
 _META = "▁".encode()
 _WORK, _SLICE = 1 << 20, 1 << 20
 _NONE = np.float64(-1e30)
+LONG, WINDOW = 512, 1 << 16
 
 
 @dataclass
@@ -159,6 +164,82 @@ def _best_paths(model: Pieces, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return out[place, np.repeat(columns, count)], count
 
 
+def _occurring(model: Pieces, word: np.ndarray, begin: int, stop: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(start, size, score, id) of every piece that occurs in ``word`` and starts in begin to stop, by start and falling size."""
+    most = max(model.keys)
+    part = word[begin : min(len(word), stop + most - 1)]
+    x = part.astype(np.uint64) + np.uint64(1)
+    out: tuple[list, ...] = ([], [], [], [])
+    with np.errstate(over="ignore"):
+        h = np.zeros(len(part) + 1, np.uint64)
+        for s in range(1, min(most, len(part)) + 1):
+            # a substring's hash from that of its first s - 1 bytes
+            h = h[: len(part) - s + 1] * _BASE + x[s - 1 :]
+            if s not in model.keys:
+                continue
+            at = np.flatnonzero(model.filters[s][(h[: stop - begin] >> np.uint64(46)).astype(np.int64)])
+            place = np.minimum(np.searchsorted(model.keys[s], h[at]), len(model.keys[s]) - 1)
+            good = model.keys[s][place] == h[at]
+            at, place = at[good], place[good]
+            for into, value in zip(out, (at + begin, np.full(len(at), s), model.scores[s][place], model.ids[s][place])):
+                into.append(value)
+    start, size, score, ids = (np.concatenate(x) if x else np.empty(0, np.int64) for x in out)
+    order = np.lexsort((-size, start))
+    return start[order], size[order], score[order], ids[order]
+
+
+def _segments(model: Pieces, word: np.ndarray) -> np.ndarray:
+    """Where the segments of a long word start: at each first byte of a character that no piece in the word goes across."""
+    across = np.zeros(len(word) + 1, np.int32)
+    for begin in range(0, len(word), WINDOW):
+        start, size, _, _ = _occurring(model, word, begin, min(len(word), begin + WINDOW))
+        np.add.at(across, start + 1, 1)
+        np.add.at(across, start + size, -1)
+    free = (np.cumsum(across[:-1]) == 0) & ((word & 0xC0) != 0x80)
+    free[0] = True
+    return np.flatnonzero(free)
+
+
+def _long_path(model: Pieces, word: np.ndarray) -> np.ndarray:
+    """The ids of one long word: the best score of each end, then back along the pieces that gave it."""
+    n = len(word)
+    best, step, chosen = np.full(n + 1, 4 * _NONE), np.zeros(n + 1, np.int32), np.full(n + 1, -1, np.int32)
+    best[0] = 0.0
+    reach = max(*model.keys, 4)
+    for begin in range(0, n, WINDOW):
+        stop = min(n, begin + WINDOW)
+        start, size, score, ids = (x.tolist() for x in _occurring(model, word, begin, stop))
+        # what a window's ends may hold already came from the window before
+        held = best[begin : stop + reach + 1].tolist()
+        steps, ids_at = step[begin : stop + reach + 1].tolist(), chosen[begin : stop + reach + 1].tolist()
+        lead = word[begin:stop].tolist()
+        k, m = 0, len(start)
+        for at in range(stop - begin):
+            here, first = held[at], lead[at]
+            width = 1 if first < 0x80 else 0 if first < 0xC0 else 2 if first < 0xE0 else 3 if first < 0xF0 else 4
+            alone = False
+            while k < m and start[k] == at + begin:
+                s = size[k]
+                value = here + score[k]
+                alone |= s == width
+                end = at + s
+                # of equal paths the one with the longer last piece, that is the one from further back, came first
+                if value > held[end]:
+                    held[end], steps[end], ids_at[end] = value, s, ids[k]
+                k += 1
+            if width and not alone and at + begin + width <= n and here + model.unknown > held[at + width]:
+                held[at + width], steps[at + width], ids_at[at + width] = here + model.unknown, width, -1
+        filled = len(best[begin : stop + reach + 1])
+        best[begin : begin + filled], step[begin : begin + filled], chosen[begin : begin + filled] = held[:filled], steps[:filled], ids_at[:filled]
+    out, at = [], n
+    back, names = step.tolist(), chosen.tolist()
+    while at:
+        s = back[at]
+        out += [names[at]] if names[at] >= 0 else model.byte_ids[word[at - s : at]][::-1].tolist()
+        at -= s
+    return np.array(out[::-1], np.int32)
+
+
 def _within(count: np.ndarray) -> np.ndarray:
     """0, 1, ... inside each run of the given lengths."""
     return np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
@@ -169,9 +250,27 @@ def _gather(values: np.ndarray, first: np.ndarray, count: np.ndarray) -> np.ndar
 
 
 def encode_rows(model: Pieces, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(ids, counts) of whole texts; an empty text has none."""
+    """(ids, counts) of whole texts; an empty text has none. A text longer than a slice is taken in parts that end before a space."""
+    if len(starts) == 1 and ends[0] - starts[0] > 2 * _SLICE:
+        text, ids, at = raw[starts[0] : ends[0]].tobytes().replace(_META, b" "), [], 0
+        while at < len(text):
+            stop = _space_after(text, at + _SLICE)
+            ids.append(_encoded(model, [(b"" if at else b" ") + text[at:stop]])[0])
+            at = stop
+        return np.concatenate(ids), np.array([sum(map(len, ids))], np.int64)
     texts = [raw[a:b].tobytes() for a, b in zip(starts.tolist(), ends.tolist())]
-    texts = [b" " + (t.replace(_META, b" ") if _META in t else t) if t else b"" for t in texts]
+    return _encoded(model, [b" " + (t.replace(_META, b" ") if _META in t else t) if t else b"" for t in texts])
+
+
+def _space_after(text: bytes, at: int) -> int:
+    """The first place from ``at`` on where a run of spaces starts, or the text's end."""
+    while 0 <= (at := text.find(b" ", at)) and text[at - 1 : at] == b" ":
+        at += 1
+    return at if at > 0 else len(text)
+
+
+def _encoded(model: Pieces, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, counts) of texts that start with their space."""
     size = np.array([len(t) for t in texts], np.int64)
     joined = np.frombuffer(b"".join(texts), np.uint8)
     if not len(joined):
@@ -183,6 +282,11 @@ def encode_rows(model: Pieces, raw: np.ndarray, starts: np.ndarray, ends: np.nda
     begin[rows_at[size > 0]] = True
     first = np.flatnonzero(begin)
     length = np.diff(np.append(first, len(joined)))
+    for k in np.flatnonzero(length > LONG).tolist():
+        begin[first[k] + _segments(model, joined[first[k] : first[k] + length[k]])] = True
+    if (length > LONG).any():
+        first = np.flatnonzero(begin)
+        length = np.diff(np.append(first, len(joined)))
     with np.errstate(over="ignore"):
         value = (joined.astype(np.uint64) + np.uint64(1)) * constants(int(length.max()), 41)[_within(length)]
         name = mix64(np.add.reduceat(value, first) + length.astype(np.uint64) * constants(1, 43)[0])
@@ -194,10 +298,14 @@ def encode_rows(model: Pieces, raw: np.ndarray, starts: np.ndarray, ends: np.nda
     edges = np.flatnonzero(np.diff(u_length[order], prepend=-1))
     for a, b in zip(edges.tolist(), [*edges[1:].tolist(), len(order)]):
         n = int(u_length[order[a]])
-        rows = max(1, _WORK // (n * min(n, 24)))
+        rows = 1 if n > LONG else max(1, _WORK // (n * min(n, 24)))
         for k in range(a, b, rows):
             pick = order[k : min(b, k + rows)]
-            ids, count = _best_paths(model, joined[u_first[pick][:, None] + np.arange(n)])
+            if n > LONG:
+                ids = _long_path(model, joined[u_first[pick[0]] : u_first[pick[0]] + n])
+                count = np.array([len(ids)], np.int64)
+            else:
+                ids, count = _best_paths(model, joined[u_first[pick][:, None] + np.arange(n)])
             from_of[pick] = made + np.cumsum(count) - count
             count_of[pick] = count
             ids_of.append(ids)
