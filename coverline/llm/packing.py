@@ -2,10 +2,12 @@
 
 Texts are tokenised once. A document longer than a sequence is cut so that every piece but the first is full; full pieces
 are sequences of their own. The others are dealt by hash into regions of about ``REGION`` pieces; each region is evolved
-on ``ISLANDS`` islands. A population starts from one packing that ends bins exactly where it can and from best-fit packings
-in jittered decreasing order. Crossover injects whole well-filled bins of one parent into the other, removes the bins that
-hold the same pieces, and best-fits what that displaced. Between epochs each island's elite moves to the next island (a join of small rows), and at the end the pieces
-of loosely filled bins of all regions are dealt and evolved once more.
+on ``ISLANDS`` islands. A population starts from best-fit packings alone: of decreasing, jittered and random orders. Crossover
+injects the well-filled bins of one parent into the other, removes the bins that hold the same pieces, dissolves what is
+loosely filled, and gives the displaced pieces back: best fit into the bins that stay, or into new bins that they fill exactly
+where they can, whichever child needs fewer bins. Between epochs each island's elite moves to the next island (a join of small
+rows), and at the end the pieces of loosely filled bins of all regions are dealt and evolved once more. ``searched`` tells for
+each region how many bins its best start had and how many were left.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import keep
+from .shared import drop, keep
 
 CAPACITY = 1024
 END_ID = 2
@@ -205,29 +207,38 @@ def fitness(sizes: np.ndarray, bins: np.ndarray) -> tuple[int, float]:
 
 
 def crossover(sizes: np.ndarray, giver: np.ndarray, taker: np.ndarray, capacity: int, rng: random.Random) -> np.ndarray:
-    """Whole well-filled bins of ``giver`` go into ``taker``; bins that hold the same pieces go; displaced pieces are best-fitted."""
+    """Whole well-filled bins of ``giver`` go into ``taker``; bins that hold the same pieces go, and so do those that are not full and a tenth of the others.
+
+    The displaced pieces are best-fitted in jittered decreasing order, and, in a second child, fill new bins exactly where
+    they can; the fitter child is returned.
+    """
     fill = np.bincount(giver, weights=sizes)
     share = rng.uniform(0.3, 0.9)
     full = fill >= np.quantile(fill[fill > 0], 1 - share) if len(fill) else fill > 0
-    full &= fill >= capacity * 0.98
+    full &= fill >= (capacity if (fill == capacity).any() else capacity * 0.98)
     given = full[giver]
     hit = np.zeros(int(taker.max()) + 1, bool)
     hit[taker[given]] = True
+    hit |= np.bincount(taker, weights=sizes) < capacity
+    hit[[rng.randrange(len(hit)) for _ in range(len(hit) // 10)]] = True
     stay = ~given & ~hit[taker]
-    out = np.empty(len(sizes), np.int32)
-    bins = Bins(capacity)
+    kept, bins = np.empty(len(sizes), np.int32), Bins(capacity)
     for labels, mask in ((giver, given), (taker, stay)):
         old, new = np.unique(labels[mask], return_inverse=True)
         room = capacity - np.bincount(new, weights=sizes[mask], minlength=len(old)).astype(int)
         base = bins.count
         for r in room.tolist():
             bins.open(r)
-        out[mask] = base + new
+        kept[mask] = base + new
     loose = np.flatnonzero(~given & ~stay)
-    order = loose[np.argsort(-sizes[loose] * np.array([rng.uniform(0.97, 1.03) for _ in loose]), kind="stable")] if len(loose) else loose
+    if not len(loose):
+        return kept
+    fitted, filled = kept.copy(), kept.copy()
+    filled[loose] = bins.count + exact_fill(sizes[loose].tolist(), capacity)
+    order = loose[np.argsort(-sizes[loose] * np.array([rng.uniform(0.97, 1.03) for _ in loose]), kind="stable")]
     for i, size in zip(order.tolist(), sizes[order].tolist()):
-        out[i] = bins.best_fit(size)
-    return out
+        fitted[i] = bins.best_fit(size)
+    return min((filled, fitted), key=lambda x: fitness(sizes, x))
 
 
 def mutate(sizes: np.ndarray, bins: np.ndarray, capacity: int, rng: random.Random) -> np.ndarray:
@@ -250,18 +261,15 @@ def mutate(sizes: np.ndarray, bins: np.ndarray, capacity: int, rng: random.Rando
 
 
 def evolve(sizes: np.ndarray, population: list[np.ndarray], capacity: int, generations: int, seed: int) -> list[np.ndarray]:
-    """The population after some generations, the fittest first; it ends early at the lower bound."""
+    """The population after some generations, the fittest first; a start is best-fit packings, and the search ends at the lower bound."""
     rng = random.Random(seed)
     bound = -(-int(sizes.sum()) // capacity)
     listed = sizes.tolist()
-    if not population:
-        population.append(exact_fill(listed, capacity))
-    while len(population) < POPULATION and fitness(sizes, population[0])[0] > bound:
-        jitter = 0.02 * (len(population) - 1)
-        order = sorted(range(len(listed)), key=lambda i: -listed[i] * (1 + rng.uniform(-jitter, jitter)))
+    while len(population) < POPULATION:
+        # decreasing, twice nearly so, and at random
+        jitter = (0.0, 0.02, 0.05, None)[len(population) % 4]
+        order = sorted(range(len(listed)), key=lambda i: rng.random() if jitter is None else -listed[i] * (1 + rng.uniform(-jitter, jitter)))
         population.append(best_fit(listed, order, capacity))
-        if fitness(sizes, population[-1])[0] == bound:
-            break
     ranked = sorted(((fitness(sizes, x), k, x) for k, x in enumerate(population)), key=lambda r: r[:2])
     serial = len(ranked)
     for _ in range(generations):
@@ -280,22 +288,28 @@ def evolve(sizes: np.ndarray, population: list[np.ndarray], capacity: int, gener
 
 
 def _epoch(capacity: int, generations: int, epoch: int):
+    kinds = pa.schema([("region", pa.int64()), ("island", pa.int32()), ("items", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int64())), ("population", pa.list_(pa.list_(pa.int32()))), ("n_start", pa.int64()), ("n_bins", pa.int64()), ("square", pa.float64())])
+
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                sizes = np.array(row["sizes"], np.int64)
+                sizes, seed = np.array(row["sizes"], np.int64), hash((row["region"], row["island"], epoch))
                 population = [np.array(x, np.int32) for x in (row["population"] or []) + ([row["elite"]] if row["elite"] else [])]
-                population = evolve(sizes, population, capacity, generations, hash((row["region"], row["island"], epoch)))
+                started = row["n_start"]
+                if started is None:
+                    population = evolve(sizes, population, capacity, 0, seed)
+                    started = fitness(sizes, population[0])[0]
+                population = evolve(sizes, population, capacity, generations, seed)
                 least, square = fitness(sizes, population[0])
                 yield pa.RecordBatch.from_pylist(
-                    [{"region": row["region"], "island": row["island"], "items": row["items"], "sizes": row["sizes"], "population": [x.tolist() for x in population], "n_bins": least, "square": square}],
-                    pa.schema([("region", pa.int64()), ("island", pa.int32()), ("items", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int64())), ("population", pa.list_(pa.list_(pa.int32()))), ("n_bins", pa.int64()), ("square", pa.float64())]),
+                    [{"region": row["region"], "island": row["island"], "items": row["items"], "sizes": row["sizes"], "population": [x.tolist() for x in population], "n_start": started, "n_bins": least, "square": square}],
+                    kinds,
                 )
 
     return step
 
 
-_STATE = "region long, island int, items array<long>, sizes array<long>, population array<array<int>>, n_bins long, square double"
+_STATE = "region long, island int, items array<long>, sizes array<long>, population array<array<int>>, n_start long, n_bins long, square double"
 
 
 def _placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -313,21 +327,34 @@ def _placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(np.full(n, row["region"], np.int64)), pa.array(row["items"], pa.int64()), pa.array(sizes), pa.array(bins), pa.array(offset), pa.array(fill[bins])], names=["region", "item_id", "length", "bin", "offset", "fill"])
 
 
-def pack_items(items: DataFrame, capacity: int = CAPACITY, region: int = REGION) -> DataFrame:
-    """(region, item_id, length, bin, offset, fill) for items (item_id, length below capacity)."""
+def searched(items: DataFrame, capacity: int = CAPACITY, region: int = REGION) -> DataFrame:
+    """(region, items, sizes, best, bound, n_start, n_bins) for items (item_id, length below capacity): a region's best packing,
+    the least number of bins there could be, that of its best start and that of the search's end."""
     n_regions = max(1, -(-items.count() // region))
     dealt = items.select("item_id", "length", F.pmod(F.xxhash64("item_id"), F.lit(n_regions)).alias("region"))
     rows = dealt.groupBy("region").agg(F.sort_array(F.collect_list(F.struct("item_id", "length"))).alias("x"))
     rows = rows.select("region", F.col("x.item_id").alias("items"), F.col("x.length").alias("sizes"))
-    state = rows.withColumn("island", F.explode(F.array(*(F.lit(i) for i in range(ISLANDS))))).withColumns({"population": F.lit(None).cast("array<array<int>>"), "elite": F.lit(None).cast("array<int>")})
+    fresh = {"population": F.lit(None).cast("array<array<int>>"), "elite": F.lit(None).cast("array<int>"), "n_start": F.lit(None).cast("long")}
+    state = rows.withColumn("island", F.explode(F.array(*(F.lit(i) for i in range(ISLANDS))))).withColumns(fresh)
+    before = None
     for epoch in range(EPOCHS):
-        spread = state.select("region", "island", "items", "sizes", "population", "elite").repartition("region", "island")
-        state = keep(spread.mapInArrow(_epoch(capacity, GENERATIONS, epoch), _STATE), "islands")
+        spread = state.select("region", "island", "items", "sizes", "population", "elite", "n_start").repartition("region", "island")
+        last, before = before, keep(spread.mapInArrow(_epoch(capacity, GENERATIONS, epoch), _STATE), "islands")
+        if last is not None:
+            drop(last)
+        state = before
         if epoch + 1 < EPOCHS:
             moved = state.select("region", ((F.col("island") + 1) % ISLANDS).alias("island"), F.col("population")[0].alias("elite"))
             state = state.join(moved, ["region", "island"], "left")
-    best = state.groupBy("region").agg(F.min_by(F.struct("items", "sizes", F.col("population")[0].alias("best")), F.struct("n_bins", "square", "island")).alias("x"))
-    return best.select("region", "x.*").mapInArrow(_placed, "region long, item_id long, length long, bin long, offset long, fill long")
+    best = state.groupBy("region").agg(F.min_by(F.struct("items", "sizes", F.col("population")[0].alias("best"), "n_bins"), F.struct("n_bins", "square", "island")).alias("x"), F.min("n_start").alias("n_start"))
+    total = F.aggregate("x.sizes", F.lit(0).cast("long"), lambda a, b: a + b)
+    return best.select("region", "x.items", "x.sizes", "x.best", F.ceil(total / capacity).alias("bound"), "n_start", "x.n_bins")
+
+
+def pack_items(items: DataFrame, capacity: int = CAPACITY, region: int = REGION) -> DataFrame:
+    """(region, item_id, length, bin, offset, fill) for items (item_id, length below capacity)."""
+    best = searched(items, capacity, region).select("region", "items", "sizes", "best")
+    return best.mapInArrow(_placed, "region long, item_id long, length long, bin long, offset long, fill long")
 
 
 def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:

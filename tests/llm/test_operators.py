@@ -142,6 +142,24 @@ def test_packing_is_near_the_bound(spark, small):
     assert used <= bound * 1.03 + 2
 
 
+def test_two_libraries_give_the_same_ids_for_every_character():
+    from tokenizers import Tokenizer
+
+    own, encode = Tokenizer.from_file(packing.default_tokenizer()), packing.encoder(None)
+    for first in range(0, 0x110000, 1 << 12):
+        text = "".join(chr(c) + ("a" if c % 3 else " ") for c in range(first, first + (1 << 12)) if not 0xD800 <= c < 0xE000)
+        assert encode(text) == own.encode(text, add_special_tokens=False).ids
+
+
+def test_the_search_starts_from_best_fit_and_does_not_lose_bins(spark):
+    rng = np.random.default_rng(5)
+    sizes = np.minimum(1023, rng.geometric(0.003, 9000))
+    items = spark.createDataFrame([(i, int(x)) for i, x in enumerate(sizes)], "item_id long, length long")
+    rows = packing.searched(items, region=3000).collect()
+    assert len(rows) == 3 and all(r.bound <= r.n_bins <= r.n_start and r.n_bins <= r.bound + 2 for r in rows)
+    assert sorted(i for r in rows for i in r["items"]) == list(range(9000))
+
+
 def test_crossover_and_mutation_keep_every_piece_once():
     import random
 
@@ -357,6 +375,28 @@ def test_pieces_are_the_best_path_and_decode():
     assert spviterbi.decode_rows(model, ids, count) == [t or "" for t in texts]
 
 
+def test_long_words_are_read_as_the_batched_search_reads_them(monkeypatch):
+    """Words without a space: cut where no piece goes across, or solved window by window; the same ids as in one batch."""
+    import random
+    import time
+
+    rng, model = random.Random(1), spviterbi.pieces(None)
+    draw = lambda letters, n: "".join(rng.choice(letters) for _ in range(n))
+    texts = ["x" * 900, draw("theandofing", 1200), draw("日本語中文字的一是不了在人", 700), "🦄é" * 300, draw("абвгд", 400) + "ing" * 300, "a " + draw("theandofing", 700) + "  b" + draw("0123456789abcdef", 900)]
+    encode = lambda t: spviterbi.encode_rows(model, *buffers(pa.array([t])))[0].tolist()
+    cut = [encode(t) for t in texts]
+    monkeypatch.setattr(spviterbi, "WINDOW", 101)
+    assert cut == [encode(t) for t in texts]
+    monkeypatch.setattr(spviterbi, "LONG", 1 << 30)
+    assert cut == [encode(t) for t in texts]
+    monkeypatch.undo()
+    assert brute_path(model, texts[1][:560])[0] == encode(texts[1][:560])
+    for big in (draw("theandofing", 1_000_000), draw("日本語中文字", 400_000), ("one  two three " * 200_000)):
+        began = time.time()
+        ids, count = spviterbi.encode_rows(model, *buffers(pa.array([big])))
+        assert spviterbi.decode_rows(model, ids, count) == [big] and time.time() - began < 60
+
+
 def test_pieces_of_odd_rows(odd, none):
     rows = spviterbi.encode_documents(odd).collect()
     assert len(rows) == len(ODD) and all(r.round_trip for r in rows) and spviterbi.encode_documents(none).collect() == []
