@@ -4,7 +4,8 @@ A text's bytes are cut into segments of ``SEGMENT`` that run side by side throug
 and one from the right; at every byte both states vote on the language, and a document's probabilities are the mean over
 all its bytes. The gates use x / (1 + |x|) in place of the exponential curves: the network is as able and several times
 cheaper. It is trained here, in numpy, by backpropagation through time over a bounded sample: about ``PER_LANGUAGE``
-documents of each language and ``PER_DOCUMENT`` segments spread over each.
+documents of each language (fewer of each where there are so many languages that ``split.SAMPLE`` would be passed), and
+``PER_DOCUMENT`` segments spread over each. Every language that has a labelled row can be predicted.
 """
 
 from __future__ import annotations
@@ -255,6 +256,11 @@ def language(model: Model | None, text: str = "text") -> Column:
 
 
 def languages(docs: DataFrame) -> DataFrame:
-    """One row per document: doc_id, held_out, lang_pred, score. ``docs`` needs doc_id, text and lang; no other column is read."""
+    """One row per document: doc_id, held_out, lang_pred, score. ``docs`` needs doc_id, text and lang; no other column is read.
+
+    A null or empty text, or one without letters, is ``und`` with score 0; so is every row where no language could be
+    learned. Rows with a null lang or doc_id are not learned from but predicted; an id that repeats is learned from once
+    for each of its languages and predicted as often as it comes. Equal probabilities go to the first language by name.
+    """
     found = docs.select("doc_id", held_out().alias("held_out"), language(learn(docs)).alias("found"))
     return found.select("doc_id", "held_out", "found.lang_pred", "found.score")

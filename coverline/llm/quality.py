@@ -164,8 +164,10 @@ def learn(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) -> Mod
     sample, counts = sampled(marked, "quality", per_label)
     if not counts:
         return None
-    texts = docs.select("doc_id", "text").join(F.broadcast(sample.select("doc_id", "quality")), "doc_id")
-    found = texts.select("doc_id", "quality", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(_rows_of, "doc_id long, quality int, feature binary, value binary").collect()
+    # the sample's ids are bounded by their number; of rows that repeat an id the smallest text is learned
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(sample.select("doc_id", "quality")), "doc_id")
+    texts = texts.groupBy("doc_id", "quality").agg(F.min("text").alias("text"))
+    found = texts.select("doc_id", "quality", "text").mapInArrow(_rows_of, "doc_id long, quality int, feature binary, value binary").collect()
     if not found:
         return None
     found.sort(key=lambda r: (r[0], bytes(r[2])))

@@ -5,21 +5,30 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Rows of all labels together in a sample; of many labels each gets an equal share, one row at least.
+SAMPLE = 20_000
+
 
 def held_out(doc_id: str = "doc_id") -> Column:
     """crc32 of the id as text, mod 4, is 2; false where the id is null."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def sampled(rows: DataFrame, label: str, per_label: int, labels: int = 256) -> tuple[DataFrame, dict]:
+def sampled(rows: DataFrame, label: str, per_label: int, in_all: int = SAMPLE) -> tuple[DataFrame, dict]:
     """About ``per_label`` rows of each label at most, picked by a hash of doc_id, and each label's count, in order.
 
-    One count by label sets each label's rate, so the sample costs a scan and no shuffle of rows. Of more than
-    ``labels`` labels the most frequent are learned.
+    ``rows`` has doc_id, the label and what else the sample needs. One aggregate by label (a row for each label comes to the
+    driver) sets each label's rate by its number of ids, so the sample costs a scan; only what is picked is shuffled, to
+    leave one row for each id and label, the smallest of rows that repeat. All labels are sampled.
     """
-    counts = rows.where(F.col(label).isNotNull()).groupBy(label).count().orderBy(F.desc("count"), label).limit(labels).collect()
+    marked = rows.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull())
+    counts = marked.groupBy(label).agg(F.count("*").alias("n"), F.approx_count_distinct("doc_id").alias("ids")).collect()
     if not counts:
         return rows.limit(0), {}
+    wanted = max(1, min(per_label, in_all // len(counts)))
+    rates = rows.sparkSession.createDataFrame([(r[0], min(1.0, wanted / max(1, r.ids))) for r in counts], f"label {dict(rows.dtypes)[label]}, rate double")
     share = F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1 << 30)) / float(1 << 30)
-    rate = F.element_at(F.create_map(*(x for r in counts for x in (F.lit(r[0]), F.lit(min(1.0, per_label / r[1]))))), F.col(label))
-    return rows.where(F.col(label).isin([r[0] for r in counts]) & (share < rate)), {r[0]: r[1] for r in sorted(counts)}
+    picked = marked.join(rates, F.col(label) == F.col("label")).where(share < F.col("rate"))
+    others = [F.min(c).alias(c) for c in rows.columns if c not in ("doc_id", label)]
+    keys = picked.groupBy("doc_id", label)
+    return keys.agg(*others) if others else picked.select("doc_id", label).distinct(), {r[0]: r.n for r in sorted(counts)}
