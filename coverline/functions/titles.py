@@ -12,8 +12,8 @@ from coverline.functions.urls import title_from_link
 ENTITIES = {"amp": "&", "lt": "<", "gt": ">", "quot": '"', "apos": "'", "nbsp": " ", "ndash": "–", "mdash": "—", "hellip": "…", "rsquo": "’", "lsquo": "‘", "ldquo": "“", "rdquo": "”", "eacute": "é", "egrave": "è", "agrave": "à", "ccedil": "ç", "ouml": "ö", "uuml": "ü", "auml": "ä", "szlig": "ß", "ntilde": "ñ", "oacute": "ó", "aacute": "á", "iacute": "í", "euro": "€", "copy": "©"}
 
 
-def decode_entities(text: Column, passes: int = 2) -> Column:
-    """Named and numbered character references, also those that were escaped twice; a text without ``&`` is left as it is."""
+def decode_entities(text: Column, passes: int = 3) -> Column:
+    """Named and numbered character references, also those that were escaped once or twice more; a text without ``&`` is left as it is."""
 
     def numbered(p: Column) -> Column:
         code = F.substring_index(p, ";", 1)

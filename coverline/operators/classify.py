@@ -1,36 +1,31 @@
-"""Rules as tables: sections, topics, places and publishers of articles."""
+"""Rules as tables: sections, topics, places and publishers of articles.
+
+Rule tables come from files (``sources.rules``) or from the caller; none is built in.
+"""
 
 from __future__ import annotations
 
-import unicodedata
+from datetime import datetime
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
-from coverline.functions.columns import SECTIONS, present, section_rank
+from coverline.functions.columns import SECTIONS, let, present, section_rank, since
+from coverline.functions.folding import fold_text
 from coverline.functions.urls import host_of
+from coverline.sources.rules import SCHEMAS, small
 
-#: Confidence of a match in the first and second tier, and of none.
+#: Confidence of a match of a text in the first and second tier, and of none.
 HIGH, MEDIUM, FALLBACK = 0.84, 0.72, 0.51
-#: A small rule set in order; a deployment passes its own table of (priority, tier, keyword, section).
-KEYWORDS = (
-    ("high", "election", "politics"), ("high", "parliament", "politics"), ("high", "missile", "conflicts"), ("high", "ceasefire", "conflicts"), ("high", "stock market", "business"), ("high", "champions league", "sports"),
-    ("high", "vaccine", "health"), ("high", "wildfire", "climate"), ("high", "telescope", "science"), ("medium", "minister", "politics"), ("medium", "economy", "business"), ("medium", "bank", "business"), ("medium", "match", "sports"),
-    ("medium", "film", "entertainment"), ("medium", "museum", "arts"), ("medium", "recipe", "lifestyle"), ("medium", "software", "tech"), ("medium", "hospital", "health"), ("medium", "border", "world"),
-)
-
-
-@F.pandas_udf(StringType())
-def fold_text(texts: pd.Series) -> pd.Series:
-    """Lower case without accents (compatibility forms taken apart)."""
-    return texts.map(lambda t: None if t is None else "".join(c for c in unicodedata.normalize("NFKD", t) if not unicodedata.combining(c)).lower())
+#: Confidence of a feed's category by name, by a keyword of either tier, and of categories that say nothing.
+BY_NAME, CATEGORY_HIGH, CATEGORY_MEDIUM, CATEGORY_FALLBACK = 0.90, 0.86, 0.75, 0.55
+#: Least confidence of a keyword in source and link, of a structured hint, and of a source's own section.
+HINT_KEYWORD, STRUCTURED, SOURCE_FALLBACK = 0.68, 0.66, 0.64
 
 
-def keyword_table(spark: SparkSession, rules: tuple = KEYWORDS) -> DataFrame:
-    rows = [(k, HIGH if tier == "high" else MEDIUM, word, section, len(word.split(" "))) for k, (tier, word, section) in enumerate(rules)]
-    return spark.createDataFrame(rows, "priority int, confidence double, keyword string, section string, n_words int")
+def keyword_table(spark: SparkSession, rules: tuple) -> DataFrame:
+    """(tier, keyword, section) in order as a rule table."""
+    return spark.createDataFrame([(k, *rule) for k, rule in enumerate(rules)], SCHEMAS["keywords"])
 
 
 #: What separates words of any script; keywords in scripts that put no spaces between words are met anywhere in a text.
@@ -38,61 +33,76 @@ APART = r"[^\p{L}\p{M}\p{N}]+"
 UNSPACED = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsHangul}\p{IsThai}]"
 
 
-def _pieces(of: Column, length: Column, mark: str) -> Column:
+def _pieces(of: Column, lengths: list[int], mark: str) -> Column:
     """Distinct runs of so many parts of a value that is computed once."""
-    run = lambda x: F.transform(F.sequence(F.lit(1), F.size(x) - length + 1), lambda i: F.array_join(F.slice(x, i, length), mark))
-    every = lambda x: F.when(F.size(x) >= length, F.array_distinct(run(x))).otherwise(F.array().cast("array<string>"))
-    return F.get(F.transform(F.array(of), every), 0)
+    run = lambda x, n: F.transform(F.sequence(F.lit(1), F.size(x) - n + 1), lambda i: F.array_join(F.slice(x, i, n), mark))
+    none = F.array().cast("array<string>")
+    return let(of, lambda x: F.array_distinct(F.concat(none, *(F.when(F.size(x) >= n, run(x, n)).otherwise(none) for n in lengths))))
 
 
-def keyword_matches(rows: DataFrame, id_column: str, folded: Column, rules: DataFrame) -> DataFrame:
-    """(id, section, confidence) of the first rule that a text holds: runs of as many words as some rule has (of characters, for unspaced scripts) meet the rule table, no row meets every rule."""
+def matches(rows: DataFrame, id_column: str, folded: Column, rules: DataFrame) -> DataFrame:
+    """(id, columns of the rule) of every rule whose keyword a text holds, as whole words or, in unspaced scripts, anywhere.
+
+    Runs of as many words (characters) as some rule has meet the rule table by equality, so no row meets every rule.
+    ``rules`` has keyword and whatever else a rule says.
+    """
     words = lambda text: F.filter(F.split(text, APART), lambda w: w != "")
     letters = lambda text: F.filter(F.split(text, ""), lambda c: c != "")
     base = rows.select(F.col(id_column).alias("id"), folded.alias("text"))
     own = rules.withColumn("keyword", fold_text("keyword")).withColumn("unspaced", F.col("keyword").rlike(UNSPACED))
 
     def met(base: DataFrame, own: DataFrame, parts, mark: str) -> DataFrame:
-        table = own.select("priority", "section", "confidence", F.size(parts(F.col("keyword"))).alias("n"), F.array_join(parts(F.col("keyword")), mark).alias("keyword")).where("n > 0")
-        runs = base.crossJoin(F.broadcast(table.select("n").distinct())).select("id", "n", F.explode(_pieces(parts(F.col("text")), F.col("n"), mark)).alias("keyword"))
-        return runs.join(F.broadcast(table), ["n", "keyword"])  # the rule table has the size of its file
+        table = own.withColumns({"n": F.size(parts(F.col("keyword"))), "keyword": F.array_join(parts(F.col("keyword")), mark)}).where("n > 0").drop("unspaced")
+        lengths = sorted(r.n for r in table.select("n").distinct().collect())  # of keywords, a handful
+        runs = base.select("id", F.explode(_pieces(parts(F.col("text")), lengths, mark)).alias("keyword"))
+        return runs.join(small(table.drop("n")), "keyword")
+
+    return met(base, own.where(~F.col("unspaced")), words, " ").unionByName(met(base.where(F.col("text").rlike(UNSPACED)), own.where("unspaced"), letters, ""))
 
-    found = met(base, own.where(~F.col("unspaced")), words, " ").unionByName(met(base.where(F.col("text").rlike(UNSPACED)), own.where("unspaced"), letters, ""))
-    return found.groupBy("id").agg(F.min_by(F.struct("section", "confidence"), "priority").alias("x")).select("id", "x.*")
+
+def _first(found: DataFrame, high: float, medium: float) -> DataFrame:
+    """(id, section, confidence) of the first rule in order, all of the first tier before the second."""
+    order = F.struct(F.col("tier") != "high", F.col("priority"))
+    best = found.groupBy("id").agg(F.min_by(F.struct("section", "tier"), order).alias("x"))
+    return best.select("id", "x.section", F.when(F.col("x.tier") == "high", F.lit(high)).otherwise(F.lit(medium)).alias("confidence"))
 
 
 def classify_keyword(rows: DataFrame, id_column: str, folded: Column, rules: DataFrame) -> DataFrame:
     """``rows`` with section and confidence; without a match "others" at the fallback's confidence."""
-    found = keyword_matches(rows, id_column, folded, rules).withColumnRenamed("id", id_column)
+    found = _first(matches(rows, id_column, folded, rules), HIGH, MEDIUM).withColumnRenamed("id", id_column)
     return rows.join(found, id_column, "left").withColumns({"section": F.coalesce("section", F.lit("others")), "confidence": F.coalesce("confidence", F.lit(FALLBACK))})
 
 
-#: Category names that name a section, then parts of names, in order.
-CATEGORY_EXACT = {"economy": "business", "small": "world", "standard": "politics", "medium": "sports", "promo": "lifestyle", "large": "tech"}
-CATEGORY_PARTS = (("brand#1", "entertainment"), ("brand#2", "arts"), ("brand", "climate"))
-
-
-def map_category(category: Column, exact: dict[str, str] | None = None, parts: tuple = CATEGORY_PARTS) -> Column:
+def map_category(category: Column, exact: dict[str, str], parts: tuple) -> Column:
     """Section of a category: by its whole name, else by the first part it holds; null where nothing fits."""
     name = F.lower(F.trim(category))
-    table = F.create_map(*(F.lit(x) for kv in (exact or CATEGORY_EXACT).items() for x in kv))
+    table = F.create_map(*(F.lit(x) for kv in exact.items() for x in kv)) if exact else F.create_map().cast("map<string,string>")
     out = F.lit(None).cast("string")
     for part, section in reversed(parts):
         out = F.when(F.contains(name, F.lit(part)), section).otherwise(out)
     return F.coalesce(F.element_at(table, name), out)
 
 
-def classify_by_categories(categories: Column) -> Column:
-    """Section and confidence of the first category that maps, else of none."""
-    mapped = F.filter(F.transform(categories, lambda c: map_category(c)), lambda s: s.isNotNull())
-    return F.when(F.size(mapped) > 0, F.struct(F.get(mapped, 0).alias("section"), F.lit(0.90).alias("confidence"))).otherwise(F.struct(F.lit("others").alias("section"), F.lit(0.55).alias("confidence")))
+def category_sections(categories: DataFrame, exact: dict[str, str], parts: tuple, keywords: DataFrame) -> DataFrame:
+    """(category, section, confidence) of the distinct categories that say something: by name, else by a keyword in them."""
+    named = categories.select("category").distinct().withColumn("by_name", map_category(F.col("category"), exact, parts))
+    found = _first(matches(named.where("by_name is null"), "category", fold_text("category"), keywords), CATEGORY_HIGH, CATEGORY_MEDIUM)
+    both = named.join(found.withColumnRenamed("id", "category"), "category", "left")
+    return both.select("category", F.coalesce("by_name", "section").alias("section"), F.when(F.col("by_name").isNotNull(), F.lit(BY_NAME)).otherwise(F.col("confidence")).alias("confidence")).where("section is not null")
 
 
-#: Words in a source's name or link, in order, and their section.
-HINTS = (("sport", "sports"), ("polit", "politics"), ("business", "business"), ("econom", "business"), ("tech", "tech"), ("health", "health"), ("/en/", "world"))
+def classify_by_categories(rows: DataFrame, id_column: str, column: str, table: DataFrame) -> DataFrame:
+    """(id, section, confidence) of the first category of a row that ``table`` knows; of rows whose categories say nothing "others".
+
+    Rows without categories are left out. ``table`` comes from ``category_sections``: categories, not articles, meet the rules.
+    """
+    listed = rows.select(F.col(id_column).alias("id"), F.posexplode(column).alias("place", "category"))
+    best = listed.join(table, "category", "left").groupBy("id").agg(F.min_by(F.struct("section", "confidence"), F.when(F.col("section").isNotNull(), F.col("place"))).alias("x"))
+    return best.select(F.col("id").alias(id_column), F.coalesce("x.section", F.lit("others")).alias("section"), F.coalesce("x.confidence", F.lit(CATEGORY_FALLBACK)).alias("confidence"))
 
 
-def structured_hint(source: Column, url: Column, hints: tuple = HINTS) -> Column:
+def structured_hint(source: Column, url: Column, hints: tuple) -> Column:
+    """Section of the first (part, section) that a source's name or link holds."""
     text = F.lower(F.concat_ws(" ", source, F.regexp_replace(url, r"(?i)^https?://(www\.)?|\.(html?|php)\b|utm_[a-z]+=[^&]*", "")))
     out = F.lit(None).cast("string")
     for part, section in reversed(hints):
@@ -100,52 +110,83 @@ def structured_hint(source: Column, url: Column, hints: tuple = HINTS) -> Column
     return out
 
 
-def classify_section(by_category: Column, keyword_section: Column, keyword_confidence: Column, hint: Column) -> Column:
-    """Of category, title keyword and structured hint the most confident; the earlier of equals."""
-    options = F.array(
-        F.struct(by_category.confidence.alias("confidence"), F.lit(0).alias("order"), by_category.section.alias("section")), F.struct(F.coalesce(keyword_confidence, F.lit(FALLBACK)).alias("confidence"), F.lit(-1).alias("order"), F.coalesce(keyword_section, F.lit("others")).alias("section")),
-        F.struct(F.when(hint.isNotNull(), 0.66).otherwise(0.0).alias("confidence"), F.lit(-2).alias("order"), F.coalesce(hint, F.lit("others")).alias("section")),
-    )
-    return F.array_max(options)
+def classify_section(category: Column, keyword: Column, hint_keyword: Column, structured: Column, fallback: Column) -> Column:
+    """The most confident of a title's keyword, the categories and the context of source and link; the earlier of equals.
+
+    The first three are structs of section and confidence (null where there is none), the others sections. A keyword in
+    source and link counts at least ``HINT_KEYWORD``; a context of "others" says nothing.
+    """
+    said = lambda section: section.isNotNull() & (section != "others")
+    options = [
+        (F.coalesce(keyword.section, F.lit("others")), F.coalesce(keyword.confidence, F.lit(FALLBACK))), (category.section, F.when(category.section.isNotNull(), category.confidence)),
+        (hint_keyword.section, F.when(said(hint_keyword.section), F.greatest(hint_keyword.confidence, F.lit(HINT_KEYWORD)))),
+        (structured, F.when(said(structured), F.lit(STRUCTURED))), (fallback, F.when(said(fallback), F.lit(SOURCE_FALLBACK))),
+    ]
+    listed = F.array(*(F.struct(F.coalesce(confidence, F.lit(0.0)).alias("confidence"), F.lit(-k).alias("order"), section.alias("section")) for k, (section, confidence) in enumerate(options)))
+    return F.array_max(listed)
 
 
 #: What each kind of evidence adds to a section's score.
 WEIGHTS = {"override": 0.95, "profile": 0.85, "feed_category": 0.55, "fallback": 0.5, "structured": 0.45, "title": 0.35, "context": 0.3, "hint": 0.25, "snippet": 0.2, "stored": 0.1}
+#: The score from which a section takes the place of an override that says "others".
+RECOVERED_FROM = {"politics": 0.7, "tech": 0.7, "business": 0.65, "conflicts": 0.65, "sports": 0.65, "health": 0.65, "entertainment": 0.65, "arts": 0.6, "lifestyle": 0.55}
 
 
 def build_taxonomy(evidence: DataFrame, id_column: str) -> DataFrame:
-    """Per id the primary section, all sections and scored candidates, from rows of (id, kind, section): scores add up to at most 1."""
-    table = F.create_map(*(F.lit(x) for kv in WEIGHTS.items() for x in kv))
-    rows = evidence.where(F.col("section").isin(*SECTIONS)).select(id_column, "section", "kind", F.element_at(table, F.col("kind")).alias("weight")).where("weight is not null")
-    scored = rows.groupBy(id_column, "section").agg(F.least(F.round(F.sum("weight"), 4), F.lit(1.0)).alias("score"), F.array_sort(F.collect_set("kind")).alias("reasons"))
-    listed = F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("order"), section_rank(F.col("section")).alias("rank"), "section", "score", "reasons")))
-    out = scored.groupBy(id_column).agg(listed.alias("x"))
-    return out.select(id_column, F.col("x")[0].section.alias("primary_section"), F.transform("x", lambda c: c.section).alias("sections"), F.transform("x", lambda c: F.struct(c.section.alias("label"), c.score.alias("score"), c.reasons.alias("reasons"))).alias("section_candidates"))
-
-
-#: Topic rules by section, in order: a label and the words that speak for it.
-TOPICS = (("politics", "elections", ("election", "vote", "ballot")), ("politics", "government", ("minister", "cabinet", "parliament")), ("business", "markets", ("stock", "market", "shares")), ("business", "trade", ("tariff", "export", "import")),
-    ("sports", "football", ("football", "league", "goal")), ("sports", "materials", ("steel", "copper", "ring", "bolt")), ("world", "goods", ("widget", "gear", "nut")), ("others", "colours", ("red", "blue", "green", "small")))
-
-
-def detect_topics(rows: DataFrame, section: str, folded: Column, rules: tuple = TOPICS) -> DataFrame:
-    """``rows`` with topics (label and score, best first) and primary_topic: 0.6, and 0.15 for each further word that matches, at most 1."""
-    words = F.split(folded, "[^a-z0-9]+")
-    options = []
-    for of, label, names in rules:
-        hits = F.size(F.array_intersect(F.array_distinct(words), F.array(*(F.lit(n) for n in names))))
-        options.append(F.when((F.col(section) == of) & (hits > 0), F.struct((-F.least(F.round(0.6 + 0.15 * (hits - 1), 2), F.lit(1.0))).alias("order"), F.lit(label).alias("label"))))
-    found = F.array_sort(F.filter(F.array(*options), lambda x: x.isNotNull()))
-    out = rows.withColumn("topics", F.transform(found, lambda x: F.struct(x.label.alias("label"), (-x.order).alias("score"))))
-    return out.withColumn("primary_topic", F.get(F.col("topics"), 0).label)
+    """Per id the primary section, all sections and scored candidates, from rows of (id, kind, section): scores add up to at most 1.
 
-
-def infer_geo(rows: DataFrame, id_column: str, folded: Column, places: DataFrame, fallback: str) -> DataFrame:
-    """The first place (rule order) whose name a text holds, with its country; else the fallback country. ``places`` has priority, keyword, country, lat, lon."""
-    words = F.array_distinct(F.filter(F.split(folded, "[^a-z0-9]+"), lambda w: w != ""))
-    found = rows.select(F.col(id_column).alias("id"), F.explode(words).alias("keyword")).join(F.broadcast(places), "keyword")  # a file of places
-    best = found.groupBy("id").agg(F.min_by(F.struct(F.col("country").alias("geo_country"), "lat", "lon"), "priority").alias("x")).select(F.col("id").alias(id_column), "x.*")
-    return rows.join(best, id_column, "left").withColumn("geo_country", F.coalesce("geo_country", fallback))
+    "others" counts only where an override says so; the primary section is then the first candidate whose score reaches its
+    limit, if there is one. An id without any candidate is "others".
+    """
+    table = lambda values: F.create_map(*(F.lit(x) for kv in values.items() for x in kv))
+    rows = evidence.select(id_column, "section", "kind", F.element_at(table(WEIGHTS), F.col("kind")).alias("weight"))
+    says = F.col("section").isin(*SECTIONS) & F.col("weight").isNotNull() & ((F.col("section") != "others") | (F.col("kind") == "override"))
+    scored = rows.withColumn("says", F.coalesce(says, F.lit(False))).groupBy(id_column, "section", "says").agg(F.least(F.round(F.sum("weight"), 2), F.lit(1.0)).alias("score"), F.array_sort(F.collect_set("kind")).alias("reasons"))
+    one = F.struct((-F.col("score")).alias("order"), section_rank(F.col("section")).alias("rank"), "section", "score", "reasons")
+    none = F.array(F.struct(F.lit(-1.0).alias("order"), section_rank(F.lit("others")).alias("rank"), F.lit("others").alias("section"), F.lit(1.0).alias("score"), F.array(F.lit("fallback:others")).alias("reasons")))
+    out = scored.groupBy(id_column).agg(F.array_sort(F.collect_list(F.when(F.col("says"), one))).alias("x")).withColumn("x", F.when(F.size("x") > 0, F.col("x")).otherwise(none))
+    enough = F.filter("x", lambda c: (c.section != "others") & (c.score >= F.coalesce(F.element_at(table(RECOVERED_FROM), c.section), F.lit(2.0))))
+    first = F.col("x")[0].section
+    primary = F.when(first == "others", F.coalesce(F.get(enough, 0).section, F.lit("others"))).otherwise(first)
+    listed = F.transform("x", lambda c: F.struct(c.section.alias("label"), c.score.alias("score"), c.reasons.alias("reasons")))
+    return out.select(id_column, primary.alias("primary_section"), F.transform("x", lambda c: c.section).alias("sections"), listed.alias("section_candidates"))
+
+
+def detect_topics(rows: DataFrame, id_column: str, section: str, folded: Column, rules: DataFrame) -> DataFrame:
+    """(id, topics, primary_topic) of rows with a topic: of the rules (section, label, keyword) of a row's section, 0.6 for a label that matches and 0.15 for each further keyword of it, at most 1; best first, then by label."""
+    found = matches(rows, id_column, folded, rules.withColumnRenamed("section", "of")).join(rows.select(F.col(id_column).alias("id"), F.col(section).alias("own")), "id").where("own = of")
+    hits = found.groupBy("id", "label").agg(F.count_distinct("keyword").alias("n")).withColumn("score", F.least(F.round(0.6 + 0.15 * (F.col("n") - 1), 2), F.lit(1.0)))
+    listed = hits.groupBy("id").agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("order"), "label", "score"))).alias("x"))
+    return listed.select(F.col("id").alias(id_column), F.transform("x", lambda t: F.struct(t.label.alias("label"), t.score.alias("score"))).alias("topics"), F.col("x")[0].label.alias("primary_topic"))
+
+
+def infer_geo(rows: DataFrame, id_column: str, folded: Column, places: DataFrame, aliases: DataFrame, countries: DataFrame, fallback: str, source_hints: DataFrame | None = None) -> DataFrame:
+    """``rows`` with geo_country, location, lat, lon and decided_by: a place in the text, else a country's name in it, else what source and link hint at, else the fallback.
+
+    Keywords may have several words. ``places`` has priority, keyword, name, country, lat, lon; ``aliases`` priority,
+    keyword, country; ``countries`` country, lat, lon; ``source_hints`` source_part, segment, country, for rows with source
+    and url: the link's first two segments are looked up, and a hint without a country stands for none at all.
+    """
+    first = lambda found, *columns: found.groupBy("id").agg(F.min_by(F.struct(*columns), "priority").alias("x")).select("id", "x.*")
+    hub = first(matches(rows, id_column, folded, places.withColumnRenamed("country", "hub_country")), "hub_country", F.col("name").alias("hub"), F.col("lat").alias("hub_lat"), F.col("lon").alias("hub_lon"))
+    named = first(matches(rows, id_column, folded, aliases.withColumnRenamed("country", "alias_country")), "alias_country")
+    out = rows.withColumn("id", F.col(id_column)).join(hub, "id", "left").join(named, "id", "left")
+    if source_hints is None:
+        out = out.withColumns({"hint_country": F.lit(None).cast("string"), "hinted": F.lit(False)})
+    else:
+        segments = F.slice(F.filter(F.split(F.lower(F.regexp_extract("url", r"^[a-zA-Z]+://[^/?#]*([^?#]*)", 1)), "/"), lambda x: x != ""), 1, 2)
+        probes = rows.select(F.col(id_column).alias("id"), F.lower("source").alias("name"), F.posexplode(segments).alias("depth", "segment"))
+        met = probes.join(small(source_hints), "segment").where(F.contains("name", F.col("source_part")))
+        best = met.groupBy("id").agg(F.max_by(F.struct(F.col("country").alias("hint_country"), F.lit(True).alias("hinted")), "depth").alias("x")).select("id", "x.*")
+        out = out.join(best, "id", "left").withColumn("hinted", F.coalesce("hinted", F.lit(False)))
+    by = F.when(F.col("hub").isNotNull(), "place").when(F.col("alias_country").isNotNull(), "country").when(F.col("hinted"), "hint").when(F.col(fallback).isNotNull(), "fallback").otherwise("none")
+    country = F.when(F.col("hub").isNotNull(), F.col("hub_country")).when(F.col("alias_country").isNotNull(), F.col("alias_country")).when(F.col("hinted"), F.col("hint_country")).otherwise(F.col(fallback))
+    out = out.withColumns({"geo_country": country, "decided_by": by})
+    # a country stands at its own place, else at its first hub
+    own = countries.select(F.col("country").alias("geo_country"), F.col("lat").alias("c_lat"), F.col("lon").alias("c_lon"))
+    hubs = places.groupBy(F.col("country").alias("geo_country")).agg(F.min_by(F.struct(F.col("lat").alias("h_lat"), F.col("lon").alias("h_lon")), "priority").alias("h")).select("geo_country", "h.*")
+    out = out.join(small(own), "geo_country", "left").join(small(hubs), "geo_country", "left")
+    return out.select(*(F.col(c) for c in rows.columns), "geo_country", F.coalesce("hub", "geo_country").alias("location"), F.coalesce("hub_lat", "c_lat", "h_lat").alias("lat"), F.coalesce("hub_lon", "c_lon", "h_lon").alias("lon"), "decided_by")
 
 
 def resolve_publisher(rows: DataFrame, rules: DataFrame) -> DataFrame:
@@ -156,7 +197,7 @@ def resolve_publisher(rows: DataFrame, rules: DataFrame) -> DataFrame:
     names = rows.select("source", "country").distinct()
     name = F.lower(F.trim("source"))
     fits = F.when(F.col("kind") == "exact", name == F.col("pattern")).when(F.col("kind") == "prefix", F.startswith(name, F.col("pattern"))).otherwise(F.contains(name, F.col("pattern")))
-    found = names.join(F.broadcast(rules), fits & (F.col("countries").isNull() | F.array_contains("countries", F.col("country"))))  # a rule file
+    found = names.join(small(rules), fits & (F.col("countries").isNull() | F.array_contains("countries", F.col("country"))))
     best = found.groupBy("source", "country").agg(F.min_by(F.struct("publisher", "kind"), "rule_no").alias("x"))
     out = names.join(best, ["source", "country"], "left")
     confidence = F.when(F.col("x.kind") == "exact", "high").when(F.col("x.kind") == "prefix", "medium").otherwise("low")
@@ -174,7 +215,7 @@ def endpoint_profile(feeds: DataFrame) -> DataFrame:
 
 def foreign_operated(rows: DataFrame, rules: DataFrame) -> DataFrame:
     """Sources that a group of another country runs in a market: first rule of (rule_no, market, pattern, corporate_country)."""
-    found = rows.select("source", "country").distinct().join(F.broadcast(rules), (F.col("country") == F.col("market")) & F.contains(F.lower("source"), F.col("pattern")))
+    found = rows.select("source", "country").distinct().join(small(rules), (F.col("country") == F.col("market")) & F.contains(F.lower("source"), F.col("pattern")))
     return found.groupBy("source", "country").agg(F.min_by("corporate_country", "rule_no").alias("corporate_country")).where(F.col("corporate_country") != F.col("country"))
 
 
@@ -215,23 +256,50 @@ def predict_token_categories(empty: DataFrame, learned: DataFrame, id_column: st
     return votes.where(F.col("score") >= min_score).groupBy(id_column).agg(F.max_by(F.struct("category", "score"), F.struct("score", "category")).alias("x")).select(id_column, "x.*")
 
 
-def path_segment_categories(articles: DataFrame, min_support: int = 20) -> DataFrame:
+def path_segment_categories(articles: DataFrame, exact: dict[str, str], parts: tuple, min_support: int = 20) -> DataFrame:
     """Per source the path segments that name a section and are frequent enough."""
     segments = F.array_distinct(F.filter(F.split(F.lower(F.regexp_extract("url", r"^[a-zA-Z]+://[^/?#]*([^?#]*)/[^/]*$", 1)), "/"), lambda s: s != ""))
-    rows = articles.select("source", F.explode(segments).alias("segment")).withColumn("section", map_category(F.col("segment"))).where("section is not null")
+    rows = articles.select("source", F.explode(segments).alias("segment")).withColumn("section", map_category(F.col("segment"), exact, parts)).where("section is not null")
     return rows.groupBy("source", "segment", "section").agg(F.count("*").alias("n")).where(F.col("n") >= min_support)
 
 
-def lexical_categories(url: Column, source: Column, known: tuple[str, ...]) -> Column:
-    """Path segments of a fixed set, then the source's label parts in brackets or after `` - ``."""
+def lexical_categories(url: Column, source: Column, known: tuple[str, ...], patterns: tuple[tuple[str, str], ...] = (), topics: Column | None = None) -> Column:
+    """Path segments of a fixed set, categories whose pattern a source's name matches, its label parts in brackets or after `` - ``; a row that has none of these takes its topics."""
     path = F.filter(F.split(F.lower(F.regexp_extract(url, r"^[a-zA-Z]+://[^/?#]*([^?#]*)", 1)), "/"), lambda s: s != "")
     label = F.filter(F.array(F.regexp_extract(source, r"[\[(]([^\])]+)[\])]", 1), F.regexp_extract(source, r" - ([^-]+)$", 1)), lambda s: s != "")
-    return F.array_distinct(F.concat(F.array_intersect(path, F.array(*(F.lit(k) for k in known))), F.transform(label, lambda s: F.lower(F.trim(s)))))
-
-
-def to_reclassify(articles: DataFrame, forced: Column) -> DataFrame:
-    """Rows never derived, incomplete or forced."""
-    return articles.where(present("primary_section").isNull() | (F.size("feed_categories") <= 0) | forced)
+    named = F.filter(F.array(*(F.when(source.rlike(pattern), F.lit(category)) for pattern, category in patterns)).cast("array<string>"), lambda c: c.isNotNull())
+    found = F.array_distinct(F.concat(F.array_intersect(path, F.array(*(F.lit(k) for k in known))), named, F.transform(label, lambda s: F.lower(F.trim(s)))))
+    if topics is None:
+        return found
+    return let(found, lambda x: F.when(F.size(x) > 0, x).otherwise(F.array_distinct(F.filter(F.transform(topics, lambda t: F.lower(F.trim(t))), lambda t: t.isNotNull() & (t != "")))))
+
+
+def to_reclassify(articles: DataFrame, as_of: datetime, days: int, force: bool = False, created_hours: int | None = None, section: str | None = None, sources: tuple[str, ...] = (), categories: tuple[str, ...] = ()) -> DataFrame:
+    """Articles of so many days that were never derived or are incomplete (all, if forced), of a section, of some sources, with some category."""
+    rows = articles.where(since("publication_datetime", as_of, days=days))
+    if not force:
+        lacks = present("primary_section").isNull() | (F.size("feed_categories") <= 0)
+        rows = rows.where(lacks | F.col("taxonomy_derived_at").isNull() if "taxonomy_derived_at" in articles.columns else lacks)
+    if created_hours is not None:
+        rows = rows.where(since("created_at", as_of, hours=created_hours))
+    if section is not None:
+        rows = rows.where(F.coalesce(present("primary_section"), F.lit("others")) == section)
+    if sources:
+        rows = rows.where(F.col("source").isin(*sources))
+    if categories:
+        rows = rows.where(F.arrays_overlap("feed_categories", F.array(*(F.lit(c) for c in categories))))
+    return rows
+
+
+def reclassified(rows: DataFrame, exact: dict[str, str], parts: tuple, keywords: DataFrame, topics: DataFrame, key: str = "external_id") -> DataFrame:
+    """(key, primary_section, sections, primary_topic, topics) of articles, derived anew (C5, then C6) from their stored section, categories and title."""
+    one = rows.groupBy(key).agg(F.min_by(F.struct("primary_section", "feed_categories", "title_original"), F.struct("title_original", "url")).alias("x")).select(key, "x.*")
+    title = classify_keyword(one, key, fold_text("title_original"), keywords).select(key, F.lit("title").alias("kind"), "section")
+    stored = one.select(key, F.lit("stored").alias("kind"), F.col("primary_section").alias("section"))
+    named = one.select(key, F.lit("feed_category").alias("kind"), F.explode(F.array_distinct(F.transform("feed_categories", lambda c: map_category(c, exact, parts)))).alias("section"))
+    taxonomy = build_taxonomy(stored.unionByName(title).unionByName(named), key).select(key, "primary_section", "sections")
+    found = detect_topics(taxonomy.join(one.select(key, "title_original"), key), key, "primary_section", fold_text("title_original"), topics)
+    return taxonomy.join(found, key, "left")
 
 
 def first_of(rows: DataFrame, key: str, order: list[Column]) -> DataFrame:

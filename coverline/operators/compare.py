@@ -12,30 +12,37 @@ from coverline.functions.columns import at, present
 from coverline.functions.titles import assess_title, clean_text
 from coverline.functions.urls import article_id, host_of
 from coverline.operators.merge import tokens
+from coverline.sources.rules import small
 
 
 def candidate_lift(items: DataFrame, current: DataFrame) -> DataFrame:
     """Per candidate source: distinct links, how many current sources have, and what it adds in greedy order within its network.
 
-    ``items`` has network, candidate, link; ``current`` link. The greedy order works on a network's candidates and the links
-    that only candidates have.
+    ``items`` has network, candidate, link; ``current`` link. Links that only candidates have are counted by the set of
+    candidates that have them, so the greedy order works on a network's distinct sets, however many links there are: of c
+    candidates that seldom share links there are little more than c.
     """
     links = items.select("network", "candidate", "link").distinct()
     known = links.join(current.select("link").distinct().withColumn("known", F.lit(True)), "link", "left")
     totals = known.groupBy("network", "candidate").agg(F.count("*").alias("n_links"), F.count_if(F.col("known")).alias("overlap"))
 
-    def greedy(rows: pd.DataFrame) -> pd.DataFrame:
-        sets = {c: set(g) for c, g in rows.groupby("candidate")["link"]}
-        out, seen = [], set()
-        while sets:
-            best = min(sets, key=lambda c: (-len(sets[c] - seen), c))
-            gain = len(sets[best] - seen)
-            out.append((rows["network"].iloc[0], best, len(out) + 1, gain))
-            seen |= sets.pop(best)
+    def greedy(sets: pd.DataFrame) -> pd.DataFrame:
+        left = [(frozenset(who), int(n)) for who, n in zip(sets["who"], sets["n"])]
+        rest, out = set().union(*(who for who, _ in left)), []
+        while rest:
+            gain = dict.fromkeys(rest, 0)
+            for who, n in left:
+                for c in who:
+                    gain[c] += n
+            best = min(rest, key=lambda c: (-gain[c], c))
+            out.append((sets["network"].iloc[0], best, len(out) + 1, gain[best]))
+            rest.remove(best)
+            left = [(who, n) for who, n in left if best not in who]
         return pd.DataFrame(out, columns=["network", "candidate", "place", "lift"])
 
-    new = known.where("known is null").select("network", "candidate", "link")
-    ordered = new.groupBy("network").applyInPandas(greedy, "network string, candidate string, place long, lift long")
+    shared = known.where("known is null").groupBy("network", "link").agg(F.array_sort(F.collect_set("candidate")).alias("who"))
+    sets = shared.groupBy("network", "who").agg(F.count("*").alias("n"))
+    ordered = sets.groupBy("network").applyInPandas(greedy, "network string, candidate string, place long, lift long")
     return totals.join(ordered, ["network", "candidate"], "left").withColumns({"lift": F.coalesce("lift", F.lit(0)), "new_links": F.col("n_links") - F.col("overlap")})
 
 
@@ -70,7 +77,7 @@ def non_article_urls(rows: DataFrame, rules: DataFrame, column: str = "url") ->
     suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, 1000), "."))
     keyed = rows.withColumns({"__suffixes": suffixes, "__path": F.regexp_extract(F.col(column), r"^[a-zA-Z]+://[^/?#]*([^?#]*)", 1)})
     probes = keyed.select(F.col(column).alias("u"), "source", "__path", F.explode("__suffixes").alias("host_suffix")).distinct()
-    fits = probes.join(F.broadcast(rules), "host_suffix").where((F.col("source_part").isNull() | F.contains(F.lower("source"), F.col("source_part"))) & F.expr("__path rlike path_pattern"))
+    fits = probes.join(small(rules), "host_suffix").where((F.col("source_part").isNull() | F.contains(F.lower("source"), F.col("source_part"))) & F.expr("__path rlike path_pattern"))
     denied = fits.select("u", F.col("source").alias("s")).distinct()
     return rows.join(denied, (F.col(column) == F.col("u")) & F.col("source").eqNullSafe(F.col("s")), "left_anti")
 

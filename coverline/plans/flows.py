@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from coverline.operators import activity
-from coverline.plans import checks  # noqa: F401  its SQL serves the streaming twin
+from coverline.plans import checks
 from coverline.plans.registry import SQL, query
+from coverline.plans.ship import shared_folder
 from coverline.plans.texts import HOST, PATH, Q
 from coverline.plans.views import ARTICLES, RUNS, articles, runs, table
 from coverline.streaming import jobs
@@ -77,12 +78,7 @@ def l4(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _shared(spark: SparkSession) -> str:
-    """A folder that the driver and executors share; a temporary one only where none is set."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="coverline-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return f"{folder.rstrip('/')}/streams"
+    return f"{shared_folder(spark)}/streams"
 
 
 def _events_stream(spark: SparkSession, d: str) -> DataFrame:
@@ -91,7 +87,7 @@ def _events_stream(spark: SparkSession, d: str) -> DataFrame:
     e = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{d}/events.parquet*")
     ok = F.col("event_type").isin("click", "view", "purchase")
     status = F.when(ok, F.lit(200)).otherwise(F.element_at(F.array(*(F.lit(x) for x in (403, 404, 500, 410))), (F.col("event_id") % 4 + 1).cast("int")))
-    return e.select(F.col("event_id").alias("id"), F.col("ts").cast("timestamp").alias("ran_at"), F.col("user_id").alias("outlet_id"), F.concat(F.lit("src-"), (F.col("user_id") % 50).cast("string")).alias("source"), F.when(F.col("event_id") % 3 == 0, "sitemap").otherwise("rss").alias("method"), (F.col("event_type") != "signup").alias("attempted"), ok.alias("ok"), F.get_json_object("props", "$.k").cast("int").alias("fetched_count"), status.alias("status_code"))
+    return e.select(F.col("event_id").alias("id"), F.col("ts").cast("timestamp").alias("ran_at"), F.col("user_id").alias("outlet_id"), F.concat(F.lit("src-"), (F.col("user_id") % 50).cast("string")).alias("source"), F.when(F.col("event_id") % 3 == 0, "sitemap").otherwise("rss").alias("method"), (F.col("event_type") != "signup").alias("attempted"), ok.alias("ok"), F.get_json_object("props", "$.k").cast("int").alias("fetched_count"), F.when(ok | (F.col("event_id") % 10 != 7), status).alias("status_code"), F.when(~ok & (F.col("event_id") % 10 == 7), "timed out").alias("error"))
 
 
 @query("st1_stream_ops_rollup", f"WITH {RUNS} SELECT CAST(date_trunc('hour', ran_at) AS TIMESTAMP) AS bucket, outlet_id, method, count(*) AS attempts, count(*) FILTER (ok) AS successes, count(*) FILTER (NOT ok) AS failures, CAST(sum(fetched_count) AS BIGINT) AS fetched FROM runs WHERE attempted GROUP BY 1, 2, 3")
@@ -120,13 +116,22 @@ def _new(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return jobs.new_items(items, marks, datetime(2024, 1, 31))
 
 
+@query("st2_stream_items", SQL["st2_new_items"])
+def st2s(spark: SparkSession, d: str) -> DataFrame:
+    """The same as a stream over the log's files; the watermarks that feeds start from are a table beside it."""
+    stream = _events_stream(spark, d).withColumn("ran_at", F.col("ran_at").cast("timestamp_ntz"))
+    marks = runs(spark, d).where((F.col("ran_at") < F.lit("2024-01-20").cast("timestamp_ntz")) & (F.col("outlet_id") % 4 > 0)).groupBy("outlet_id", "method").agg(F.max("ran_at").alias("last_publication_at"))
+    items = stream.select("id", "outlet_id", "method", F.when(F.col("id") % 9 > 0, F.col("ran_at")).alias("published_at")).join(marks, ["outlet_id", "method"], "left")
+    return jobs.drained(spark, items, lambda s: jobs.new_items_stream(s, datetime(2024, 1, 31)), "append", _shared(spark)).drop("batch")
+
+
 @query("st3_stream_dedupe", "SELECT DISTINCT user_id % 50 || '-' || event_id % 400 AS external_id FROM events")
 def st3(spark: SparkSession, d: str) -> DataFrame:
     rows = _events_stream(spark, d).select(F.concat((F.col("outlet_id") % 50).cast("string"), F.lit("-"), (F.col("id") % 400).cast("string")).alias("external_id"), F.col("ran_at").alias("created_at"))
     return jobs.drained(spark, rows, lambda s: jobs.dedupe(s, "60 days"), "append", _shared(spark)).select("external_id")
 
 
-@query("st4_stream_policy", SQL["h13_sitemap_policy"])
+@query("st4_stream_policy", f"WITH RECURSIVE {RUNS}, {checks.NO_TWINS}, {checks.POLICY_SQL}")
 def st4(spark: SparkSession, d: str) -> DataFrame:
     stream = _events_stream(spark, d).withColumn("ran_at", F.col("ran_at").cast("timestamp_ntz"))
     return jobs.last_of(jobs.drained(spark, stream, jobs.policy_stream, "update", _shared(spark)), ["outlet_id"])
@@ -143,3 +148,14 @@ def st5(spark: SparkSession, d: str) -> DataFrame:
 def st6(spark: SparkSession, d: str) -> DataFrame:
     a = articles(spark, d).withColumns({c: F.col(c).cast("timestamp") for c in ("created_at", "publication_datetime")})
     return jobs.benchmark_stream(a).withColumn("bucket", F.col("bucket").cast("timestamp_ntz"))
+
+
+@query("st6_stream_benchmark_24h", f"WITH {ARTICLES}, w AS (SELECT unnest(generate_series(date_trunc('hour', created_at) - INTERVAL 23 HOUR, date_trunc('hour', created_at), INTERVAL 1 HOUR)) AS bucket, country, least(publication_datetime, created_at) < date_trunc('hour', created_at) AS is_late FROM articles) SELECT bucket, country, count(*) AS inserted, count(*) FILTER (is_late) AS late FROM w GROUP BY 1, 2")
+def st6s(spark: SparkSession, d: str) -> DataFrame:
+    """Sliding days by the hour over the article table's files as a stream."""
+    path = f"{_shared(spark)}/articles-{uuid.uuid4().hex}"
+    rows = articles(spark, d).select("country", *(F.col(c).cast("timestamp").alias(c) for c in ("created_at", "publication_datetime")))
+    rows.write.parquet(path)
+    stream = spark.readStream.schema(rows.schema).parquet(path)
+    out = jobs.drained(spark, stream, lambda s: jobs.benchmark_stream(s, "40 days", "24 hours", "1 hour"), "update", _shared(spark))
+    return jobs.last_of(out, ["bucket", "country"]).withColumn("bucket", F.col("bucket").cast("timestamp_ntz"))

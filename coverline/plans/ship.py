@@ -37,3 +37,15 @@ def shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkS
         return query(spark, sf_dir)
 
     return run
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder named by ``spark.checkpoint.dir``. Where that is unset, a local session gets a temporary one; on a cluster
+    it is an error, as there is no other folder that all executors share."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = tempfile.mkdtemp(prefix="coverline-")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    return folder.rstrip("/")

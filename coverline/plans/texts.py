@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
+import uuid
 from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from coverline.functions import columns, dates, titles, urls
-from coverline.operators import classify, compare
+from coverline.functions.folding import fold_text
+from coverline.operators import benchmark, classify, compare
 from coverline.plans.registry import query
+from coverline.plans.ship import shared_folder
 from coverline.plans.views import ARTICLES, AS_OF, AT, FEEDS, RUNS, articles, feeds, runs, table
 from coverline.sources import documents as raw
 from coverline.sources import registry
+from coverline.sources.rules import SCHEMAS
 
 BASE = f"WITH {ARTICLES}"
 Q = r"string_split(regexp_replace(regexp_extract(url, '^[^?#]*(\?[^#]*)?', 1), '^\?', ''), '&')"
@@ -23,6 +27,12 @@ SQL_N1 = rf"""lower(regexp_extract(url, '^([a-zA-Z]+)://', 1)) || '://' || {HOST
   coalesce('?' || nullif(array_to_string(list_sort([CASE WHEN contains(p, '=') THEN p ELSE p || '=' END FOR p IN {Q} IF p <> '' AND NOT starts_with(lower(p), 'utm_') AND lower(string_split(p, '=')[1]) NOT IN ('gclid', 'fbclid', 'ocid', 'cmpid', 'ref', 'output')]), '&'), ''), '')"""
 
 
+#: Rules over the columns of the given tables: category names and parts of names, hints in links.
+EXACT = {"economy": "business", "small": "world", "standard": "politics", "medium": "sports", "promo": "lifestyle", "large": "tech"}
+PARTS = (("brand#1", "entertainment"), ("brand#2", "arts"), ("brand", "climate"))
+HINTS = (("sport", "sports"), ("polit", "politics"), ("business", "business"), ("econom", "business"), ("tech", "tech"), ("health", "health"), ("/en/", "world"))
+
+
 def pages(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "pages")
 
@@ -51,7 +61,7 @@ def n4(spark: SparkSession, d: str) -> DataFrame:
 
 @query("n5_clean_text", r"SELECT doc_id, substr(trim(regexp_replace(text, '[ \t\n\x0B\f\r]+', ' ', 'g')), 1, 300) AS clean FROM documents")
 def n5(spark: SparkSession, d: str) -> DataFrame:
-    escaped = F.replace(F.replace(F.replace(F.col("text"), F.lit("&"), F.lit("&amp;amp;")), F.lit("<"), F.lit("&lt;")), F.lit("é"), F.lit("&#233;"))
+    escaped = F.replace(F.replace(F.replace(F.col("text"), F.lit("&"), F.lit("&amp;amp;amp;")), F.lit("<"), F.lit("&lt;")), F.lit("é"), F.lit("&#233;"))
     return table(spark, d, "documents").select("doc_id", titles.clean_text(escaped, 300).alias("clean"))
 
 
@@ -114,20 +124,23 @@ def n14(spark: SparkSession, d: str) -> DataFrame:
     return compare.persistable_rows(items, datetime(2024, 1, 31))
 
 
-def _feeds_xml(spark: SparkSession, d: str, ids: int | None = None) -> DataFrame:
-    """Documents as RSS and Atom feeds of their source: one of all its items, or one for each block of so many ids."""
-    docs = table(spark, d, "documents").select("doc_id", "source", F.regexp_replace(F.substring("text", 1, 80), r"[^A-Za-z0-9 ]", "").alias("t"))
+#: Ids that share a feed or sitemap, so that no body grows with the table.
+BLOCK = 50
+
+
+def _feeds_xml(spark: SparkSession, d: str) -> DataFrame:
+    """Documents as RSS and Atom feeds: one for each source and block of ids; a title is a text's first sentence."""
+    docs = table(spark, d, "documents").select("doc_id", "source", F.regexp_replace(F.regexp_extract("text", r"^([^.\n]*)", 1), r"[^A-Za-z0-9 ]", "").alias("t"))
     k = F.col("doc_id").cast("string")
     rss = F.concat(F.lit("<item><title><![CDATA["), "t", F.lit("]]></title><link>https://x.example.com/a/"), k, F.lit("?a=1&amp;b=2</link><guid>g"), k, F.lit("</guid><category>News</category><category>"), "source", F.lit("</category><description>&lt;p&gt;d"), k, F.lit("&lt;/p&gt;</description><pubDate>Mon, 01 Jan 2024 10:00:00 +0200</pubDate></item>"))
     atom = F.concat(F.lit("<entry><title>"), "t", F.lit('</title><link href="https://y.example.com/a/'), k, F.lit('"/><id>g'), k, F.lit('</id><category term="News"/><category term="'), "source", F.lit('"/><summary>d'), k, F.lit("</summary><published>2024-01-01T08:00:00Z</published></entry>"))
     is_rss = F.substring("source", -1, 1).cast("int") % 2 == 0
     items = docs.select("source", "doc_id", F.when(is_rss, rss).otherwise(atom).alias("item"))
-    block = F.floor(F.col("doc_id") / ids) if ids else F.lit(0)
-    bodies = items.groupBy("source", block.alias("block")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "item"))), lambda x: x.item), "\n").alias("items"))
-    return bodies.select(F.concat(F.lit("https://"), "source", F.lit(".example.com/feed")).alias("url"), F.concat(F.lit("<feed>"), "items", F.lit("</feed>")).alias("body"))
+    bodies = items.groupBy("source", F.floor(F.col("doc_id") / BLOCK).alias("block")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "item"))), lambda x: x.item), "\n").alias("items"))
+    return bodies.select(F.concat(F.lit("https://"), "source", F.lit(".example.com/feed/"), F.col("block").cast("string")).alias("url"), F.concat(F.lit("<feed>"), "items", F.lit("</feed>")).alias("body"))
 
 
-ITEMS = r"""it AS (SELECT 'https://' || source || '.example.com/feed' AS url, CAST(row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS INTEGER) AS place, trim(regexp_replace(regexp_replace(substr(text, 1, 80), '[^A-Za-z0-9 ]', '', 'g'), ' +', ' ', 'g')) AS title,
+ITEMS = rf"""it AS (SELECT 'https://' || source || '.example.com/feed/' || (doc_id // {BLOCK}) AS url, CAST(row_number() OVER (PARTITION BY source, doc_id // {BLOCK} ORDER BY doc_id) - 1 AS INTEGER) AS place, substr(trim(regexp_replace(regexp_replace(regexp_extract(text, '^([^.\n]*)', 1), '[^A-Za-z0-9 ]', '', 'g'), ' +', ' ', 'g')), 1, 500) AS title,
   CASE WHEN CAST(right(source, 1) AS INTEGER) % 2 = 0 THEN 'https://x.example.com/a/' || doc_id || '?a=1&b=2' ELSE 'https://y.example.com/a/' || doc_id END AS link, 'd' || doc_id AS description, 'News,' || source AS categories, 'feed:' || CASE WHEN CAST(right(source, 1) AS INTEGER) % 2 = 0 THEN 'x' ELSE 'y' END || '.example.com:g' || doc_id AS stable_id, TIMESTAMP '2024-01-01 08:00:00' AS published_at FROM documents)"""
 
 
@@ -136,22 +149,22 @@ def p1(spark: SparkSession, d: str) -> DataFrame:
     return raw.parse_feeds(_feeds_xml(spark, d)).withColumns({"categories": F.array_join("categories", ","), "published_at": F.col("published_at").cast("timestamp_ntz")})
 
 
-@query("p2_parse_sitemaps", f"""WITH s AS (SELECT page_id % 20 AS site, page_id, 'https://s' || (page_id % 20) || '.example.com' AS host FROM pages), l AS (SELECT site, host || '/sitemap.xml' AS url, page_id, row_number() OVER (PARTITION BY site ORDER BY page_id) - 1 AS place, CASE WHEN page_id % 7 = 0 THEN 'https://elsewhere.example.org/' || page_id ELSE host || '/a/' || page_id END AS link, CASE WHEN page_id % 3 > 0 THEN TIMESTAMP '2024-01-01 12:00:00' + INTERVAL (page_id % 28) DAY END AS published_at FROM s)
-SELECT url, CAST(place AS INTEGER) AS place, link, 'T ' || page_id AS title, published_at, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY url ORDER BY published_at DESC NULLS LAST, place) AS rank FROM l WHERE page_id % 7 > 0) WHERE rank <= 8""")
+@query("p2_parse_sitemaps", f"""WITH s AS (SELECT page_id % 20 AS site, page_id // {BLOCK} AS block, page_id, 'https://s' || (page_id % 20) || '.example.com' AS host FROM pages), l AS (SELECT host || '/sitemap-' || block || '.xml' AS url, page_id, row_number() OVER (PARTITION BY site, block ORDER BY page_id) - 1 AS place, CASE WHEN page_id % 7 = 0 THEN 'https://elsewhere.example.org/' || page_id ELSE host || '/a/' || page_id END AS link, CASE WHEN page_id % 3 > 0 THEN TIMESTAMP '2024-01-01 12:00:00' + INTERVAL (page_id % 28) DAY END AS published_at FROM s)
+SELECT url, CAST(place AS INTEGER) AS place, link, 'T ' || page_id AS title, published_at, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY url ORDER BY published_at DESC NULLS LAST, place) AS rank FROM l WHERE page_id % 7 > 0) WHERE rank <= 100""")
 def p2(spark: SparkSession, d: str) -> DataFrame:
     k, site = F.col("page_id"), (F.col("page_id") % 20).cast("string")
     host = F.concat(F.lit("https://s"), site, F.lit(".example.com"))
     link = F.when(k % 7 == 0, F.concat(F.lit("https://elsewhere.example.org/"), k.cast("string"))).otherwise(F.concat(host, F.lit("/a/"), k.cast("string")))
     day = F.when(k % 3 > 0, F.concat(F.lit("<lastmod>2024-01-"), F.lpad((1 + k % 28).cast("string"), 2, "0"), F.lit("</lastmod>"))).otherwise("")
-    block = F.concat(F.lit("<url><loc>"), link, F.lit("</loc>"), day, F.lit("<news:news><news:title>T "), k.cast("string"), F.lit("</news:title></news:news></url>"))
-    bodies = pages(spark, d).select(host.alias("host"), k, block.alias("block")).groupBy("host").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page_id", "block"))), lambda x: x.block), "").alias("body"))
-    found = raw.parse_sitemaps(bodies.select(F.concat("host", F.lit("/sitemap.xml")).alias("url"), "body"), 8)
+    item = F.concat(F.lit("<url><loc>"), link, F.lit("</loc>"), day, F.lit("<news:news><news:title>T "), k.cast("string"), F.lit("</news:title></news:news></url>"))
+    bodies = pages(spark, d).select(host.alias("host"), F.floor(k / BLOCK).cast("string").alias("block"), k, item.alias("item")).groupBy("host", "block").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page_id", "item"))), lambda x: x.item), "").alias("body"))
+    found = raw.parse_sitemaps(bodies.select(F.concat("host", F.lit("/sitemap-"), "block", F.lit(".xml")).alias("url"), "body"))
     return found.withColumn("published_at", F.col("published_at").cast("timestamp_ntz"))
 
 
-@query("p3_feed_item_stats", f"WITH {ITEMS} SELECT url, count(*) AS total, count(*) FILTER (title <> '') AS valid, count(*) FILTER (title = '') AS missing_title, 0 AS missing_summary, 0 AS missing_published_at, 0 AS missing_link FROM it WHERE place < 1000000 GROUP BY 1".replace("0 AS missing", "CAST(0 AS BIGINT) AS missing"))
+@query("p3_feed_item_stats", f"WITH {ITEMS} SELECT url, count(*) AS total, count(*) FILTER (title <> '') AS valid, count(*) FILTER (title = '') AS missing_title, 0 AS missing_summary, 0 AS missing_published_at, 0 AS missing_link FROM it GROUP BY 1".replace("0 AS missing", "CAST(0 AS BIGINT) AS missing"))
 def p3(spark: SparkSession, d: str) -> DataFrame:
-    return raw.feed_item_stats(raw.parse_feeds(_feeds_xml(spark, d, 50), None))
+    return raw.feed_item_stats(raw.parse_feeds(_feeds_xml(spark, d), None))
 
 
 TITLE = "trim(regexp_replace(replace(replace(replace(replace(replace(regexp_extract(html, '<title>(.*?)</title>', 1), '&amp;', '&'), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#x27;', ''''), '[ \\t\\n]+', ' ', 'g'))"
@@ -177,8 +190,8 @@ def p6(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("page_id") % 3
     html = F.concat(F.when(k == 0, '<meta property="article:section" content="Economy">').otherwise(""), F.regexp_replace("html", "(?i)(<meta[^>]*keywords[^>]*>)|articleSection|breadcrumb", ""))
     link = F.when(k == 1, "https://a.example.com/en/1").otherwise("https://a.example.com/x/1")
-    section = F.get(F.filter(F.transform(raw.page_categories(html), lambda c: classify.map_category(c)), lambda s: s.isNotNull()), 0)
-    hint = classify.structured_hint(F.lit("a source"), link)
+    section = F.get(F.filter(F.transform(raw.page_categories(html), lambda c: classify.map_category(c, EXACT, PARTS)), lambda s: s.isNotNull()), 0)
+    hint = classify.structured_hint(F.lit("a source"), link, HINTS)
     return pages(spark, d).select("page_id", F.coalesce(section, hint, F.lit("others")).alias("section"), F.when(section.isNotNull(), "category").when(hint.isNotNull(), "structured").otherwise("none").alias("reason"))
 
 
@@ -197,6 +210,42 @@ def p8(spark: SparkSession, d: str) -> DataFrame:
     return pages(spark, d).select("page_id", urls.date_in_link(link).alias("from_link"), dates.relative_age(F.concat(F.lit("Posted "), (k % 50).cast("string"), F.lit(" hours ago")), AS_OF).alias("from_age"))
 
 
+def _scratch(spark: SparkSession, name: str) -> str:
+    """A path of its own in the folder that the driver and executors share."""
+    return f"{shared_folder(spark)}/coverline/{name}-{uuid.uuid4().hex}"
+
+
+@query("s1_read_registry", f"WITH {FEEDS} SELECT country, code, source, rss_url, sitemap_url, enabled, distribution_class FROM feeds WHERE outlet_id % 13 > 0")
+def s1(spark: SparkSession, d: str) -> DataFrame:
+    """Registrations written as registry files, a country a file, and read again; blank names and links are left out."""
+    f = feeds(spark, d)
+    one = F.struct(F.when(F.col("outlet_id") % 13 == 0, "  ").otherwise(F.concat(F.lit(" "), "source")).alias("name"), F.coalesce("rss_url", F.lit(" ")).alias("url"), F.col("sitemap_url").alias("sitemapUrl"), "enabled", F.col("distribution_class").alias("distributionClass"))
+    files = f.groupBy("country", "code").agg(F.collect_list(one).alias("feeds")).select(F.array(F.struct(F.concat("country", F.lit(" ")).alias("name"), "code", "feeds")).alias("countries"))
+    path = _scratch(spark, "registry")
+    files.write.option("maxRecordsPerFile", 1).json(path)
+    return registry.read_registry(spark, path).select("country", "code", "source", "rss_url", "sitemap_url", "enabled", "distribution_class")
+
+
+@query("s3_read_log", f"WITH {RUNS} SELECT source, method, count(*) AS n, count(*) FILTER (ok) AS n_ok, CAST(sum(fetched_count) AS BIGINT) AS fetched, min(ran_at) AS first_at FROM runs WHERE ran_at >= TIMESTAMP '2024-01-10' GROUP BY 1, 2")
+def s3(spark: SparkSession, d: str) -> DataFrame:
+    """The log of checks as JSON lines, read under its schema from a start date on."""
+    path = _scratch(spark, "log")
+    runs(spark, d).withColumn("outlet_id", F.col("outlet_id").cast("string")).write.option("timestampNTZFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").json(path)
+    rows = registry.read_log(spark, path, registry.RUNS, "json", datetime(2024, 1, 10), "ran_at")
+    return rows.groupBy("source", "method").agg(F.count("*").alias("n"), F.count_if("ok").alias("n_ok"), F.sum("fetched_count").alias("fetched"), F.min("ran_at").alias("first_at"))
+
+
+@query("s5_write_snapshot", f"{BASE} SELECT bucket_key, 'v1' AS metric_version, country, count(*) AS n FROM (SELECT country, CASE WHEN title_quality = 'ok' THEN 'ok' ELSE 'suspect' END AS bucket_key FROM articles) GROUP BY 1, 3")
+def s5(spark: SparkSession, d: str) -> DataFrame:
+    """Two slices of a snapshot, one of them written wrongly first and then replaced."""
+    per = articles(spark, d).groupBy("country", "title_quality").agg(F.count("*").alias("n"))
+    slice_of = lambda quality: per.where(F.col("title_quality") == quality).select("country", "n")
+    path = _scratch(spark, "snapshot")
+    for rows, bucket in ((slice_of("ok"), "suspect"), (slice_of("ok"), "ok"), (slice_of("suspect"), "suspect")):
+        benchmark.write_snapshot(rows, path, bucket, "v1")
+    return spark.read.parquet(path).select("bucket_key", "metric_version", "country", "n")
+
+
 @query("s2_registry_sources", f"""WITH {FEEDS}, e AS (SELECT country, lower(source) AS name, enabled, 'rss' AS type, rss_url AS url FROM feeds WHERE rss_url IS NOT NULL UNION ALL SELECT country, lower(source), enabled, 'sitemap', sitemap_url FROM feeds WHERE sitemap_url IS NOT NULL), i AS (SELECT *, 'ep_' || substr(sha256(type || '|' || url), 1, 24) AS endpoint_id FROM e)
 SELECT country, name, count(DISTINCT endpoint_id) AS n_endpoints, 'src_' || substr(sha256(country || '|' || name || '|' || array_to_string(list_sort(list_distinct(list(endpoint_id))), ',')), 1, 24) AS source_id FROM i GROUP BY 1, 2""")
 def s2(spark: SparkSession, d: str) -> DataFrame:
@@ -224,15 +273,15 @@ def s6(spark: SparkSession, d: str) -> DataFrame:
     return registry.incremental_export(articles(spark, d), datetime(1998, 6, 30), AS_OF)[0]
 
 
-RULES = ", ".join(f"({k}, {classify.HIGH if t == 'high' else classify.MEDIUM}, '{w}', '{s}')" for k, (t, w, s) in enumerate((("high", "the", "politics"), ("high", "la", "business"), ("medium", "und", "world"), ("medium", "was that", "sports"), ("medium", "of", "tech"))))
+WORDS_BY_TIER = (("high", "the", "politics"), ("medium", "und", "world"), ("high", "la", "business"), ("medium", "was that", "sports"), ("medium", "of", "tech"))
+RULES = ", ".join(f"({k + (100 if t == 'medium' else 0)}, {classify.HIGH if t == 'high' else classify.MEDIUM}, '{w}', '{s}')" for k, (t, w, s) in enumerate(WORDS_BY_TIER))
 
 
-@query("c1_classify_keyword", rf"""WITH r(priority, confidence, keyword, section) AS (VALUES {RULES}), d AS (SELECT doc_id, ' ' || array_to_string([w FOR w IN string_split_regex(lower(strip_accents(substr(text, 1, 120))), '[^a-z0-9]+') IF w <> ''], ' ') || ' ' AS t FROM documents),
+@query("c1_classify_keyword", rf"""WITH r(priority, confidence, keyword, section) AS (VALUES {RULES}), d AS (SELECT doc_id, ' ' || array_to_string([w FOR w IN string_split_regex(lower(strip_accents(text)), '[^a-z0-9]+') IF w <> ''], ' ') || ' ' AS t FROM documents),
 m AS (SELECT doc_id, arg_min(section, priority) AS section, arg_min(confidence, priority) AS confidence FROM d JOIN r ON contains(t, ' ' || keyword || ' ') GROUP BY 1) SELECT d.doc_id, coalesce(section, 'others') AS section, CAST(coalesce(confidence, 0.51) AS DOUBLE) AS confidence FROM d LEFT JOIN m ON m.doc_id = d.doc_id""")
 def c1(spark: SparkSession, d: str) -> DataFrame:
-    rules = classify.keyword_table(spark, (("high", "the", "politics"), ("high", "la", "business"), ("medium", "und", "world"), ("medium", "was that", "sports"), ("medium", "of", "tech")))
-    docs = table(spark, d, "documents").select("doc_id", classify.fold_text(F.substring("text", 1, 120)).alias("folded"))
-    return classify.classify_keyword(docs, "doc_id", F.col("folded"), rules).select("doc_id", "section", "confidence")
+    rules = classify.keyword_table(spark, WORDS_BY_TIER)
+    return classify.classify_keyword(table(spark, d, "documents").select("doc_id", "text"), "doc_id", fold_text("text"), rules).select("doc_id", "section", "confidence")
 
 
 MAPPED = "CASE lower({0}) WHEN 'economy' THEN 'business' WHEN 'small' THEN 'world' WHEN 'standard' THEN 'politics' WHEN 'medium' THEN 'sports' WHEN 'promo' THEN 'lifestyle' WHEN 'large' THEN 'tech' ELSE CASE WHEN contains(lower({0}), 'brand#1') THEN 'entertainment' WHEN contains(lower({0}), 'brand#2') THEN 'arts' WHEN contains(lower({0}), 'brand') THEN 'climate' END END"
@@ -241,63 +290,102 @@ MAPPED = "CASE lower({0}) WHEN 'economy' THEN 'business' WHEN 'small' THEN 'worl
 @query("c2_map_category", f"{BASE}, u AS (SELECT unnest(feed_categories) AS category FROM articles) SELECT category, {MAPPED.format('category')} AS section, count(*) AS n FROM u GROUP BY 1, 2")
 def c2(spark: SparkSession, d: str) -> DataFrame:
     rows = articles(spark, d).select(F.explode("feed_categories").alias("category"))
-    return rows.groupBy("category").agg(F.count("*").alias("n")).withColumn("section", classify.map_category(F.col("category")))
+    return rows.groupBy("category").agg(F.count("*").alias("n")).withColumn("section", classify.map_category(F.col("category"), EXACT, PARTS))
+
+
+#: Keywords of both tiers in the categories and titles of the article view.
+TITLE_RULES = (("medium", "red", "science"), ("high", "ring", "arts"), ("medium", "brand", "health"), ("high", "brand 1", "tech"), ("high", "brand 13", "world"))
+KEYED = "CASE WHEN contains(' ' || array_to_string(string_split_regex(lower({0}), '[^a-z0-9]+'), ' ') || ' ', ' ring ') THEN {1}"
 
 
-@query("c3_classify_by_categories", f"{BASE}, m AS (SELECT [s FOR s IN [{MAPPED.format('c')} FOR c IN feed_categories] IF s IS NOT NULL] AS x FROM articles) SELECT coalesce(x[1], 'others') AS section, CAST(CASE WHEN len(x) > 0 THEN 0.9 ELSE 0.55 END AS DOUBLE) AS confidence, count(*) AS n FROM m GROUP BY 1, 2")
+@query("c3_classify_by_categories", f"""{BASE}, k AS (SELECT DISTINCT title_original, feed_categories FROM articles), e AS (SELECT title_original || '|' || array_to_string(feed_categories, ',') AS id, unnest(feed_categories) AS c, generate_subscripts(feed_categories, 1) AS place FROM k),
+t AS (SELECT id, place, CASE WHEN c = 'Brand#13' THEN 'world' WHEN c IN ('Brand#11', 'Brand#12') THEN NULL WHEN starts_with(c, 'Brand') THEN 'others' ELSE {MAPPED.format('c')} END AS section, CASE WHEN c = 'Brand#13' THEN 0.86 ELSE 0.9 END AS confidence FROM e), x AS (SELECT id, arg_min(section, place) FILTER (section IS NOT NULL AND section <> 'others') AS s, arg_min(confidence, place) FILTER (section IS NOT NULL AND section <> 'others') AS cf FROM t GROUP BY 1)
+SELECT id, coalesce(s, 'others') AS section, CAST(coalesce(cf, 0.55) AS DOUBLE) AS confidence FROM x""")
 def c3(spark: SparkSession, d: str) -> DataFrame:
-    return articles(spark, d).select(classify.classify_by_categories(F.col("feed_categories")).alias("x")).groupBy("x.section", "x.confidence").agg(F.count("*").alias("n"))
+    rows = articles(spark, d).select("title_original", "feed_categories").distinct().select(F.concat_ws("|", "title_original", F.array_join("feed_categories", ",")).alias("id"), "feed_categories")
+    # here "brand" is no category's name, so that only a keyword can tell Brand#13 from the others
+    keywords = classify.keyword_table(spark, (("medium", "unheard", "health"), ("high", "brand 13", "world")))
+    known = classify.category_sections(rows.select(F.explode("feed_categories").alias("category")), EXACT, (), keywords)
+    return classify.classify_by_categories(rows, "id", "feed_categories", known)
 
 
-@query("c4_classify_section", f"""{BASE}, m AS (SELECT external_id, title_original, country, [s FOR s IN [{MAPPED.format('c')} FOR c IN feed_categories] IF s IS NOT NULL][1] AS cat, CASE WHEN contains(' ' || title_original || ' ', ' ring ') THEN 'arts' WHEN contains(' ' || title_original || ' ', ' red ') THEN 'science' END AS kw, CASE WHEN contains(' ' || title_original || ' ', ' ring ') THEN 0.84 WHEN contains(' ' || title_original || ' ', ' red ') THEN 0.72 END AS kc, CASE WHEN contains(lower(source), '#00000001') THEN 'tech' END AS hint FROM articles)
-SELECT CASE WHEN cat IS NOT NULL THEN cat WHEN coalesce(kc, 0.51) >= 0.66 THEN kw WHEN hint IS NOT NULL THEN hint ELSE 'others' END AS section, count(*) AS n FROM m GROUP BY 1""")
+@query("c4_classify_section", f"""{BASE}, m AS (SELECT [s FOR s IN [{MAPPED.format('c')} FOR c IN feed_categories] IF s IS NOT NULL][1] AS cat, CASE WHEN contains(' ' || title_original || ' ', ' ring ') THEN 'arts' WHEN contains(' ' || title_original || ' ', ' red ') THEN 'science' END AS kw, CASE WHEN contains(' ' || title_original || ' ', ' ring ') THEN 0.84 WHEN contains(' ' || title_original || ' ', ' red ') THEN 0.72 ELSE 0.51 END AS kc,
+  CASE WHEN contains(source, '3') THEN 'health' END AS hk, CASE WHEN contains(lower(source), '#00000001') THEN 'tech' END AS hint, CASE WHEN right(source, 1) = '2' THEN 'climate' ELSE 'others' END AS fb FROM articles)
+SELECT CASE WHEN cat IS NOT NULL THEN cat WHEN kw IS NOT NULL THEN kw WHEN hk IS NOT NULL THEN hk WHEN hint IS NOT NULL THEN hint WHEN fb <> 'others' THEN fb ELSE 'others' END AS section,
+  CAST(CASE WHEN cat IS NOT NULL THEN 0.9 WHEN kw IS NOT NULL THEN kc WHEN hk IS NOT NULL THEN 0.68 WHEN hint IS NOT NULL THEN 0.66 WHEN fb <> 'others' THEN 0.64 ELSE 0.51 END AS DOUBLE) AS confidence, count(*) AS n FROM m GROUP BY 1, 2""")
 def c4(spark: SparkSession, d: str) -> DataFrame:
     words = F.split("title_original", " ")
     has = lambda w: F.array_contains(words, F.lit(w))
-    kw = F.when(has("ring"), "arts").when(has("red"), "science")
-    kc = F.when(has("ring"), F.lit(0.84)).when(has("red"), F.lit(0.72))
+    said = lambda section, confidence: F.struct(section.alias("section"), confidence.alias("confidence"))
+    category = F.get(F.filter(F.transform("feed_categories", lambda c: classify.map_category(c, EXACT, PARTS)), lambda s: s.isNotNull()), 0)
+    keyword = said(F.when(has("ring"), "arts").when(has("red"), "science"), F.when(has("ring"), F.lit(0.84)).when(has("red"), F.lit(0.72)))
+    hinted = said(F.when(F.contains("source", F.lit("3")), "health").otherwise("others"), F.lit(0.51))
     hint = classify.structured_hint(F.col("source"), F.lit(""), (("#00000001", "tech"),))
-    found = articles(spark, d).withColumn("c", classify.classify_by_categories(F.col("feed_categories"))).select(classify.classify_section(F.col("c"), kw, kc, hint).alias("x"))
-    return found.groupBy("x.section").agg(F.count("*").alias("n"))
+    fallback = F.when(F.endswith("source", F.lit("2")), "climate").otherwise("others")
+    found = articles(spark, d).select(classify.classify_section(said(category, F.lit(0.9)), keyword, hinted, hint, fallback).alias("x"))
+    return found.groupBy("x.section", "x.confidence").agg(F.count("*").alias("n"))
 
 
-EVIDENCE = f"""ev AS (SELECT DISTINCT url, 'stored' AS kind, primary_section AS section FROM articles UNION SELECT url, 'feed_category', {MAPPED.format('c')} FROM (SELECT url, unnest(feed_categories) AS c FROM articles) UNION SELECT url, 'title', 'arts' FROM articles WHERE title_original LIKE '%ring%')"""
+EVIDENCE = f"""ev AS (SELECT DISTINCT url, 'stored' AS kind, primary_section AS section FROM articles UNION SELECT url, 'feed_category', {MAPPED.format('c')} FROM (SELECT url, unnest(feed_categories) AS c FROM articles) UNION SELECT url, 'title', 'arts' FROM articles WHERE title_original LIKE '%ring%' UNION SELECT url, 'override', 'others' FROM articles WHERE source LIKE '%5')"""
 
 
-@query("c5_build_taxonomy", f"""{BASE}, {EVIDENCE}, s AS (SELECT url, section, least(round(sum(CASE kind WHEN 'stored' THEN 0.1 WHEN 'feed_category' THEN 0.55 ELSE 0.35 END), 4), 1.0) AS score FROM ev WHERE section IS NOT NULL GROUP BY 1, 2),
-o AS (SELECT *, list_position(['world', 'politics', 'conflicts', 'business', 'tech', 'sports', 'health', 'entertainment', 'lifestyle', 'arts', 'science', 'climate', 'others'], section) AS rank FROM s)
-SELECT url, arg_min(section, (-score, rank)) AS primary_section, string_agg(section, ',' ORDER BY score DESC, rank) AS sections, CAST(max(score) AS DOUBLE) AS top_score FROM o GROUP BY 1""")
+@query("c5_build_taxonomy", f"""{BASE}, {EVIDENCE}, s AS (SELECT url, section, least(round(sum(CASE kind WHEN 'override' THEN 0.95 WHEN 'stored' THEN 0.1 WHEN 'feed_category' THEN 0.55 ELSE 0.35 END), 2), 1.0) AS score FROM ev WHERE section IS NOT NULL AND (section <> 'others' OR kind = 'override') GROUP BY 1, 2),
+o AS (SELECT *, list_position(['world', 'politics', 'conflicts', 'business', 'tech', 'sports', 'health', 'entertainment', 'lifestyle', 'arts', 'science', 'climate', 'others'], section) AS rank, CASE section WHEN 'politics' THEN 0.7 WHEN 'tech' THEN 0.7 WHEN 'business' THEN 0.65 WHEN 'conflicts' THEN 0.65 WHEN 'sports' THEN 0.65 WHEN 'health' THEN 0.65 WHEN 'entertainment' THEN 0.65 WHEN 'arts' THEN 0.6 WHEN 'lifestyle' THEN 0.55 END AS enough FROM s),
+g AS (SELECT url, arg_min(section, (-score, rank)) AS top, arg_min(section, (-score, rank)) FILTER (score >= enough) AS recovered, string_agg(section, ',' ORDER BY score DESC, rank) AS sections, CAST(max(score) AS DOUBLE) AS top_score FROM o GROUP BY 1)
+SELECT u.url, CASE WHEN top = 'others' THEN coalesce(recovered, 'others') ELSE coalesce(top, 'others') END AS primary_section, coalesce(sections, 'others') AS sections, coalesce(top_score, 1.0) AS top_score FROM (SELECT DISTINCT url FROM articles) u LEFT JOIN g ON g.url = u.url""")
 def c5(spark: SparkSession, d: str) -> DataFrame:
     a = articles(spark, d)
     stored = a.select("url", F.lit("stored").alias("kind"), F.col("primary_section").alias("section"))
-    cats = a.select("url", F.lit("feed_category").alias("kind"), F.explode(F.transform("feed_categories", lambda c: classify.map_category(c))).alias("section"))
+    cats = a.select("url", F.lit("feed_category").alias("kind"), F.explode(F.transform("feed_categories", lambda c: classify.map_category(c, EXACT, PARTS))).alias("section"))
     title = a.where(F.contains("title_original", F.lit("ring"))).select("url", F.lit("title").alias("kind"), F.lit("arts").alias("section"))
-    out = classify.build_taxonomy(stored.union(cats).union(title).distinct(), "url")
+    override = a.where(F.endswith("source", F.lit("5"))).select("url", F.lit("override").alias("kind"), F.lit("others").alias("section"))
+    out = classify.build_taxonomy(stored.union(cats).union(title).union(override).distinct(), "url")
     return out.select("url", "primary_section", F.array_join("sections", ",").alias("sections"), F.col("section_candidates")[0].score.alias("top_score"))
 
 
-@query("c6_detect_topics", f"""{BASE}, t AS (SELECT primary_section AS section, title_original AS title, string_split(title_original, ' ') AS w FROM articles),
-x AS (SELECT section, title, CASE section WHEN 'sports' THEN len(list_intersect(list_distinct(w), ['steel', 'copper', 'ring', 'bolt'])) WHEN 'world' THEN len(list_intersect(list_distinct(w), ['widget', 'gear', 'nut'])) WHEN 'others' THEN len(list_intersect(list_distinct(w), ['red', 'blue', 'green', 'small'])) ELSE 0 END AS hits FROM t)
-SELECT section, CASE WHEN hits > 0 THEN CASE section WHEN 'sports' THEN 'materials' WHEN 'world' THEN 'goods' ELSE 'colours' END END AS primary_topic, CASE WHEN hits > 0 THEN CAST(least(0.6 + 0.15 * (hits - 1), 1.0) AS DOUBLE) END AS score, count(*) AS n FROM x GROUP BY 1, 2, 3""")
+#: Topics over the titles of the article view, by section.
+TOPICS = (("sports", "materials", "steel"), ("sports", "materials", "copper"), ("sports", "materials", "ring"), ("sports", "fittings", "ring"), ("sports", "fittings", "bolt"), ("world", "goods", "widget"), ("world", "goods", "gear"), ("world", "goods", "steel ring"), ("others", "colours", "red"), ("others", "colours", "blue"), ("others", "colours", "green"), ("others", "colours", "small"))
+TOPIC_ROWS = ", ".join(f"('{s}', '{t}', '{w}')" for s, t, w in TOPICS)
+
+
+def _topics(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(TOPICS, SCHEMAS["topics"])
+
+
+@query("c6_detect_topics", f"""{BASE}, r(section, label, keyword) AS (VALUES {TOPIC_ROWS}), t AS (SELECT DISTINCT primary_section || '|' || title_original AS id, primary_section AS section, title_original AS title FROM articles),
+h AS (SELECT id, label, CAST(least(round(0.6 + 0.15 * (count(*) - 1), 2), 1.0) AS DOUBLE) AS score FROM t JOIN r ON r.section = t.section AND contains(' ' || title || ' ', ' ' || keyword || ' ') GROUP BY 1, 2)
+SELECT id, arg_min(label, (-score, label)) AS primary_topic, string_agg(label || '=' || score, ',' ORDER BY score DESC, label) AS topics FROM h GROUP BY 1""")
 def c6(spark: SparkSession, d: str) -> DataFrame:
-    a = articles(spark, d).select(F.col("primary_section").alias("section"), "title_original")
-    out = classify.detect_topics(a, "section", F.col("title_original"))
-    return out.groupBy("section", "primary_topic", F.get(F.col("topics"), 0).score.alias("score")).agg(F.count("*").alias("n"))
+    rows = articles(spark, d).select(F.concat_ws("|", "primary_section", "title_original").alias("id"), F.col("primary_section").alias("section"), "title_original").distinct()
+    out = classify.detect_topics(rows, "id", "section", fold_text("title_original"), _topics(spark))
+    return out.select("id", "primary_topic", F.array_join(F.transform("topics", lambda t: F.concat_ws("=", t.label, t.score.cast("string"))), ",").alias("topics"))
 
 
 @query("c7_structured_hint", "SELECT page_id, CASE WHEN contains(lower(url), 'sport') THEN 'sports' WHEN contains(lower(url), 'health') THEN 'health' WHEN contains(lower(url), '/en/') THEN 'world' END AS hint FROM pages")
 def c7(spark: SparkSession, d: str) -> DataFrame:
-    return pages(spark, d).select("page_id", classify.structured_hint(F.lit("outlet"), F.col("url")).alias("hint"))
+    return pages(spark, d).select("page_id", classify.structured_hint(F.lit("outlet"), F.col("url"), HINTS).alias("hint"))
+
+
+PLACES = ((1, "steel ring", "Ringtown", "NATION_1", 10.5, 20.5), (2, "red", "Redford", "NATION_2", 11.5, 21.5), (3, "bolt", "Bolton", "NATION_3", 12.5, 22.5))
+ALIASES = ((1, "blue", "NATION_3"), (2, "gear", "NATION_5"))
+SOURCE_HINTS = (("#00000001", "economy", "NATION_7"), ("#00000001", "promo", None), ("#00000002", "small", "NATION_5"))
 
 
-@query("c8_infer_geo", f"""{BASE}, p(priority, keyword, geo, lat, lon) AS (VALUES (1, 'ring', 'NATION_1', 10.5, 20.5), (2, 'red', 'NATION_2', 11.5, 21.5), (3, 'bolt', 'NATION_3', 12.5, 22.5)), k AS (SELECT DISTINCT title_original, country FROM articles),
-m AS (SELECT title_original, arg_min(geo, priority) AS geo, CAST(arg_min(lat, priority) AS DOUBLE) AS lat FROM (SELECT DISTINCT title_original FROM k) JOIN p ON list_contains(string_split(title_original, ' '), keyword) GROUP BY 1)
-SELECT k.title_original, country, coalesce(geo, country) AS geo_country, lat FROM k LEFT JOIN m ON m.title_original = k.title_original""")
+@query("c8_infer_geo", f"""{BASE}, p(priority, keyword, name, geo, lat, lon) AS (VALUES (1, 'steel ring', 'Ringtown', 'NATION_1', 10.5, 20.5), (2, 'red', 'Redford', 'NATION_2', 11.5, 21.5), (3, 'bolt', 'Bolton', 'NATION_3', 12.5, 22.5)), al(priority, keyword, geo) AS (VALUES (1, 'blue', 'NATION_3'), (2, 'gear', 'NATION_5')), ct(geo, lat, lon) AS (VALUES ('NATION_5', 1.0, 2.0), ('NATION_7', 3.0, 4.0), ('NATION_8', 5.0, 6.0)),
+k AS (SELECT DISTINCT title_original, country, source, string_split(trim({PATH}, '/'), '/')[1] AS seg FROM articles), tt AS (SELECT DISTINCT title_original FROM k),
+h AS (SELECT title_original, arg_min(name, priority) AS hub, arg_min(geo, priority) AS hub_country FROM tt JOIN p ON contains(' ' || title_original || ' ', ' ' || keyword || ' ') GROUP BY 1), a AS (SELECT title_original, arg_min(geo, priority) AS alias_country FROM tt JOIN al ON contains(' ' || title_original || ' ', ' ' || keyword || ' ') GROUP BY 1),
+x AS (SELECT k.*, hub, hub_country, alias_country, CASE WHEN contains(source, '#00000001') AND seg IN ('economy', 'promo') OR contains(source, '#00000002') AND seg = 'small' THEN TRUE ELSE FALSE END AS hinted, CASE WHEN contains(source, '#00000001') AND seg = 'economy' THEN 'NATION_7' WHEN contains(source, '#00000002') AND seg = 'small' THEN 'NATION_5' END AS hint_country FROM k LEFT JOIN h ON h.title_original = k.title_original LEFT JOIN a ON a.title_original = k.title_original),
+y AS (SELECT *, CASE WHEN hub IS NOT NULL THEN hub_country WHEN alias_country IS NOT NULL THEN alias_country WHEN hinted THEN hint_country ELSE country END AS geo_country, CASE WHEN hub IS NOT NULL THEN 'place' WHEN alias_country IS NOT NULL THEN 'country' WHEN hinted THEN 'hint' ELSE 'fallback' END AS decided_by FROM x)
+SELECT geo_country, coalesce(hub, geo_country) AS location, decided_by, CAST(coalesce(CASE WHEN hub IS NOT NULL THEN p.lat END, ct.lat, p2.lat) AS DOUBLE) AS lat, count(*) AS n FROM y LEFT JOIN p ON p.name = hub LEFT JOIN ct ON ct.geo = geo_country LEFT JOIN p p2 ON p2.geo = geo_country GROUP BY 1, 2, 3, 4""")
 def c8(spark: SparkSession, d: str) -> DataFrame:
-    places = spark.createDataFrame([(1, "ring", "NATION_1", 10.5, 20.5), (2, "red", "NATION_2", 11.5, 21.5), (3, "bolt", "NATION_3", 12.5, 22.5)], "priority int, keyword string, country string, lat double, lon double")
-    rows = articles(spark, d).select("title_original", "country").distinct()
-    keyed = rows.withColumn("id", F.concat_ws("|", "title_original", "country"))
-    return classify.infer_geo(keyed, "id", F.col("title_original"), places, "country").select("title_original", "country", "geo_country", "lat")
+    segment = F.get(F.split(F.trim(F.regexp_extract("url", r"^[a-zA-Z]+://[^/?#]*([^?#]*)", 1), F.lit("/")), "/"), 0)
+    rows = articles(spark, d).select("title_original", "country", "source", segment.alias("seg")).distinct()
+    keyed = rows.select(F.concat_ws("|", "title_original", "country", "source", "seg").alias("id"), "title_original", "country", "source", F.concat(F.lit("https://a.example.com/"), "seg", F.lit("/x")).alias("url"))
+    made = lambda rows, kind: spark.createDataFrame(rows, SCHEMAS[kind])
+    countries = made([("NATION_5", 1.0, 2.0), ("NATION_7", 3.0, 4.0), ("NATION_8", 5.0, 6.0)], "countries")
+    hints = made([(part.lower(), segment, country) for part, segment, country in SOURCE_HINTS], "source_hints")
+    found = classify.infer_geo(keyed, "id", fold_text("title_original"), made(PLACES, "places"), made(ALIASES, "aliases"), countries, "country", hints)
+    return found.groupBy("geo_country", "location", "decided_by", "lat").agg(F.count("*").alias("n"))
 
 
 @query("c9_resolve_publisher", """WITH s AS (SELECT s_name AS source, n_name AS country FROM supplier JOIN nation ON s_nationkey = n_nationkey), r(rule_no, kind, pattern, nation, publisher) AS (VALUES (1, 'exact', 'supplier#000000003', NULL, 'Three Group'), (2, 'prefix', 'supplier#00000001', NULL, 'Ten Media'), (3, 'contains', '5', 'NATION_1', 'Five Press'), (4, 'contains', '7', NULL, 'Seven Press')),
@@ -359,22 +447,37 @@ def c14(spark: SparkSession, d: str) -> DataFrame:
 
 @query("c15_path_segments", f"{BASE}, s AS (SELECT source, string_split(trim({PATH}, '/'), '/')[1] AS segment FROM articles) SELECT source, segment, {MAPPED.format('segment')} AS section, count(*) AS n FROM s WHERE {MAPPED.format('segment')} IS NOT NULL GROUP BY 1, 2, 3 HAVING count(*) >= 20")
 def c15(spark: SparkSession, d: str) -> DataFrame:
-    return classify.path_segment_categories(articles(spark, d))
+    return classify.path_segment_categories(articles(spark, d), EXACT, PARTS)
 
 
-@query("c16_lexical_categories", f"{BASE}, k AS (SELECT DISTINCT url, source FROM articles), x AS (SELECT url, source, string_split(trim({PATH}, '/'), '/')[1] AS seg, right(source, 1) AS tag FROM k) SELECT url, source, CASE WHEN seg IN ('economy', 'promo') THEN seg || ',' ELSE '' END || 'desk ' || tag AS categories FROM x")
+@query("c16_lexical_categories", f"""{BASE}, k AS (SELECT DISTINCT url, source, primary_topic FROM articles), x AS (SELECT url, source, primary_topic, string_split(trim({PATH}, '/'), '/')[1] AS seg, right(source, 1) AS tag FROM k)
+SELECT url, source, coalesce(primary_topic, '') AS topic, CASE WHEN seg NOT IN ('economy', 'promo') AND tag NOT IN ('1', '2', '3') THEN coalesce(lower(primary_topic), '') ELSE rtrim(CASE WHEN seg IN ('economy', 'promo') THEN seg || ',' ELSE '' END || CASE WHEN tag IN ('2', '3') THEN 'deep,' ELSE '' END || CASE WHEN tag IN ('1', '2') THEN 'desk ' || tag ELSE '' END, ',') END AS categories FROM x""")
 def c16(spark: SparkSession, d: str) -> DataFrame:
-    rows = articles(spark, d).select("url", "source").distinct()
-    label = F.concat("source", F.lit(" [Desk "), F.right("source", F.lit(1)), F.lit("]"))
-    return rows.select("url", "source", F.array_join(classify.lexical_categories(F.col("url"), label, ("economy", "promo")), ",").alias("categories"))
+    rows = articles(spark, d).select("url", "source", F.coalesce("primary_topic", F.lit("")).alias("topic")).distinct()
+    tag = F.right("source", F.lit(1))
+    label = F.when(tag.isin("1", "2"), F.concat("source", F.lit(" [Desk "), tag, F.lit("]"))).otherwise(F.col("source"))
+    found = classify.lexical_categories(F.col("url"), label, ("economy", "promo"), ((r"[23]( \[|$)", "deep"),), F.array("topic"))
+    return rows.select("url", "source", "topic", F.array_join(found, ",").alias("categories"))
 
 
-@query("c17_to_reclassify", f"{BASE} SELECT primary_section, count(*) AS n FROM articles WHERE len(feed_categories) = 0 OR source LIKE '%9' GROUP BY 1")
+@query("c17_to_reclassify", f"{BASE} SELECT primary_section, count(*) AS n FROM articles WHERE publication_datetime >= {AT} - INTERVAL 20 DAY AND created_at >= {AT} - INTERVAL 400 HOUR AND len(feed_categories) > 0 AND source <> 'Supplier#000000003' AND primary_section = 'world' AND list_has_any(feed_categories, ['Brand#11', 'Brand#12', 'Brand#13', 'Brand#22']) GROUP BY 1")
 def c17(spark: SparkSession, d: str) -> DataFrame:
-    return classify.to_reclassify(articles(spark, d), F.endswith("source", F.lit("9"))).groupBy("primary_section").agg(F.count("*").alias("n"))
+    a = articles(spark, d).where("source <> 'Supplier#000000003'")
+    return classify.to_reclassify(a, AS_OF, 20, True, 400, "world", (), ("Brand#11", "Brand#12", "Brand#13", "Brand#22")).groupBy("primary_section").agg(F.count("*").alias("n"))
+
+
+@query("c17_reclassified", f"""{BASE}, p AS (SELECT external_id, arg_min(primary_section, (title_original, url)) AS stored, arg_min(title_original, (title_original, url)) AS title FROM articles WHERE publication_datetime >= {AT} - INTERVAL 25 DAY AND len(feed_categories) = 0 GROUP BY 1), r(section, label, keyword) AS (VALUES {TOPIC_ROWS}),
+e AS (SELECT external_id, stored AS section, 0.1 AS w FROM p WHERE stored <> 'others' UNION ALL SELECT external_id, CASE WHEN contains(' ' || title || ' ', ' ring ') THEN 'arts' ELSE 'science' END, 0.35 FROM p WHERE contains(' ' || title || ' ', ' ring ') OR contains(' ' || title || ' ', ' red ')), s AS (SELECT external_id, section, round(sum(w), 2) AS score, list_position(['world', 'politics', 'conflicts', 'business', 'tech', 'sports', 'health', 'entertainment', 'lifestyle', 'arts', 'science', 'climate', 'others'], section) AS rank FROM e GROUP BY 1, 2),
+g AS (SELECT external_id, arg_min(section, (-score, rank)) AS primary_section, string_agg(section, ',' ORDER BY score DESC, rank) AS sections FROM s GROUP BY 1), q AS (SELECT p.external_id, p.title, coalesce(primary_section, 'others') AS primary_section, coalesce(sections, 'others') AS sections FROM p LEFT JOIN g ON g.external_id = p.external_id),
+h AS (SELECT external_id, label, least(round(0.6 + 0.15 * (count(*) - 1), 2), 1.0) AS score FROM q JOIN r ON r.section = q.primary_section AND contains(' ' || title || ' ', ' ' || keyword || ' ') GROUP BY 1, 2), t AS (SELECT external_id, arg_min(label, (-score, label)) AS primary_topic FROM h GROUP BY 1)
+SELECT q.external_id, primary_section, sections, primary_topic FROM q LEFT JOIN t ON t.external_id = q.external_id""")
+def c17r(spark: SparkSession, d: str) -> DataFrame:
+    rows = classify.to_reclassify(articles(spark, d), AS_OF, 25)
+    out = classify.reclassified(rows, EXACT, PARTS, classify.keyword_table(spark, TITLE_RULES), _topics(spark))
+    return out.select("external_id", "primary_section", F.array_join("sections", ",").alias("sections"), "primary_topic")
 
 
-LIFT = "it AS (SELECT DISTINCT n_name AS network, s_name AS candidate, 'https://x/' || (l_partkey % 400) AS link FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey WHERE l_linenumber = 2), cu AS (SELECT DISTINCT 'https://x/' || (l_partkey % 97) AS link FROM lineitem)"
+LIFT = "it AS (SELECT DISTINCT n_name AS network, s_name AS candidate, 'https://x/' || l_partkey AS link FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey), cu AS (SELECT DISTINCT 'https://x/' || l_partkey AS link FROM lineitem WHERE l_partkey % 5 = 0)"
 
 
 @query("a35_candidate_totals", f"WITH {LIFT} SELECT network, candidate, count(*) AS n_links, count(*) FILTER (link IN (SELECT link FROM cu)) AS overlap, count(*) FILTER (link NOT IN (SELECT link FROM cu)) AS new_links FROM it GROUP BY 1, 2")
@@ -384,12 +487,16 @@ def a35(spark: SparkSession, d: str) -> DataFrame:
 
 def _lift(spark: SparkSession, d: str) -> DataFrame:
     li, s, n = (table(spark, d, t) for t in ("lineitem", "supplier", "nation"))
-    link = lambda m: F.concat(F.lit("https://x/"), (F.col("l_partkey") % m).cast("string")).alias("link")
-    items = li.where("l_linenumber = 2").join(s, F.col("l_suppkey") == F.col("s_suppkey")).join(n, F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("n_name").alias("network"), F.col("s_name").alias("candidate"), link(400))
-    return compare.candidate_lift(items, li.select(link(97)))
+    link = F.concat(F.lit("https://x/"), F.col("l_partkey").cast("string")).alias("link")
+    items = li.join(s, F.col("l_suppkey") == F.col("s_suppkey")).join(n, F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("n_name").alias("network"), F.col("s_name").alias("candidate"), link)
+    return compare.candidate_lift(items, li.where("l_partkey % 5 = 0").select(link))
 
 
-@query("a35_candidate_lift")
+@query("a35_candidate_lift", f"""WITH RECURSIVE {LIFT}, nw AS (SELECT network, link, list(candidate) AS who FROM it WHERE link NOT IN (SELECT link FROM cu) GROUP BY 1, 2), pt AS (SELECT network, list_sort(who) AS who, count(*) AS n FROM nw GROUP BY 1, 2), cd AS (SELECT DISTINCT network, unnest(who) AS candidate FROM pt),
+g AS (SELECT network, 0 AS place, CAST(NULL AS VARCHAR) AS candidate, CAST(0 AS BIGINT) AS lift, CAST([] AS VARCHAR[]) AS chosen FROM (SELECT DISTINCT network FROM cd) UNION ALL
+  SELECT network, place, candidate, lift, list_append(chosen, candidate) FROM (SELECT g.network, g.place + 1 AS place, cd.candidate, g.chosen, CAST(coalesce(sum(CASE WHEN list_contains(pt.who, cd.candidate) AND NOT list_has_any(pt.who, g.chosen) THEN pt.n ELSE 0 END), 0) AS BIGINT) AS lift, row_number() OVER (PARTITION BY g.network ORDER BY coalesce(sum(CASE WHEN list_contains(pt.who, cd.candidate) AND NOT list_has_any(pt.who, g.chosen) THEN pt.n ELSE 0 END), 0) DESC, cd.candidate) AS k FROM g JOIN cd ON cd.network = g.network AND NOT list_contains(g.chosen, cd.candidate) JOIN pt ON pt.network = g.network GROUP BY g.network, g.place, cd.candidate, g.chosen) WHERE k = 1),
+tt AS (SELECT network, candidate, count(*) AS n_links, count(*) FILTER (link IN (SELECT link FROM cu)) AS overlap, count(*) FILTER (link NOT IN (SELECT link FROM cu)) AS new_links FROM it GROUP BY 1, 2)
+SELECT tt.network, tt.candidate, n_links, overlap, new_links, CAST(place AS BIGINT) AS place, coalesce(lift, 0) AS lift FROM tt LEFT JOIN g ON g.network = tt.network AND g.candidate = tt.candidate""")
 def a35l(spark: SparkSession, d: str) -> DataFrame:
     return _lift(spark, d)
 
