@@ -164,57 +164,127 @@ def outlet_schedule(outlets: DataFrame, counts: DataFrame, hour: int, head_least
     return out.select("outlet_id", "source", "n", slot.alias("slot"), tier.alias("tier"))
 
 
-POLICY = "outlet_id long, status string, consecutive_failures long, last_status_code int, disabled_until timestamp_ntz, updated_at timestamp_ntz"
+POLICY = "outlet_id long, status string, reason string, consecutive_failures long, last_status_code int, disabled_until timestamp_ntz, updated_at timestamp_ntz"
+NEW_POLICY = {"status": "active", "reason": None, "consecutive_failures": 0, "last_status_code": None, "disabled_until": None, "updated_at": None}
+#: Failures in a row that pause a sitemap, 404s in a row that end it, days of a pause and until an ended one is looked at again.
+PAUSE_AFTER, GONE_AFTER, PAUSE_DAYS, RECHECK_DAYS = 2, 3, 7, 30
+
+
+def failure_reason(status: Column, error: Column) -> Column:
+    """What kind of failure a check met; null where neither status nor error tells."""
+    text = F.lower(F.coalesce(error, F.lit("")))
+    return (
+        F.when(status == 410, "http_410").when(status.isin(301, 308) | text.contains("permanent_moved") | text.contains("moved permanently"), "permanent_moved").when((status == 404) | (text == "http_404"), "http_404")
+        .when(status.isin(403, 500, 502, 503, 504), F.concat(F.lit("http_"), status.cast("string"))).when(text.contains("timeout") | text.contains("timed out"), "timeout").when(text.contains("network_error") | text.contains("abort"), "network_error")
+    )
 
 
-def policy_step(state: dict, row, after: int = 3, pause_hours: int = 24) -> dict:
-    """One check's effect on a sitemap's policy. A success resets; gone or moved for good disables; other failures pause it after some."""
-    status, failures, until = state["status"], state["consecutive_failures"], state["disabled_until"]
-    if row.ok:
-        status, failures, until = "active", 0, None
-    else:
-        failures += 1
-        if status == "disabled_permanent" or row.status_code in (410, 301, 308):
-            status, until = "disabled_permanent", None
-        elif failures >= after:
-            status, until = "disabled_temporary", row.ran_at + pd.Timedelta(hours=pause_hours)
-    return {"status": status, "consecutive_failures": failures, "last_status_code": int(row.status_code), "disabled_until": until, "updated_at": row.ran_at}
+def policy_rows(runs: DataFrame, twins: DataFrame | None = None) -> DataFrame:
+    """The checks of sitemaps as the policy reads them: reason of a failure, and whether a twin of the outlet (``twins``: outlet_id) works."""
+    rows = runs.where(F.col("attempted") & (F.col("method") == "sitemap"))
+    rows = rows.select("outlet_id", "id", "ran_at", F.coalesce("ok", F.lit(False)).alias("ok"), F.col("status_code").cast("int").alias("status_code"), failure_reason(F.col("status_code"), F.col("error")).alias("failure"))
+    if twins is None:
+        return rows.withColumn("twin", F.lit(False))
+    return rows.join(twins.select("outlet_id", F.lit(True).alias("twin")).distinct(), "outlet_id", "left").withColumn("twin", F.coalesce("twin", F.lit(False)))
+
+
+def living_twins(runs: DataFrame) -> DataFrame:
+    """Outlets with another one of their source and country whose newest check of a sitemap worked."""
+    newest = latest(runs.where(F.col("attempted") & (F.col("method") == "sitemap")), ["source", "country", "outlet_id"], ["ok"])
+    alive = newest.groupBy("source", "country").agg(F.count_if(F.col("ok")).alias("n"))
+    return newest.join(alive, ["source", "country"]).where(F.col("n") > F.when(F.col("ok"), 1).otherwise(0)).select("outlet_id")
+
 
+def policy_step(state: dict, row) -> dict:
+    """One check's effect on a sitemap's policy.
 
-NEW_POLICY = {"status": "active", "consecutive_failures": 0, "last_status_code": None, "disabled_until": None, "updated_at": None}
+    A success resets it. What is gone or moved for good ends it, as does a 404 with a living twin or after ``GONE_AFTER``
+    failures; any other known failure pauses it from the ``PAUSE_AFTER``-th on; an unknown one only counts.
+    """
+    now = {**state, "consecutive_failures": state["consecutive_failures"] + 1, "updated_at": row.ran_at}
+    now["last_status_code"] = None if row.status_code is None or row.status_code != row.status_code else int(row.status_code)
+    if row.ok:
+        return {**NEW_POLICY, "last_status_code": now["last_status_code"], "updated_at": row.ran_at}
+    n = now["consecutive_failures"]
+    if row.failure in ("http_410", "permanent_moved") or row.failure == "http_404" and (row.twin or n >= GONE_AFTER):
+        return {**now, "status": "disabled_permanent", "reason": row.failure, "disabled_until": row.ran_at + pd.Timedelta(days=RECHECK_DAYS)}
+    if isinstance(row.failure, str) and n >= PAUSE_AFTER:
+        return {**now, "status": "disabled_temporary", "reason": row.failure, "disabled_until": row.ran_at + pd.Timedelta(days=PAUSE_DAYS)}
+    return now
 
 
 #: So many tasks share the checks of one outlet.
 SHARES = 16
 
 
-def sitemap_policy(runs: DataFrame, after: int = 3, pause_hours: int = 24) -> DataFrame:
-    """The policy of every outlet after all its sitemap checks, as policy_step folds them in order of time: what counts are the failures after the newest success."""
-    rows = runs.where(F.col("attempted") & (F.col("method") == "sitemap")).select("outlet_id", "id", "ran_at", F.coalesce("ok", F.lit(False)).alias("ok"), "status_code")
+def sitemap_policy(runs: DataFrame, twins: DataFrame | None = None) -> DataFrame:
+    """The policy of every outlet after all its sitemap checks, as policy_step folds them in order of time.
+
+    Only failures after the newest success count, and the last one that decides anything holds the status. Whether a
+    failure comes late enough needs its place in the streak only for the first ``GONE_AFTER`` failures: these are found as
+    the smallest of the streak, without sorting it.
+    """
+    rows = policy_rows(runs, twins)
     newest = F.struct("ran_at", "id")
-    last_ok = rows.groupBy("outlet_id").agg(F.max(F.when(F.col("ok"), newest)).alias("last_ok"))
     # an outlet's checks stay spread over tasks: each share meets a copy of its one row
     shared = rows.withColumn("share", F.pmod(F.xxhash64("id"), F.lit(SHARES)).cast("int"))
-    copies = last_ok.select("outlet_id", "last_ok", F.explode(F.sequence(F.lit(0), F.lit(SHARES - 1))).alias("share"))
-    failed = ~F.col("ok") & (F.col("last_ok").isNull() | (newest > F.col("last_ok")))
-    gone = F.col("status_code").isin(410, 301, 308)
-    per = shared.join(copies, ["outlet_id", "share"]).groupBy("outlet_id").agg(F.count_if(failed).alias("failures"), F.count_if(failed & gone).alias("gone"), F.max_by(F.struct("status_code", "ran_at"), newest).alias("x"))
-    paused = (F.col("gone") == 0) & (F.col("failures") >= after)
-    status = F.when(F.col("gone") > 0, "disabled_permanent").when(paused, "disabled_temporary").otherwise("active")
-    until = F.when(paused, F.col("x.ran_at") + F.expr(f"INTERVAL '{pause_hours}' HOUR"))
-    return per.select("outlet_id", status.alias("status"), F.col("failures").alias("consecutive_failures"), F.col("x.status_code").cast("int").alias("last_status_code"), until.alias("disabled_until"), F.col("x.ran_at").alias("updated_at"))
+    copies = F.explode(F.sequence(F.lit(0), F.lit(SHARES - 1))).alias("share")
+    last_ok = rows.groupBy("outlet_id").agg(F.max(F.when(F.col("ok"), newest)).alias("last_ok"))
+    marked = shared.join(last_ok.select("outlet_id", "last_ok", copies), ["outlet_id", "share"]).withColumn("failed", ~F.col("ok") & (F.col("last_ok").isNull() | (newest > F.col("last_ok"))))
+    first = _smallest(marked.where("failed").select("outlet_id", "share", newest.alias("at")), GONE_AFTER)
+    marked = marked.join(first.select("outlet_id", "places", copies), ["outlet_id", "share"], "left")
+    place = lambda n: F.get(F.col("places"), n - 1).isNotNull() & (newest >= F.get(F.col("places"), n - 1))
+    gone = F.col("failure").isin("http_410", "permanent_moved") | ((F.col("failure") == "http_404") & (F.col("twin") | place(GONE_AFTER)))
+    decides = F.when(F.coalesce(gone, F.lit(False)), "disabled_permanent").when(F.col("failure").isNotNull() & place(PAUSE_AFTER), "disabled_temporary")
+    marked = marked.withColumn("decides", F.when(F.col("failed"), decides))
+    per = marked.groupBy("outlet_id").agg(
+        F.count_if("failed").alias("failures"), F.max_by(F.struct("decides", "failure", "ran_at"), F.when(F.col("decides").isNotNull(), newest)).alias("d"), F.max_by(F.struct("status_code", "ran_at"), newest).alias("x"),
+    )
+    until = F.when(F.col("d.decides") == "disabled_permanent", F.col("d.ran_at") + F.expr(f"INTERVAL '{RECHECK_DAYS}' DAY")).when(F.col("d.decides").isNotNull(), F.col("d.ran_at") + F.expr(f"INTERVAL '{PAUSE_DAYS}' DAY"))
+    return per.select("outlet_id", F.coalesce("d.decides", F.lit("active")).alias("status"), F.when(F.col("d.decides").isNotNull(), F.col("d.failure")).alias("reason"), F.col("failures").alias("consecutive_failures"), F.col("x.status_code").alias("last_status_code"), until.alias("disabled_until"), F.col("x.ran_at").alias("updated_at"))
+
+
+def _smallest(rows: DataFrame, n: int) -> DataFrame:
+    """(outlet_id, places): the n smallest of each outlet, in order, by minima alone: each round looks past the one before."""
+    left, found = rows, None
+    for k in range(n):
+        low = left.groupBy("outlet_id").agg(F.min("at").alias(f"p{k}"))
+        found = low if found is None else found.join(low, "outlet_id", "left")
+        copies = low.select("outlet_id", f"p{k}", F.explode(F.sequence(F.lit(0), F.lit(SHARES - 1))).alias("share"))
+        left = left.join(copies, ["outlet_id", "share"]).where(F.col("at") > F.col(f"p{k}")).select("outlet_id", "share", "at")
+    return found.select("outlet_id", F.array(*(f"p{k}" for k in range(n))).alias("places"))
+
+
+#: Hours until a rate-limited endpoint without a date is tried again, and days between reviews.
+LIMITED_HOURS, REVIEW_DAYS = 6, 7
 
 
 def recovery_plan(runs: DataFrame, as_of: datetime) -> DataFrame:
-    """Per endpoint that fails now: cause, action, and when to try again: an hour doubled with each failure, at most 7 days; a host waits for its last endpoint."""
+    """Per endpoint that fails now: cause, action, whether a person must look, and when to try again; a host waits for its last endpoint.
+
+    What may pass is tried after an hour doubled with each failure, at most 7 days; what a person must look at after
+    ``REVIEW_DAYS``; a rate limit holds until the time the host gave (``retry_after_at``, where the log has it) but a minute
+    at least, else ``LIMITED_HOURS``.
+    """
     keys = ["outlet_id", "method", "url"]
-    last_ok = runs.groupBy(*keys).agg(F.max(F.when(F.col("ok"), F.struct(*NEWEST))).alias("last_ok"))
-    since_ok = runs.join(last_ok, keys).where(~F.col("ok") & F.col("attempted") & (F.col("last_ok").isNull() | (F.struct(*NEWEST) > F.col("last_ok"))))
-    per = since_ok.groupBy(*keys).agg(F.count("*").alias("failures"), F.max_by(F.struct("status_code", "ran_at"), F.struct(*NEWEST)).alias("x")).select(*keys, "failures", "x.*")
-    action = F.when(F.col("status_code").isin(404, 410), "replace").when(F.col("status_code").isin(401, 403, 451), "review_access").otherwise("retry")
-    wait = F.least(F.pow(F.lit(2.0), F.least(F.greatest(F.col("failures"), F.lit(1)), F.lit(8))), F.lit(168.0)).cast("int")
-    out = per.withColumns({"action": action, "host": host_of(F.col("url")), "wait_hours": wait.cast("long"), "retry_at": F.expr("ran_at + make_dt_interval(0, cast(least(pow(2, least(greatest(failures, 1), 8)), 168) as int))")})
-    return out.withColumn("host_until", F.max("retry_at").over(Window.partitionBy("host")))
+    rows = runs if "retry_after_at" in runs.columns else runs.withColumn("retry_after_at", F.lit(None).cast("timestamp_ntz"))
+    last_ok = rows.groupBy(*keys).agg(F.max(F.when(F.col("ok"), F.struct(*NEWEST))).alias("last_ok"))
+    since_ok = rows.join(last_ok, keys).where(~F.col("ok") & F.col("attempted") & (F.col("last_ok").isNull() | (F.struct(*NEWEST) > F.col("last_ok"))))
+    per = since_ok.groupBy(*keys).agg(F.count("*").alias("failures"), F.max_by(F.struct("status_code", "error", "retry_after_at", "ran_at"), F.struct(*NEWEST)).alias("x")).select(*keys, "failures", "x.*")
+    status, text = F.col("status_code"), F.lower(F.coalesce("error", F.lit("")))
+    category = (
+        F.when(status == 429, "rate_limited").when(status.isin(401, 402, 403, 451), "access_restricted").when(status.isin(404, 410), "missing_endpoint").when(status.between(500, 599), "server_error")
+        .when(text.contains("timeout") | text.contains("timed out") | text.contains("reset") | text.contains("refused"), "transport").when(status.isNotNull(), "other_http").otherwise("unresolved")
+    )
+    action = F.when(F.col("category") == "rate_limited", "wait_retry_after").when(F.col("category") == "access_restricted", "review_access").when(F.col("category") == "missing_endpoint", "review_replacement").when(F.col("category").isin("server_error", "transport"), "bounded_backoff").otherwise("review_response")
+    review = F.col("action").startswith("review")
+    backoff = F.expr("make_dt_interval(0, cast(least(pow(2, least(greatest(failures, 1), 8)), 168) as int))")
+    day = lambda n: F.expr(f"INTERVAL '{n}' DAY")
+    told = F.greatest(F.col("retry_after_at"), F.col("ran_at") + F.expr("INTERVAL '1' MINUTE"))
+    limited = F.when(F.col("retry_after_at").isNull(), F.col("ran_at") + F.expr(f"INTERVAL '{LIMITED_HOURS}' HOUR")).otherwise(told)
+    retry = F.when(F.col("category") == "rate_limited", limited).when(F.col("category") == "unresolved", F.col("ran_at") + day(1)).when(review, F.col("ran_at") + day(REVIEW_DAYS)).otherwise(F.col("ran_at") + backoff)
+    out = per.withColumn("category", category).withColumn("action", action).withColumns({"review": review, "host": host_of(F.col("url")), "retry_at": retry})
+    return out.select(*keys, "failures", "status_code", "ran_at", "category", "action", "review", "host", "retry_at").withColumn("host_until", F.max("retry_at").over(Window.partitionBy("host")))
 
 
 def latest_profiles(accounts: DataFrame, snapshots: DataFrame) -> DataFrame:

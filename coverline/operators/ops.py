@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from coverline.functions.columns import percent, since
+from coverline.functions.columns import at, percent, since
 
 
 def ops_summary(articles: DataFrame, runs: DataFrame, as_of: datetime, runs_as_of: datetime, top: int = 25) -> DataFrame:
@@ -25,6 +25,15 @@ def ops_rollup(runs: DataFrame, unit: str) -> DataFrame:
     )
 
 
+#: Of each mode of the report: the unit its counters are kept in and how many days back it goes.
+MODES = {"hourly": ("hour", 1), "daily": ("day", 1), "weekly": ("day", 7)}
+
+
+def ops_window(rollup: DataFrame, as_of: datetime, mode: str, days: int | None = None) -> DataFrame:
+    """The counters that a report of a mode looks at."""
+    return rollup.where(since("bucket", as_of, days=days or MODES[mode][1]) & (F.col("bucket") < at(as_of)))
+
+
 def ops_report(rollup: DataFrame, countries: DataFrame) -> DataFrame:
     """Totals, by method and by country in one pass; level tells which. ``countries`` has outlet_id and country."""
     rows = rollup.join(countries, "outlet_id", "left")
@@ -33,6 +42,28 @@ def ops_report(rollup: DataFrame, countries: DataFrame) -> DataFrame:
     return found.withColumn("failure_pct", percent(F.col("failures"), F.col("attempts")))
 
 
+def weekly_report(runs: DataFrame, countries: DataFrame, as_of: datetime, days: int = 7, top: int = 10) -> DataFrame:
+    """The week's report as rows of (part, place, key, attempts, failures, failure_pct): totals, methods in fixed order, countries and feeds by failures, and why checks failed, each reason's share of all failures."""
+    week = ops_window(ops_rollup(runs, MODES["weekly"][0]), as_of, "weekly", days)
+    sums = [F.sum(c).alias(c) for c in ("attempts", "failures")]
+    total = week.agg(*sums).select(F.lit("total").alias("part"), F.lit(1).alias("place"), F.when(F.col("failures") > 0, "degraded").otherwise("healthy").alias("key"), "attempts", "failures")
+    method = week.groupBy("method").agg(*sums).select(F.lit("method").alias("part"), F.array_position(F.array(F.lit("rss"), F.lit("sitemap")), F.col("method")).cast("int").alias("place"), F.col("method").alias("key"), "attempts", "failures")
+
+    def ranked(part: str, rows: DataFrame, order: list[Column]) -> DataFrame:
+        # a report's page is small: only its rows are numbered
+        page = rows.orderBy(*order).limit(top)
+        return page.select(F.lit(part).alias("part"), F.row_number().over(Window.orderBy(*order)).alias("place"), "key", "attempts", "failures")
+
+    by = [F.desc("failures"), F.desc("attempts"), F.col("key")]
+    country = ranked("country", week.join(countries, "outlet_id", "left").groupBy(F.coalesce("country", F.lit("(unknown)")).alias("key")).agg(*sums), by)
+    feed = ranked("feed", week.groupBy(F.concat_ws("/", F.col("outlet_id").cast("string"), "method").alias("key")).agg(*sums), by)
+    failed = runs.where(since("ran_at", as_of, days=days) & (F.col("ran_at") < at(as_of)) & F.col("attempted") & ~F.col("ok"))
+    why = failed.groupBy(F.concat_ws(":", "method", F.coalesce("error", F.lit("unknown"))).alias("key")).agg(F.count("*").alias("failures"))
+    reason = ranked("reason", why.withColumn("attempts", failed.agg(F.count("*")).scalar()), by)
+    rows = total.unionByName(method).unionByName(country).unionByName(feed).unionByName(reason)
+    return rows.withColumn("failure_pct", percent(F.col("failures"), F.col("attempts")))
+
+
 def top_failing(rollup: DataFrame, top: int = 10) -> DataFrame:
     per = rollup.groupBy("outlet_id", "method").agg(F.sum("attempts").alias("attempts"), F.sum("failures").alias("failures"))
     return per.withColumn("failure_pct", percent(F.col("failures"), F.col("attempts"))).orderBy(F.desc("failures"), F.desc("failure_pct"), "outlet_id", "method").limit(top)

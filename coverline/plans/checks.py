@@ -129,21 +129,35 @@ def h12(spark: SparkSession, d: str) -> DataFrame:
     return health.outlet_schedule(table(spark, d, "supplier").select(F.col("s_suppkey").alias("outlet_id"), F.col("s_name").alias("source")), counts, 8, 10, 8)
 
 
-@query("h13_sitemap_policy", f"""WITH RECURSIVE {RUNS}, r AS (SELECT *, row_number() OVER (PARTITION BY outlet_id ORDER BY ran_at, id) AS k FROM runs WHERE attempted AND method = 'sitemap'),
-f AS (SELECT outlet_id, k, CASE WHEN ok THEN 'active' WHEN status_code IN (410, 301, 308) THEN 'disabled_permanent' ELSE 'active' END AS status, CASE WHEN ok THEN 0 ELSE 1 END AS consecutive_failures, status_code AS last_status_code, CAST(NULL AS TIMESTAMP) AS disabled_until, ran_at AS updated_at FROM r WHERE k = 1
-  UNION ALL SELECT r.outlet_id, r.k, CASE WHEN ok THEN 'active' WHEN f.status = 'disabled_permanent' OR r.status_code IN (410, 301, 308) THEN 'disabled_permanent' WHEN f.consecutive_failures + 1 >= 3 THEN 'disabled_temporary' ELSE f.status END, CASE WHEN ok THEN 0 ELSE f.consecutive_failures + 1 END, r.status_code,
-    CASE WHEN ok OR f.status = 'disabled_permanent' OR r.status_code IN (410, 301, 308) THEN NULL WHEN f.consecutive_failures + 1 >= 3 THEN r.ran_at + INTERVAL 24 HOUR ELSE f.disabled_until END, r.ran_at FROM f JOIN r ON r.outlet_id = f.outlet_id AND r.k = f.k + 1)
-SELECT outlet_id, status, CAST(consecutive_failures AS BIGINT) AS consecutive_failures, last_status_code, disabled_until, updated_at FROM f WHERE k = (SELECT max(r.k) FROM r WHERE r.outlet_id = f.outlet_id)""")
+POLICY_SQL = """r AS (SELECT runs.*, coalesce(tw.outlet_id IS NOT NULL, FALSE) AS twin, CASE WHEN ok THEN NULL WHEN status_code = 410 THEN 'http_410' WHEN status_code = 404 THEN 'http_404' WHEN status_code IN (403, 500) THEN 'http_' || status_code WHEN error = 'timed out' THEN 'timeout' END AS failure, row_number() OVER (PARTITION BY runs.outlet_id ORDER BY ran_at, id) AS k FROM runs LEFT JOIN tw ON tw.outlet_id = runs.outlet_id WHERE attempted AND method = 'sitemap'),
+f AS (SELECT outlet_id, CAST(0 AS BIGINT) AS k, 'active' AS status, CAST(NULL AS VARCHAR) AS reason, CAST(0 AS BIGINT) AS consecutive_failures, CAST(NULL AS INTEGER) AS last_status_code, CAST(NULL AS TIMESTAMP) AS disabled_until, CAST(NULL AS TIMESTAMP) AS updated_at FROM (SELECT DISTINCT outlet_id FROM r) UNION ALL
+  SELECT r.outlet_id, r.k, CASE WHEN ok THEN 'active' WHEN gone THEN 'disabled_permanent' WHEN paused THEN 'disabled_temporary' ELSE status END, CASE WHEN ok THEN NULL WHEN gone OR paused THEN failure ELSE reason END, CASE WHEN ok THEN 0 ELSE consecutive_failures + 1 END, status_code, CASE WHEN ok THEN NULL WHEN gone THEN ran_at + INTERVAL 30 DAY WHEN paused THEN ran_at + INTERVAL 7 DAY ELSE disabled_until END, ran_at
+  FROM (SELECT r.*, f.status, f.reason, f.consecutive_failures, f.disabled_until, failure = 'http_410' OR (failure = 'http_404' AND (twin OR f.consecutive_failures + 1 >= 3)) AS gone, failure IS NOT NULL AND f.consecutive_failures + 1 >= 2 AS paused FROM f JOIN r ON r.outlet_id = f.outlet_id AND r.k = f.k + 1) r)
+SELECT outlet_id, status, reason, consecutive_failures, last_status_code, disabled_until, updated_at FROM f WHERE k = (SELECT max(r.k) FROM r WHERE r.outlet_id = f.outlet_id)"""
+NO_TWINS = "tw AS (SELECT CAST(NULL AS BIGINT) AS outlet_id WHERE FALSE)"
+TWINS = "nx AS (SELECT source, country, outlet_id, arg_max(ok, (ran_at, id)) AS ok FROM runs WHERE attempted AND method = 'sitemap' GROUP BY 1, 2, 3), tw AS (SELECT DISTINCT a.outlet_id FROM nx a JOIN nx b ON a.source = b.source AND a.country = b.country AND a.outlet_id <> b.outlet_id AND b.ok)"
+
+
+@query("h13_sitemap_policy", f"WITH RECURSIVE {RUNS}, {TWINS}, {POLICY_SQL}")
 def h13(spark: SparkSession, d: str) -> DataFrame:
-    return health.sitemap_policy(runs(spark, d))
+    r = runs(spark, d)
+    return health.sitemap_policy(r, health.living_twins(r))
+
+
+LIMITED = "lr AS (SELECT * REPLACE (CASE WHEN status_code = 500 AND id % 3 = 0 THEN 429 ELSE status_code END AS status_code), CASE WHEN id % 2 = 0 THEN ran_at + INTERVAL (id % 90) MINUTE END AS retry_after_at FROM runs)"
 
 
-@query("h14_recovery_plan", f"""{BASE}, r AS (SELECT *, max(CASE WHEN ok THEN 1 ELSE 0 END) OVER (PARTITION BY outlet_id, method, url ORDER BY ran_at DESC, id DESC) AS seen_ok FROM runs),
-p AS (SELECT outlet_id, method, url, count(*) AS failures, arg_max(status_code, (ran_at, id)) AS status_code, max(ran_at) AS ran_at FROM r WHERE attempted AND NOT ok AND seen_ok = 0 GROUP BY 1, 2, 3),
-q AS (SELECT *, CASE WHEN status_code IN (404, 410) THEN 'replace' WHEN status_code IN (401, 403, 451) THEN 'review_access' ELSE 'retry' END AS action, regexp_extract(url, '^https://([^/]*)', 1) AS host, CAST(least(pow(2, least(greatest(failures, 1), 8)), 168) AS BIGINT) AS wait_hours FROM p),
-t AS (SELECT *, ran_at + INTERVAL (wait_hours) HOUR AS retry_at FROM q) SELECT *, max(retry_at) OVER (PARTITION BY host) AS host_until FROM t""")
+@query("h14_recovery_plan", f"""{BASE}, {LIMITED}, r AS (SELECT *, max(CASE WHEN ok THEN 1 ELSE 0 END) OVER (PARTITION BY outlet_id, method, url ORDER BY ran_at DESC, id DESC) AS seen_ok FROM lr),
+p AS (SELECT outlet_id, method, url, count(*) AS failures, arg_max_null(status_code, (ran_at, id)) AS status_code, arg_max_null(retry_after_at, (ran_at, id)) AS told, max(ran_at) AS ran_at FROM r WHERE attempted AND NOT ok AND seen_ok = 0 GROUP BY 1, 2, 3),
+q AS (SELECT *, CASE WHEN status_code = 429 THEN 'rate_limited' WHEN status_code = 403 THEN 'access_restricted' WHEN status_code IN (404, 410) THEN 'missing_endpoint' WHEN status_code = 500 THEN 'server_error' ELSE 'transport' END AS category, regexp_extract(url, '^https://([^/]*)', 1) AS host FROM p),
+t AS (SELECT outlet_id, method, url, failures, status_code, ran_at, category, CASE category WHEN 'rate_limited' THEN 'wait_retry_after' WHEN 'access_restricted' THEN 'review_access' WHEN 'missing_endpoint' THEN 'review_replacement' ELSE 'bounded_backoff' END AS action, category IN ('access_restricted', 'missing_endpoint') AS review, host,
+  CASE WHEN category = 'rate_limited' THEN CASE WHEN told IS NULL THEN ran_at + INTERVAL 6 HOUR ELSE greatest(told, ran_at + INTERVAL 1 MINUTE) END WHEN category IN ('access_restricted', 'missing_endpoint') THEN ran_at + INTERVAL 7 DAY ELSE ran_at + INTERVAL (CAST(least(pow(2, least(greatest(failures, 1), 8)), 168) AS BIGINT)) HOUR END AS retry_at FROM q)
+SELECT *, max(retry_at) OVER (PARTITION BY host) AS host_until FROM t""")
 def h14(spark: SparkSession, d: str) -> DataFrame:
-    return health.recovery_plan(runs(spark, d), RUNS_AS_OF)
+    k = F.col("id")
+    limited = F.when((F.col("status_code") == 500) & (k % 3 == 0), 429).otherwise(F.col("status_code"))
+    told = F.when(k % 2 == 0, F.expr("ran_at + make_dt_interval(0, 0, cast(id % 90 as int))"))
+    return health.recovery_plan(runs(spark, d).withColumns({"status_code": limited, "retry_after_at": told}), RUNS_AS_OF)
 
 
 ACCOUNTS = "acc AS (SELECT c_custkey AS id, c_custkey // 3 AS person_id, CASE WHEN c_custkey % 2 = 0 THEN 'x' ELSE 'video' END AS platform, lower(c_name) AS handle, c_custkey % 4 = 0 AS is_primary FROM customer)"

@@ -338,6 +338,16 @@ def a29(spark: SparkSession, d: str) -> DataFrame:
     return ops.ops_report(ops.ops_rollup(r, "day"), r.groupBy("outlet_id").agg(F.min("country").alias("country")))
 
 
+@query("a29_weekly_report", f"""WITH {RUNS}, o AS (SELECT * FROM ({ROLLUP.format('day')}) WHERE bucket >= {RUNS_AT} - INTERVAL 7 DAY AND bucket < {RUNS_AT}), c AS (SELECT outlet_id, min(country) AS country FROM runs GROUP BY 1), w AS (SELECT o.*, coalesce(country, '(unknown)') AS country FROM o LEFT JOIN c ON c.outlet_id = o.outlet_id), fl AS (SELECT * FROM runs WHERE attempted AND NOT ok AND ran_at >= {RUNS_AT} - INTERVAL 7 DAY AND ran_at < {RUNS_AT}),
+k AS (SELECT 'country' AS part, country AS key, sum(attempts) AS attempts, sum(failures) AS failures FROM w GROUP BY 2 UNION ALL SELECT 'feed', outlet_id || '/' || method, sum(attempts), sum(failures) FROM w GROUP BY 2 UNION ALL SELECT 'reason', method || ':' || coalesce(error, 'unknown'), (SELECT count(*) FROM fl), count(*) FROM fl GROUP BY 2),
+r AS (SELECT part, CAST(row_number() OVER (PARTITION BY part ORDER BY failures DESC, attempts DESC, key) AS INTEGER) AS place, key, attempts, failures FROM k),
+t AS (SELECT 'total' AS part, 1 AS place, CASE WHEN sum(failures) > 0 THEN 'degraded' ELSE 'healthy' END AS key, sum(attempts) AS attempts, sum(failures) AS failures FROM w UNION ALL SELECT 'method', CASE method WHEN 'rss' THEN 1 ELSE 2 END, method, sum(attempts), sum(failures) FROM w GROUP BY 3, 2 UNION ALL SELECT * FROM r WHERE place <= 10)
+SELECT part, place, key, CAST(attempts AS BIGINT) AS attempts, CAST(failures AS BIGINT) AS failures, CAST(CASE WHEN attempts > 0 THEN floor((2 * failures * 100 + attempts) / (2 * attempts)) ELSE 0 END AS BIGINT) AS failure_pct FROM t""")
+def a29w(spark: SparkSession, d: str) -> DataFrame:
+    r = runs(spark, d)
+    return ops.weekly_report(r, r.groupBy("outlet_id").agg(F.min("country").alias("country")), RUNS_AS_OF)
+
+
 @query("a29_top_failing", f"WITH {RUNS}, o AS ({ROLLUP.format('day')}) SELECT outlet_id, method, {_sums('attempts', 'failures')}, {PCT} FROM o GROUP BY 1, 2 ORDER BY failures DESC, failure_pct DESC, outlet_id, method LIMIT 10")
 def a29t(spark: SparkSession, d: str) -> DataFrame:
     return ops.top_failing(ops.ops_rollup(runs(spark, d), "day"))

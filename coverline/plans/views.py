@@ -79,23 +79,23 @@ FEEDS = """feeds AS (
 
 
 def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The log of endpoint checks."""
+    """The log of endpoint checks; a check that timed out has no status."""
     e, n = table(spark, sf_dir, "events"), table(spark, sf_dir, "nation")
     ok = F.col("event_type").isin("click", "view", "purchase")
     status = F.when(ok, F.lit(200)).otherwise(F.element_at(F.array(*(F.lit(x) for x in (403, 404, 500, 410))), (F.col("event_id") % 4 + 1).cast("int")))
     rows = e.join(n.select("n_nationkey", "n_name"), F.col("user_id") % 25 == F.col("n_nationkey")).select(
         F.col("event_id").alias("id"), F.col("ts").cast("timestamp_ntz").alias("ran_at"), F.col("user_id").alias("outlet_id"), F.concat(F.lit("src-"), (F.col("user_id") % 50).cast("string")).alias("source"),
         F.when(F.col("event_id") % 3 == 0, "sitemap").otherwise("rss").alias("method"), F.col("n_name").alias("country"), (F.col("event_type") != "signup").alias("attempted"), ok.alias("ok"),
-        F.get_json_object("props", "$.k").cast("int").alias("fetched_count"), status.alias("status_code"), (F.col("value") * 10).cast("int").alias("response_ms"),
+        F.get_json_object("props", "$.k").cast("int").alias("fetched_count"), F.when(ok | (F.col("event_id") % 10 != 7), status).alias("status_code"), (F.col("value") * 10).cast("int").alias("response_ms"),
         F.expr("cast(ts as timestamp_ntz) - make_dt_interval(0, cast(floor(value) as int))").alias("newest_item_published_at"),
     )
-    return rows.withColumns({"error": F.when(~F.col("ok"), F.concat(F.lit("http_"), F.col("status_code").cast("string"))), "url": F.concat(F.lit("https://src-"), (F.col("outlet_id") % 50).cast("string"), F.lit(".example.com/"), F.col("method"), F.lit("/"), (F.col("outlet_id") % 7).cast("string"))})
+    return rows.withColumns({"error": F.when(~F.col("ok"), F.coalesce(F.concat(F.lit("http_"), F.col("status_code").cast("string")), F.lit("timed out"))), "url": F.concat(F.lit("https://src-"), (F.col("outlet_id") % 50).cast("string"), F.lit(".example.com/"), F.col("method"), F.lit("/"), (F.col("outlet_id") % 7).cast("string"))})
 
 
 RUNS = """runs AS (
-  SELECT *, CASE WHEN NOT ok THEN 'http_' || status_code END AS error, 'https://src-' || (outlet_id % 50) || '.example.com/' || method || '/' || (outlet_id % 7) AS url FROM (
+  SELECT *, CASE WHEN NOT ok THEN coalesce('http_' || status_code, 'timed out') END AS error, 'https://src-' || (outlet_id % 50) || '.example.com/' || method || '/' || (outlet_id % 7) AS url FROM (
   SELECT event_id AS id, ts AS ran_at, user_id AS outlet_id, 'src-' || (user_id % 50) AS source, CASE WHEN event_id % 3 = 0 THEN 'sitemap' ELSE 'rss' END AS method, n_name AS country,
     event_type <> 'signup' AS attempted, event_type IN ('click', 'view', 'purchase') AS ok, CAST(json_extract_string(props, '$.k') AS INTEGER) AS fetched_count,
-    CASE WHEN event_type IN ('click', 'view', 'purchase') THEN 200 ELSE [403, 404, 500, 410][event_id % 4 + 1] END AS status_code, CAST(trunc(value * 10) AS INTEGER) AS response_ms,
+    CASE WHEN event_type IN ('click', 'view', 'purchase') THEN 200 WHEN event_id % 10 <> 7 THEN [403, 404, 500, 410][event_id % 4 + 1] END AS status_code, CAST(trunc(value * 10) AS INTEGER) AS response_ms,
     ts - INTERVAL (CAST(floor(value) AS INTEGER)) HOUR AS newest_item_published_at
   FROM events JOIN nation ON user_id % 25 = n_nationkey))"""

@@ -13,7 +13,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import IntegerType, StructField, StructType
 
 from coverline.functions.columns import at
-from coverline.operators.health import NEW_POLICY, POLICY, policy_step
+from coverline.operators.health import NEW_POLICY, POLICY, policy_rows, policy_step
 
 
 def rollup(runs: DataFrame, unit: str = "1 hour", late: str | None = None) -> DataFrame:
@@ -42,24 +42,52 @@ def dedupe(items: DataFrame, late: str | None = None) -> DataFrame:
     return items.dropDuplicates(["external_id"])
 
 
-def policy_stream(runs: DataFrame) -> DataFrame:
-    """The sitemap policy of every outlet as keyed state; each batch gives the policies it changed."""
+def policy_stream(runs: DataFrame, twins: DataFrame | None = None) -> DataFrame:
+    """The sitemap policy of every outlet as keyed state; each batch gives the policies it changed.
+
+    A batch's checks of one outlet are put in order of time before they are folded, so they must fit a task; checks of
+    earlier batches never come back.
+    """
 
     def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         now = dict(NEW_POLICY)
         if state.exists:
-            status, failures, last, until, at_ = state.get
-            now = {"status": status, "consecutive_failures": failures, "last_status_code": last, "disabled_until": pd.Timestamp(until) if until else None, "updated_at": pd.Timestamp(at_) if at_ else None}
+            status, reason, failures, last, until, at_ = state.get
+            now = {"status": status, "reason": reason, "consecutive_failures": failures, "last_status_code": last, "disabled_until": pd.Timestamp(until) if until else None, "updated_at": pd.Timestamp(at_) if at_ else None}
         rows = pd.concat(list(batches)).sort_values(["ran_at", "id"])
         for row in rows.itertuples():
             now = policy_step(now, row)
         text = lambda t: t.isoformat() if t is not None else None
-        state.update((now["status"], now["consecutive_failures"], now["last_status_code"], text(now["disabled_until"]), text(now["updated_at"])))
-        yield pd.DataFrame([{"outlet_id": key[0], **now}]).astype({"disabled_until": "datetime64[us]", "updated_at": "datetime64[us]"})
+        state.update((now["status"], now["reason"], now["consecutive_failures"], now["last_status_code"], text(now["disabled_until"]), text(now["updated_at"])))
+        yield pd.DataFrame([{"outlet_id": key[0], **now}]).astype({"disabled_until": "datetime64[us]", "updated_at": "datetime64[us]", "last_status_code": "Int32"})
+
+    state = "status string, reason string, failures long, last int, until string, updated string"
+    return policy_rows(runs, twins).groupBy("outlet_id").applyInPandasWithState(update, POLICY, state, "update", GroupStateTimeout.NoTimeout)
+
+
+def new_items_stream(items: DataFrame, as_of: datetime, max_age_days: int = 14) -> DataFrame:
+    """``new_items`` over a stream of (id, outlet_id, method, published_at, last_publication_at): a feed's watermark is keyed state.
 
-    rows = runs.where(F.col("attempted") & (F.col("method") == "sitemap")).select("outlet_id", "id", "ran_at", "ok", "status_code")
-    state = "status string, failures long, last int, until string, updated string"
-    return rows.groupBy("outlet_id").applyInPandasWithState(update, POLICY, state, "update", GroupStateTimeout.NoTimeout)
+    A feed's first batch starts from the watermark that its rows bring (``last_publication_at``, null for none). Items of a
+    batch are held against the watermark before it, which then moves to the newest of them. Batches of rows stream past.
+    """
+    oldest = pd.Timestamp(as_of) - pd.Timedelta(days=max_age_days)
+
+    def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        mark = pd.Timestamp(state.get[0]) if state.exists and state.get[0] else None
+        after, first = mark, not state.exists
+        for rows in batches:
+            if first and mark is None and rows["last_publication_at"].notna().any():
+                mark = after = rows["last_publication_at"].max()
+            cut = oldest if mark is None else max(mark, oldest)
+            kept = rows[rows["published_at"].isna() | (rows["published_at"] > cut)]
+            newest = kept["published_at"].max()
+            after = after if pd.isna(newest) else newest if after is None else max(after, newest)
+            yield kept[["id", "outlet_id", "method", "published_at"]]
+        state.update((after.isoformat() if after is not None else None,))
+
+    out = "id long, outlet_id long, method string, published_at timestamp_ntz"
+    return items.groupBy("outlet_id", "method").applyInPandasWithState(update, out, "mark string", "append", GroupStateTimeout.NoTimeout)
 
 
 def backoff(runs: DataFrame, late: str | None = None, min_attempts: int = 3, min_fail_pct: int = 60) -> DataFrame:
@@ -70,19 +98,25 @@ def backoff(runs: DataFrame, late: str | None = None, min_attempts: int = 3, min
     return found.where((F.col("attempts") >= min_attempts) & (F.col("failures") * 100 >= min_fail_pct * F.col("attempts"))).select(F.col("window.start").alias("since"), "source", "method", "attempts", "failures")
 
 
-def benchmark_stream(articles: DataFrame, late: str | None = None) -> DataFrame:
-    """Live counts per country and hour of creation; exact snapshots are recomputed per batch from the table."""
+def benchmark_stream(articles: DataFrame, late: str | None = None, size: str = "1 hour", slide: str | None = None) -> DataFrame:
+    """Live counts per country and window of creation, tumbling or sliding (24 hours by one hour, say); exact snapshots are recomputed per batch from the table.
+
+    An article is late if it was published before the hour it was created in. Rows behind a stream's watermark are dropped;
+    ``drained`` counts them.
+    """
     rows = articles if late is None else articles.withWatermark("created_at", late)
     pub = F.least("publication_datetime", "created_at")
     hour = F.date_trunc("hour", "created_at").cast("timestamp_ntz")
-    found = rows.withColumns({"is_late": pub < hour}).groupBy(F.window("created_at", "1 hour"), "country").agg(F.count("*").alias("inserted"), F.count_if("is_late").alias("late"))
+    window = F.window("created_at", size) if slide is None else F.window("created_at", size, slide)
+    found = rows.withColumns({"is_late": pub < hour}).groupBy(window, "country").agg(F.count("*").alias("inserted"), F.count_if("is_late").alias("late"))
     return found.select(F.col("window.start").alias("bucket"), "country", "inserted", "late")
 
 
 def drained(spark: SparkSession, source: DataFrame, job: Callable[[DataFrame], DataFrame], mode: str, checkpoint: str) -> DataFrame:
     """Run a streaming job over all that its source holds now and return its table of results.
 
-    In update mode a key's rows of later batches follow its earlier ones; ``batch`` tells which.
+    In update mode a key's rows of later batches follow its earlier ones; ``batch`` tells which. How many rows came behind
+    the watermark and were dropped is in the table's ``dropped`` attribute.
     """
     out = f"{checkpoint}/out-{uuid.uuid4().hex}"
 
@@ -93,7 +127,9 @@ def drained(spark: SparkSession, source: DataFrame, job: Callable[[DataFrame], D
     running = frame.writeStream.outputMode(mode).option("checkpointLocation", f"{out}-state").trigger(availableNow=True).foreachBatch(write).start()
     running.awaitTermination()
     schema = StructType([*frame.schema.fields, StructField("batch", IntegerType())])
-    return spark.read.schema(schema).option("recursiveFileLookup", True).parquet(out)
+    found = spark.read.schema(schema).option("recursiveFileLookup", True).parquet(out)
+    found.dropped = sum(operator.numRowsDroppedByWatermark for progress in running.recentProgress for operator in progress.stateOperators)
+    return found
 
 
 def last_of(rows: DataFrame, keys: list[str]) -> DataFrame:

@@ -4,17 +4,17 @@ from __future__ import annotations
 
 import json
 import random
-from datetime import datetime
-from types import SimpleNamespace
+from datetime import datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
 
 from coverline.functions import columns, dates, titles, urls
-from coverline.operators import activity, benchmark, classify, health, merge
+from coverline.functions.folding import fold_text
+from coverline.operators import activity, benchmark, classify, compare, health, merge
 from coverline.plans import flows, texts
 from coverline.plans.views import AS_OF, articles, feeds, runs
-from coverline.sources import registry
+from coverline.sources import registry, rules
 from coverline.streaming import jobs
 
 
@@ -111,19 +111,28 @@ def test_streak_counts_back_from_the_newest_attempt(spark):
 
 
 def test_policy_folds_in_order_of_time(spark):
-    bad = lambda k, t, code: (k, t, 1, "sitemap", "u", True, False, code, "e")
-    rows = [bad(3, time(3), 404), bad(1, time(1), 500), bad(2, time(2), 500), (4, time(4), 2, "sitemap", "v", True, False, 410, "e"), (5, time(5), 2, "sitemap", "v", True, False, 500, "e"), bad(6, time(1), 500)]
-    got = {r.outlet_id: r for r in health.sitemap_policy(spark.createDataFrame(rows, R)).collect()}
-    assert got[1].status == "disabled_temporary" and got[1].consecutive_failures == 4 and got[1].disabled_until == time(4) and got[2].status == "disabled_permanent"
+    bad = lambda k, t, code, outlet=1, error="e": (k, t, outlet, "sitemap", "u", True, False, code, error)
+    rows = [bad(3, time(3), 404), bad(1, time(1), 500), bad(2, time(2), 500), bad(4, time(4), 410, 2), bad(5, time(5), 500, 2), bad(6, time(1), 500)]
+    rows += [bad(7, time(1), None, 3, "Timed out"), bad(8, time(2), None, 3, "timeout"), bad(9, time(1), 404, 4), bad(10, time(1), None, 5, "odd"), bad(11, time(2), None, 5, "odd"), bad(12, time(1), 404, 6)]
+    twins = spark.createDataFrame([(6,)], "outlet_id long")
+    got = {r.outlet_id: (r.status, r.reason, r.consecutive_failures, r.last_status_code, r.disabled_until) for r in health.sitemap_policy(spark.createDataFrame(rows, R), twins).collect()}
+    later = lambda day, days: time(day) + timedelta(days=days)
+    assert got == {
+        1: ("disabled_permanent", "http_404", 4, 404, later(3, 30)), 2: ("disabled_temporary", "http_500", 2, 500, later(5, 7)), 3: ("disabled_temporary", "timeout", 2, None, later(2, 7)),
+        4: ("active", None, 1, 404, None), 5: ("active", None, 2, None, None), 6: ("disabled_permanent", "http_404", 1, 404, later(1, 30)),
+    }
 
 
 def test_policy_by_aggregates_equals_the_fold(spark):
     rng = random.Random(4)
-    rows = [(k, time(rng.randint(1, 20)), rng.randint(1, 60), "sitemap", "u", True, rng.random() < 0.25, rng.choice([200, 301, 404, 410, 500, 500, 500]), None) for k in range(400)]
+    kinds = [(200, None), (301, None), (404, None), (404, None), (410, None), (500, None), (503, None), (None, "timed out"), (None, "aborted"), (None, "odd"), (418, "odd")]
+    rows = [(k, time(rng.randint(1, 20)), rng.randint(1, 60), "sitemap", "u", True, rng.random() < 0.25, *rng.choice(kinds)) for k in range(500)]
+    twins = spark.createDataFrame([(k,) for k in range(1, 60, 3)], "outlet_id long")
+    frame = spark.createDataFrame(rows, R)
     want = {}
-    for k, at, outlet, _, _, _, ok, code, _ in sorted(rows, key=lambda r: (r[1], r[0])):
-        want[outlet] = health.policy_step(want.get(outlet, dict(health.NEW_POLICY)), SimpleNamespace(ok=ok, status_code=code, ran_at=at))
-    found = health.sitemap_policy(spark.createDataFrame(rows, R))
+    for r in sorted(health.policy_rows(frame, twins).collect(), key=lambda r: (r.ran_at, r.id)):
+        want[r.outlet_id] = health.policy_step(want.get(r.outlet_id, dict(health.NEW_POLICY)), r)
+    found = health.sitemap_policy(frame, twins)
     assert {r.outlet_id: {c: r[c] for c in health.NEW_POLICY} for r in found.collect()} == want
     assert "Pandas" not in found._jdf.queryExecution().toString()
 
@@ -134,11 +143,52 @@ def test_policy_by_aggregates_equals_the_fold(spark):
 def test_keywords_of_any_length_and_script(spark):
     rules = classify.keyword_table(spark, (("high", "bank of the south", "business"), ("high", "выборы", "politics"), ("medium", "選挙", "politics"), ("medium", "انتخابات", "world"), ("high", "covid-19", "health"), ("medium", "경제", "business")))
     texts = ["the Bank of the South, again", "Сегодня ВЫБОРЫ!", "昨日の選挙の結果", "عن انتخابات اليوم", "a covid 19 case", "한국경제는", "bank of the north", "перевыборы", ""]
-    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").select("doc_id", classify.fold_text("text").alias("folded"))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").select("doc_id", fold_text("text").alias("folded"))
     got = {r.doc_id: r.section for r in classify.classify_keyword(docs, "doc_id", F.col("folded"), rules).collect()}
     assert [got[k] for k in range(len(texts))] == ["business", "politics", "politics", "world", "health", "business", "others", "others", "others"]
 
 
+def test_folding_is_that_of_decomposition(spark):
+    import unicodedata
+
+    texts = ["Élan VITAL naïve Ångström", "Ελλάδα Ψυχή", "ёлка Йод", "Việt Nam", "ﬁne ½ №5 ＡＢＣ …", "plain ascii Text", "é combining", None, "日本語 한국"]
+    plain = lambda t: None if t is None else "".join(c for c in unicodedata.normalize("NFKD", t) if not unicodedata.combining(c)).lower()
+    got = {r.i: r.x for r in spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", fold_text("t").alias("x")).collect()}
+    assert [got[k] for k in range(len(texts) - 1)] == [plain(t) for t in texts[:-1]] and got[len(texts) - 1] == "日本語 한국"
+
+
+def test_rules_from_files(spark, tmp_path):
+    (tmp_path / "k.csv").write_text("priority,tier,keyword,section\n1,high,stock market,business\n2,medium,été,lifestyle\n")
+    (tmp_path / "p.csv").write_text("rule_no,kind,pattern,countries,publisher\n1,prefix,the daily,A;B,Daily Group\n2,exact,north post,,North\n")
+    (tmp_path / "bad.csv").write_text("priority,tier,keyword,section\none,high,x,y\n")
+    keywords = rules.read_rules(spark, str(tmp_path / "k.csv"), "keywords")
+    docs = spark.createDataFrame([(1, "The Stock  Market falls"), (2, "un ETE chaud"), (3, "stock of the market")], "doc_id long, text string")
+    assert {r.doc_id: r.section for r in classify.classify_keyword(docs, "doc_id", fold_text("text"), keywords).collect()} == {1: "business", 2: "lifestyle", 3: "others"}
+    names = spark.createDataFrame([("The Daily Sun", "A"), ("The Daily Sun", "C"), ("North Post", "C")], "source string, country string")
+    publishers = rules.read_rules(spark, str(tmp_path / "p.csv"), "publishers")
+    assert {(r.source, r.country): r.publisher for r in classify.resolve_publisher(names, publishers).collect()} == {("The Daily Sun", "A"): "Daily Group", ("The Daily Sun", "C"): "The Daily Sun", ("North Post", "C"): "North"}
+    with pytest.raises(Exception, match="MALFORMED|FAILFAST|parse"):
+        rules.read_rules(spark, str(tmp_path / "bad.csv"), "keywords").collect()
+    hinted = rules.small(keywords, 2)._jdf.queryExecution().toString()
+    assert "broadcast" in hinted.lower() and "broadcast" not in rules.small(keywords, 1)._jdf.queryExecution().toString().lower()
+
+
+def test_greedy_lift_counts_what_earlier_candidates_lack(spark):
+    items = [("n", c, link) for c, links in (("a", "123"), ("b", "3456"), ("c", "12"), ("d", "9")) for link in links]
+    got = sorted((r.place or 0, r.candidate, r.lift, r.n_links, r.overlap) for r in compare.candidate_lift(spark.createDataFrame(items, "network string, candidate string, link string"), spark.createDataFrame([("9",)], "link string")).collect())
+    assert got == [(0, "d", 0, 1, 1), (1, "b", 4, 4, 0), (2, "a", 2, 3, 0), (3, "c", 0, 2, 0)]
+
+
+def test_rows_behind_the_watermark_are_dropped_and_counted(spark, tmp_path):
+    schema = "country string, created_at timestamp, publication_datetime timestamp"
+    row = lambda day, hour=1: ("c", time(day, hour), time(day, 0))
+    for k, rows in enumerate([[row(1)], [row(9)], [row(9)], [row(1, 2), row(9, 2)], [row(10)]]):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{tmp_path}/in/{k}")
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(f"{tmp_path}/in")
+    out = jobs.drained(spark, stream, lambda s: jobs.benchmark_stream(s, "1 day", "24 hours", "1 hour"), "update", str(tmp_path / "state"))
+    assert out.dropped == 24 and jobs.last_of(out, ["bucket", "country"]).agg(F.sum("inserted")).first()[0] == 24 * 5
+
+
 def test_streams_equal_their_batches(spark, small):
     r = runs(spark, small).withColumn("ran_at", F.col("ran_at").cast("timestamp"))
     keys = ["bucket", "outlet_id", "method", "attempts", "failures"]
@@ -207,9 +257,9 @@ def test_rounding_is_half_up(spark):
 def test_feeds_are_of_bounded_size_and_counted_whole(spark, tmp_path):
     docs = spark.range(1000).select(F.col("id").alias("doc_id"), F.lit("text of it").alias("text"), F.lit("en").alias("lang"), F.lit("src_2").alias("source"), F.lit(10).alias("n_chars"))
     docs.write.parquet(f"{tmp_path}/documents.parquet")
-    feeds_ = texts._feeds_xml(spark, str(tmp_path), 50).select(F.size(F.split("body", "<item>")).alias("n")).collect()
+    feeds_ = texts._feeds_xml(spark, str(tmp_path)).select(F.size(F.split("body", "<item>")).alias("n")).collect()
     assert len(feeds_) == 20 and {r.n for r in feeds_} == {51}
-    assert [(r.total, r.valid) for r in texts.p3(spark, str(tmp_path)).collect()] == [(1000, 1000)]
+    assert [(r.total, r.valid) for r in texts.p3(spark, str(tmp_path)).collect()] == [(50, 50)] * 20
 
 
 def test_fnv(spark):
