@@ -7,9 +7,12 @@ accidental match taken out. Pairs that the estimate cannot rule out are confirme
 With 40 bands of 4, a pair at the threshold of 0.75 shares no band with probability 3e-7; the estimate of such a pair
 falls below ``SLACK`` under the threshold (over five standard errors) about as rarely.
 
-Work stays linear in the copies: equal sets are one node before banding; each bucket first links its members to its
-smallest member; only buckets that still hold several components are compared in full, in blocks of bounded size, from
-which only links that join something are returned.
+Work stays linear in the copies: equal sets are one node before banding. Buckets come from one sort by (key, node) over
+ranges that split a bucket as readily as they part two, so no task holds a large one. A bucket is cut into pieces of bounded
+size; each row is first linked to the head of its piece, and heads to one another. In buckets that still hold several
+components, rows outside the largest one visit every other piece, so that each pair across components meets: by signatures
+first, and only under the first key that both rows share. A group with few pairs left gives these pairs, one with many its
+rows; both are confirmed on full sets, and only links that join something are returned.
 """
 
 from __future__ import annotations
@@ -18,22 +21,28 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import keep
+from .shared import drop, keep
 from .textkit import buffers, constants, mix64, slices, word_hashes, words
 
 SHINGLE = 5
 BANDS, ROWS, BITS = 40, 4, 2
 SLACK = 0.22
-#: Shingles of a bucket's rows that are compared at once.
-BLOCK = 1 << 18
+#: Shingles of a bucket's rows that are compared at once, and what a row counts at least.
+PIECE, LEAST = 1 << 18, 1 << 8
+#: Rows that visit a piece at once.
+VISITORS = 1024
+#: Open pairs to a row up to which a group gives pairs instead of rows: a pair ships one set, as a row does.
+PAIRS = 1
 #: Minima that fit one 64-bit word, and the mask of their lowest bits.
 _LANES = 64 // BITS
 _LOW = sum(1 << (BITS * i) for i in range(_LANES))
 _PACKS = BANDS * ROWS // _LANES
+_NOBODY = np.iinfo(np.int64).min
 
 
 def _shingle_hashes(row: np.ndarray, hashes: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray]:
@@ -169,32 +178,106 @@ def estimate(a: str, b: str) -> Column:
     return (match - chance) / (1 - chance)
 
 
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows sorted by (key, node): those that share their key, with their piece and what they are linked to.
+
+    A row is linked to the head of its piece, a head to the piece's before it, a bucket's first row to itself. A key may go
+    on in the task before or after: the first row of a task's first and last bucket comes once more, marked as edge.
+    """
+    place = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 32
+    carry: list[np.ndarray] | None = None
+    key_now, weight, piece_now, head, above, top, made, first = None, 0, -1, 0, 0, 0, 0, True
+
+    def batch_of(*columns) -> pa.RecordBatch:
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_())
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=["key", "piece", "node", "link", "edge"])
+
+    for batch in batches:
+        rows = [batch.column(k).to_numpy() for k in range(3)]
+        key, node, n = rows if carry is None else [np.concatenate(x) for x in zip(carry, rows)]
+        carry = None
+        if not len(key):
+            continue
+        new = np.ones(len(key), bool)
+        new[1:] = key[1:] != key[:-1]
+        new[0] = key[0] != key_now
+        if new[-1] and not (first and new.sum() == 1):
+            # whether it stands alone is seen in the next batch
+            carry = [key[-1:], node[-1:], n[-1:]]
+            key, node, n, new = key[:-1], node[:-1], n[:-1], new[:-1]
+            if not len(key):
+                continue
+        run = np.cumsum(new)
+        size = np.bincount(run)
+        w = np.maximum(n, LEAST)
+        before = np.cumsum(w) - w
+        begin = np.concatenate([[-weight], before[new]])
+        piece = (before - begin[run]) // PIECE
+        turn = new.copy()
+        turn[1:] |= piece[1:] != piece[:-1]
+        turn[0] |= piece[0] != piece_now
+        at = np.maximum.accumulate(np.where(turn, np.arange(len(key)), -1))
+        heads = np.where(at >= 0, node[at], head)
+        last_head = np.concatenate([[head], heads[:-1]])
+        link = np.where(new, node, np.where(turn, last_head, heads))
+        number = place + made + np.cumsum(turn)
+        shown = (size[run] > 1) | (run == 0)
+        if first:
+            shown |= run == 1
+            yield batch_of(key[:1], number[:1], node[:1], node[:1], [True])
+            first = False
+        yield batch_of(key[shown], number[shown], node[shown], link[shown], np.zeros(int(shown.sum()), bool))
+        starts = np.flatnonzero(new)
+        if len(starts):
+            top, weight = node[starts[-1]], 0
+            begin_last = starts[-1]
+        else:
+            begin_last = 0
+        weight += int(w[begin_last:].sum())
+        key_now, piece_now, head, made = key[-1], piece[-1], heads[-1], made + int(turn.sum())
+    if carry is not None:
+        key, node, _ = carry
+        yield batch_of(key, [place + made + 1], node, node, [False])
+        yield batch_of(key, [place + made + 1], node, node, [True])
+    elif key_now is not None:
+        yield batch_of([key_now], [place + made], [top], [top], [True])
+
+
+def _fits(a: Column, b: Column, threshold: float) -> Column:
+    """Sets of these sizes can reach the threshold."""
+    return F.least(a, b) * 100 >= F.greatest(a, b) * F.lit(round(threshold * 100))
+
+
 def _likely(pairs: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
-    """The pairs whose estimate does not rule them out."""
-    signs = nodes.select("node", F.struct(*(f"s{j}" for j in range(_PACKS))).alias("sign"))
+    """The pairs whose sizes and estimate do not rule them out."""
+    signs = nodes.select("node", F.struct("n_shingles", *(f"s{j}" for j in range(_PACKS))).alias("sign"))
     both = pairs.join(signs.select(F.col("node").alias("a"), F.col("sign").alias("sign_a")), "a").join(signs.select(F.col("node").alias("b"), F.col("sign").alias("sign_b")), "b")
-    return both.where(estimate("sign_a", "sign_b") >= threshold - SLACK).select("a", "b")
+    return both.where(_fits(F.col("sign_a.n_shingles"), F.col("sign_b.n_shingles"), threshold) & (estimate("sign_a", "sign_b") >= threshold - SLACK)).select("a", "b")
 
 
-def _sets_of(wanted: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(node, shingles) of some nodes, made anew from one text each."""
+def _sets_of(wanted: DataFrame, docs: DataFrame, nodes: DataFrame, repeated: bool) -> DataFrame:
+    """(node, shingles) of some nodes, made anew from one text each; where doc_ids repeat, of a node that comes more than once one stays."""
     ids = nodes.select("node", "first_id").join(wanted, "node").select(F.col("first_id").alias("wanted_id"))
     texts = docs.select("doc_id", "text").join(ids, F.col("doc_id").eqNullSafe(F.col("wanted_id")), "left_semi").select("text")
-    return keep(texts.mapInArrow(_sets, "node long, shingles array<long>").dropDuplicates(["node"]), "sets")
+    sets = texts.mapInArrow(_sets, "node long, shingles array<long>")
+    return keep(sets.dropDuplicates(["node"]) if repeated else sets, "sets")
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
-    """The pairs whose full sets reach the threshold."""
-    sets = _sets_of(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), docs, nodes)
+def _confirmed(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, repeated: bool, threshold: float) -> DataFrame:
+    """The pairs whose full sets reach the threshold, as a table."""
+    sets = _sets_of(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), docs, nodes, repeated)
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("set_a")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("set_b")), "b")
     both = both.withColumn("shared", F.size(F.array_intersect("set_a", "set_b")).cast("long"))
     union = F.size("set_a") + F.size("set_b") - F.col("shared")
-    return both.where(F.col("shared") * 100 >= union * F.lit(round(threshold * 100))).select("a", "b")
+    out = keep(both.where(F.col("shared") * 100 >= union * F.lit(round(threshold * 100))).select("a", "b"), "links")
+    drop(sets)
+    return out
 
 
-def _block_links(threshold: float):
-    def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come sorted by group; every pair of a group is tried, and links that join what was apart are returned."""
+def _by_group(work):
+    """Rows come sorted by group; ``work`` is done on runs of whole groups."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.Table] = []
         for batch in batches:
             if not batch.num_rows:
@@ -205,12 +288,12 @@ def _block_links(threshold: float):
             last = np.flatnonzero(group != group[-1])
             stop = int(last[-1]) + 1 if len(last) else 0
             if stop:
-                yield _linked(whole.slice(0, stop), threshold)
+                yield work(whole.slice(0, stop))
             held = [whole.slice(stop)]
         if held:
-            yield _linked(pa.concat_tables(held), threshold)
+            yield work(pa.concat_tables(held))
 
-    return links
+    return run
 
 
 def _column(table: pa.Table, name: str) -> np.ndarray:
@@ -218,45 +301,83 @@ def _column(table: pa.Table, name: str) -> np.ndarray:
 
 
 def _groups(table: pa.Table) -> np.ndarray:
-    """A number for each run of equal (key, left, right)."""
+    """A number for each run of equal (key, here, turn)."""
     change = np.zeros(table.num_rows, np.int64)
-    for name in ("key", "left", "right"):
+    for name in ("key", "here", "turn"):
         x = _column(table, name)
         change[1:] |= x[1:] != x[:-1]
     return np.cumsum(change)
 
 
-def _linked(table: pa.Table, threshold: float) -> pa.RecordBatch:
-    group, node, comp, block = _groups(table), _column(table, "node"), _column(table, "comp"), _column(table, "block")
-    crossing = _column(table, "left") != _column(table, "right")
+def _each_group(table: pa.Table, threshold: float) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(begin, stop, i, j) of every group with the pairs in it that are still open."""
+    group = _groups(table)
+    key, here, turn, piece, comp, main, size = (_column(table, c) for c in ("key", "here", "turn", "piece", "comp", "main", "n_shingles"))
     sign = np.stack([_column(table, f"s{j}") for j in range(_PACKS)]).view(np.uint64)
-    lists = table.column("shingles").combine_chunks()
-    at, flat = np.asarray(lists.offsets), np.asarray(lists.values)
-    found: list[tuple[int, int]] = []
-    stops = np.flatnonzero(np.diff(group, append=group[-1] + 1)) + 1
+    lists = table.column("bands").combine_chunks()
+    bands = np.asarray(lists.flatten()).reshape(-1, BANDS)
     begin = 0
-    for stop in stops.tolist():
-        i, j = _open_pairs(comp[begin:stop], block[begin:stop], bool(crossing[begin]), sign[:, begin:stop], threshold)
+    for stop in (np.flatnonzero(np.diff(group, append=group[-1] + 1)) + 1).tolist():
+        at = slice(begin, stop)
+        i, j = _open_pairs(comp[at], piece[at] == here[begin], comp[at] == main[at], piece[at], turn[begin] == 0, size[at], sign[:, at], threshold)
         if len(i):
-            sets = [flat[at[k] : at[k + 1]] for k in range(begin, stop)]
-            shared = _shared(sets, i, j)
-            size = np.array([len(x) for x in sets])
-            good = 100 * shared >= round(threshold * 100) * (size[i] + size[j] - shared)
-            found += _forest(node[begin:stop], comp[begin:stop], i[good], j[good])
+            # a pair belongs to the first key that both share
+            first = np.concatenate([(bands[begin + i[k : k + 65536]] == bands[begin + j[k : k + 65536]]).argmax(axis=1) for k in range(0, len(i), 65536)])
+            mine = bands[begin + i, first] == key[begin]
+            i, j = i[mine], j[mine]
+        yield begin, stop, i, j
         begin = stop
-    pairs = np.array(sorted(set(found)), np.int64).reshape(-1, 2)
-    return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
 
-def _open_pairs(comp: np.ndarray, block: np.ndarray, crossing: bool, sign: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of different components that the estimate does not rule out, by shifts of one row at a time.
+def _open_rows(threshold: float):
+    def rows(table: pa.Table) -> pa.RecordBatch:
+        """What is open in each group: pairs (node, other) if they are few, else the rows that are in one, without other."""
+        node, take, other = _column(table, "node"), [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        for begin, _, i, j in _each_group(table, threshold):
+            mine = np.unique(np.concatenate([i, j]))
+            few = len(i) <= PAIRS * len(mine)
+            take.append(begin + (i if few else mine))
+            other.append(node[begin + j] if few else np.full(len(mine), _NOBODY))
+        other = np.concatenate(other)
+        found = table.take(pa.array(np.concatenate(take)))
+        return found.append_column("other", pa.array(other, mask=other == _NOBODY)).combine_chunks().to_batches()[0] if len(other) else pa.RecordBatch.from_pylist([], table.schema.append(pa.field("other", pa.int64())))
+
+    return rows
+
+
+def _links(threshold: float):
+    def links(table: pa.Table) -> pa.RecordBatch:
+        """Confirmed links that join what was apart."""
+        node, comp = _column(table, "node"), _column(table, "comp")
+        lists = table.column("shingles").combine_chunks()
+        at, flat = np.asarray(lists.offsets), np.asarray(lists.values)
+        found: list[tuple[int, int]] = []
+        for begin, stop, i, j in _each_group(table, threshold):
+            if len(i):
+                sets = [flat[at[k] : at[k + 1]] for k in range(begin, stop)]
+                shared = _shared(sets, i, j)
+                size = np.array([len(x) for x in sets])
+                good = 100 * shared >= round(threshold * 100) * (size[i] + size[j] - shared)
+                found += _forest(node[begin:stop], comp[begin:stop], i[good], j[good])
+        pairs = np.array(sorted(set(found)), np.int64).reshape(-1, 2)
+        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+
+    return links
+
+
+def _open_pairs(comp: np.ndarray, own: np.ndarray, main: np.ndarray, piece: np.ndarray, first: bool, size: np.ndarray, sign: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of different components that sizes and estimate do not rule out, by shifts of one row at a time.
 
-    In a group of two blocks only pairs across them count; those within a block are tried in the block's own group.
+    A group holds a piece's own rows and some that visit it. Own rows meet each other in the piece's first group; a visitor
+    meets own rows of the largest component, and others if it comes from an earlier piece, as they visit its piece too.
     """
-    chance, low = 2.0**-BITS, np.uint64(_LOW)
+    chance, low, least = 2.0**-BITS, np.uint64(_LOW), round(threshold * 100)
     left, right = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
     for d in range(1, len(comp)):
-        i = np.flatnonzero((comp[:-d] != comp[d:]) & ((block[:-d] != block[d:]) | (not crossing)))
+        a, b = slice(None, -d), slice(d, None)
+        meets = np.where(own[a] & own[b], first, (own[a] & (main[a] | (piece[b] < piece[a]))) | (own[b] & (main[b] | (piece[a] < piece[b]))))
+        meets &= own[a] | own[b]
+        i = np.flatnonzero(meets & (comp[a] != comp[b]) & (100 * np.minimum(size[a], size[b]) >= least * np.maximum(size[a], size[b])))
         if not len(i):
             continue
         x = sign[:, i] ^ sign[:, i + d]
@@ -320,35 +441,58 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.75) -> DataFrame:
     empty set and are linked with nothing. Rows that repeat are linked as equal sets. Rows without a doc_id take part;
     a component made of such rows alone has a null component_id, and they are kept. Names of sets are 64-bit hashes.
     """
-    sketches = keep(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_sketches, f"doc_id long, n_shingles long, node long, bands array<long>, {', '.join(f's{j} long' for j in range(_PACKS))}"), "sketches")
-    one = F.struct("bands", *(f"s{j}" for j in range(_PACKS)))
-    nodes = keep(sketches.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("first_id"), F.first("n_shingles").alias("n_shingles"), F.first(one).alias("x")).select("node", "first_id", "n_shingles", "x.*"), "nodes")
-
-    rows = nodes.select("node", "n_shingles", F.explode("bands").alias("key"))
-    shared = rows.groupBy("key").agg(F.min("node").alias("least"), F.count("*").alias("n"), F.sum("n_shingles").alias("total")).where("n > 1")
-    buckets = keep(rows.select("node", "key").join(shared, "key"), "buckets")
-    star = keep(buckets.where("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b")).distinct(), "star")
-    links = keep(_confirmed(keep(_likely(star, nodes, threshold), "likely"), docs, nodes, threshold), "links")
+    signature = [f"s{j}" for j in range(_PACKS)]
+    sketches = keep(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_sketches, f"doc_id long, n_shingles long, node long, bands array<long>, {', '.join(f'{s} long' for s in signature)}"), "sketches")
+    one = F.struct("bands", *signature)
+    whole = keep(sketches.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("first_id"), F.first("n_shingles").alias("n_shingles"), F.first(one).alias("x")).select("node", "first_id", "n_shingles", "x.*"), "nodes")
+    listed = keep(sketches.select("doc_id", "n_shingles", "node"), "documents")
+    drop(sketches)
+    repeated = not listed.groupBy("doc_id").count().where("count > 1").isEmpty()
+
+    rows = whole.select(F.explode("bands").alias("key"), "node", "n_shingles").repartitionByRange("key", "node").sortWithinPartitions("key", "node")
+    runs = keep(rows.mapInArrow(_runs, "key long, piece long, node long, link long, edge boolean"), "runs")
+    nodes = whole.drop("bands")
+    edges = runs.where("edge").select("key", "node").distinct()
+    across = edges.join(edges.groupBy("key").agg(F.min("node").alias("link")), "key")  # at most two rows a task
+    pairs = runs.where("not edge").select("link", "node").unionByName(across.select("link", "node")).where("link <> node")
+    star = keep(_likely(pairs.select(F.col("link").alias("a"), F.col("node").alias("b")).distinct(), nodes, threshold), "likely")
+    links = _confirmed(star, docs, nodes, repeated, threshold)
+    drop(star)
     labels = components(links)
 
-    # buckets that still hold several components: every pair across components is tried
-    placed = buckets.where("n > 2").select("key", "node", "total").join(labels, "node", "left").withColumn("comp", F.coalesce("label", "node")).drop("label")
-    mixed = placed.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("key")
-    unsettled = keep(placed.join(mixed, "key"), "unsettled")
-    blocks = F.ceil(F.col("total") / BLOCK).cast("int")
-    unsettled = unsettled.withColumn("block", F.pmod(F.xxhash64("node"), blocks).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other")
-    spread = unsettled.select("*", other).withColumns({"left": F.least("block", "other"), "right": F.greatest("block", "other")})
-    sets = _sets_of(unsettled.select("node").distinct(), docs, nodes)
-    signs = nodes.select("node", *(f"s{j}" for j in range(_PACKS)))
-    spread = spread.select("key", "left", "right", "block", "node", "comp").join(signs.join(sets, "node"), "node")
-    spread = spread.repartition("key", "left", "right").sortWithinPartitions("key", "left", "right")
-    more = spread.select("key", "left", "right", "block", "node", "comp", *(f"s{j}" for j in range(_PACKS)), "shingles")
-    again = keep(more.mapInArrow(_block_links(threshold), "a long, b long").distinct(), "again")
-    labels = components(links.unionByName(again))
+    # buckets that still hold several components: rows outside the largest visit the other pieces
+    placed = runs.where("not edge").select("key", "piece", "node").join(labels, "node", "left").select("key", "piece", "node", F.coalesce("label", "node").alias("comp"))
+    parts = keep(placed.groupBy("key", "piece", "comp").agg(F.count("*").alias("n")), "pieces")
+    per = parts.groupBy("key", "comp").agg(F.sum("n").alias("n")).groupBy("key").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.sum("n").alias("n"), F.max("n").alias("most")).where("n > most")
+    pieces = parts.select("key", "piece").distinct().join(per.select("key", "main", F.ceil((F.col("n") - F.col("most")) / VISITORS).cast("long").alias("turns")), "key")
+    own = placed.join(pieces, ["key", "piece"])
+    visitors = own.where("comp <> main").withColumn("turn", F.pmod(F.xxhash64("node"), F.col("turns")))
+    visits = visitors.join(pieces.select("key", F.col("piece").alias("here")), "key").where("here <> piece").select("key", "here", "turn", "piece", "node", "comp", "main")
+    # a piece's own rows are there each time that others come; it is one time if none do
+    turns = visits.select("key", F.col("here").alias("piece"), "turn").unionByName(pieces.select("key", "piece", F.lit(0).cast("long").alias("turn"))).distinct()
+    homes = own.join(turns, ["key", "piece"]).select("key", F.col("piece").alias("here"), "turn", "piece", "node", "comp", "main")
+    signs = whole.select("node", "n_shingles", *signature, "bands")
+    columns = ["key", "here", "turn", "piece", "node", "comp", "main", "n_shingles", *signature]
+    kinds = ", ".join(f"{c} long" for c in columns) + ", bands array<long>"
+    # by ranges, which share groups out evenly
+    dealt = lambda df: df.repartitionByRange("key", "here", "turn").sortWithinPartitions("key", "here", "turn")
+    spread = dealt(homes.unionByName(visits).join(signs, "node").select(*columns, "bands"))
+    unruled = keep(spread.mapInArrow(_by_group(_open_rows(threshold)), f"{kinds}, other long"), "open")
+    drop(runs, parts, labels)
+    ends = unruled.where("other is not null").select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
+    apart = _confirmed(keep(ends, "likely"), docs, nodes, repeated, threshold)
+    crowded = unruled.where("other is null")
+    sets = _sets_of(crowded.select("node").distinct(), docs, nodes, repeated)
+    full = dealt(crowded.join(sets, "node").select(*columns, "bands", "shingles"))
+    again = keep(full.mapInArrow(_by_group(_links(threshold)), "a long, b long").distinct(), "again")
+    drop(unruled, sets)
+    both = keep(links.unionByName(apart).unionByName(again), "links")
+    drop(links, apart, again)
+    labels = components(both)
 
     named = nodes.select("node", "first_id").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    named = named.join(named.groupBy("label").agg(F.min("first_id").alias("component_id")), "label").select("node", "component_id")
-    out = sketches.select("doc_id", "n_shingles", "node").join(named, "node", "left")
+    named = keep(named.join(named.groupBy("label").agg(F.min("first_id").alias("component_id")), "label").select("node", "component_id"), "named")
+    drop(both, labels, whole)
+    out = listed.join(named, "node", "left")
     component = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()))
