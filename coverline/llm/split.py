@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 #: Rows of all labels together in a sample; of many labels each gets an equal share, one row at least.
 SAMPLE = 20_000
+#: Labels whose rates are sent to every task; beyond that rows and rates meet by a shuffle.
+MOST_LABELS = 100_000
 
 
 def held_out(doc_id: str = "doc_id") -> Column:
@@ -28,6 +30,8 @@ def sampled(rows: DataFrame, label: str, per_label: int, in_all: int = SAMPLE) -
     wanted = max(1, min(per_label, in_all // len(counts)))
     rates = rows.sparkSession.createDataFrame([(r[0], min(1.0, wanted / max(1, r.ids))) for r in counts], f"label {dict(rows.dtypes)[label]}, rate double")
     share = F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1 << 30)) / float(1 << 30)
+    # a row a label goes to every task, unless labels are so many that they are no languages or marks
+    rates = F.broadcast(rates) if len(counts) <= MOST_LABELS else rates
     picked = marked.join(rates, F.col(label) == F.col("label")).where(share < F.col("rate"))
     others = [F.min(c).alias(c) for c in rows.columns if c not in ("doc_id", label)]
     keys = picked.groupBy("doc_id", label)
