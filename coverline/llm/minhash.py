@@ -43,6 +43,8 @@ _LANES = 64 // BITS
 _LOW = sum(1 << (BITS * i) for i in range(_LANES))
 _PACKS = BANDS * ROWS // _LANES
 _NOBODY = np.iinfo(np.int64).min
+#: Bits of the filter by which texts are found again (4 MB): good for some two million documents, beyond that more sets than needed are made.
+FILTER = 1 << 25
 
 
 def _shingle_hashes(row: np.ndarray, hashes: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray]:
@@ -145,23 +147,32 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        node, sets = [], []
-        for _, found in shingle_sets(batch.column(0)):
-            if len(found):
-                node.append(node_of(found))
-                sets.append(found.view(np.int64))
-            if sum(map(len, sets[-64:])) > 1 << 20 or len(sets) >= 2048:
-                yield _set_batch(node, sets)
-                node, sets = [], []
-        yield _set_batch(node, sets)
-
-
-def _set_batch(node: list[int], sets: list[np.ndarray]) -> pa.RecordBatch:
+def _sets_where(wanted: np.ndarray):
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(node, mark, shingles) of the rows (mark, text) whose mark is in the filter; most of the others never leave their task."""
+        for batch in batches:
+            mark = batch.column(0).to_numpy()
+            mine = wanted[mark & (FILTER - 1)] & wanted[(mark >> 32) & (FILTER - 1)]
+            mark, texts = mark[mine], batch.column(1).filter(pa.array(mine))
+            node, held, marks, size = [], [], [], 0
+            for i, found in shingle_sets(texts):
+                if len(found):
+                    node.append(node_of(found))
+                    held.append(found.view(np.int64))
+                    marks.append(mark[i])
+                    size += len(found)
+                if size > 1 << 20:
+                    yield _set_batch(node, marks, held)
+                    node, held, marks, size = [], [], [], 0
+            yield _set_batch(node, marks, held)
+
+    return sets
+
+
+def _set_batch(node: list[int], marks: list[int], sets: list[np.ndarray]) -> pa.RecordBatch:
     offsets = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
     flat = np.concatenate(sets) if sets else np.empty(0, np.int64)
-    return pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], names=["node", "shingles"])
+    return pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(marks, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], names=["node", "mark", "shingles"])
 
 
 def estimate(a: str, b: str) -> Column:
@@ -249,24 +260,47 @@ def _fits(a: Column, b: Column, threshold: float) -> Column:
 
 
 def _likely(pairs: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
-    """The pairs whose sizes and estimate do not rule them out."""
-    signs = nodes.select("node", F.struct("n_shingles", *(f"s{j}" for j in range(_PACKS))).alias("sign"))
+    """The pairs whose sizes and estimate do not rule them out, with the marks of both."""
+    signs = nodes.select("node", F.struct("n_shingles", "mark", *(f"s{j}" for j in range(_PACKS))).alias("sign"))
     both = pairs.join(signs.select(F.col("node").alias("a"), F.col("sign").alias("sign_a")), "a").join(signs.select(F.col("node").alias("b"), F.col("sign").alias("sign_b")), "b")
-    return both.where(_fits(F.col("sign_a.n_shingles"), F.col("sign_b.n_shingles"), threshold) & (estimate("sign_a", "sign_b") >= threshold - SLACK)).select("a", "b")
+    likely = _fits(F.col("sign_a.n_shingles"), F.col("sign_b.n_shingles"), threshold) & (estimate("sign_a", "sign_b") >= threshold - SLACK)
+    return both.where(likely).select("a", "b", F.col("sign_a.mark").alias("mark_a"), F.col("sign_b.mark").alias("mark_b"))
+
+
+def _sets_of(marks: DataFrame, docs: DataFrame, repeated: bool) -> DataFrame:
+    """(node, mark, shingles) of the documents with the given marks, and of few others, made anew from their texts.
+
+    The marks become a filter of ``FILTER`` bits, two for each mark, which goes to every task: texts stay where they are.
+    What else the filter lets through meets nothing, as sets are joined by node and mark. Where ids repeat, of rows that
+    have both in common one stays.
+    """
+    bits = marks.select(F.explode(F.array(*(F.col("mark").bitwiseAND(F.lit(FILTER - 1)) if k == 0 else F.shiftright("mark", k).bitwiseAND(F.lit(FILTER - 1)) for k in (0, 32)))).alias("bit"))
+    found = bits.groupBy(F.bitmap_bucket_number(F.col("bit") + 1).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(F.col("bit") + 1)).alias("bits")).collect()  # FILTER / 8 bytes in all at most
+    wanted = np.zeros((FILTER >> 15, 1 << 15), bool)
+    for r in found:
+        wanted[r.bucket - 1] = np.unpackbits(np.frombuffer(bytes(r.bits), np.uint8), bitorder="little")
+    packed = np.packbits(wanted.ravel())
+    texts = docs.select(_mark(F.col("doc_id")).alias("mark"), "text").where("text is not null")
+    sets = texts.mapInArrow(_filtered(packed), "node long, mark long, shingles array<long>")
+    return keep(sets.dropDuplicates(["node", "mark"]) if repeated else sets, "sets")
+
+
+def _filtered(packed: np.ndarray):
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _sets_where(np.unpackbits(packed).view(bool))(batches)
+
+    return sets
 
 
-def _sets_of(wanted: DataFrame, docs: DataFrame, nodes: DataFrame, repeated: bool) -> DataFrame:
-    """(node, shingles) of some nodes, made anew from one text each; where doc_ids repeat, of a node that comes more than once one stays."""
-    ids = nodes.select("node", "first_id").join(wanted, "node").select(F.col("first_id").alias("wanted_id"))
-    texts = docs.select("doc_id", "text").join(ids, F.col("doc_id").eqNullSafe(F.col("wanted_id")), "left_semi").select("text")
-    sets = texts.mapInArrow(_sets, "node long, shingles array<long>")
-    return keep(sets.dropDuplicates(["node"]) if repeated else sets, "sets")
+def _mark(doc_id: Column) -> Column:
+    return F.xxhash64(doc_id.cast("long"))
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, repeated: bool, threshold: float) -> DataFrame:
-    """The pairs whose full sets reach the threshold, as a table."""
-    sets = _sets_of(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), docs, nodes, repeated)
-    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("set_a")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("set_b")), "b")
+def _confirmed(pairs: DataFrame, docs: DataFrame, repeated: bool, threshold: float) -> DataFrame:
+    """The pairs (a, b, mark_a, mark_b) whose full sets reach the threshold, as a table."""
+    sets = _sets_of(pairs.select(F.explode(F.array("mark_a", "mark_b")).alias("mark")), docs, repeated)
+    named = lambda side: sets.select(F.col("node").alias(side), F.col("mark").alias(f"mark_{side}"), F.col("shingles").alias(f"set_{side}"))
+    both = pairs.join(named("a"), ["a", "mark_a"]).join(named("b"), ["b", "mark_b"])
     both = both.withColumn("shared", F.size(F.array_intersect("set_a", "set_b")).cast("long"))
     union = F.size("set_a") + F.size("set_b") - F.col("shared")
     out = keep(both.where(F.col("shared") * 100 >= union * F.lit(round(threshold * 100))).select("a", "b"), "links")
@@ -444,7 +478,7 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.75) -> DataFrame:
     signature = [f"s{j}" for j in range(_PACKS)]
     sketches = keep(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_sketches, f"doc_id long, n_shingles long, node long, bands array<long>, {', '.join(f'{s} long' for s in signature)}"), "sketches")
     one = F.struct("bands", *signature)
-    whole = keep(sketches.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("first_id"), F.first("n_shingles").alias("n_shingles"), F.first(one).alias("x")).select("node", "first_id", "n_shingles", "x.*"), "nodes")
+    whole = keep(sketches.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("first_id"), F.first("n_shingles").alias("n_shingles"), F.first(one).alias("x")).select("node", "first_id", _mark(F.col("first_id")).alias("mark"), "n_shingles", "x.*"), "nodes")
     listed = keep(sketches.select("doc_id", "n_shingles", "node"), "documents")
     drop(sketches)
     repeated = not listed.groupBy("doc_id").count().where("count > 1").isEmpty()
@@ -456,7 +490,7 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.75) -> DataFrame:
     across = edges.join(edges.groupBy("key").agg(F.min("node").alias("link")), "key")  # at most two rows a task
     pairs = runs.where("not edge").select("link", "node").unionByName(across.select("link", "node")).where("link <> node")
     star = keep(_likely(pairs.select(F.col("link").alias("a"), F.col("node").alias("b")).distinct(), nodes, threshold), "likely")
-    links = _confirmed(star, docs, nodes, repeated, threshold)
+    links = _confirmed(star, docs, repeated, threshold)
     drop(star)
     labels = components(links)
 
@@ -471,8 +505,8 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.75) -> DataFrame:
     # a piece's own rows are there each time that others come; it is one time if none do
     turns = visits.select("key", F.col("here").alias("piece"), "turn").unionByName(pieces.select("key", "piece", F.lit(0).cast("long").alias("turn"))).distinct()
     homes = own.join(turns, ["key", "piece"]).select("key", F.col("piece").alias("here"), "turn", "piece", "node", "comp", "main")
-    signs = whole.select("node", "n_shingles", *signature, "bands")
-    columns = ["key", "here", "turn", "piece", "node", "comp", "main", "n_shingles", *signature]
+    signs = whole.select("node", "mark", "n_shingles", *signature, "bands")
+    columns = ["key", "here", "turn", "piece", "node", "mark", "comp", "main", "n_shingles", *signature]
     kinds = ", ".join(f"{c} long" for c in columns) + ", bands array<long>"
     # by ranges, which share groups out evenly
     dealt = lambda df: df.repartitionByRange("key", "here", "turn").sortWithinPartitions("key", "here", "turn")
@@ -480,12 +514,14 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.75) -> DataFrame:
     unruled = keep(spread.mapInArrow(_by_group(_open_rows(threshold)), f"{kinds}, other long"), "open")
     drop(runs, parts, labels)
     ends = unruled.where("other is not null").select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
-    apart = _confirmed(keep(ends, "likely"), docs, nodes, repeated, threshold)
+    marks = nodes.select("node", "mark")
+    ends = keep(ends.join(marks.select(F.col("node").alias("a"), F.col("mark").alias("mark_a")), "a").join(marks.select(F.col("node").alias("b"), F.col("mark").alias("mark_b")), "b"), "likely")
+    apart = _confirmed(ends, docs, repeated, threshold)
     crowded = unruled.where("other is null")
-    sets = _sets_of(crowded.select("node").distinct(), docs, nodes, repeated)
-    full = dealt(crowded.join(sets, "node").select(*columns, "bands", "shingles"))
+    sets = _sets_of(crowded.select("mark"), docs, repeated)
+    full = dealt(crowded.join(sets, ["node", "mark"]).select(*columns, "bands", "shingles"))
     again = keep(full.mapInArrow(_by_group(_links(threshold)), "a long, b long").distinct(), "again")
-    drop(unruled, sets)
+    drop(unruled, ends, sets)
     both = keep(links.unionByName(apart).unionByName(again), "links")
     drop(links, apart, again)
     labels = components(both)
