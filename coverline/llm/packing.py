@@ -31,7 +31,9 @@ CAPACITY = 1024
 END_ID = 2
 REGION = 65536
 ISLANDS, POPULATION = 3, 4
-EPOCHS, GENERATIONS = 2, 3
+EPOCHS, GENERATIONS = 2, 4
+#: Shares of one parent's bins that go over, and of the other's full bins that are dissolved.
+INJECTED, DISSOLVED = (0.1, 0.5), (0.3, 0.7)
 #: How many openings of a bin are tried for one that two more pieces end exactly.
 TRIES = 24
 #: Bins filled less than this are packed once more with those of other regions.
@@ -207,20 +209,21 @@ def fitness(sizes: np.ndarray, bins: np.ndarray) -> tuple[int, float]:
 
 
 def crossover(sizes: np.ndarray, giver: np.ndarray, taker: np.ndarray, capacity: int, rng: random.Random) -> np.ndarray:
-    """Whole well-filled bins of ``giver`` go into ``taker``; bins that hold the same pieces go, and so do those that are not full and a tenth of the others.
+    """Whole well-filled bins of ``giver`` go into ``taker``; bins that hold the same pieces go, and so do those that are not full.
 
-    The displaced pieces are best-fitted in jittered decreasing order, and, in a second child, fill new bins exactly where
-    they can; the fitter child is returned.
+    Some full bins are dissolved too: the small pieces they hold are what ends others exactly. The displaced pieces are
+    best-fitted in jittered decreasing order, and, in a second child, fill new bins exactly where they can; the fitter child
+    is returned.
     """
+    draw = np.random.default_rng(rng.getrandbits(32)).random
     fill = np.bincount(giver, weights=sizes)
-    share = rng.uniform(0.3, 0.9)
-    full = fill >= np.quantile(fill[fill > 0], 1 - share) if len(fill) else fill > 0
-    full &= fill >= (capacity if (fill == capacity).any() else capacity * 0.98)
+    full = fill >= (capacity if (fill == capacity).any() else capacity * 0.98)
+    full &= draw(len(fill)) < rng.uniform(*INJECTED)
     given = full[giver]
     hit = np.zeros(int(taker.max()) + 1, bool)
     hit[taker[given]] = True
     hit |= np.bincount(taker, weights=sizes) < capacity
-    hit[[rng.randrange(len(hit)) for _ in range(len(hit) // 10)]] = True
+    hit |= draw(len(hit)) < rng.uniform(*DISSOLVED)
     stay = ~given & ~hit[taker]
     kept, bins = np.empty(len(sizes), np.int32), Bins(capacity)
     for labels, mask in ((giver, given), (taker, stay)):

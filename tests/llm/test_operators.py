@@ -160,6 +160,16 @@ def test_the_search_starts_from_best_fit_and_does_not_lose_bins(spark):
     assert sorted(i for r in rows for i in r["items"]) == list(range(9000))
 
 
+def test_the_search_saves_bins_where_best_fit_runs_out_of_small_pieces():
+    rng = np.random.default_rng(6)
+    sizes = rng.integers(150, 700, 20000).astype(np.int64)
+    bound = -(-int(sizes.sum()) // 1024)
+    starts = packing.evolve(sizes, [], 1024, 0, 1)
+    first = packing.fitness(sizes, starts[0])[0]
+    last = packing.fitness(sizes, packing.evolve(sizes, starts, 1024, 8, 2)[0])[0]
+    assert bound <= last < first
+
+
 def test_crossover_and_mutation_keep_every_piece_once():
     import random
 
