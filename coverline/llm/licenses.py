@@ -105,6 +105,22 @@ def templates(family: str) -> list[list[str]]:
     return [r for r in map(runs, (*NAMES[family], *headers(family))) if len(r) >= LEAST_SHARED]
 
 
+#: Words of which a pair says nothing of a licence.
+PLAIN = frozenset("a all and any are as at be by for from in is it may no not of on or that the this to under will with you your".split(" "))
+
+
+@functools.cache
+def pairs() -> list[str]:
+    """Pairs of words of templates by which a line is worth scoring. Pairs of plain words alone are not: together with all
+    single words they never make up the share of a template that a confirmation needs."""
+    plain = lambda run: set(run.split(" ")) <= PLAIN
+    for f in NAMES:
+        for t in templates(f):
+            if sum(" " not in r or plain(r) for r in t) >= max(LEAST_SHARED, SHARED * len(t)):
+                raise ValueError(f"a template of {f} can be confirmed without a pair that tells")
+    return sorted({r for f in NAMES for t in templates(f) for r in t if r.count(" ") == 1 and not plain(r)})
+
+
 def longest() -> int:
     """Words of the longest template."""
     return max(len(words(t)) for f in NAMES for t in (*NAMES[f], *headers(f)))
@@ -299,7 +315,7 @@ def with_licenses(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with found: an array of (line, family, probability), in order, for paragraphs with a licence word or a known family."""
     classes, _, _ = model()
     names = F.array(*(F.lit(c) for c in classes))
-    pairs = _constant(sorted({r for f in NAMES for t in templates(f) for r in t if r.count(" ") == 1}), "array<string>")
+    telling = _constant(pairs(), "array<string>")
 
     def with_lines(lines: Column) -> Column:
         return _let(F.transform(lines, _words), lambda words: with_words(lines, words))
@@ -309,7 +325,7 @@ def with_licenses(docs: DataFrame, text: str = "text") -> DataFrame:
             before, after = F.get(words, i - 1), F.get(words, i + 1)
             edge = lambda side, at: F.coalesce(F.slice(side, at, 1), F.array().cast("array<string>"))
             last = F.when(F.size(before) > 0, F.slice(before, -1, 1))
-            return F.coalesce(F.arrays_overlap(_pairs(F.concat(F.coalesce(last, F.array().cast("array<string>")), w, edge(after, 1))), pairs), F.lit(False))
+            return F.coalesce(F.arrays_overlap(_pairs(F.concat(F.coalesce(last, F.array().cast("array<string>")), w, edge(after, 1))), telling), F.lit(False))
 
         return _let(F.transform(words, near), lambda hot: with_hot(lines, words, hot))
 

@@ -457,7 +457,7 @@ def judged(text):
 def brute_notices(text):
     """(first line, family) of every notice: all lines, and all windows that share more than their lines do."""
     lines = [licenses.words(t) for t in (text or "").split("\n")]
-    pairs = {r for f in licenses.NAMES for t in licenses.templates(f) for r in t if r.count(" ") == 1}
+    pairs = set(licenses.pairs())
     hot = []
     for i, w in enumerate(lines):
         near = (lines[i - 1][-1:] if i else []) + w + (lines[i + 1][:1] if i + 1 < len(lines) else [])
