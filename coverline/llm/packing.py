@@ -12,13 +12,10 @@ each region how many bins its best start had and how many were left.
 
 from __future__ import annotations
 
-import functools
-import json
 import random
-import re
 import zlib
 from array import array
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import drop, keep
+from .tokens import default_tokenizer, encoder
 
 CAPACITY = 1024
 END_ID = 2
@@ -38,50 +36,6 @@ INJECTED, DISSOLVED = (0.1, 0.5), (0.3, 0.7)
 TRIES = 24
 #: Bins filled less than this are packed once more with those of other regions.
 LOOSE = 0.97
-_LONG_RUN = re.compile(r"\S{20000}")
-
-
-def default_tokenizer() -> str:
-    import public_tokenizers
-
-    return public_tokenizers.path("byte_bpe_50k.json")
-
-
-@functools.cache
-def encoder(path: str | None) -> Callable[[str], list[int]]:
-    """The ids of a text under a tokenizer file, special tokens not added.
-
-    A byte-level BPE file whose ids follow its merges is run by the faster of two libraries that give the same ids;
-    any other file, and texts with very long runs without a space, by the one that owns the format.
-    """
-    from tokenizers import Tokenizer
-
-    path = path or default_tokenizer()
-    own = Tokenizer.from_file(path)
-    with open(path, encoding="utf-8") as f:
-        spec = json.load(f)
-
-    def plain(text: str) -> list[int]:
-        return own.encode(text, add_special_tokens=False).ids
-
-    before = spec.get("pre_tokenizer") or {}
-    if spec["model"].get("type") != "BPE" or before.get("type") != "ByteLevel" or before.get("add_prefix_space") or spec.get("normalizer"):
-        return plain
-    import tiktoken
-
-    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    byte_of = {chr(b): b for b in printable} | {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in set(printable))}
-    special = {x["content"]: x["id"] for x in spec.get("added_tokens", [])}
-    ranks = {bytes(byte_of[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in special}
-    pattern = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-    fast = tiktoken.Encoding("byte-level", pat_str=pattern, mergeable_ranks=ranks, special_tokens=special)
-
-    def encode(text: str) -> list[int]:
-        if any(s in text for s in special) or len(text) >= 20000 and _LONG_RUN.search(text):
-            return plain(text)
-        return fast.encode_ordinary(text)
-
-    return encode
 
 
 def _tokenised(path: str | None, capacity: int, end_id: int):

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import annparts, langid, licenses, media, minhash, packing, quality, secrets, secrets_sql, spviterbi, urlfilter
+from . import alignment, annparts, exactdedup, heapmeans, langid, licenses, media, minhash, packing, quality, secrets, secrets_sql, spviterbi, urlfilter
 from .shared import documents
 
 
@@ -51,6 +51,18 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir))
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.alignment(documents(spark, sf_dir))
+
+
+def op12_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exactdedup.exact_duplicates(documents(spark, sf_dir))
+
+
+def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return heapmeans.clustered(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secrets": op1_secrets,
     "op2_urls": op2_urls,
@@ -62,6 +74,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_media": op8_media,
     "op9_packing": op9_packing,
     "op10_minhash": op10_minhash,
+    "op11_alignment": op11_alignment,
+    "op12_exact": op12_exact,
+    "op13_centroids": op13_centroids,
 }
 
 OP10_SQL = r"""
@@ -91,4 +106,6 @@ SQL: dict[str, str] = {
     "op1_secrets": secrets_sql.sql(),
     "op2_urls": urlfilter.sql(),
     "op10_minhash": OP10_SQL,
+    "op12_exact": exactdedup.SQL,
+    "op13_centroids": heapmeans.sql(),
 }
