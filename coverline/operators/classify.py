@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 
 from coverline.functions.columns import SECTIONS, let, present, section_rank, since
 from coverline.functions.folding import fold_text
+from coverline.functions.matcher import finder, pattern_matches
 from coverline.functions.urls import host_of
-from coverline.sources.rules import SCHEMAS, small
+from coverline.sources.rules import MOST_RULES, SCHEMAS, small
 
 #: Confidence of a match of a text in the first and second tier, and of none.
 HIGH, MEDIUM, FALLBACK = 0.84, 0.72, 0.51
@@ -43,21 +44,31 @@ def _pieces(of: Column, lengths: list[int], mark: str) -> Column:
 def matches(rows: DataFrame, id_column: str, folded: Column, rules: DataFrame) -> DataFrame:
     """(id, columns of the rule) of every rule whose keyword a text holds, as whole words or, in unspaced scripts, anywhere.
 
-    Runs of as many words (characters) as some rule has meet the rule table by equality, so no row meets every rule.
-    ``rules`` has keyword and whatever else a rule says.
+    One automaton of all keywords reads each text once, and what it finds meets the rule table by equality. Beyond
+    ``MOST_RULES`` keywords the text's runs of as many words (characters) as some rule has meet the table instead, so that no
+    task holds all rules. ``rules`` has keyword and whatever else a rule says.
     """
     words = lambda text: F.filter(F.split(text, APART), lambda w: w != "")
     letters = lambda text: F.filter(F.split(text, ""), lambda c: c != "")
     base = rows.select(F.col(id_column).alias("id"), folded.alias("text"))
     own = rules.withColumn("keyword", fold_text("keyword")).withColumn("unspaced", F.col("keyword").rlike(UNSPACED))
-
-    def met(base: DataFrame, own: DataFrame, parts, mark: str) -> DataFrame:
-        table = own.withColumns({"n": F.size(parts(F.col("keyword"))), "keyword": F.array_join(parts(F.col("keyword")), mark)}).where("n > 0").drop("unspaced")
-        lengths = sorted(r.n for r in table.select("n").distinct().collect())  # of keywords, a handful
-        runs = base.select("id", F.explode(_pieces(parts(F.col("text")), lengths, mark)).alias("keyword"))
-        return runs.join(small(table.drop("n")), "keyword")
-
-    return met(base, own.where(~F.col("unspaced")), words, " ").unionByName(met(base.where(F.col("text").rlike(UNSPACED)), own.where("unspaced"), letters, ""))
+    spaced = own.where(~F.col("unspaced")).withColumn("keyword", F.array_join(words(F.col("keyword")), " ")).where("keyword <> ''").drop("unspaced")
+    unspaced = own.where("unspaced").drop("unspaced")
+
+    def met(base: DataFrame, table: DataFrame, text: Column, parts, mark: str, edge: str) -> DataFrame:
+        known = [r.keyword for r in table.select("keyword").distinct().limit(MOST_RULES + 1).collect()]
+        if len(known) <= MOST_RULES:
+            found = base.select("id", F.explode(finder([f"{edge}{k}{edge}" for k in known])(text)).alias("keyword"))
+            return found.withColumn("keyword", F.trim("keyword") if edge else F.col("keyword")).join(small(table), "keyword")
+        sized = table.withColumn("n", F.size(parts(F.col("keyword"))))
+        lengths = sorted(r.n for r in sized.select("n").distinct().collect())  # of keywords, a handful
+        return base.select("id", F.explode(_pieces(parts(F.col("text")), lengths, mark)).alias("keyword")).join(small(table), "keyword")
+
+    whole = F.concat(F.lit(" "), F.regexp_replace("text", APART, " "), F.lit(" "))
+    found = met(base, spaced, whole, words, " ", " ")
+    if unspaced.isEmpty():
+        return found
+    return found.unionByName(met(base.where(F.col("text").rlike(UNSPACED)), unspaced, F.col("text"), letters, "", ""))
 
 
 def _first(found: DataFrame, high: float, medium: float) -> DataFrame:
@@ -153,9 +164,14 @@ def build_taxonomy(evidence: DataFrame, id_column: str) -> DataFrame:
 
 
 def detect_topics(rows: DataFrame, id_column: str, section: str, folded: Column, rules: DataFrame) -> DataFrame:
-    """(id, topics, primary_topic) of rows with a topic: of the rules (section, label, keyword) of a row's section, 0.6 for a label that matches and 0.15 for each further keyword of it, at most 1; best first, then by label."""
-    found = matches(rows, id_column, folded, rules.withColumnRenamed("section", "of")).join(rows.select(F.col(id_column).alias("id"), F.col(section).alias("own")), "id").where("own = of")
-    hits = found.groupBy("id", "label").agg(F.count_distinct("keyword").alias("n")).withColumn("score", F.least(F.round(0.6 + 0.15 * (F.col("n") - 1), 2), F.lit(1.0)))
+    """(id, topics, primary_topic) of rows with a topic: best first, then by label.
+
+    ``rules`` (section, label, priority, pattern) are patterns on folded text. Of the rules of a row's section a label that
+    matches scores 0.6, and 0.15 more for each further pattern of it, at most 1.
+    """
+    base = rows.select(F.col(id_column).alias("id"), F.col(section).alias("section"), folded.alias("text"))
+    found = pattern_matches(base.select("id", "section", "text"), F.col("text"), rules, ["section"])
+    hits = found.groupBy("id", "label").agg(F.count_distinct("priority", "pattern").alias("n")).withColumn("score", F.least(F.round(0.6 + 0.15 * (F.col("n") - 1), 2), F.lit(1.0)))
     listed = hits.groupBy("id").agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("order"), "label", "score"))).alias("x"))
     return listed.select(F.col("id").alias(id_column), F.transform("x", lambda t: F.struct(t.label.alias("label"), t.score.alias("score"))).alias("topics"), F.col("x")[0].label.alias("primary_topic"))
 
@@ -192,13 +208,19 @@ def infer_geo(rows: DataFrame, id_column: str, folded: Column, places: DataFrame
 def resolve_publisher(rows: DataFrame, rules: DataFrame) -> DataFrame:
     """Per (source, country) the publisher of the first rule that fits: kind exact, prefix or contains, countries or null for all.
 
-    Sources are made distinct first, so that the rules meet names, not articles.
+    Sources are made distinct first, so that the rules meet names, not articles. Exact names meet rules by equality, their
+    beginnings of as many characters as some rule has likewise, and parts of names are found by the automaton of ``matcher``.
     """
-    names = rows.select("source", "country").distinct()
-    name = F.lower(F.trim("source"))
-    fits = F.when(F.col("kind") == "exact", name == F.col("pattern")).when(F.col("kind") == "prefix", F.startswith(name, F.col("pattern"))).otherwise(F.contains(name, F.col("pattern")))
-    found = names.join(small(rules), fits & (F.col("countries").isNull() | F.array_contains("countries", F.col("country"))))
-    best = found.groupBy("source", "country").agg(F.min_by(F.struct("publisher", "kind"), "rule_no").alias("x"))
+    names = rows.select("source", "country").distinct().withColumn("name", F.lower(F.trim("source")))
+    of = lambda kind: rules.where(F.col("kind") == kind)
+    lengths = [r.n for r in of("prefix").select(F.length("pattern").alias("n")).distinct().collect()]  # of patterns, a handful
+    starts = F.array(*(F.when(F.length("name") >= n, F.substring("name", 1, n)) for n in sorted(lengths))).cast("array<string>")
+    inner = [r.pattern for r in of("contains").select("pattern").distinct().limit(MOST_RULES + 1).collect()]
+    if len(inner) > MOST_RULES:
+        raise ValueError(f"more than {MOST_RULES} rules of kind contains")
+    keyed = [("exact", names.withColumn("pattern", F.col("name"))), ("prefix", names.withColumn("pattern", F.explode(starts))), ("contains", names.withColumn("pattern", F.explode(finder(inner)("name"))))]
+    met = [keys.join(small(of(kind)), "pattern").where(F.col("countries").isNull() | F.array_contains("countries", F.col("country"))).select("source", "country", "rule_no", "publisher", "kind") for kind, keys in keyed]
+    best = met[0].unionByName(met[1]).unionByName(met[2]).groupBy("source", "country").agg(F.min_by(F.struct("publisher", "kind"), "rule_no").alias("x"))
     out = names.join(best, ["source", "country"], "left")
     confidence = F.when(F.col("x.kind") == "exact", "high").when(F.col("x.kind") == "prefix", "medium").otherwise("low")
     return out.select("source", "country", F.coalesce("x.publisher", F.trim("source")).alias("publisher"), confidence.alias("confidence"), F.coalesce("x.kind", F.lit("display_name")).alias("matched_by"))

@@ -16,7 +16,7 @@ from coverline.plans.ship import shared_folder
 from coverline.plans.views import ARTICLES, AS_OF, AT, FEEDS, RUNS, articles, feeds, runs, table
 from coverline.sources import documents as raw
 from coverline.sources import registry
-from coverline.sources.rules import SCHEMAS
+from coverline.sources.rules import SCHEMAS, read_rules
 
 BASE = f"WITH {ARTICLES}"
 Q = r"string_split(regexp_replace(regexp_extract(url, '^[^?#]*(\?[^#]*)?', 1), '^\?', ''), '&')"
@@ -260,11 +260,12 @@ def s2e(spark: SparkSession, d: str) -> DataFrame:
     return registry.normalize_registry(f.unionByName(again))[1]
 
 
-@query("s4_export_catalog", f"""WITH {FEEDS}, {RUNS}, a AS (SELECT f.country, f.source, f.rss_url, arg_max(status_code, (ran_at, r.id)) AS status_code, arg_max(ok, (ran_at, r.id)) AS ok FROM runs r JOIN feeds f ON f.outlet_id = r.outlet_id WHERE f.rss_url IS NOT NULL AND r.method = 'rss' GROUP BY 1, 2, 3)
-SELECT f.country, code, f.source, f.rss_url, sitemap_url, enabled, CASE WHEN ok IS NULL THEN 'not audited' WHEN ok THEN 'ok' ELSE 'failed ' || status_code END AS status FROM feeds f LEFT JOIN a ON a.country = f.country AND a.source = f.source AND a.rss_url = f.rss_url""")
+@query("s4_export_catalog", f"""WITH {FEEDS}, {RUNS}, a AS (SELECT f.country, f.source, f.rss_url, arg_max(struct_pack(code := status_code, ok := ok, at := ran_at), (ran_at, r.id)) AS x FROM runs r JOIN feeds f ON f.outlet_id = r.outlet_id WHERE f.rss_url IS NOT NULL AND r.method = 'rss' GROUP BY 1, 2, 3)
+SELECT code AS country_code, f.country AS country_name, f.source AS outlet, coalesce(f.rss_url, sitemap_url) AS url, CASE WHEN f.rss_url IS NULL THEN 'needs verification' WHEN x IS NULL THEN CASE WHEN outlet_id % 4 = 0 THEN 'stale' ELSE 'needs verification' END WHEN x.code IS NULL THEN 'invalid (ERR)' WHEN x.ok THEN 'valid' ELSE 'invalid' END AS health_status,
+coalesce(CAST(x.code AS VARCHAR), 'N/A') AS http_status, x.at AS checked_at FROM feeds f LEFT JOIN a ON a.country = f.country AND a.source = f.source AND a.rss_url = f.rss_url WHERE enabled AND coalesce(f.rss_url, sitemap_url) IS NOT NULL""")
 def s4(spark: SparkSession, d: str) -> DataFrame:
-    f = feeds(spark, d)
-    audit = runs(spark, d).where("method = 'rss'").select("outlet_id", "status_code", "ok", F.struct("ran_at", "id").alias("checked_at")).join(f.where("rss_url is not null").select("outlet_id", "country", "source", F.col("rss_url").alias("url")), "outlet_id")
+    f = feeds(spark, d).withColumn("status", F.when(F.col("outlet_id") % 4 == 0, "stale"))
+    audit = runs(spark, d).where("method = 'rss'").select("outlet_id", "status_code", "ok", F.col("ran_at").alias("checked_at"), "id").join(f.where("rss_url is not null").select("outlet_id", "country", "source", F.col("rss_url").alias("url")), "outlet_id")
     return registry.export_catalog(f, audit)
 
 
@@ -344,16 +345,22 @@ def c5(spark: SparkSession, d: str) -> DataFrame:
 
 
 #: Topics over the titles of the article view, by section.
-TOPICS = (("sports", "materials", "steel"), ("sports", "materials", "copper"), ("sports", "materials", "ring"), ("sports", "fittings", "ring"), ("sports", "fittings", "bolt"), ("world", "goods", "widget"), ("world", "goods", "gear"), ("world", "goods", "steel ring"), ("others", "colours", "red"), ("others", "colours", "blue"), ("others", "colours", "green"), ("others", "colours", "small"))
+TOPICS = (
+    ("sports", "materials", r"steel|copper"), ("sports", "materials", r"\bring\b"), ("sports", "fittings", r"rings?\b|bolts?\b"), ("sports", "fittings", r"(large|small).*bolt"), ("world", "goods", r"widget|gear"),
+    ("world", "goods", r"steel (ring|bolt)"), ("others", "colours", r"\b(red|blue)\b"), ("others", "colours", r"gre+n"), ("others", "colours", r"^small\b"), ("business", "any", r"^[a-m].* [n-z]"),
+)
 TOPIC_ROWS = ", ".join(f"('{s}', '{t}', '{w}')" for s, t, w in TOPICS)
 
 
 def _topics(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(TOPICS, SCHEMAS["topics"])
+    """The rules as a file of a deployment would hold them."""
+    path = _scratch(spark, "topics")
+    spark.createDataFrame([(s, t, k, p) for k, (s, t, p) in enumerate(TOPICS)], SCHEMAS["topics"]).coalesce(1).write.option("header", True).option("escape", '"').csv(path)
+    return read_rules(spark, path, "topics")
 
 
-@query("c6_detect_topics", f"""{BASE}, r(section, label, keyword) AS (VALUES {TOPIC_ROWS}), t AS (SELECT DISTINCT primary_section || '|' || title_original AS id, primary_section AS section, title_original AS title FROM articles),
-h AS (SELECT id, label, CAST(least(round(0.6 + 0.15 * (count(*) - 1), 2), 1.0) AS DOUBLE) AS score FROM t JOIN r ON r.section = t.section AND contains(' ' || title || ' ', ' ' || keyword || ' ') GROUP BY 1, 2)
+@query("c6_detect_topics", f"""{BASE}, r(section, label, pattern) AS (VALUES {TOPIC_ROWS}), t AS (SELECT DISTINCT primary_section || '|' || title_original AS id, primary_section AS section, title_original AS title FROM articles),
+h AS (SELECT id, label, CAST(least(round(0.6 + 0.15 * (count(*) - 1), 2), 1.0) AS DOUBLE) AS score FROM t JOIN r ON r.section = t.section AND regexp_matches(title, pattern) GROUP BY 1, 2)
 SELECT id, arg_min(label, (-score, label)) AS primary_topic, string_agg(label || '=' || score, ',' ORDER BY score DESC, label) AS topics FROM h GROUP BY 1""")
 def c6(spark: SparkSession, d: str) -> DataFrame:
     rows = articles(spark, d).select(F.concat_ws("|", "primary_section", "title_original").alias("id"), F.col("primary_section").alias("section"), "title_original").distinct()
@@ -466,10 +473,10 @@ def c17(spark: SparkSession, d: str) -> DataFrame:
     return classify.to_reclassify(a, AS_OF, 20, True, 400, "world", (), ("Brand#11", "Brand#12", "Brand#13", "Brand#22")).groupBy("primary_section").agg(F.count("*").alias("n"))
 
 
-@query("c17_reclassified", f"""{BASE}, p AS (SELECT external_id, arg_min(primary_section, (title_original, url)) AS stored, arg_min(title_original, (title_original, url)) AS title FROM articles WHERE publication_datetime >= {AT} - INTERVAL 25 DAY AND len(feed_categories) = 0 GROUP BY 1), r(section, label, keyword) AS (VALUES {TOPIC_ROWS}),
+@query("c17_reclassified", f"""{BASE}, p AS (SELECT external_id, arg_min(primary_section, (title_original, url)) AS stored, arg_min(title_original, (title_original, url)) AS title FROM articles WHERE publication_datetime >= {AT} - INTERVAL 25 DAY AND len(feed_categories) = 0 GROUP BY 1), r(section, label, pattern) AS (VALUES {TOPIC_ROWS}),
 e AS (SELECT external_id, stored AS section, 0.1 AS w FROM p WHERE stored <> 'others' UNION ALL SELECT external_id, CASE WHEN contains(' ' || title || ' ', ' ring ') THEN 'arts' ELSE 'science' END, 0.35 FROM p WHERE contains(' ' || title || ' ', ' ring ') OR contains(' ' || title || ' ', ' red ')), s AS (SELECT external_id, section, round(sum(w), 2) AS score, list_position(['world', 'politics', 'conflicts', 'business', 'tech', 'sports', 'health', 'entertainment', 'lifestyle', 'arts', 'science', 'climate', 'others'], section) AS rank FROM e GROUP BY 1, 2),
 g AS (SELECT external_id, arg_min(section, (-score, rank)) AS primary_section, string_agg(section, ',' ORDER BY score DESC, rank) AS sections FROM s GROUP BY 1), q AS (SELECT p.external_id, p.title, coalesce(primary_section, 'others') AS primary_section, coalesce(sections, 'others') AS sections FROM p LEFT JOIN g ON g.external_id = p.external_id),
-h AS (SELECT external_id, label, least(round(0.6 + 0.15 * (count(*) - 1), 2), 1.0) AS score FROM q JOIN r ON r.section = q.primary_section AND contains(' ' || title || ' ', ' ' || keyword || ' ') GROUP BY 1, 2), t AS (SELECT external_id, arg_min(label, (-score, label)) AS primary_topic FROM h GROUP BY 1)
+h AS (SELECT external_id, label, least(round(0.6 + 0.15 * (count(*) - 1), 2), 1.0) AS score FROM q JOIN r ON r.section = q.primary_section AND regexp_matches(title, pattern) GROUP BY 1, 2), t AS (SELECT external_id, arg_min(label, (-score, label)) AS primary_topic FROM h GROUP BY 1)
 SELECT q.external_id, primary_section, sections, primary_topic FROM q LEFT JOIN t ON t.external_id = q.external_id""")
 def c17r(spark: SparkSession, d: str) -> DataFrame:
     rows = classify.to_reclassify(articles(spark, d), AS_OF, 25)

@@ -49,10 +49,22 @@ def normalize_registry(feeds: DataFrame) -> tuple[DataFrame, DataFrame, DataFram
 
 
 def export_catalog(feeds: DataFrame, audit: DataFrame) -> DataFrame:
-    """Registrations with the newest audit of each (country, source, url) and its state in words; write it as CSV."""
-    newest = audit.groupBy("country", "source", "url").agg(F.max_by(F.struct("status_code", "ok"), "checked_at").alias("x")).select("country", "source", F.col("url").alias("rss_url"), "x.*")
-    words = F.when(F.col("ok").isNull(), "not audited").when(F.col("ok"), "ok").otherwise(F.concat(F.lit("failed "), F.col("status_code").cast("string")))
-    return feeds.join(newest, ["country", "source", "rss_url"], "left").select("country", "code", "source", "rss_url", "sitemap_url", "enabled", words.alias("status"))
+    """Enabled registrations with an endpoint, as rows for ``write.csv``, with the newest audit of each (country, source, feed link).
+
+    ``audit`` has country, source, url, checked_at, id, ok and status_code. The state is valid or invalid as the audit found, invalid
+    (ERR) if it got no status code, and without an audit what the registration says of itself in ``valid`` or ``status``, if it
+    has such columns, else that it needs verification. Only feeds are audited; the endpoint of a registration without one is its sitemap.
+    """
+    facts = F.struct("status_code", "ok", "checked_at")
+    newest = audit.groupBy("country", "source", "url").agg(F.max_by(facts, F.struct("checked_at", "id")).alias("audit")).withColumnRenamed("url", "rss_url")
+    own = [present(c) for c in ("valid", "status") if c in feeds.columns]
+    verify = F.lit("needs verification")
+    said = F.when(F.col("rss_url").isNull(), verify).otherwise(F.coalesce(*own, verify))
+    state = F.when(F.col("audit").isNull(), said).when(F.col("audit.status_code").isNull(), "invalid (ERR)").when(F.col("audit.ok"), "valid").otherwise("invalid")
+    rows = feeds.withColumn("endpoint", F.coalesce(present("rss_url"), present("sitemap_url"))).where(F.coalesce("enabled", F.lit(True)) & F.col("endpoint").isNotNull())
+    return rows.join(newest, ["country", "source", "rss_url"], "left").select(
+        F.col("code").alias("country_code"), F.col("country").alias("country_name"), F.col("source").alias("outlet"), F.col("endpoint").alias("url"), state.alias("health_status"), F.coalesce(F.col("audit.status_code").cast("string"), F.lit("N/A")).alias("http_status"), F.col("audit.checked_at").alias("checked_at"),
+    )
 
 
 def incremental_export(articles: DataFrame, last_to: datetime, to: datetime, overlap_seconds: int = 120) -> tuple[DataFrame, DataFrame]:

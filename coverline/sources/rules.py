@@ -10,7 +10,7 @@ MOST_RULES = 100_000
 SCHEMAS = {
     "keywords": "priority int, tier string, keyword string, section string",
     "categories": "priority int, kind string, pattern string, section string",
-    "topics": "section string, label string, keyword string",
+    "topics": "section string, label string, priority int, pattern string",
     "hints": "priority int, part string, section string",
     "places": "priority int, keyword string, name string, country string, lat double, lon double",
     "aliases": "priority int, keyword string, country string",
@@ -24,7 +24,7 @@ SCHEMAS = {
 
 def read_rules(spark: SparkSession, path: str, kind: str) -> DataFrame:
     """A rule table of a kind from CSV files with a header; a row that does not fit its schema is an error."""
-    rows = spark.read.schema(SCHEMAS[kind]).option("header", True).option("mode", "FAILFAST").csv(path)
+    rows = spark.read.schema(SCHEMAS[kind]).option("header", True).option("mode", "FAILFAST").option("escape", '"').csv(path)
     return rows.withColumn("countries", F.split("countries", ";")) if kind == "publishers" else rows
 
 
