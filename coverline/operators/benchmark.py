@@ -46,14 +46,14 @@ def per_country_source(counts: DataFrame, feeds: DataFrame) -> DataFrame:
     return resolve_country(counts, feeds).groupBy(F.col("resolved_country").alias("country"), "source").agg(*(F.sum(v).alias(v) for v in values))
 
 
-def country_totals(sources: DataFrame) -> DataFrame:
-    """Totals, active sources and the share of the top 1, 5 and 10 sources, from rows of (country, source, counts)."""
-    values = [c for c in sources.columns if c not in ("country", "source")]
-    ranked = sources.withColumn("__rank", F.row_number().over(Window.partitionBy("country").orderBy(F.desc("published"), "source")))
+def country_totals(sources: DataFrame, keys: tuple[str, ...] = ("country",)) -> DataFrame:
+    """Totals, active sources and the share of the top 1, 5 and 10 sources, from rows of (keys, source, counts)."""
+    values = [c for c in sources.columns if c not in (*keys, "source")]
+    ranked = sources.withColumn("__rank", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("published"), "source")))
     top = lambda k: F.sum(F.when(F.col("__rank") <= k, F.col("published")).otherwise(0))
     total = F.sum("published")
     extra = [F.count_if(F.col("inserted_1h") > 0).alias("active_sources_1h")] if "inserted_1h" in values else []
-    return ranked.groupBy("country").agg(
+    return ranked.groupBy(*keys).agg(
         *(F.sum(v).alias(v) for v in values), F.count_if((F.col("published") > 0) | (F.col("inserted") > 0)).alias("active_sources"), *extra,
         *(basis_points(top(k), total).alias(f"top{k}_share_bps") for k in (1, 5, 10)),
     )
@@ -66,6 +66,40 @@ def country_benchmark_hourly(articles: DataFrame, feeds: DataFrame, as_of: datet
     return found.withColumn("bucket", at(end))
 
 
+def window_ends(moment: Column, hours: int = 24) -> Column:
+    """The full hours whose preceding ``hours`` hours hold the moment; none for a null."""
+    hour = F.date_trunc("hour", moment).cast("timestamp_ntz")
+    ends = F.sequence(hour + F.expr("INTERVAL '1' HOUR"), hour + F.expr(f"INTERVAL '{hours}' HOUR"), F.expr("INTERVAL '1' HOUR"))
+    return F.when(moment.isNotNull(), ends).otherwise(F.array().cast("array<timestamp_ntz>"))
+
+
+def buckets_of(articles: DataFrame) -> Column:
+    """The buckets of ``benchmark_hours`` that a row of ``articles`` counts in."""
+    return F.array_distinct(F.concat(window_ends(articles["created_at"]), window_ends(articles["publication_datetime"])))
+
+
+def benchmark_hours(articles: DataFrame, feeds: DataFrame, days: DataFrame | None = None) -> DataFrame:
+    """``country_benchmark_hourly`` at every full hour at once, or those of some ``days`` (day): a row is spread over the hours whose day it counts in.
+
+    Counts are made per source before anything is ranked, so what is shuffled is a row for each bucket and source and task.
+    """
+    pub = clamped_publication()
+    kept = articles.where(~low_signal_title(F.col("title_original"), F.col("url"), F.col("source"), F.col("title_quality")))
+    rows = kept.select("source_country", "source", pub.alias("pub"), "created_at", F.explode(buckets_of(kept)).alias("bucket"))
+    if days is not None:
+        rows = rows.join(days, F.to_date("bucket") == F.col("day"), "left_semi")
+    start = F.col("bucket") - F.expr("INTERVAL '24' HOUR")
+    inside = lambda c, first: (F.col(c) >= first) & (F.col(c) < F.col("bucket"))
+    created, published = inside("created_at", start), inside("pub", start)
+    counts = rows.groupBy("bucket", "source_country", "source").agg(
+        F.count_if(inside("created_at", F.col("bucket") - F.expr("INTERVAL '1' HOUR"))).alias("inserted_1h"), F.count_if(created).alias("inserted"),
+        F.count_if(published).alias("published"), F.count_if(created & published).alias("fresh"), F.count_if(created & (F.col("pub") < start)).alias("late"),
+    )
+    values = ("inserted_1h", "inserted", "published", "fresh", "late")
+    named = resolve_country(counts, feeds).groupBy("bucket", F.col("resolved_country").alias("country"), "source").agg(*(F.sum(c).alias(c) for c in values))
+    return country_totals(named, ("bucket", "country"))
+
+
 def source_daily(articles: DataFrame, feeds: DataFrame, day: datetime) -> DataFrame:
     counts = source_window_counts(articles, day, day + timedelta(days=1)).drop("inserted_1h")
     return per_country_source(counts, feeds).withColumn("bucket", at(day))
@@ -137,5 +171,10 @@ def benchmark_parity(stored: DataFrame, recomputed: DataFrame, keys: list[str],
 
 def write_snapshot(df: DataFrame, path: str, bucket: str, metric_version: str) -> None:
     """Replace exactly one (bucket, metric_version) slice of a snapshot folder; writing it again changes nothing."""
-    marked = df.withColumns({"bucket_key": F.lit(bucket), "metric_version": F.lit(metric_version)})
+    write_snapshots(df.withColumn("bucket_key", F.lit(bucket)), path, metric_version)
+
+
+def write_snapshots(df: DataFrame, path: str, metric_version: str) -> None:
+    """Replace the slices of all ``bucket_key`` in ``df``, and no other."""
+    marked = df.withColumn("metric_version", F.lit(metric_version))
     marked.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket_key", "metric_version").parquet(path)
