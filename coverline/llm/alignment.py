@@ -27,7 +27,7 @@ from .textkit import buffers, slices
 from .tokens import byte_table, default_tokenizer, encoder
 
 #: Bytes of text a block; a longer text is a block of its own.
-BLOCK = 4 << 20
+BLOCK = 1 << 20
 
 
 def default_pieces() -> str:
