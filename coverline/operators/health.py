@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from coverline.functions.columns import at, percent, since
 from coverline.functions.urls import host_of
+from coverline.sources.kept import keep
 
 NEWEST = ("ran_at", "id")
 #: Statuses that a repeat seldom cures.
@@ -199,7 +200,8 @@ def policy_step(state: dict, row) -> dict:
     """One check's effect on a sitemap's policy.
 
     A success resets it. What is gone or moved for good ends it, as does a 404 with a living twin or after ``GONE_AFTER``
-    failures; any other known failure pauses it from the ``PAUSE_AFTER``-th on; an unknown one only counts.
+    failures; any other known failure pauses it from the ``PAUSE_AFTER``-th on; an unknown one only counts, but begins a
+    pause anew that had come to its end.
     """
     now = {**state, "consecutive_failures": state["consecutive_failures"] + 1, "updated_at": row.ran_at}
     now["last_status_code"] = None if row.status_code is None or row.status_code != row.status_code else int(row.status_code)
@@ -210,6 +212,8 @@ def policy_step(state: dict, row) -> dict:
         return {**now, "status": "disabled_permanent", "reason": row.failure, "disabled_until": row.ran_at + pd.Timedelta(days=RECHECK_DAYS)}
     if isinstance(row.failure, str) and n >= PAUSE_AFTER:
         return {**now, "status": "disabled_temporary", "reason": row.failure, "disabled_until": row.ran_at + pd.Timedelta(days=PAUSE_DAYS)}
+    if not isinstance(row.failure, str) and now["status"] != "active" and now["disabled_until"] <= row.ran_at:
+        return {**now, "disabled_until": row.ran_at + pd.Timedelta(days=PAUSE_DAYS if now["status"] == "disabled_temporary" else RECHECK_DAYS)}
     return now
 
 
@@ -222,7 +226,8 @@ def sitemap_policy(runs: DataFrame, twins: DataFrame | None = None) -> DataFrame
 
     Only failures after the newest success count, and the last one that decides anything holds the status. Whether a
     failure comes late enough needs its place in the streak only for the first ``GONE_AFTER`` failures: these are found as
-    the smallest of the streak, without sorting it.
+    the smallest of the streak, without sorting it. Unknown failures after it may begin an elapsed pause anew, and then again:
+    each round finds the first one past the pause of every outlet, so there are as many rounds as pauses in a row at most.
     """
     rows = policy_rows(runs, twins)
     newest = F.struct("ran_at", "id")
@@ -238,10 +243,29 @@ def sitemap_policy(runs: DataFrame, twins: DataFrame | None = None) -> DataFrame
     decides = F.when(F.coalesce(gone, F.lit(False)), "disabled_permanent").when(F.col("failure").isNotNull() & place(PAUSE_AFTER), "disabled_temporary")
     marked = marked.withColumn("decides", F.when(F.col("failed"), decides))
     per = marked.groupBy("outlet_id").agg(
-        F.count_if("failed").alias("failures"), F.max_by(F.struct("decides", "failure", "ran_at"), F.when(F.col("decides").isNotNull(), newest)).alias("d"), F.max_by(F.struct("status_code", "ran_at"), newest).alias("x"),
+        F.count_if("failed").alias("failures"), F.max_by(F.struct("decides", "failure", "ran_at", "id"), F.when(F.col("decides").isNotNull(), newest)).alias("d"), F.max_by(F.struct("status_code", "ran_at"), newest).alias("x"),
     )
     until = F.when(F.col("d.decides") == "disabled_permanent", F.col("d.ran_at") + F.expr(f"INTERVAL '{RECHECK_DAYS}' DAY")).when(F.col("d.decides").isNotNull(), F.col("d.ran_at") + F.expr(f"INTERVAL '{PAUSE_DAYS}' DAY"))
-    return per.select("outlet_id", F.coalesce("d.decides", F.lit("active")).alias("status"), F.when(F.col("d.decides").isNotNull(), F.col("d.failure")).alias("reason"), F.col("failures").alias("consecutive_failures"), F.col("x.status_code").alias("last_status_code"), until.alias("disabled_until"), F.col("x.ran_at").alias("updated_at"))
+    until = _renewed(per.select("outlet_id", F.col("d.decides").alias("decides"), until.alias("until"), F.struct("d.ran_at", "d.id").alias("decided")).where("until is not null"), marked.where(F.col("failed") & F.col("failure").isNull()).select("outlet_id", "share", newest.alias("at")))
+    return per.join(until, "outlet_id", "left").select("outlet_id", F.coalesce("d.decides", F.lit("active")).alias("status"), F.when(F.col("d.decides").isNotNull(), F.col("d.failure")).alias("reason"), F.col("failures").alias("consecutive_failures"), F.col("x.status_code").alias("last_status_code"), F.col("until").alias("disabled_until"), F.col("x.ran_at").alias("updated_at"))
+
+
+def _renewed(pauses: DataFrame, unknown: DataFrame) -> DataFrame:
+    """(outlet_id, until): pauses (outlet_id, decides, until, decided) after the unknown failures (outlet_id, share, at) that came past their ends."""
+    ends = keep(pauses, "pauses")
+    later = keep(unknown.join(_copies(ends.select("outlet_id", "decided", F.col("until").alias("first_until"))), ["outlet_id", "share"]).where((F.col("at") > F.col("decided")) & (F.col("at.ran_at") >= F.col("first_until"))).select("outlet_id", "share", F.col("at.ran_at").alias("ran_at")), "unknown")
+    days = F.when(F.col("decides") == "disabled_temporary", F.expr(f"INTERVAL '{PAUSE_DAYS}' DAY")).otherwise(F.expr(f"INTERVAL '{RECHECK_DAYS}' DAY"))
+    while True:
+        past = later.join(_copies(ends.select("outlet_id", "until")), ["outlet_id", "share"]).where("ran_at >= until").groupBy("outlet_id").agg(F.min("ran_at").alias("again"))
+        past = keep(past, "again")
+        if past.isEmpty():
+            return ends.select("outlet_id", "until")
+        ends = keep(ends.join(past, "outlet_id", "left").withColumn("until", F.when(F.col("again").isNotNull(), F.col("again") + days).otherwise(F.col("until"))).drop("again"), "pauses")
+
+
+def _copies(outlets: DataFrame) -> DataFrame:
+    """Each outlet's row for each share of its checks."""
+    return outlets.select("*", F.explode(F.sequence(F.lit(0), F.lit(SHARES - 1))).alias("share"))
 
 
 def _smallest(rows: DataFrame, n: int) -> DataFrame:

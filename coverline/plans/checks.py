@@ -129,9 +129,15 @@ def h12(spark: SparkSession, d: str) -> DataFrame:
     return health.outlet_schedule(table(spark, d, "supplier").select(F.col("s_suppkey").alias("outlet_id"), F.col("s_name").alias("source")), counts, 8, 10, 8)
 
 
-POLICY_SQL = """r AS (SELECT runs.*, coalesce(tw.outlet_id IS NOT NULL, FALSE) AS twin, CASE WHEN ok THEN NULL WHEN status_code = 410 THEN 'http_410' WHEN status_code = 404 THEN 'http_404' WHEN status_code IN (403, 500) THEN 'http_' || status_code WHEN error = 'timed out' THEN 'timeout' END AS failure, row_number() OVER (PARTITION BY runs.outlet_id ORDER BY ran_at, id) AS k FROM runs LEFT JOIN tw ON tw.outlet_id = runs.outlet_id WHERE attempted AND method = 'sitemap'),
+def with_unknown(runs: DataFrame) -> DataFrame:
+    """The log with a failure among its statuses that tells nothing."""
+    odd = (F.col("status_code") == 500) & (F.col("id") % 3 == 0)
+    return runs.withColumns({"status_code": F.when(odd, 418).otherwise(F.col("status_code")), "error": F.when(odd, "http_418").otherwise(F.col("error"))})
+
+
+POLICY_SQL = """ru AS (SELECT * REPLACE (CASE WHEN status_code = 500 AND id % 3 = 0 THEN 418 ELSE status_code END AS status_code) FROM runs), r AS (SELECT runs.*, coalesce(tw.outlet_id IS NOT NULL, FALSE) AS twin, CASE WHEN ok THEN NULL WHEN status_code = 410 THEN 'http_410' WHEN status_code = 404 THEN 'http_404' WHEN status_code IN (403, 500) THEN 'http_' || status_code WHEN error = 'timed out' THEN 'timeout' END AS failure, row_number() OVER (PARTITION BY runs.outlet_id ORDER BY ran_at, id) AS k FROM ru runs LEFT JOIN tw ON tw.outlet_id = runs.outlet_id WHERE attempted AND method = 'sitemap'),
 f AS (SELECT outlet_id, CAST(0 AS BIGINT) AS k, 'active' AS status, CAST(NULL AS VARCHAR) AS reason, CAST(0 AS BIGINT) AS consecutive_failures, CAST(NULL AS INTEGER) AS last_status_code, CAST(NULL AS TIMESTAMP) AS disabled_until, CAST(NULL AS TIMESTAMP) AS updated_at FROM (SELECT DISTINCT outlet_id FROM r) UNION ALL
-  SELECT r.outlet_id, r.k, CASE WHEN ok THEN 'active' WHEN gone THEN 'disabled_permanent' WHEN paused THEN 'disabled_temporary' ELSE status END, CASE WHEN ok THEN NULL WHEN gone OR paused THEN failure ELSE reason END, CASE WHEN ok THEN 0 ELSE consecutive_failures + 1 END, status_code, CASE WHEN ok THEN NULL WHEN gone THEN ran_at + INTERVAL 30 DAY WHEN paused THEN ran_at + INTERVAL 7 DAY ELSE disabled_until END, ran_at
+  SELECT r.outlet_id, r.k, CASE WHEN ok THEN 'active' WHEN gone THEN 'disabled_permanent' WHEN paused THEN 'disabled_temporary' ELSE status END, CASE WHEN ok THEN NULL WHEN gone OR paused THEN failure ELSE reason END, CASE WHEN ok THEN 0 ELSE consecutive_failures + 1 END, status_code, CASE WHEN ok THEN NULL WHEN gone THEN ran_at + INTERVAL 30 DAY WHEN paused THEN ran_at + INTERVAL 7 DAY WHEN failure IS NULL AND status <> 'active' AND disabled_until <= ran_at THEN CASE status WHEN 'disabled_temporary' THEN ran_at + INTERVAL 7 DAY ELSE ran_at + INTERVAL 30 DAY END ELSE disabled_until END, ran_at
   FROM (SELECT r.*, f.status, f.reason, f.consecutive_failures, f.disabled_until, failure = 'http_410' OR (failure = 'http_404' AND (twin OR f.consecutive_failures + 1 >= 3)) AS gone, failure IS NOT NULL AND f.consecutive_failures + 1 >= 2 AS paused FROM f JOIN r ON r.outlet_id = f.outlet_id AND r.k = f.k + 1) r)
 SELECT outlet_id, status, reason, consecutive_failures, last_status_code, disabled_until, updated_at FROM f WHERE k = (SELECT max(r.k) FROM r WHERE r.outlet_id = f.outlet_id)"""
 NO_TWINS = "tw AS (SELECT CAST(NULL AS BIGINT) AS outlet_id WHERE FALSE)"
@@ -140,7 +146,7 @@ TWINS = "nx AS (SELECT source, country, outlet_id, arg_max(ok, (ran_at, id)) AS
 
 @query("h13_sitemap_policy", f"WITH RECURSIVE {RUNS}, {TWINS}, {POLICY_SQL}")
 def h13(spark: SparkSession, d: str) -> DataFrame:
-    r = runs(spark, d)
+    r = with_unknown(runs(spark, d))
     return health.sitemap_policy(r, health.living_twins(r))
 
 

@@ -14,7 +14,7 @@ from coverline.plans.registry import SQL, query
 from coverline.plans.ship import shared_folder
 from coverline.plans.texts import HOST, PATH, Q
 from coverline.plans.views import ARTICLES, RUNS, articles, runs, table
-from coverline.streaming import jobs
+from coverline.streaming import jobs, policy
 
 STATUS = "CASE event_type WHEN 'click' THEN 'working_nonempty' WHEN 'view' THEN 'working_nonempty' WHEN 'purchase' THEN 'valid_empty' WHEN 'error' THEN 'http_error' ELSE 'timeout' END"
 
@@ -133,8 +133,8 @@ def st3(spark: SparkSession, d: str) -> DataFrame:
 
 @query("st4_stream_policy", f"WITH RECURSIVE {RUNS}, {checks.NO_TWINS}, {checks.POLICY_SQL}")
 def st4(spark: SparkSession, d: str) -> DataFrame:
-    stream = _events_stream(spark, d).withColumn("ran_at", F.col("ran_at").cast("timestamp_ntz"))
-    return jobs.last_of(jobs.drained(spark, stream, jobs.policy_stream, "update", _shared(spark)), ["outlet_id"])
+    stream = checks.with_unknown(_events_stream(spark, d))
+    return jobs.last_of(jobs.drained(spark, stream, policy.policy_stream, "update", _shared(spark)), ["outlet_id"]).drop("blocked")
 
 
 @query("st5_stream_backoff", f"""WITH {RUNS}, x AS (SELECT *, time_bucket(INTERVAL 30 MINUTE, ran_at) AS b FROM runs WHERE attempted), s AS (SELECT *, b AS since FROM x UNION ALL SELECT *, b - INTERVAL 30 MINUTE FROM x)

@@ -13,7 +13,11 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import IntegerType, StructField, StructType
 
 from coverline.functions.columns import at
-from coverline.operators.health import NEW_POLICY, POLICY, policy_rows, policy_step
+
+
+#: State that is larger than memory, and processors with several states, need this store.
+PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def rollup(runs: DataFrame, unit: str = "1 hour", late: str | None = None) -> DataFrame:
@@ -42,29 +46,6 @@ def dedupe(items: DataFrame, late: str | None = None) -> DataFrame:
     return items.dropDuplicates(["external_id"])
 
 
-def policy_stream(runs: DataFrame, twins: DataFrame | None = None) -> DataFrame:
-    """The sitemap policy of every outlet as keyed state; each batch gives the policies it changed.
-
-    A batch's checks of one outlet are put in order of time before they are folded, so they must fit a task; checks of
-    earlier batches never come back.
-    """
-
-    def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        now = dict(NEW_POLICY)
-        if state.exists:
-            status, reason, failures, last, until, at_ = state.get
-            now = {"status": status, "reason": reason, "consecutive_failures": failures, "last_status_code": last, "disabled_until": pd.Timestamp(until) if until else None, "updated_at": pd.Timestamp(at_) if at_ else None}
-        rows = pd.concat(list(batches)).sort_values(["ran_at", "id"])
-        for row in rows.itertuples():
-            now = policy_step(now, row)
-        text = lambda t: t.isoformat() if t is not None else None
-        state.update((now["status"], now["reason"], now["consecutive_failures"], now["last_status_code"], text(now["disabled_until"]), text(now["updated_at"])))
-        yield pd.DataFrame([{"outlet_id": key[0], **now}]).astype({"disabled_until": "datetime64[us]", "updated_at": "datetime64[us]", "last_status_code": "Int32"})
-
-    state = "status string, reason string, failures long, last int, until string, updated string"
-    return policy_rows(runs, twins).groupBy("outlet_id").applyInPandasWithState(update, POLICY, state, "update", GroupStateTimeout.NoTimeout)
-
-
 def new_items_stream(items: DataFrame, as_of: datetime, max_age_days: int = 14) -> DataFrame:
     """``new_items`` over a stream of (id, outlet_id, method, published_at, last_publication_at): a feed's watermark is keyed state.
 
@@ -124,7 +105,12 @@ def drained(spark: SparkSession, source: DataFrame, job: Callable[[DataFrame], D
         rows.withColumn("batch", F.lit(batch)).write.mode("overwrite").parquet(f"{out}/batch_id={batch}")
 
     frame = job(source)
-    running = frame.writeStream.outputMode(mode).option("checkpointLocation", f"{out}-state").trigger(availableNow=True).foreachBatch(write).start()
+    before = spark.conf.get(PROVIDER, None)
+    spark.conf.set(PROVIDER, ROCKSDB)
+    try:
+        running = frame.writeStream.outputMode(mode).option("checkpointLocation", f"{out}-state").trigger(availableNow=True).foreachBatch(write).start()
+    finally:
+        spark.conf.set(PROVIDER, before) if before else spark.conf.unset(PROVIDER)
     running.awaitTermination()
     schema = StructType([*frame.schema.fields, StructField("batch", IntegerType())])
     found = spark.read.schema(schema).option("recursiveFileLookup", True).parquet(out)
