@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from coverline.functions.columns import at, percent, since
+from coverline.functions.columns import at, fnv1a, percent, since
 from coverline.functions.urls import host_of
 from coverline.sources.kept import keep
 
@@ -149,12 +149,6 @@ def scheduling_coverage(risks: DataFrame, runs: DataFrame) -> DataFrame:
     return risks.where("risk <> 'NONE'").select("source", "risk").join(per, "source", "left").withColumn("status", state)
 
 
-def fnv1a(text: Column) -> Column:
-    """32-bit FNV-1a of an ASCII text, as a long."""
-    codes = F.transform(F.filter(F.split(text, ""), lambda c: c != ""), lambda c: F.ascii(c))
-    return F.aggregate(codes, F.lit(2166136261).cast("long"), lambda h, c: (h.bitwiseXOR(c.cast("long")) * F.lit(16777619).cast("long")).bitwiseAND(F.lit(0xFFFFFFFF)))
-
-
 def outlet_schedule(outlets: DataFrame, counts: DataFrame, hour: int, head_least: int = 10, head_top: int = 50, cold_slots: int = 6) -> DataFrame:
     """Which outlets a run takes: busy ones always, those with some items in the tail, the cold ones in turn by a stable hash."""
     rows = outlets.join(counts, "source", "left").withColumn("n", F.coalesce("n", F.lit(0)))

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from datetime import datetime
+from datetime import date, datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -57,13 +57,32 @@ for _scope, _key in (("source", "source_id"), ("country", "country")):
     query(f"l2_new_candidates_{_scope}", f"WITH {OBS}, {_new_sql(_key)} SELECT * FROM nw")(lambda spark, d, scope=_scope: activity.new_candidates(activity.collected(observations(spark, d)), scope))
 
 
-@query("l3_activity_periods", f"""WITH {OBS}, {_new_sql('country')}, rw AS (SELECT ob.*, source_id, country, CAST(checked_at + INTERVAL 9 HOUR AS DATE) AS day, event_id_index FROM (SELECT *, id % 11 = 0 AS event_id_index FROM ob) ob JOIN sr ON sr.id = ob.id),
-ck AS (SELECT country, day, count(DISTINCT endpoint_id) AS targeted, count(DISTINCT endpoint_id) FILTER (useful) AS successful, count(DISTINCT id) FILTER (status NOT IN ('working_nonempty', 'valid_empty')) AS failed_checks, count(DISTINCT id) FILTER (status IN ('working_nonempty', 'valid_empty') AND event_id_index) AS index_only_checks FROM rw GROUP BY 1, 2),
-ex AS (SELECT country, count(DISTINCT endpoint_id) AS expected FROM rw GROUP BY 1), nd AS (SELECT country, CAST(checked_at + INTERVAL 9 HOUR AS DATE) AS day, count(*) AS n FROM nw GROUP BY 1, 2)
-SELECT ck.*, expected, CASE WHEN successful > 0 THEN coalesce(n, 0) END AS new, CASE WHEN successful = 0 THEN 'failed_or_index_only' WHEN successful < expected THEN 'partial' ELSE 'complete' END AS state FROM ck JOIN ex ON ex.country = ck.country LEFT JOIN nd ON nd.country = ck.country AND nd.day = ck.day""")
+#: The log 75 days later, so that its days hold a clock change; on some local days nothing works, on some nothing was checked.
+LOCAL = "CAST(checked_at + CASE WHEN checked_at < TIMESTAMP '2024-03-31 01:00:00' THEN INTERVAL 1 HOUR ELSE INTERVAL 2 HOUR END AS DATE)"
+SHIFTED = OBS.replace("ts AS checked_at", "ts + INTERVAL 75 DAY AS checked_at").replace(f"{STATUS} AS status", f"CASE WHEN {{down}} THEN 'timeout' ELSE {STATUS} END AS status").replace(f"{STATUS} IN ('working_nonempty', 'valid_empty') AND", f"NOT ({{down}}) AND {STATUS} IN ('working_nonempty', 'valid_empty') AND").replace("AS useful FROM events", "AS useful FROM events WHERE NOT ({gone})")
+SHIFTED = SHIFTED.replace("{down}", "dayofyear(ts) % 10 = 4").replace("{gone}", "dayofyear(ts) % 10 = 7")
+#: The first and last day of the report, in its zone the hour that a day begins in UTC, and since when the history goes back.
+FIRST, LAST, HISTORY = date(2024, 3, 14), date(2024, 4, 13), datetime(2024, 3, 18)
+
+
+@query("l3_activity_periods", f"""WITH {SHIFTED}, {_new_sql('country')}, rw AS (SELECT ob.*, source_id, country, {LOCAL} AS day, id_index FROM (SELECT *, id % 11 = 0 AS id_index FROM ob) ob JOIN sr ON sr.id = ob.id),
+bn AS (SELECT country, endpoint_id, min(checked_at) AS since, CASE WHEN CAST(substr(endpoint_id, 4) AS INTEGER) % 7 = 0 THEN min(checked_at) + INTERVAL 20 DAY END AS until FROM rw GROUP BY 1, 2),
+sp AS (SELECT country, CAST(day AS DATE) AS day, CAST(day AS TIMESTAMP) - CASE WHEN day <= DATE '2024-03-31' THEN INTERVAL 1 HOUR ELSE INTERVAL 2 HOUR END AS day_from, CAST(day AS TIMESTAMP) + INTERVAL 1 DAY - CASE WHEN day < DATE '2024-03-31' THEN INTERVAL 1 HOUR ELSE INTERVAL 2 HOUR END AS day_to FROM (SELECT DISTINCT country FROM bn UNION ALL SELECT 'nowhere'), generate_series(DATE '{FIRST}', DATE '{LAST}', INTERVAL 1 DAY) AS g(day)),
+be AS (SELECT country, min(checked_at) AS began FROM rw GROUP BY 1), ex AS (SELECT sp.country, sp.day, count(DISTINCT endpoint_id) AS expected FROM sp JOIN (SELECT * FROM bn UNION ALL SELECT 'nowhere', 'ep-x', TIMESTAMP '2024-01-01', NULL) bn ON bn.country = sp.country AND since < day_to AND (until IS NULL OR until > day_from) GROUP BY 1, 2),
+ck AS (SELECT country, day, count(DISTINCT endpoint_id) AS targeted, count(DISTINCT endpoint_id) FILTER (useful) AS successful, count(DISTINCT id) FILTER (status NOT IN ('working_nonempty', 'valid_empty')) AS failed_checks, count(DISTINCT id) FILTER (id_index) AS index_only_checks FROM rw GROUP BY 1, 2),
+nd AS (SELECT country, {LOCAL} AS day, count(*) AS n FROM nw GROUP BY 1, 2), st AS (SELECT sp.*, CASE WHEN began IS NULL OR day_to <= began THEN 'not_tracked' WHEN day_from < TIMESTAMP '{HISTORY}' THEN 'history_not_in_snapshot' WHEN targeted IS NULL THEN 'not_collected' WHEN successful = 0 THEN 'failed_or_index_only' WHEN successful < coalesce(expected, 0) THEN 'partial' ELSE 'complete' END AS state,
+  coalesce(expected, 0) AS expected, coalesce(targeted, 0) AS targeted, coalesce(successful, 0) AS successful, coalesce(failed_checks, 0) AS failed_checks, coalesce(index_only_checks, 0) AS index_only_checks, coalesce(n, 0) AS n FROM sp LEFT JOIN be USING (country) LEFT JOIN ex USING (country, day) LEFT JOIN ck USING (country, day) LEFT JOIN nd USING (country, day))
+SELECT * EXCLUDE (n), CASE WHEN state IN ('partial', 'complete') THEN n END AS new FROM st""")
 def l3(spark: SparkSession, d: str) -> DataFrame:
-    c = activity.collected(observations(spark, d))
-    return activity.activity_periods(activity.new_candidates(c, "country"), c, "country", "Asia/Tokyo")
+    day = F.dayofyear("checked_at")
+    gone = table(spark, d, "events").where(F.dayofyear("ts") % 10 == 7).select(F.col("event_id").alias("id"))
+    o = observations(spark, d).join(gone, "id", "left_anti").withColumn("status", F.when(day % 10 == 4, "timeout").otherwise(F.col("status"))).withColumn("checked_at", F.expr("checked_at + INTERVAL '75' DAY"))
+    c = activity.collected(o)
+    country = F.explode(F.array_distinct(F.transform("sources", lambda s: s.country))).alias("country")
+    first = c.select("endpoint_id", "checked_at", country).groupBy("country", "endpoint_id").agg(F.min("checked_at").alias("since"))
+    until = F.when(F.substring_index("endpoint_id", "-", -1).cast("int") % 7 == 0, F.expr("since + INTERVAL '20' DAY"))
+    nowhere = spark.createDataFrame([("nowhere", "ep-x", datetime(2024, 1, 1), None)], "country string, endpoint_id string, since timestamp_ntz, until timestamp_ntz")
+    return activity.activity_periods(activity.new_candidates(c, "country"), c, first.withColumn("until", until).unionByName(nowhere), "country", "Europe/Berlin", FIRST, LAST, HISTORY)
 
 
 @query("l3_rolling_new", f"WITH {OBS}, {_new_sql('country')} SELECT country, count(*) AS new FROM nw WHERE checked_at >= TIMESTAMP '2024-01-02' AND checked_at < TIMESTAMP '2024-01-03' GROUP BY 1")

@@ -18,6 +18,7 @@ SCHEMAS = {
     "source_hints": "source_part string, segment string, country string",
     "publishers": "rule_no int, kind string, pattern string, countries string, publisher string",
     "foreign": "rule_no int, market string, pattern string, corporate_country string",
+    "suffixes": "rule string",
     "deny": "host_suffix string, source_part string, path_pattern string",
 }
 
