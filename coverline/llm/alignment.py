@@ -115,7 +115,7 @@ def _aligned(a_path: str, b_path: str):
                 b = Side([y[0] if ok else none for (_, y, _), ok in zip(both, same)], bytes_b)
                 del both
                 i, j = overlaps(a, b)
-                end = np.intersect1d(a.end, b.end)
+                end = np.intersect1d(a.end, b.end, assume_unique=True)  # every token has bytes, so ends rise
                 n = len(texts)
                 # the pairs of each document, once each, and how often it has them
                 linked, times = np.unique(a.doc[i] * (len(bytes_a) * width) + a.ids[i] * width + b.ids[j], return_counts=True)
