@@ -43,7 +43,7 @@ def _utf8(number: Column) -> Column:
 
 
 def clean_text(text: Column, max_chars: int) -> Column:
-    """No control characters, entities decoded, tags dropped, spaces collapsed, cut by code points."""
+    """No control characters, entities decoded, spaces collapsed, cut by code points; tags stay."""
     plain = F.regexp_replace(decode_entities(F.coalesce(text, F.lit(""))), r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]", "")
     plain = F.regexp_replace(plain, " ", " ")
     return F.substring(F.trim(F.regexp_replace(plain, r"[\s]+", " ")), 1, max_chars)

@@ -30,6 +30,29 @@ def read_log(spark: SparkSession, path: str, schema: str, format: str = "parquet
     return rows if since is None else rows.where(F.col(column) >= at(since))
 
 
+def read_jdbc(spark: SparkSession, url: str, table: str, schema: str, column: str, partitions: int, since: datetime | None = None, time_column: str = "created_at", quote: str = '"', **options: str) -> DataFrame:
+    """A log from a database under its schema, read in ``partitions`` ranges of a number or time column.
+
+    The ranges run from the column's least to its greatest value, which the database is asked for; rows without a value are in the
+    first. A start date, and filters that follow, are the database's work. Columns are met by name, whatever their case (``quote`` is
+    what the database puts around names); the schema's types are cast to, and an array must be stored as JSON.
+    """
+    reader = lambda source: spark.read.format("jdbc").options(url=url, dbtable=source, **options)
+    found = reader(table)
+    names = {c.lower(): c for c in found.load().columns}
+    column, time_column = names[column.lower()], names.get(time_column.lower(), time_column)
+    name = f"{quote}{column}{quote}"
+    low, high = reader(f"(SELECT MIN({name}) AS low, MAX({name}) AS high FROM {table}) bounds").load().first()
+    if low is not None and low != high:
+        found = found.options(partitionColumn=column, lowerBound=str(low), upperBound=str(high), numPartitions=partitions)
+    rows = found.load()
+    if since is not None:
+        # a database's times may come with the session's zone; the literal is cast to their type, so that the filter reaches it
+        rows = rows.where(F.col(time_column) >= F.lit(since.isoformat(sep=" ")).cast(rows.schema[time_column].dataType))
+    value = lambda f: F.from_json(F.col(f.name), f.dataType.simpleString()) if f.dataType.typeName() == "array" else F.col(f.name).cast(f.dataType)
+    return rows.select(*(value(f).alias(f.name) for f in spark.createDataFrame([], schema).schema))
+
+
 def endpoint_id(kind: Column, url: Column) -> Column:
     return F.concat(F.lit("ep_"), F.substring(F.sha2(F.concat_ws("|", kind, url), 256), 1, 24))
 
@@ -72,3 +95,42 @@ def incremental_export(articles: DataFrame, last_to: datetime, to: datetime, ove
     rows = articles.where((F.col("created_at") >= at(last_to - timedelta(seconds=overlap_seconds))) & (F.col("created_at") < at(to)))
     newest = rows.groupBy("external_id").agg(F.max_by(F.struct("created_at", "title_original", "url"), F.struct("created_at", "title_original", "url", "country")).alias("x")).select("external_id", "x.*")
     return newest, rows.agg(F.coalesce(F.max("created_at"), at(last_to)).alias("cursor"))
+
+
+EXPORT = ("external_id", "created_at", "title_original", "url", "country")
+
+
+class ExportFeed:
+    """``incremental_export`` as a stream into ``folder``: rows by batch and the cursor after each.
+
+    What is told once within the overlap is not told again: exact repeats are kept as state until the watermark, the newest row less the
+    overlap, has passed them. Rows behind the watermark are dropped, as the batch form drops what lies before its cursor less the overlap
+    (to the millisecond). A batch that comes again replaces its own files.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str, overlap_seconds: int = 120):
+        self.spark, self.folder, self.overlap = spark, folder.rstrip("/"), overlap_seconds
+
+    def fresh(self, articles: DataFrame) -> DataFrame:
+        rows = articles.select(*EXPORT).withColumn("created_at", F.col("created_at").cast("timestamp"))
+        return rows.withWatermark("created_at", f"{self.overlap * 1000 + 1} milliseconds").dropDuplicatesWithinWatermark(list(EXPORT))
+
+    def take(self, rows: DataFrame, batch: int) -> None:
+        rows.withColumn("created_at", F.col("created_at").cast("timestamp_ntz")).write.mode("overwrite").parquet(f"{self.folder}/rows/batch={batch}")
+        told = self.spark.read.parquet(f"{self.folder}/rows/batch={batch}")
+        told.agg(F.max("created_at").alias("cursor")).coalesce(1).write.mode("overwrite").parquet(f"{self.folder}/cursors/batch={batch}")
+
+    def drain(self, articles: DataFrame) -> int:
+        """Takes all that the stream holds now; returns how many rows came behind the watermark."""
+        running = self.fresh(articles).writeStream.option("checkpointLocation", f"{self.folder}/state").trigger(availableNow=True).foreachBatch(self.take).start()
+        running.awaitTermination()
+        return sum(o.numRowsDroppedByWatermark for p in running.recentProgress for o in p.stateOperators)
+
+    def rows(self) -> DataFrame:
+        """The newest copy of each id that was told, as the batch form has it."""
+        order = F.struct("created_at", "title_original", "url", "country")
+        told = self.spark.read.parquet(f"{self.folder}/rows")
+        return told.groupBy("external_id").agg(F.max_by(F.struct("created_at", "title_original", "url"), order).alias("x")).select("external_id", "x.*")
+
+    def cursor(self) -> datetime | None:
+        return self.spark.read.parquet(f"{self.folder}/cursors").agg(F.max("cursor")).first()[0]
