@@ -178,11 +178,41 @@ def p4(spark: SparkSession, d: str) -> DataFrame:
 LABELS = "list_distinct(regexp_extract_all(regexp_extract(html, '(?s)<nav[^>]*>(.*?)</nav>', 1), '(?s)<a[^>]*>(.*?)</a>', 1))"
 
 
-@query("p5_page_categories", "SELECT page_id, 'Section ' || (page_id % 7) || ',Data ' || (page_id % 5) || ',Home,Crumb ' || (page_id % 3) || ',one,two' AS categories FROM pages")
+#: Scripts of structured data, one kind a page in turn: a graph with lists, escapes, broken JSON, and two scripts with nested objects. N is the page's number.
+SCRIPTS = (
+    '{"@graph":[{"articleSection":["Data N","More, and <b>most</b>"]},{"@type":["Thing","BreadcrumbList"],"itemListElement":[{"item":{"name":"Site"}},{"name":"Crumb N"},{"item":{"name":"Nested N"}},{"name":"Page"}]}],"keywords":"one; two|three"}',
+    '{"articleSection":"Esc \\"q\\" caf\\u00e9","contentSection":["Deep N",7,{"x":1}],"section":"Front"}',
+    '<!-- {"articleSection": "Broken N", ',
+    '{"a":{"b":[{"articleSection":"Inner N"},null,3]}}</script><script data-x="1" type=\'application/ld+json\'>[{"@type":"breadcrumblist","itemListElement":[{"name":"Home"},{"name":"Second N"}]}] -->',
+)
+HEAD = ('<meta property="article:section" content="Section N"><script type="application/ld+json">', '</script><meta name="keywords" content="one, two,one"><ol class="breadcrumb"><li><a href="/">Home</a></li><li><a href="/c"><b>Link</b> N</a></li></ol>')
+
+
+def _sql(text: str) -> str:
+    return "replace('" + text.replace("'", "''") + "', 'N', CAST(page_id % 7 AS VARCHAR))"
+
+
+SIGNAL = r"trim(regexp_replace(trim(regexp_replace(regexp_replace({0}, '<[^>]+>', ' ', 'g'), '\s+', ' ', 'g')), '^[-|/>\s]+|[-|/>\s]+$', '', 'g'))"
+
+
+@query("p5_page_categories", rf"""WITH h AS (SELECT page_id, {_sql(HEAD[0])} || CASE page_id % 4 {' '.join(f'WHEN {k} THEN {_sql(x)}' for k, x in enumerate(SCRIPTS))} END || {_sql(HEAD[1])} || html AS html FROM pages),
+sc AS (SELECT page_id, k, trim(regexp_replace(a[k], '^\s*<!--|-->\s*$', '', 'g')) AS j FROM (SELECT page_id, regexp_extract_all(html, '(?is)<script\b[^>]*type=["'']application/ld\+json["''][^>]*>(.*?)</script>', 1) AS a FROM h), unnest(range(1, len(a) + 1)) AS u(k)),
+nd AS (SELECT page_id, k, t.id AS node, t.parent, t.key, t.type, t.atom ->> '$' AS value FROM (SELECT * FROM sc WHERE json_valid(j)) s, json_tree(s.j) t),
+st AS (SELECT page_id, k, node AS place, parent AS object, key, value FROM nd WHERE type = 'VARCHAR' AND key IS NOT NULL UNION ALL SELECT c.page_id, c.k, c.node, p.parent, p.key, c.value FROM nd c JOIN nd p ON p.page_id = c.page_id AND p.k = c.k AND p.node = c.parent WHERE c.type = 'VARCHAR' AND p.type = 'ARRAY' AND p.key IS NOT NULL),
+bl AS (SELECT DISTINCT page_id, k, object FROM st WHERE key = '@type' AND lower(value) = 'breadcrumblist'), it AS (SELECT i.page_id, i.k, bl.object, i.node FROM bl JOIN nd l ON l.page_id = bl.page_id AND l.k = bl.k AND l.parent = bl.object AND l.key = 'itemListElement' AND l.type = 'ARRAY' JOIN nd i ON i.page_id = l.page_id AND i.k = l.k AND i.parent = l.node),
+bn AS (SELECT it.*, {SIGNAL.format('coalesce(a.value, c.value)')} AS name, row_number() OVER (PARTITION BY it.page_id, it.k, it.object ORDER BY it.node) AS r, count(*) OVER (PARTITION BY it.page_id, it.k, it.object) AS n FROM it LEFT JOIN nd a ON a.page_id = it.page_id AND a.k = it.k AND a.parent = it.node AND a.key = 'name' AND a.type = 'VARCHAR' LEFT JOIN nd b ON b.page_id = it.page_id AND b.k = it.k AND b.parent = it.node AND b.key = 'item' LEFT JOIN nd c ON c.page_id = it.page_id AND c.k = it.k AND c.parent = b.node AND c.key = 'name' AND c.type = 'VARCHAR' WHERE trim(coalesce(a.value, c.value)) <> ''),
+px AS (SELECT page_id, regexp_extract_all(html, '(?is)<meta[^>]+(?:property|name)=["'']article:section["''][^>]*content=["'']([^"'']*)', 1) AS meta, regexp_extract_all(html, '(?is)<meta[^>]+name=["''](?:news_)?keywords["''][^>]*content=["'']([^"'']*)', 1) AS words, flatten([regexp_extract_all(x, '(?is)<a[^>]*>(.*?)</a>', 1) FOR x IN regexp_extract_all(html, '(?is)<(?:nav|ol|ul)[^>]*breadcrumb[^>]*>(.*?)</(?:nav|ol|ul)>', 1)]) AS crumbs FROM h),
+al AS (SELECT page_id, 1 AS part, 0 AS k, u.i AS place, meta[u.i] AS value FROM px, unnest(range(1, len(meta) + 1)) AS u(i) UNION ALL SELECT page_id, CASE key WHEN 'section' THEN 2 WHEN 'contentSection' THEN 3 WHEN 'articleSection' THEN 4 ELSE 9 END, k, place, value FROM st WHERE key IN ('section', 'contentSection', 'articleSection', 'keywords')
+  UNION ALL SELECT page_id, 5, k, u.i, x[u.i] FROM (SELECT page_id, k, regexp_extract_all(j, '(?i)"articleSection"\s*:\s*"([^"]+)"', 1) AS x FROM sc), unnest(range(1, len(x) + 1)) AS u(i) UNION ALL SELECT page_id, 6, k, object * 100000 + r, name FROM bn WHERE (n >= 3 AND r BETWEEN 2 AND n - 1) OR (n = 2 AND r = 2)
+  UNION ALL SELECT page_id, 7, 0, u.i, crumbs[u.i] FROM px, unnest(range(1, len(crumbs) + 1)) AS u(i) UNION ALL SELECT page_id, 8, 0, u.i, words[u.i] FROM px, unnest(range(1, len(words) + 1)) AS u(i)),
+sg AS (SELECT page_id, part, k, place, {SIGNAL.format('value')} AS v FROM al), pc AS (SELECT *, [y FOR y IN [{SIGNAL.format('z')} FOR z IN string_split_regex(v, '\s*[,;|>›»]\s*')] IF y <> ''] AS ps FROM sg),
+ex AS (SELECT page_id, part, k, place, u.i AS i, w[u.i] AS c FROM (SELECT *, CASE WHEN len(ps) BETWEEN 2 AND 12 THEN ps ELSE [v] END AS w FROM pc), unnest(range(1, len(w) + 1)) AS u(i)), fs AS (SELECT page_id, c, min((part, k, place, i)) AS o FROM ex WHERE c <> '' GROUP BY 1, 2), tp AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY o) AS r FROM fs)
+SELECT p.page_id, coalesce(string_agg(c, '|' ORDER BY o) FILTER (r <= 24), '') AS categories FROM pages p LEFT JOIN tp ON tp.page_id = p.page_id GROUP BY 1""")
 def p5(spark: SparkSession, d: str) -> DataFrame:
-    n = lambda m: (F.col("page_id") % m).cast("string")
-    head = F.concat(F.lit('<meta property="article:section" content="Section '), n(7), F.lit('"><script>{"articleSection": "Data '), n(5), F.lit('"}</script><meta name="keywords" content="one, two,one"><ol class="breadcrumb"><li><a href="/">Home</a></li><li><a href="/c">Crumb '), n(3), F.lit("</a></li></ol>"))
-    return pages(spark, d).select("page_id", F.array_join(raw.page_categories(F.concat(head, F.col("html"))), ",").alias("categories"))
+    of = lambda text: F.replace(F.lit(text), F.lit("N"), (F.col("page_id") % 7).cast("string"))
+    script = F.element_at(F.array(*(of(x) for x in SCRIPTS)), (F.col("page_id") % 4 + 1).cast("int"))
+    rows = pages(spark, d).select("page_id", F.concat(of(HEAD[0]), script, of(HEAD[1]), F.col("html")).alias("html"))
+    return raw.with_categories(rows).select("page_id", F.array_join("categories", "|").alias("categories"))
 
 
 @query("p6_section_from_page", "SELECT page_id, CASE page_id % 3 WHEN 0 THEN 'business' WHEN 1 THEN 'world' ELSE 'others' END AS section, CASE page_id % 3 WHEN 0 THEN 'category' WHEN 1 THEN 'structured' ELSE 'none' END AS reason FROM (SELECT * FROM pages)")
@@ -190,9 +220,9 @@ def p6(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("page_id") % 3
     html = F.concat(F.when(k == 0, '<meta property="article:section" content="Economy">').otherwise(""), F.regexp_replace("html", "(?i)(<meta[^>]*keywords[^>]*>)|articleSection|breadcrumb", ""))
     link = F.when(k == 1, "https://a.example.com/en/1").otherwise("https://a.example.com/x/1")
-    section = F.get(F.filter(F.transform(raw.page_categories(html), lambda c: classify.map_category(c, EXACT, PARTS)), lambda s: s.isNotNull()), 0)
+    section = F.get(F.filter(F.transform("categories", lambda c: classify.map_category(c, EXACT, PARTS)), lambda s: s.isNotNull()), 0)
     hint = classify.structured_hint(F.lit("a source"), link, HINTS)
-    return pages(spark, d).select("page_id", F.coalesce(section, hint, F.lit("others")).alias("section"), F.when(section.isNotNull(), "category").when(hint.isNotNull(), "structured").otherwise("none").alias("reason"))
+    return raw.with_categories(pages(spark, d).select("page_id", html.alias("html"))).select("page_id", F.coalesce(section, hint, F.lit("others")).alias("section"), F.when(section.isNotNull(), "category").when(hint.isNotNull(), "structured").otherwise("none").alias("reason"))
 
 
 @query("p7_parse_loose_date", f"WITH {RUNS} SELECT id, date_trunc('second', ran_at) AS moment, CASE id % 7 WHEN 2 THEN date_trunc('day', ran_at) + INTERVAL 12 HOUR ELSE date_trunc('second', ran_at) END AS parsed FROM runs")
