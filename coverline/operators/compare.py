@@ -4,46 +4,61 @@ from __future__ import annotations
 
 from datetime import datetime, timedelta
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from coverline.functions.columns import at, present
 from coverline.functions.titles import assess_title, clean_text
 from coverline.functions.urls import article_id, host_of
 from coverline.operators.merge import tokens
+from coverline.sources.kept import keep
 from coverline.sources.rules import small
 
 
+#: The network of sources that belong to none.
+NO_NETWORK = "independent"
+
+
 def candidate_lift(items: DataFrame, current: DataFrame) -> DataFrame:
-    """Per candidate source: distinct links, how many current sources have, and what it adds in greedy order within its network.
+    """Per candidate source: items, distinct titles and links, how many of them current sources have, and what it adds in greedy order within its network.
+
+    ``items`` has network, candidate, title and link, a row an item; ``current`` title and link. In a network of two or more the candidate
+    that adds most new titles comes first (then more new titles in all, more items, the smaller name); ``lift`` is what it adds after those
+    before it, ``penalty`` the new titles that these already brought. Others have all their new titles for lift, and no place.
 
-    ``items`` has network, candidate, link; ``current`` link. Links that only candidates have are counted by the set of
-    candidates that have them, so the greedy order works on a network's distinct sets, however many links there are: of c
-    candidates that seldom share links there are little more than c.
+    A candidate that comes before all who share a title with it that is still open is chosen by the greedy order before any of
+    these, so what it adds is settled; all such candidates are settled at once, their titles closed, and the rest counted
+    again. No task holds a network's titles, and a round's work is what is still open.
     """
-    links = items.select("network", "candidate", "link").distinct()
-    known = links.join(current.select("link").distinct().withColumn("known", F.lit(True)), "link", "left")
-    totals = known.groupBy("network", "candidate").agg(F.count("*").alias("n_links"), F.count_if(F.col("known")).alias("overlap"))
-
-    def greedy(sets: pd.DataFrame) -> pd.DataFrame:
-        left = [(frozenset(who), int(n)) for who, n in zip(sets["who"], sets["n"])]
-        rest, out = set().union(*(who for who, _ in left)), []
-        while rest:
-            gain = dict.fromkeys(rest, 0)
-            for who, n in left:
-                for c in who:
-                    gain[c] += n
-            best = min(rest, key=lambda c: (-gain[c], c))
-            out.append((sets["network"].iloc[0], best, len(out) + 1, gain[best]))
-            rest.remove(best)
-            left = [(who, n) for who, n in left if best not in who]
-        return pd.DataFrame(out, columns=["network", "candidate", "place", "lift"])
-
-    shared = known.where("known is null").groupBy("network", "link").agg(F.array_sort(F.collect_set("candidate")).alias("who"))
-    sets = shared.groupBy("network", "who").agg(F.count("*").alias("n"))
-    ordered = sets.groupBy("network").applyInPandas(greedy, "network string, candidate string, place long, lift long")
-    return totals.join(ordered, ["network", "candidate"], "left").withColumns({"lift": F.coalesce("lift", F.lit(0)), "new_links": F.col("n_links") - F.col("overlap")})
+    both = ["network", "candidate"]
+    known = lambda c: items.select(*both, c).where(F.col(c).isNotNull()).distinct().join(current.select(c).distinct().withColumn("known", F.lit(True)), c, "left")
+    titles, links = keep(known("title"), "titles"), known("link")
+    counts = lambda rows, n, has: rows.groupBy(*both).agg(F.count("*").alias(n), F.count_if(F.col("known")).alias(has))
+    totals = items.groupBy(*both).agg(F.count("*").alias("n_items")).join(counts(titles, "n_titles", "title_overlap"), both, "left").join(counts(links, "n_links", "overlap"), both, "left")
+    zeros = {c: F.coalesce(c, F.lit(0)) for c in ("n_titles", "title_overlap", "n_links", "overlap")}
+    totals = totals.withColumns(zeros).withColumns({"new_titles": F.col("n_titles") - F.col("title_overlap"), "new_links": F.col("n_links") - F.col("overlap")})
+    sizes = totals.where(F.col("network") != NO_NETWORK).groupBy("network").agg(F.count("*").alias("n")).where("n > 1").select("network", F.lit(True).alias("ranked"))
+    totals = keep(totals.join(sizes, "network", "left"), "totals")
+    lifts = _settled_lifts(titles.where("known is null").select(*both, "title").join(totals.where("ranked").select(*both, "new_titles", "n_items"), both))
+    out = totals.join(lifts, both, "left").withColumn("lift", F.when(F.col("ranked"), F.coalesce("lift", F.lit(0))).otherwise(F.col("new_titles")))
+    place = F.row_number().over(Window.partitionBy("ranked", "network").orderBy(F.desc("lift"), F.desc("new_titles"), F.desc("n_items"), "candidate"))
+    return out.withColumns({"penalty": F.col("new_titles") - F.col("lift"), "place": F.when(F.col("ranked"), place).cast("long")}).drop("ranked")
+
+
+def _settled_lifts(open_titles: DataFrame) -> DataFrame:
+    """(network, candidate, lift) from rows of (network, candidate, title, new_titles, n_items)."""
+    both, left, settled = ["network", "candidate"], keep(open_titles, "open"), None
+    while True:
+        gains = left.groupBy(*both, "new_titles", "n_items").agg(F.count("*").alias("gain"))
+        order = F.struct((-F.col("gain")).alias("gain"), (-F.col("new_titles")).alias("new"), (-F.col("n_items")).alias("items"), F.col("candidate").alias("name"))
+        keyed = left.join(gains.select(*both, "gain", order.alias("order")), both)
+        first = keyed.groupBy("network", "title").agg(F.min("order").alias("first"))
+        chosen = keep(keyed.join(first, ["network", "title"]).groupBy(*both).agg(F.bool_and(F.col("order") == F.col("first")).alias("all"), F.max("gain").alias("lift")).where("all").select(*both, "lift"), "chosen")
+        settled = chosen if settled is None else settled.unionByName(chosen)
+        closed = left.join(chosen.select(*both), both, "left_semi").select("network", "title").distinct()
+        left = keep(left.join(closed, ["network", "title"], "left_anti"), "open")
+        if left.isEmpty():
+            return settled
 
 
 def variant_audit(links: DataFrame, variant: Column) -> DataFrame:

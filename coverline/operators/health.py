@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from coverline.functions.columns import at, fnv1a, percent, since
+from coverline.functions.components import components
 from coverline.functions.urls import host_of
 from coverline.sources.kept import keep
 
@@ -116,6 +117,39 @@ def hard_403_backlog(runs: DataFrame, registry: DataFrame) -> DataFrame:
     return refused.join(works, "source", "left").select("source", "outlet_id", "method", "url", "ran_at", "works_url", action.alias("action"))
 
 
+def follow_ups(backlog: DataFrame, endpoints: DataFrame, redirects: DataFrame) -> DataFrame:
+    """What to do about refused endpoints and repeated registrations: one row for each class of links of a country and method.
+
+    ``backlog`` comes from ``hard_403_backlog``; ``endpoints`` has country, source, method, url and enabled, a row a registration;
+    ``redirects`` from_url and to_url. Links are of one class if one leads to the other, if they agree without scheme, www, case of host,
+    query and closing slash, or if a refused one has a working stand-in; classes follow such links over any number of steps.
+
+    A refused class with a working link swaps to it (canonical_swap), unless an enabled registration has it already: then the refused
+    ones are duplicates (disable_duplicate). Without a working link one is sought (find_replacement). A class that nobody
+    refused but that has an enabled registration beside disabled ones loses these (remove_disabled). Other classes need nothing.
+    """
+    usable = backlog.where(F.col("action") == "use_working_url")
+    listed = endpoints.select("url").unionByName(backlog.select("url")).unionByName(usable.select(F.col("works_url").alias("url"))).unionByName(redirects.select(F.col("from_url").alias("url"))).unionByName(redirects.select(F.col("to_url").alias("url"))).where("url is not null").distinct()
+    plain = F.concat(F.regexp_replace(host_of(F.col("url")), "^www[.]", ""), F.regexp_replace(F.regexp_extract("url", r"^[a-zA-Z]+://[^/?#]*([^?#]*)", 1), "/+$", ""))
+    # a link meets its plain form, which is a node as well, so that links of one form need no pairs
+    links = listed.select(F.col("url").alias("a"), F.concat(F.lit("~"), plain).alias("b")).unionByName(redirects.select(F.col("from_url").alias("a"), F.col("to_url").alias("b"))).unionByName(usable.select(F.col("url").alias("a"), F.col("works_url").alias("b")))
+    classes = components(links).where(~F.col("node").startswith("~")).select(F.col("node").alias("url"), F.col("class_id").alias("component"))
+    names = classes.groupBy("component").agg(F.min("url").alias("class_url"))
+    classes = keep(classes.join(names, "component").select("url", "class_url"), "classes")
+    keys = ["country", "method", "class_url"]
+    owners = endpoints.join(classes, "url").groupBy(*keys).agg(F.count_if("enabled").alias("n_enabled"), F.count_if(~F.col("enabled")).alias("n_disabled"))
+    named = backlog.join(endpoints.select("source", "method", "url", "country").distinct(), ["source", "method", "url"]).join(classes, "url")
+    refused = named.groupBy(*keys).agg(
+        F.count("*").alias("n_refused"), F.max_by("url", F.struct("ran_at", "url")).alias("from_url"), F.max_by("works_url", F.when(F.col("action") == "use_working_url", F.struct("ran_at", "works_url"))).alias("to_url"),
+    )
+    enabled = endpoints.where("enabled").select("country", "method", F.col("url").alias("to_url")).distinct().withColumn("represented", F.lit(True))
+    rows = owners.join(refused, keys, "full").join(enabled, ["country", "method", "to_url"], "left")
+    counts = {c: F.coalesce(c, F.lit(0)) for c in ("n_enabled", "n_disabled", "n_refused")}
+    swap = F.when(F.col("to_url").isNull(), "find_replacement").when(F.col("represented"), "disable_duplicate").otherwise("canonical_swap")
+    action = F.when(F.col("n_refused") > 0, swap).when((F.col("n_enabled") > 0) & (F.col("n_disabled") > 0), "remove_disabled")
+    return rows.withColumns(counts).withColumn("action", action).where("action is not null").select(*keys, "action", "n_enabled", "n_disabled", "n_refused", "from_url", "to_url")
+
+
 def waf_triage(backlog: DataFrame) -> DataFrame:
     """Refused endpoints by how many share their host, and the queue they go to."""
     hosts = backlog.withColumn("host", host_of(F.col("url")))

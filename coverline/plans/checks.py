@@ -92,6 +92,31 @@ def h8(spark: SparkSession, d: str) -> DataFrame:
     return health.hard_403_backlog(runs(spark, d), feeds(spark, d))
 
 
+#: The endpoints of the log as registrations, some in another spelling, and redirects between some.
+REGISTERED = "CASE outlet_id % 4 WHEN 0 THEN replace(url, 'https://', 'http://www.') || '/' WHEN 1 THEN url || '?utm=1' ELSE url END"
+MOVED = "(outlet_id % 50) % 5 = 0 AND outlet_id % 7 IN (2, 3)"
+
+
+@query("h8_follow_ups", f"""WITH RECURSIVE {FEEDS}, {RUNS}, {BACKLOG}, en AS (SELECT DISTINCT country, source, method, outlet_id % 17 <> 0 AND id_min % 3 <> 0 AS enabled, {REGISTERED} AS url, outlet_id FROM (SELECT country, source, method, url, outlet_id, min(id) AS id_min FROM runs GROUP BY ALL) UNION SELECT DISTINCT country, source, method, TRUE, url, outlet_id FROM runs WHERE outlet_id % 3 > 0),
+ep AS (SELECT country, source, method, enabled, url FROM en), rd AS (SELECT DISTINCT url AS from_url, regexp_replace(url, '[0-9]$', '6') AS to_url FROM runs WHERE {MOVED}), us AS (SELECT * FROM bl WHERE action = 'use_working_url'),
+ls AS (SELECT url FROM ep UNION SELECT url FROM bl UNION SELECT works_url FROM us UNION SELECT from_url FROM rd UNION SELECT to_url FROM rd), pl AS (SELECT url AS a, '~' || regexp_replace(regexp_extract(url, '^[a-zA-Z]+://([^/?#]*)', 1), '^www[.]', '') || regexp_replace(regexp_extract(url, '^[a-zA-Z]+://[^/?#]*([^?#]*)', 1), '/+$', '') AS b FROM ls UNION SELECT from_url, to_url FROM rd UNION SELECT url, works_url FROM us),
+bi AS (SELECT a, b FROM pl UNION SELECT b, a FROM pl), rc AS (SELECT a AS node, a AS seen FROM bi UNION SELECT rc.node, bi.b FROM rc JOIN bi ON bi.a = rc.seen), cm AS (SELECT node AS url, min(seen) FILTER (NOT starts_with(seen, '~')) AS class_url FROM rc WHERE NOT starts_with(node, '~') GROUP BY 1),
+ow AS (SELECT country, method, class_url, count(*) FILTER (enabled) AS n_enabled, count(*) FILTER (NOT enabled) AS n_disabled FROM ep JOIN cm ON cm.url = ep.url GROUP BY 1, 2, 3),
+rf AS (SELECT country, bl.method, class_url, count(*) AS n_refused, arg_max(bl.url, (ran_at, bl.url)) AS from_url, arg_max(works_url, (ran_at, works_url)) FILTER (action = 'use_working_url') AS to_url FROM bl JOIN (SELECT DISTINCT source, method, url, country FROM ep) e ON e.source = bl.source AND e.method = bl.method AND e.url = bl.url JOIN cm ON cm.url = bl.url GROUP BY 1, 2, 3),
+al AS (SELECT coalesce(ow.country, rf.country) AS country, coalesce(ow.method, rf.method) AS method, coalesce(ow.class_url, rf.class_url) AS class_url, coalesce(n_enabled, 0) AS n_enabled, coalesce(n_disabled, 0) AS n_disabled, coalesce(n_refused, 0) AS n_refused, from_url, to_url FROM ow FULL JOIN rf ON rf.country = ow.country AND rf.method = ow.method AND rf.class_url = ow.class_url)
+SELECT * FROM (SELECT country, method, class_url, CASE WHEN n_refused > 0 THEN CASE WHEN to_url IS NULL THEN 'find_replacement' WHEN EXISTS (SELECT 1 FROM ep WHERE enabled AND ep.country = al.country AND ep.method = al.method AND ep.url = to_url) THEN 'disable_duplicate' ELSE 'canonical_swap' END WHEN n_enabled > 0 AND n_disabled > 0 THEN 'remove_disabled' END AS action, n_enabled, n_disabled, n_refused, from_url, to_url FROM al) WHERE action IS NOT NULL""")
+def h8_follow_ups(spark: SparkSession, d: str) -> DataFrame:
+    r = runs(spark, d)
+    k = F.col("outlet_id")
+    of = r.groupBy("country", "source", "method", "url", "outlet_id").agg(F.min("id").alias("id_min"))
+    spelled = F.when(k % 4 == 0, F.concat(F.regexp_replace("url", "https://", "http://www."), F.lit("/"))).when(k % 4 == 1, F.concat("url", F.lit("?utm=1"))).otherwise(F.col("url"))
+    one = of.select("country", "source", "method", ((k % 17 != 0) & (F.col("id_min") % 3 != 0)).alias("enabled"), spelled.alias("url"), "outlet_id")
+    two = of.where(k % 3 > 0).select("country", "source", "method", F.lit(True).alias("enabled"), "url", "outlet_id")
+    endpoints = one.unionByName(two).distinct().drop("outlet_id")
+    moved = r.where(((k % 50) % 5 == 0) & (k % 7).isin(2, 3)).select(F.col("url").alias("from_url"), F.regexp_replace("url", "[0-9]$", "6").alias("to_url")).distinct()
+    return health.follow_ups(health.hard_403_backlog(r, feeds(spark, d)), endpoints, moved)
+
+
 @query("h9_waf_triage", f"""{BASE}, {FEEDS}, {BACKLOG}, c AS (SELECT *, regexp_extract(url, '^https://([^/]*)', 1) AS host FROM bl), k AS (SELECT *, count(*) OVER (PARTITION BY host) AS host_n FROM c)
 SELECT source, outlet_id, method, url, host, host_n, CASE WHEN host_n >= 10 THEN 'host_family' WHEN host_n >= 4 THEN 'host_group' WHEN action = 'use_working_url' THEN 'swap' WHEN method = 'sitemap' THEN 'sitemap_alone' ELSE 'single' END AS queue FROM k""")
 def h9(spark: SparkSession, d: str) -> DataFrame:

@@ -514,26 +514,31 @@ def c17r(spark: SparkSession, d: str) -> DataFrame:
     return out.select("external_id", "primary_section", F.array_join("sections", ",").alias("sections"), "primary_topic")
 
 
-LIFT = "it AS (SELECT DISTINCT n_name AS network, s_name AS candidate, 'https://x/' || l_partkey AS link FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey), cu AS (SELECT DISTINCT 'https://x/' || l_partkey AS link FROM lineitem WHERE l_partkey % 5 = 0)"
+LIFT = """im AS (SELECT CASE WHEN n_nationkey % 6 = 5 THEN 'independent' ELSE n_name END AS network, s_name AS candidate, 'Story ' || (l_partkey // 2) AS title, 'https://x/' || l_partkey AS link FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey), cu AS (SELECT DISTINCT 'https://x/' || l_partkey AS link, 'Story ' || (l_partkey // 2) AS title FROM lineitem WHERE l_partkey % 7 = 0),
+rw AS (SELECT network, candidate, count(*) AS n_items FROM im GROUP BY 1, 2), it AS (SELECT DISTINCT network, candidate, title FROM im), il AS (SELECT DISTINCT network, candidate, link FROM im),
+nt AS (SELECT network, candidate, count(*) AS n_titles, count(*) FILTER (title IN (SELECT title FROM cu)) AS title_overlap, count(*) FILTER (title NOT IN (SELECT title FROM cu)) AS new_titles FROM it GROUP BY 1, 2),
+nl AS (SELECT network, candidate, count(*) AS n_links, count(*) FILTER (link IN (SELECT link FROM cu)) AS overlap, count(*) FILTER (link NOT IN (SELECT link FROM cu)) AS new_links FROM il GROUP BY 1, 2), tt AS (SELECT rw.*, n_titles, title_overlap, new_titles, n_links, overlap, new_links FROM rw JOIN nt USING (network, candidate) JOIN nl USING (network, candidate))"""
 
 
-@query("a35_candidate_totals", f"WITH {LIFT} SELECT network, candidate, count(*) AS n_links, count(*) FILTER (link IN (SELECT link FROM cu)) AS overlap, count(*) FILTER (link NOT IN (SELECT link FROM cu)) AS new_links FROM it GROUP BY 1, 2")
+@query("a35_candidate_totals", f"WITH {LIFT} SELECT * FROM tt")
 def a35(spark: SparkSession, d: str) -> DataFrame:
-    return _lift(spark, d).select("network", "candidate", "n_links", "overlap", "new_links")
+    return _lift(spark, d).drop("lift", "penalty", "place")
 
 
 def _lift(spark: SparkSession, d: str) -> DataFrame:
     li, s, n = (table(spark, d, t) for t in ("lineitem", "supplier", "nation"))
     link = F.concat(F.lit("https://x/"), F.col("l_partkey").cast("string")).alias("link")
-    items = li.join(s, F.col("l_suppkey") == F.col("s_suppkey")).join(n, F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("n_name").alias("network"), F.col("s_name").alias("candidate"), link)
-    return compare.candidate_lift(items, li.where("l_partkey % 5 = 0").select(link))
+    title = F.concat(F.lit("Story "), F.floor(F.col("l_partkey") / 2).cast("string")).alias("title")
+    network = F.when(F.col("n_nationkey") % 6 == 5, "independent").otherwise(F.col("n_name")).alias("network")
+    items = li.join(s, F.col("l_suppkey") == F.col("s_suppkey")).join(n, F.col("s_nationkey") == F.col("n_nationkey")).select(network, F.col("s_name").alias("candidate"), title, link)
+    return compare.candidate_lift(items, li.where("l_partkey % 7 = 0").select(title, link))
 
 
-@query("a35_candidate_lift", f"""WITH RECURSIVE {LIFT}, nw AS (SELECT network, link, list(candidate) AS who FROM it WHERE link NOT IN (SELECT link FROM cu) GROUP BY 1, 2), pt AS (SELECT network, list_sort(who) AS who, count(*) AS n FROM nw GROUP BY 1, 2), cd AS (SELECT DISTINCT network, unnest(who) AS candidate FROM pt),
-g AS (SELECT network, 0 AS place, CAST(NULL AS VARCHAR) AS candidate, CAST(0 AS BIGINT) AS lift, CAST([] AS VARCHAR[]) AS chosen FROM (SELECT DISTINCT network FROM cd) UNION ALL
-  SELECT network, place, candidate, lift, list_append(chosen, candidate) FROM (SELECT g.network, g.place + 1 AS place, cd.candidate, g.chosen, CAST(coalesce(sum(CASE WHEN list_contains(pt.who, cd.candidate) AND NOT list_has_any(pt.who, g.chosen) THEN pt.n ELSE 0 END), 0) AS BIGINT) AS lift, row_number() OVER (PARTITION BY g.network ORDER BY coalesce(sum(CASE WHEN list_contains(pt.who, cd.candidate) AND NOT list_has_any(pt.who, g.chosen) THEN pt.n ELSE 0 END), 0) DESC, cd.candidate) AS k FROM g JOIN cd ON cd.network = g.network AND NOT list_contains(g.chosen, cd.candidate) JOIN pt ON pt.network = g.network GROUP BY g.network, g.place, cd.candidate, g.chosen) WHERE k = 1),
-tt AS (SELECT network, candidate, count(*) AS n_links, count(*) FILTER (link IN (SELECT link FROM cu)) AS overlap, count(*) FILTER (link NOT IN (SELECT link FROM cu)) AS new_links FROM it GROUP BY 1, 2)
-SELECT tt.network, tt.candidate, n_links, overlap, new_links, CAST(place AS BIGINT) AS place, coalesce(lift, 0) AS lift FROM tt LEFT JOIN g ON g.network = tt.network AND g.candidate = tt.candidate""")
+@query("a35_candidate_lift", f"""WITH RECURSIVE {LIFT}, rk AS (SELECT network FROM tt WHERE network <> 'independent' GROUP BY 1 HAVING count(*) > 1), nw AS (SELECT network, title, list(candidate) AS who FROM it WHERE title NOT IN (SELECT title FROM cu) AND network IN (SELECT network FROM rk) GROUP BY 1, 2), pt AS (SELECT network, list_sort(who) AS who, count(*) AS n FROM nw GROUP BY 1, 2), cd AS (SELECT network, candidate, new_titles, n_items FROM tt WHERE new_titles > 0 AND network IN (SELECT network FROM rk)),
+g AS (SELECT network, 0 AS step, CAST(NULL AS VARCHAR) AS candidate, CAST(0 AS BIGINT) AS lift, CAST([] AS VARCHAR[]) AS chosen FROM (SELECT DISTINCT network FROM cd) UNION ALL
+  SELECT network, step, candidate, lift, list_append(chosen, candidate) FROM (SELECT *, row_number() OVER (PARTITION BY network ORDER BY lift DESC, new_titles DESC, n_items DESC, candidate) AS k FROM (SELECT g.network, g.step + 1 AS step, cd.candidate, cd.new_titles, cd.n_items, g.chosen, CAST(coalesce(sum(CASE WHEN list_contains(pt.who, cd.candidate) AND NOT list_has_any(pt.who, g.chosen) THEN pt.n ELSE 0 END), 0) AS BIGINT) AS lift FROM g JOIN cd ON cd.network = g.network AND NOT list_contains(g.chosen, cd.candidate) JOIN pt ON pt.network = g.network GROUP BY ALL)) WHERE k = 1),
+lf AS (SELECT tt.*, tt.network IN (SELECT network FROM rk) AS ranked, CASE WHEN tt.network IN (SELECT network FROM rk) THEN coalesce(g.lift, 0) ELSE new_titles END AS lift FROM tt LEFT JOIN g ON g.network = tt.network AND g.candidate = tt.candidate)
+SELECT * EXCLUDE (ranked), new_titles - lift AS penalty, CASE WHEN ranked THEN row_number() OVER (PARTITION BY network ORDER BY lift DESC, new_titles DESC, n_items DESC, candidate) END AS place FROM lf""")
 def a35l(spark: SparkSession, d: str) -> DataFrame:
     return _lift(spark, d)
 
