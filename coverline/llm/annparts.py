@@ -186,7 +186,8 @@ class Block:
         order = np.argsort(ids, kind="stable")
         self.ids, self.vectors = ids[order], vectors[order]
         self.square = (self.vectors * self.vectors).sum(axis=1)
-        self.repeated = bool((self.ids[1:] == self.ids[:-1]).any())
+        self.starts = np.flatnonzero(np.append(True, self.ids[1:] != self.ids[:-1]))
+        self.repeated = len(self.starts) < len(self.ids)
 
     def nearest(self, q_ids: np.ndarray, q: np.ndarray, k: int) -> pa.RecordBatch:
         """Each query's k nearest ids. Products find what may be among them, differences measure it.
@@ -195,7 +196,6 @@ class Block:
         vectors, and near copies come out exact. Of an id that repeats, the nearest row counts.
         """
         found: tuple[list, list, list] = ([], [], [])
-        n = len(self.ids)
         for a in range(0, len(q), 64):
             part = q[a : a + 64]
             square = (part * part).sum(axis=1)
@@ -203,7 +203,8 @@ class Block:
             margin = 1e-9 * (square + self.square.max())
             own = q_ids[a : a + 64]
             rough[self.ids[None, :] == own[:, None]] = np.inf
-            kth = np.partition(rough, k - 1, axis=1)[:, k - 1] if not self.repeated and n > k else np.full(len(part), np.inf)
+            each = np.minimum.reduceat(rough, self.starts, axis=1) if self.repeated else rough  # the nearest row of each id
+            kth = np.partition(each, k - 1, axis=1)[:, k - 1] if each.shape[1] > k else np.full(len(part), np.inf)
             for i in range(len(part)):
                 near = np.flatnonzero(rough[i] <= kth[i] + 2 * margin[i])
                 near = near[self.ids[near] != own[i]]
@@ -269,14 +270,15 @@ def nearest(rows: DataFrame, is_query: Column, k: int = 10) -> DataFrame:
 
         return home
 
-    placed = good.select("vec_id", "embedding", home_of()("embedding").alias("part"))
+    # copies of a row are one before they are placed, and an id's vectors lie in as many blocks as their number asks for
+    placed = good.groupBy("vec_id", "embedding").agg(F.lit(True).alias("once")).select("vec_id", "embedding", home_of()("embedding").alias("part"))
     sizes = placed.groupBy("part").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"), F.count_distinct("vec_id").alias("held")).collect()  # at most MOST_PARTS rows
     held = np.zeros(MOST_PARTS, np.int64)
     for r in sizes:
         held[r.part] = r.held
     blocks = F.broadcast(spark.createDataFrame([(r.part, r.blocks) for r in sizes], "part int, blocks int"))
-    candidates = placed.join(blocks, "part").select("part", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int").alias("block"), F.lit(False).alias("asks"), "vec_id", "embedding")
-    queries = good.where(is_query).select("vec_id", "embedding", F.explode(routed(held)("embedding")).alias("part")).join(blocks, "part")
+    candidates = placed.join(blocks, "part").select("part", F.pmod(F.xxhash64("vec_id", "embedding"), F.col("blocks")).cast("int").alias("block"), F.lit(False).alias("asks"), "vec_id", "embedding")
+    queries = good.where(is_query).distinct().select("vec_id", "embedding", F.explode(routed(held)("embedding")).alias("part")).join(blocks, "part")
     queries = queries.select("part", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(True).alias("asks"), "vec_id", "embedding")
     together = candidates.unionByName(queries).repartition("part", "block").sortWithinPartitions("part", "block", "asks")
     found = together.select("part", "block", "asks", "vec_id", "embedding").mapInArrow(_ranked(k), "query_id long, vec_id long, score double")

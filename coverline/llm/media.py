@@ -13,6 +13,7 @@ behind is in no list and is never read.
 from __future__ import annotations
 
 import hashlib
+import math
 import struct
 import time
 import uuid
@@ -232,7 +233,7 @@ def features(media: Column) -> Column:
             columns = x.sum(axis=0, dtype=np.int64)
             total, square = int(columns.sum()), int((x.astype(np.int64) ** 2).sum())
             mean = 100 * total // x.size
-            spread = int((10000 * (square * x.size - total * total)) ** 0.5) // x.size if x.size < 1 << 24 else int(100 * (square / x.size - (total / x.size) ** 2) ** 0.5)
+            spread = math.isqrt(10000 * (square * x.size - total * total)) // x.size
             bits = int("".join("1" if b else "0" for b in columns[1:] > columns[:-1]), 2)
             out[0].append(len(payload))
             out[1].append(hashlib.sha256(payload).hexdigest())

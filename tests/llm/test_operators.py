@@ -262,6 +262,77 @@ def test_samples_are_bounded_and_know_every_label(spark):
     assert split.sampled(rows.limit(0), "lang", 3)[1] == {}
 
 
+def test_too_many_labels_are_an_error(spark):
+    rows = spark.range(300).select(F.col("id").alias("doc_id"), F.lit("some text").alias("text"), F.col("id").cast("string").alias("lang"))
+    with pytest.raises(ValueError, match="more than 200 values of lang"):
+        split.sampled(rows, "lang", 3, most_labels=200)
+
+
+def test_languages_are_those_of_a_plain_loop_over_bytes(spark, small):
+    """The same model, a byte after another, in Python numbers."""
+    docs = spark.read.parquet(f"{small}/documents.parquet").where("length(text) < 700")
+    model = langid.learn(docs)
+    soft = lambda x: x / (1 + abs(x))
+
+    def pass_over(layer, symbols):
+        h, out = [0.0] * langid.HIDDEN, []
+        back = [w.astype(float).tolist() for w in layer.back]
+        for s in symbols:
+            into = [[sum(h[i] * w[i][j] for i in range(langid.HIDDEN)) for j in range(langid.HIDDEN)] for w in back]
+            x = [t[s].astype(float).tolist() for t in layer.table]
+            r, z = ([0.5 + 0.5 * soft(x[g][j] + into[g][j]) for j in range(langid.HIDDEN)] for g in range(2))
+            c = [soft(x[2][j] + r[j] * into[2][j]) for j in range(langid.HIDDEN)]
+            h = [c[j] + z[j] * (h[j] - c[j]) for j in range(langid.HIDDEN)]
+            out.append(h)
+        return out
+
+    def plain(text):
+        raw, total = text.encode(), [0.0] * len(model.languages)
+        for at in range(0, len(raw), langid.SEGMENT):
+            symbols = list(raw[at : at + langid.SEGMENT])
+            padded = symbols + [langid.PAD] * (langid.SEGMENT - len(symbols))
+            left, right = pass_over(model.layers[0], padded), pass_over(model.layers[1], padded[::-1])[::-1]
+            for k in range(len(symbols)):
+                votes = [float(model.bias[c]) + sum(left[k][i] * float(model.layers[0].out[i][c]) + right[k][i] * float(model.layers[1].out[i][c]) for i in range(langid.HIDDEN)) for c in range(len(total))]
+                most = [math.exp(max(-30, min(30, v))) for v in votes]
+                total = [t + m / sum(most) for t, m in zip(total, most)]
+        return [t / max(1, len(raw)) for t in total]
+
+    rows = docs.select("doc_id", "text", langid.language(model).alias("x")).orderBy("doc_id").limit(40).collect()
+    assert len(rows) > 20
+    for r in rows:
+        p = plain(r.text)
+        if any(c.isalpha() for c in r.text):
+            assert r.x.lang_pred == model.languages[p.index(max(p))] and r.x.score == pytest.approx(max(p), abs=2e-4)
+        else:
+            assert tuple(r.x) == ("und", 0.0)
+
+
+def test_scores_are_those_of_all_pairs_of_a_documents_inputs(spark, small):
+    """Words counted and paired one after another; only the hash of a word comes from the library."""
+    from coverline.llm.textkit import word_hashes
+
+    docs, labels = spark.read.parquet(f"{small}/documents.parquet"), spark.read.parquet(f"{small}/labels.parquet")
+    model = quality.learn(docs, labels)
+    rows = docs.where("length(text) between 1 and 900").select("doc_id", "text", quality.score(model).alias("score")).orderBy("doc_id").limit(30).collect()
+    for r in rows:
+        raw = r.text.encode()
+        count = Counter()
+        for w in re.findall(rb"[^\x20\x09-\x0D]+", raw):
+            h = word_hashes(np.frombuffer(w, np.uint8), np.array([0]), np.array([len(w)]))[0]
+            count[int(h & np.uint64(quality.BUCKETS - 1))] += 1
+        norm = math.sqrt(sum(math.log1p(n) ** 2 for n in count.values())) or 1.0
+        _, feature, value = quality.inputs(np.frombuffer(raw, np.uint8), np.array([0]), np.array([len(raw)]))
+        own = {int(f): float(v) for f, v in zip(feature, value) if f < quality.BUCKETS}
+        assert own == pytest.approx({b: math.log1p(n) / norm for b, n in count.items()}, rel=1e-6)
+        given = list(zip(feature.tolist(), value.tolist()))
+        z = model.bias + sum(float(model.weight[f]) * v for f, v in given)
+        for i, (f, v) in enumerate(given):
+            for g, w in given[:i]:
+                z += float(np.dot(model.factor[f].astype(float), model.factor[g].astype(float))) * v * w
+        assert r.score == pytest.approx(1 / (1 + math.exp(-max(-30, min(30, z)))), abs=1e-5)
+
+
 # 1: secrets
 
 
@@ -598,6 +669,30 @@ def test_neighbours_of_repeated_rows(spark):
     assert several == [(0, 1, 1, 1.0), (0, 2, 2, 3.0)]
 
 
+def test_copies_of_one_id_cost_little(spark):
+    """A table of which nearly all rows are one: as found without the copies, and not much slower."""
+    import time
+
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(500, 16)).round(3)
+    schema = "vec_id long, embedding array<double>"
+    plain = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], schema)
+    copies = spark.range(60_000).select(F.lit(3).cast("long").alias("vec_id"), F.array(*(F.lit(float(c)) for c in x[3])).alias("embedding"))
+    near = spark.range(3000).select(F.lit(3).cast("long").alias("vec_id"), F.concat(F.array(F.col("id") / 1e9 + float(x[3][0])), F.array(*(F.lit(float(c)) for c in x[3][1:]))).alias("embedding"))
+    took = []
+    for rows in (plain, plain.unionByName(copies), plain.unionByName(near)):
+        began = time.time()
+        got = defaultdict(list)
+        for r in annparts.nearest(rows, F.col("vec_id") % 100 == 0).orderBy("query_id", "rank").collect():
+            got[r.query_id].append((r.vec_id, r.score))
+        took.append(time.time() - began)
+        assert set(got) == {0, 100, 200, 300, 400}
+        for q, found in got.items():
+            d = np.sqrt(((x - x[q]) ** 2).sum(axis=1))
+            assert len({v for v, _ in found}) == 10 and all(s == pytest.approx(d[v], abs=1e-5) for v, s in found)
+    assert took[1] < 3 * took[0] + 10
+
+
 # 8: media
 
 
