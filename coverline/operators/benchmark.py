@@ -147,11 +147,11 @@ def benchmark_range(days: DataFrame, unit: str) -> DataFrame:
     return days.groupBy(period_start(F.col("bucket"), unit).alias("period"), "country").agg(*(F.sum(c).alias(c) for c in COUNTS), mean.alias("active_sources"), *(weighted(f"top{k}_share_bps").alias(f"top{k}_share_bps") for k in (1, 5, 10)), F.count("*").alias("n_days"))
 
 
-def benchmark_wide(hourly: DataFrame, daily: DataFrame, monthly: DataFrame, feeds: DataFrame) -> DataFrame:
+def benchmark_wide(hourly: DataFrame, daily: DataFrame, weekly: DataFrame, monthly: DataFrame, feeds: DataFrame) -> DataFrame:
     """One row per country with published and inserted of every part, missing ones 0, and a row of totals."""
     part = lambda df, name: df.groupBy("country").agg(F.sum("published").alias(f"published_{name}"), F.sum("inserted").alias(f"inserted_{name}"))
-    parts = [part(df, name) for df, name in ((hourly, "24h"), (daily, "day"), (monthly, "month"))]
-    wide = parts[0].join(parts[1], "country", "full").join(parts[2], "country", "full")
+    parts = [part(df, name) for df, name in ((hourly, "24h"), (daily, "day"), (weekly, "week"), (monthly, "month"))]
+    wide = parts[0].join(parts[1], "country", "full").join(parts[2], "country", "full").join(parts[3], "country", "full")
     values = [c for c in wide.columns if c != "country"]
     codes = feeds.groupBy("country").agg(F.min("code").alias("code"))
     wide = wide.join(codes, "country", "left").select("country", "code", *(F.coalesce(c, F.lit(0)).alias(c) for c in values))

@@ -61,13 +61,23 @@ def _settled_lifts(open_titles: DataFrame) -> DataFrame:
             return settled
 
 
+def link_kind(url: Column) -> Column:
+    """What a link leads to by its words: a video, photos, something like an article, or other."""
+    lower = F.lower(url)
+    path = F.regexp_extract(lower, r"^[a-z]+://[^/?#]*([^?#]*)", 1)
+    words = lambda *names: lower.rlike("(^|[^a-z])(" + "|".join(names) + ")([^a-z]|$)")
+    return F.when(words("video", "videos", "videogallery", "videoarticle"), "video").when(words("photo", "photos", "foto", "fotos", "photogallery", "gallery"), "photo").when(path.rlike("[a-z]+-[a-z]+|[0-9]{4,}"), "article").otherwise("other")
+
+
 def variant_audit(links: DataFrame, variant: Column) -> DataFrame:
-    """Per variant feed: links that no other feed of the same country and host has, and what to do with it."""
+    """Per variant feed: links, those that no other feed of the same country and host has, of which kinds these are, and what to do with it."""
     marked = links.withColumns({"host": host_of(F.col("url")), "is_variant": variant})
     plain = marked.where(~F.col("is_variant")).select("country", "host", "url").distinct()
     alone = marked.where("is_variant").select("feed", "country", "host", "url").distinct()
-    unique = alone.join(plain, ["country", "host", "url"], "left_anti").groupBy("feed").agg(F.count("*").alias("n_unique"))
-    out = alone.groupBy("feed").agg(F.count("*").alias("n_links")).join(unique, "feed", "left").withColumn("n_unique", F.coalesce("n_unique", F.lit(0)))
+    kinds = [F.count_if(F.col("kind") == k).alias(f"n_{k}") for k in ("article", "photo", "video", "other")]
+    unique = alone.join(plain, ["country", "host", "url"], "left_anti").withColumn("kind", link_kind(F.col("url"))).groupBy("feed").agg(F.count("*").alias("n_unique"), *kinds)
+    counts = {c: F.coalesce(c, F.lit(0)) for c in ("n_unique", "n_article", "n_photo", "n_video", "n_other")}
+    out = alone.groupBy("feed").agg(F.count("*").alias("n_links")).join(unique, "feed", "left").withColumns(counts)
     return out.withColumn("recommendation", F.when(F.col("n_unique") == 0, "drop").when(F.col("n_unique") * 2 < F.col("n_links"), "review").otherwise("keep"))
 
 

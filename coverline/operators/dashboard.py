@@ -7,7 +7,7 @@ from datetime import datetime
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from coverline.functions.columns import at, low_signal_title, percent, present, section_rank, since
+from coverline.functions.columns import at, low_signal_title, percent, present, ratio, section_rank, since
 from coverline.operators.benchmark import clamped_publication
 
 EMPTY = "(empty)"
@@ -104,14 +104,31 @@ def configured_coverage(feeds: DataFrame) -> DataFrame:
     )
 
 
-def taxonomy_audit(articles: DataFrame, as_of: datetime, hours: int = 168, least: int = 5) -> DataFrame:
-    """In all, per country, and per country and source: articles in "others", without categories, both, and others despite categories."""
+def taxonomy_audit(articles: DataFrame, as_of: datetime, hours: int = 168, least_country: int = 50, least_source: int = 20, least_recoverable: int = 10, top: int = 15) -> DataFrame:
+    """How much falls into "others": in all, and the first ``top`` of three lists, in rows by ``list`` and rank.
+
+    ``countries`` go by articles in others, ``missing_signal`` sources by those that have no categories either, ``recoverable`` sources by
+    those that have some; each list has its own least number of articles (for the last of articles with categories), and goes on by
+    share, articles and name.
+    """
     others, empty = section_of() == "others", F.coalesce(F.size("feed_categories") <= 0, F.lit(True))
     rows = articles.where(since("created_at", as_of, hours=hours)).select("country", "source", others.alias("others"), empty.alias("empty"))
     found = rows.groupingSets([[], [F.col("country")], [F.col("country"), F.col("source")]], F.col("country"), F.col("source")).agg(
         F.grouping_id().alias("level"), F.count("*").alias("n"), F.count_if("others").alias("n_others"), F.count_if("empty").alias("n_empty"), F.count_if(F.col("others") & F.col("empty")).alias("n_both"), F.count_if(F.col("others") & ~F.col("empty")).alias("n_recoverable"),
     )
-    return found.where(F.col("n") >= least).withColumns({"others_pct": percent(F.col("n_others"), F.col("n")), "empty_pct": percent(F.col("n_empty"), F.col("n"))})
+    filled = F.col("n") - F.col("n_empty")
+    shares = {"others_pct": percent(F.col("n_others"), F.col("n")), "empty_pct": percent(F.col("n_empty"), F.col("n")), "both_pct": percent(F.col("n_both"), F.col("n")), "recoverable_pct": percent(F.col("n_recoverable"), filled)}
+    found = found.withColumns(shares).withColumn("filled", filled)
+    names = [F.coalesce("country", F.lit("")), F.coalesce("source", F.lit(""))]
+
+    def listed(name: str, level: int, size: str, least: int, by: str) -> DataFrame:
+        order = Window.orderBy(F.desc(f"n_{by}"), F.desc(f"{by}_pct"), F.desc("n"), *names)  # rows are countries or sources
+        ranked = found.where((F.col("level") == level) & (F.col(size) >= least)).orderBy(F.desc(f"n_{by}"), F.desc(f"{by}_pct"), F.desc("n"), *names).limit(top)
+        return ranked.withColumns({"rank": F.row_number().over(order).cast("long"), "list": F.lit(name)})
+
+    total = found.where("level = 3").withColumns({"rank": F.lit(1).cast("long"), "list": F.lit("total")})
+    lists = total.unionByName(listed("countries", 1, "n", least_country, "others")).unionByName(listed("missing_signal", 0, "n", least_source, "both")).unionByName(listed("recoverable", 0, "filled", least_recoverable, "recoverable"))
+    return lists.select("list", "rank", "country", "source", "n", "n_others", "n_empty", "n_both", "n_recoverable", *shares)
 
 
 def unmapped_categories(articles: DataFrame, samples: int = 3) -> DataFrame:
@@ -123,40 +140,74 @@ def unmapped_categories(articles: DataFrame, samples: int = 3) -> DataFrame:
     return ranked.groupBy("category").agg(F.sum("n").alias("n_articles"), F.count("*").alias("n_sources"), listed.alias("sample_sources"))
 
 
-def topic_audit(articles: DataFrame) -> DataFrame:
-    """Section by topic, and articles without a topic by category: counts and share of the section."""
-    rows = articles.select(section_of().alias("section"), present("primary_topic").alias("topic"), "feed_categories")
-    by_topic = rows.groupBy("section", F.coalesce("topic", F.lit(EMPTY)).alias("name")).agg(F.count("*").alias("n")).withColumn("kind", F.lit("topic"))
-    by_category = rows.where("topic is null").select("section", F.explode_outer("feed_categories").alias("c")).groupBy("section", F.coalesce("c", F.lit(EMPTY)).alias("name")).agg(F.count("*").alias("n")).withColumn("kind", F.lit("unassigned_category"))
+def topic_audit(articles: DataFrame, shown: int = 12) -> DataFrame:
+    """Per section its topics, and of its articles without one the categories and sources: the first ``shown`` of each list with their share of the section, then what the rest hides.
+
+    The row of the rest is named ``(hidden)``; ``n_names`` says how many names it stands for.
+    """
+    rows = articles.select(section_of().alias("section"), present("primary_topic").alias("topic"), "feed_categories", present("source").alias("source"))
+    none = rows.where("topic is null")
+    count = lambda rows, name, kind: rows.groupBy("section", name.alias("name")).agg(F.count("*").alias("n")).withColumn("kind", F.lit(kind))
+    lists = count(rows, F.coalesce("topic", F.lit(EMPTY)), "topic").unionByName(count(none.select("section", F.explode_outer("feed_categories").alias("c")), F.coalesce(present("c"), F.lit(EMPTY)), "unassigned_category")).unionByName(count(none, F.coalesce("source", F.lit("(unknown source)")), "unassigned_source"))
+    ranked = lists.withColumn("rank", F.row_number().over(Window.partitionBy("section", "kind").orderBy(F.desc("n"), "name")))
+    tail = F.col("rank") > shown
+    per = ranked.groupBy("section", "kind", F.when(tail, shown + 1).otherwise(F.col("rank")).alias("rank"), F.when(tail, "(hidden)").otherwise(F.col("name")).alias("name")).agg(F.sum("n").alias("n"), F.count("*").alias("n_names"))
     totals = rows.groupBy("section").agg(F.count("*").alias("total"))
-    return by_topic.unionByName(by_category).join(totals, "section").select("section", "kind", "name", "n", percent(F.col("n"), F.col("total")).alias("pct"))
+    return per.join(totals, "section").select("section", "kind", "rank", "name", "n", "n_names", percent(F.col("n"), F.col("total")).alias("pct"))
 
 
-def others_audit(articles: DataFrame, candidates: str = "section_candidates", samples: int = 2) -> DataFrame:
-    """Best other candidate of each "others" article: articles, mean score in hundredths, sources, sample titles per candidate."""
+def others_audit(articles: DataFrame, candidates: str = "section_candidates", samples: int = 2, top: int = 3) -> DataFrame:
+    """Best other candidate of each "others" article: articles, mean score in hundredths, sources, top sources and categories, sample titles per candidate."""
     best = F.array_max(F.transform(F.filter(candidates, lambda x: x.label != "others"), lambda x: F.struct(x.score.alias("score"), x.label.alias("label"))))
-    rows = articles.where(section_of() == "others").select("source", "title_original", "external_id", best.alias("best")).where("best is not null")
-    ranked = rows.select("source", "title_original", "best.*", F.row_number().over(Window.partitionBy("best.label").orderBy(F.desc("best.score"), "external_id", "title_original")).alias("__rank"))
-    titles = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("__rank") <= samples, F.struct("__rank", "title_original")))), lambda x: x.title_original), "|")
-    return ranked.groupBy(F.col("label").alias("candidate")).agg(F.count("*").alias("n_articles"), F.floor(F.avg("score") * 100 + 0.5).cast("long").alias("mean_score"), F.countDistinct("source").alias("n_sources"), titles.alias("sample_titles"))
-
-
-def mention_lanes(articles: DataFrame, mentions: DataFrame) -> DataFrame:
-    """Per entity type: mentions and distinct articles; and articles that name a person or competition but no team."""
-    known = mentions.join(articles.select(F.col("external_id").alias("article_external_id")).distinct(), "article_external_id", "left_semi")
-    lanes = known.groupBy("entity_type").agg(F.count("*").alias("n_mentions"), F.countDistinct("article_external_id").alias("n_articles"))
-    per = known.groupBy("article_external_id").agg(F.bool_or(F.col("entity_type") == "team").alias("team"), F.bool_or(F.col("entity_type").isin("person", "competition")).alias("other"))
-    gaps = per.agg(F.lit("(gap)").alias("entity_type"), F.count_if(F.col("other") & ~F.col("team")).alias("n_mentions"), F.count_if(F.col("other") & ~F.col("team")).alias("n_articles"))
-    return lanes.unionByName(gaps)
-
-
-def tool_usage(calls: DataFrame) -> DataFrame:
-    """Per day, tool and traffic: calls, errors, time and four latency buckets."""
+    rows = articles.where(section_of() == "others").select("source", "title_original", "external_id", "feed_categories", best.alias("best")).where("best is not null").select("source", "title_original", "external_id", "feed_categories", "best.*")
+
+    def tops(rows: DataFrame, name: str) -> DataFrame:
+        per = rows.groupBy("label", name).agg(F.count("*").alias("n"))
+        ranked = per.withColumn("k", F.row_number().over(Window.partitionBy("label").orderBy(F.desc("n"), name))).where(F.col("k") <= top)
+        return ranked.groupBy("label").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", name, "n"))), lambda x: F.concat_ws(":", x[name], x.n.cast("string"))), "|").alias(f"top_{name}"))
+
+    # each task passes on its own best rows only, however many a candidate has
+    first = rows.select("label", "score", "external_id", "title_original").withColumn("k", F.row_number().over(Window.partitionBy("label").orderBy(F.desc("score"), "external_id", "title_original"))).where(F.col("k") <= samples)
+    titles = first.groupBy("label").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "title_original"))), lambda x: x.title_original), "|").alias("sample_titles"))
+    per = rows.groupBy("label").agg(F.count("*").alias("n_articles"), F.floor(F.avg("score") * 100 + 0.5).cast("long").alias("mean_score"), F.countDistinct("source").alias("n_sources")).join(titles, "label")
+    categories = tops(rows.select("label", F.explode("feed_categories").alias("categories")), "categories")
+    return per.join(tops(rows.withColumnRenamed("source", "sources"), "sources"), "label", "left").join(categories, "label", "left").withColumnRenamed("label", "candidate")
+
+
+def mention_lanes(articles: DataFrame, mentions: DataFrame, top_teams: int = 25) -> DataFrame:
+    """Of a lane of official articles (external_id, team) and what they mention (article_external_id, entity_type), rows by ``part``.
+
+    ``totals`` counts articles, those with a mention, and these in percent; ``type`` each entity type's mentions and articles; ``team``
+    the first teams by articles, with those that mention anything and a team; ``gap`` the articles that name a person or
+    competition but no team, by the types that they do name.
+    """
+    official = articles.groupBy(F.col("external_id").alias("article_external_id")).agg(F.min("team").alias("team"))
+    known = mentions.join(official.select("article_external_id"), "article_external_id", "left_semi")
+    flags = known.groupBy("article_external_id").agg(F.bool_or(F.col("entity_type") == "team").alias("has_team"), F.bool_or(F.col("entity_type").isin("person", "competition")).alias("has_other"), F.array_join(F.array_sort(F.collect_set("entity_type")), "+").alias("types"))
+    marked = official.join(flags, "article_external_id", "left")
+    linked, named = F.count("has_team"), F.count_if("has_team")
+    part = lambda rows, kind, name, n, a, b: rows.select(F.lit(kind).alias("part"), F.col(name).cast("string").alias("name"), *(F.col(c).cast("long").alias(x) for c, x in ((n, "n_articles"), (a, "n_linked"), (b, "n_mentions"))))
+    totals = marked.agg(F.lit(None).cast("string").alias("name"), F.count("*").alias("n"), linked.alias("a"), percent(linked, F.count("*")).alias("b"))
+    types = known.groupBy("entity_type").agg(F.count("*").alias("b"), F.countDistinct("article_external_id").alias("n"), F.countDistinct("article_external_id").alias("a"))
+    teams = marked.groupBy("team").agg(F.count("*").alias("n"), linked.alias("a"), named.alias("b")).orderBy(F.desc("n"), "team").limit(top_teams)
+    gaps = marked.where("has_other and not has_team").groupBy("types").agg(F.count("*").alias("n"), F.count("*").alias("a"), F.lit(0).alias("b"))
+    return part(totals, "totals", "name", "n", "a", "b").unionByName(part(types, "type", "entity_type", "n", "a", "b")).unionByName(part(teams, "team", "team", "n", "a", "b")).unionByName(part(gaps, "gap", "types", "n", "a", "b"))
+
+
+def tool_usage(*families: DataFrame) -> DataFrame:
+    """Per day, tool and traffic of all families of tools together: calls, errors, time with its mean, and four latency buckets.
+
+    Every family has day, tool, traffic, outcome and duration_ms; a tool that two have is one.
+    """
+    columns = ("day", "tool", "traffic", "outcome", "duration_ms")
+    calls = families[0].select(*columns)
+    for more in families[1:]:
+        calls = calls.unionByName(more.select(*columns))
     ms = F.col("duration_ms")
     return calls.groupBy("day", "tool", "traffic").agg(
         F.count("*").alias("calls"), F.count_if(F.col("outcome") == "success").alias("successes"), F.count_if(F.col("outcome") == "error").alias("errors"), F.sum(ms).alias("sum_ms"), F.max(ms).alias("max_ms"),
         F.count_if(ms < 100).alias("under_100"), F.count_if((ms >= 100) & (ms < 500)).alias("under_500"), F.count_if((ms >= 500) & (ms < 2000)).alias("under_2000"), F.count_if(ms >= 2000).alias("from_2000"),
-        percent(F.count_if(F.col("outcome") == "error"), F.count("*")).alias("error_pct"),
+        percent(F.count_if(F.col("outcome") == "error"), F.count("*")).alias("error_pct"), ratio(F.sum(ms), F.count(ms), 1).alias("mean_ms"),
     )
 
 

@@ -5,15 +5,17 @@ from __future__ import annotations
 from datetime import datetime
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from coverline.functions.columns import at, fnv1a, percent, since
 from coverline.functions.components import components
-from coverline.functions.urls import host_of
+from coverline.functions.urls import host_of, normalize_link
 from coverline.sources.kept import keep
 
 NEWEST = ("ran_at", "id")
+#: So many tasks share the checks of one outlet, or the endpoints of one host.
+SHARES = 16
 #: Statuses that a repeat seldom cures.
 PERMANENT = (401, 403, 404, 410, 451)
 
@@ -50,11 +52,11 @@ def failing_backoff(runs: DataFrame, as_of: datetime, minutes: int = 60, min_att
 
 
 def failure_watchlist(runs: DataFrame, as_of: datetime, days: int = 30, min_attempts: int = 5, disable_fails: int = 20, disable_streak: int = 18, disable_rate: int = 90, watch_rate: int = 60) -> DataFrame:
-    """Per endpoint: failure rate, failures since the last success, top status, and what to do.
+    """Per outlet, method and endpoint in its normal form: failure rate, failures since the last success, commonest reason and status (of equal ones the newest), and what to do.
 
     The streak needs no sort: it counts the failures that are newer than the newest success.
     """
-    rows = runs.where(since("ran_at", as_of, days=days) & F.col("attempted"))
+    rows = runs.where(since("ran_at", as_of, days=days) & F.col("attempted")).withColumn("url", F.coalesce(F.nullif(normalize_link(F.col("url")), F.lit("")), F.col("url")))
     keys = ["outlet_id", "method", "url"]
     last_ok = rows.groupBy(*keys).agg(F.max(F.when(F.col("ok"), F.struct(*NEWEST))).alias("last_ok"))
     per = rows.join(last_ok, keys).groupBy(*keys).agg(
@@ -63,6 +65,8 @@ def failure_watchlist(runs: DataFrame, as_of: datetime, days: int = 30, min_atte
     )
     reasons = rows.where(~F.col("ok")).groupBy(*keys, "error").agg(F.count("*").alias("n"), F.max(F.struct(*NEWEST)).alias("newest"))
     top = reasons.groupBy(*keys).agg(F.max_by("error", F.struct("n", "newest")).alias("top_reason"))
+    codes = rows.where(~F.col("ok") & F.col("status_code").isNotNull()).groupBy(*keys, "status_code").agg(F.count("*").alias("n"), F.max(F.struct(*NEWEST)).alias("newest"))
+    top = top.join(codes.groupBy(*keys).agg(F.max_by("status_code", F.struct("n", "newest")).alias("top_status")), keys, "left")
     rate = percent(F.col("fails"), F.col("attempts"))
     hard = (F.col("last_success").isNull()) & (percent(F.col("permanent"), F.col("fails")) >= 80)
     action = F.when((F.col("fails") >= disable_fails) & (F.col("streak") >= disable_streak) & ((F.col("failure_pct") >= disable_rate) | hard), "DISABLE_CANDIDATE").when(F.col("failure_pct") >= watch_rate, "WATCH").otherwise("KEEP")
@@ -71,15 +75,16 @@ def failure_watchlist(runs: DataFrame, as_of: datetime, days: int = 30, min_atte
 
 
 def feed_stability(rollup: DataFrame, min_attempts: int = 5) -> DataFrame:
-    """Per outlet and method over the days of a rollup."""
+    """Per outlet and method over the days of a rollup; ``zero_valid`` marks feeds that worked often enough and never brought an item."""
     per = rollup.groupBy("outlet_id", "method").agg(F.sum("attempts").alias("attempts"), F.sum("successes").alias("successes"), F.sum("fetched").alias("valid"))
     pct = percent(F.col("successes"), F.col("attempts"))
     state = F.when(F.col("attempts") < min_attempts, "no_data").when(F.coalesce("valid", F.lit(0)) == 0, "unstable").when(F.col("success_pct") >= 80, "stable").when(F.col("success_pct") >= 40, "warning").otherwise("unstable")
-    return per.withColumn("success_pct", pct).withColumn("stability", state)
+    zero = (F.col("method") == "rss") & (F.col("attempts") >= min_attempts) & (F.col("successes") > 0) & (F.coalesce("valid", F.lit(0)) == 0)
+    return per.withColumn("success_pct", pct).withColumns({"stability": state, "zero_valid": zero})
 
 
-def stale_watchlist(runs: DataFrame, exempt: DataFrame, as_of: datetime, high_value: Column, auto_days: int = 14, candidate_days: int = 7, watch_days: int = 3) -> DataFrame:
-    """Per source the age of its newest item over the newest success of each method, and what to do about it."""
+def stale_watchlist(runs: DataFrame, exempt: DataFrame, as_of: datetime, high_value: Column, auto_days: int = 14, candidate_days: int = 7, watch_days: int = 3, safe_days: int = 30) -> DataFrame:
+    """Per source the age of its newest item over the newest success of each method, what to do about it, and which may be switched off at once (``safe_disable``)."""
     newest = latest(runs, ["source", "method"], ["newest_item_published_at"], F.col("ok"))
     per = newest.groupBy("source").agg(F.max("newest_item_published_at").alias("newest_item"), F.array_join(F.array_sort(F.collect_set("method")), "+").alias("methods"))
     days = F.datediff(at(as_of), "newest_item").cast("long")
@@ -88,7 +93,7 @@ def stale_watchlist(runs: DataFrame, exempt: DataFrame, as_of: datetime, high_va
         F.when(F.col("newest_item") > at(as_of), "FUTURE_DATED_HOLD").when(F.col("is_exempt"), "EXEMPT_ARCHIVE").when(high_value & (F.col("stale_days") >= candidate_days), "HIGH_VALUE_STALE_HOLD")
         .when(F.col("stale_days") >= auto_days, "AUTO_DISABLE").when(F.col("stale_days") >= candidate_days, "DISABLE_CANDIDATE").when(F.col("stale_days") >= watch_days, "WATCH").otherwise("KEEP")
     )
-    return marked.withColumn("action", action).drop("is_exempt")
+    return marked.withColumn("action", action).drop("is_exempt").withColumn("safe_disable", (F.col("action") == "AUTO_DISABLE") & (F.col("stale_days") >= safe_days))
 
 
 def auto_repair(runs: DataFrame, registry_urls: DataFrame) -> DataFrame:
@@ -150,12 +155,17 @@ def follow_ups(backlog: DataFrame, endpoints: DataFrame, redirects: DataFrame) -
     return rows.withColumns(counts).withColumn("action", action).where("action is not null").select(*keys, "action", "n_enabled", "n_disabled", "n_refused", "from_url", "to_url")
 
 
+def _per_host(rows: DataFrame, value: Column, key: str) -> DataFrame:
+    """``rows`` with an aggregate of their host; a host's rows stay spread over tasks, in shares by ``key``, each of which meets a copy of it."""
+    per = rows.groupBy("host").agg(value).withColumn("share", F.explode(F.sequence(F.lit(0), F.lit(SHARES - 1))))
+    return rows.withColumn("share", F.pmod(F.xxhash64(key), F.lit(SHARES)).cast("int")).join(per, ["host", "share"], "left").drop("share")
+
+
 def waf_triage(backlog: DataFrame) -> DataFrame:
     """Refused endpoints by how many share their host, and the queue they go to."""
     hosts = backlog.withColumn("host", host_of(F.col("url")))
-    count = F.count("*").over(Window.partitionBy("host"))
     queue = F.when(F.col("host_n") >= 10, "host_family").when(F.col("host_n") >= 4, "host_group").when(F.col("action") == "use_working_url", "swap").when(F.col("method") == "sitemap", "sitemap_alone").otherwise("single")
-    return hosts.withColumn("host_n", count).withColumn("queue", queue).select("source", "outlet_id", "method", "url", "host", "host_n", "queue")
+    return _per_host(hosts, F.count("*").alias("host_n"), "url").withColumn("queue", queue).select("source", "outlet_id", "method", "url", "host", "host_n", "queue")
 
 
 def head_risk(articles: DataFrame, runs: DataFrame, as_of: datetime, runs_as_of: datetime, min_created: int = 20) -> DataFrame:
@@ -245,10 +255,6 @@ def policy_step(state: dict, row) -> dict:
     return now
 
 
-#: So many tasks share the checks of one outlet.
-SHARES = 16
-
-
 def sitemap_policy(runs: DataFrame, twins: DataFrame | None = None) -> DataFrame:
     """The policy of every outlet after all its sitemap checks, as policy_step folds them in order of time.
 
@@ -336,7 +342,7 @@ def recovery_plan(runs: DataFrame, as_of: datetime) -> DataFrame:
     limited = F.when(F.col("retry_after_at").isNull(), F.col("ran_at") + F.expr(f"INTERVAL '{LIMITED_HOURS}' HOUR")).otherwise(told)
     retry = F.when(F.col("category") == "rate_limited", limited).when(F.col("category") == "unresolved", F.col("ran_at") + day(1)).when(review, F.col("ran_at") + day(REVIEW_DAYS)).otherwise(F.col("ran_at") + backoff)
     out = per.withColumn("category", category).withColumn("action", action).withColumns({"review": review, "host": host_of(F.col("url")), "retry_at": retry})
-    return out.select(*keys, "failures", "status_code", "ran_at", "category", "action", "review", "host", "retry_at").withColumn("host_until", F.max("retry_at").over(Window.partitionBy("host")))
+    return _per_host(out.select(*keys, "failures", "status_code", "ran_at", "category", "action", "review", "host", "retry_at"), F.max("retry_at").alias("host_until"), "outlet_id")
 
 
 def latest_profiles(accounts: DataFrame, snapshots: DataFrame) -> DataFrame:

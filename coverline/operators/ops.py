@@ -69,13 +69,36 @@ def top_failing(rollup: DataFrame, top: int = 10) -> DataFrame:
     return per.withColumn("failure_pct", percent(F.col("failures"), F.col("attempts"))).orderBy(F.desc("failures"), F.desc("failure_pct"), "outlet_id", "method").limit(top)
 
 
-def failure_reasons(runs: DataFrame, as_of: datetime, hours: int = 24) -> DataFrame:
-    failed = runs.where(since("ran_at", as_of, hours=hours) & F.col("attempted") & ~F.col("ok"))
-    return failed.groupBy(F.concat_ws(":", "method", F.coalesce("error", F.lit("unknown"))).alias("reason")).agg(F.count("*").alias("n"))
+#: Which reasons a weekly report names first; network errors come third, switched-off sitemaps last.
+WEEKLY_FIRST = {"primary_invalid": 0, "html_returned": 1}
 
 
-def paged(rows: DataFrame, order: list[Column], page: int, size: int, updated: str) -> DataFrame:
-    """One page, each row with the number of rows and the newest update of the whole; totals are an aggregate of their own."""
+def failure_reasons(runs: DataFrame, as_of: datetime, hours: int = 24, country: str | None = None, method: str | None = None, outlets: tuple[int, ...] = (), weekly: bool = False) -> DataFrame:
+    """Failures of the window by method and error, of a country, method or some outlets only if these are given, and their place: most first, or in the weekly report's order of priority."""
+    failed = runs.where(since("ran_at", as_of, hours=hours) & F.col("attempted") & ~F.col("ok"))
+    failed = failed if country is None else failed.where(F.col("country") == country)
+    failed = failed if method is None else failed.where(F.col("method") == method)
+    failed = failed.where(F.col("outlet_id").isin(*outlets)) if outlets else failed
+    per = failed.groupBy(F.concat_ws(":", "method", F.coalesce("error", F.lit("unknown"))).alias("reason")).agg(F.count("*").alias("n"))
+    bare = F.regexp_replace("reason", "^(rss|sitemap):", "")
+    first = F.lit(None).cast("int")
+    for name, place in WEEKLY_FIRST.items():
+        first = F.when(bare == name, place).otherwise(first)
+    priority = F.coalesce(first, F.when(F.startswith(bare, F.lit("network_error")), 2).when(F.startswith(bare, F.lit("sitemap_policy_disabled")), 4).otherwise(3)) if weekly else F.lit(3)
+    order = Window.orderBy("priority", F.desc("n"), "reason")  # a row a reason
+    return per.withColumn("priority", priority).withColumn("place", F.row_number().over(order))
+
+
+def paged(rows: DataFrame, order: list[Column], page: int, size: int, updated: str, search: str | None = None, columns: tuple[str, ...] = ()) -> DataFrame:
+    """One page, each row with the number of rows and the newest update of the whole; totals are an aggregate of their own.
+
+    A search keeps the rows that hold its text, in any case, in one of the columns, and is what the totals count.
+    """
+    if search:
+        held = F.lit(False)
+        for c in columns:
+            held = held | F.contains(F.lower(F.coalesce(F.col(c).cast("string"), F.lit(""))), F.lit(search.lower()))
+        rows = rows.where(held)
     one_page = rows.orderBy(*order).offset(page * size).limit(size)
     return one_page.withColumns({"total_count": rows.agg(F.count("*")).scalar(), "last_updated": rows.agg(F.max(updated)).scalar()})
 

@@ -43,16 +43,19 @@ def h3(spark: SparkSession, d: str) -> DataFrame:
 @query("h4_failure_watchlist", f"""{BASE}, r AS (SELECT *, max(CASE WHEN ok THEN 1 ELSE 0 END) OVER (PARTITION BY outlet_id, method, url ORDER BY ran_at DESC, id DESC) AS seen_ok FROM runs WHERE attempted AND ran_at >= {RUNS_AT} - INTERVAL 30 DAY),
 p AS (SELECT outlet_id, method, url, count(*) AS attempts, count(*) FILTER (NOT ok) AS fails, count(*) FILTER (seen_ok = 0) AS streak, max(ran_at) FILTER (NOT ok) AS last_fail, max(ran_at) FILTER (ok) AS last_success, count(*) FILTER (NOT ok AND status_code IN (401, 403, 404, 410, 451)) AS permanent FROM r GROUP BY 1, 2, 3),
 e AS (SELECT outlet_id, method, url, error, count(*) AS n, max((ran_at, id)) AS newest FROM r WHERE NOT ok GROUP BY 1, 2, 3, 4), t AS (SELECT outlet_id, method, url, arg_max(error, (n, newest)) AS top_reason FROM e GROUP BY 1, 2, 3),
-q AS (SELECT p.*, top_reason, {_pct('fails', 'attempts')} AS failure_pct FROM p LEFT JOIN t ON t.outlet_id = p.outlet_id AND t.method = p.method AND t.url = p.url WHERE attempts >= 5)
+sc AS (SELECT outlet_id, method, url, status_code, count(*) AS n, max((ran_at, id)) AS newest FROM r WHERE NOT ok AND status_code IS NOT NULL GROUP BY 1, 2, 3, 4), ts AS (SELECT outlet_id, method, url, arg_max(status_code, (n, newest)) AS top_status FROM sc GROUP BY 1, 2, 3),
+q AS (SELECT p.*, top_reason, top_status, {_pct('fails', 'attempts')} AS failure_pct FROM p LEFT JOIN t ON t.outlet_id = p.outlet_id AND t.method = p.method AND t.url = p.url LEFT JOIN ts ON ts.outlet_id = p.outlet_id AND ts.method = p.method AND ts.url = p.url WHERE attempts >= 5)
 SELECT *, CASE WHEN fails >= 8 AND streak >= 3 AND (failure_pct >= 50 OR (last_success IS NULL AND {_pct('permanent', 'fails')} >= 80)) THEN 'DISABLE_CANDIDATE' WHEN failure_pct >= 45 THEN 'WATCH' ELSE 'KEEP' END AS action FROM q""")
 def h4(spark: SparkSession, d: str) -> DataFrame:
-    return health.failure_watchlist(runs(spark, d), RUNS_AS_OF, disable_fails=8, disable_streak=3, disable_rate=50, watch_rate=45)
+    spelled = F.when(F.col("id") % 2 == 1, F.concat("url", F.lit("?utm_source=x"))).otherwise(F.col("url"))  # one endpoint in two spellings
+    return health.failure_watchlist(runs(spark, d).withColumn("url", spelled), RUNS_AS_OF, disable_fails=8, disable_streak=3, disable_rate=50, watch_rate=45)
 
 
-@query("h5_feed_stability", f"""{BASE}, x AS (SELECT outlet_id, method, count(*) AS attempts, count(*) FILTER (ok) AS successes, CAST(sum(fetched_count) AS BIGINT) AS valid FROM runs WHERE attempted GROUP BY 1, 2), y AS (SELECT *, {_pct('successes', 'attempts')} AS success_pct FROM x)
-SELECT *, CASE WHEN attempts < 15 THEN 'no_data' WHEN coalesce(valid, 0) = 0 THEN 'unstable' WHEN success_pct >= 80 THEN 'stable' WHEN success_pct >= 40 THEN 'warning' ELSE 'unstable' END AS stability FROM y""")
+@query("h5_feed_stability", f"""{BASE}, x AS (SELECT outlet_id, method, count(*) AS attempts, count(*) FILTER (ok) AS successes, CAST(sum(CASE WHEN outlet_id % 6 = 1 THEN 0 ELSE fetched_count END) AS BIGINT) AS valid FROM runs WHERE attempted GROUP BY 1, 2), y AS (SELECT *, {_pct('successes', 'attempts')} AS success_pct FROM x)
+SELECT *, CASE WHEN attempts < 15 THEN 'no_data' WHEN coalesce(valid, 0) = 0 THEN 'unstable' WHEN success_pct >= 80 THEN 'stable' WHEN success_pct >= 40 THEN 'warning' ELSE 'unstable' END AS stability, method = 'rss' AND attempts >= 15 AND successes > 0 AND coalesce(valid, 0) = 0 AS zero_valid FROM y""")
 def h5(spark: SparkSession, d: str) -> DataFrame:
-    return health.feed_stability(ops.ops_rollup(runs(spark, d), "day"), 15)
+    empty = F.when(F.col("outlet_id") % 6 == 1, 0).otherwise(F.col("fetched_count"))
+    return health.feed_stability(ops.ops_rollup(runs(spark, d).withColumn("fetched_count", empty), "day"), 15)
 
 
 def _aged(r: DataFrame) -> DataFrame:
@@ -64,10 +67,10 @@ def _aged(r: DataFrame) -> DataFrame:
 n AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY source, method ORDER BY ran_at DESC, id DESC) AS k FROM g WHERE ok) WHERE k = 1),
 p AS (SELECT source, max(newest_item_published_at) AS newest_item, string_agg(method, '+' ORDER BY method) AS methods FROM n GROUP BY 1),
 q AS (SELECT *, CAST(datediff('day', newest_item, {RUNS_AT}) AS BIGINT) AS stale_days FROM p)
-SELECT *, CASE WHEN newest_item > {RUNS_AT} THEN 'FUTURE_DATED_HOLD' WHEN source IN ('src-3', 'src-20') THEN 'EXEMPT_ARCHIVE' WHEN source LIKE '%9' AND stale_days >= 7 THEN 'HIGH_VALUE_STALE_HOLD' WHEN stale_days >= 14 THEN 'AUTO_DISABLE' WHEN stale_days >= 7 THEN 'DISABLE_CANDIDATE' WHEN stale_days >= 3 THEN 'WATCH' ELSE 'KEEP' END AS action FROM q""")
+SELECT *, CASE WHEN newest_item > {RUNS_AT} THEN 'FUTURE_DATED_HOLD' WHEN source IN ('src-3', 'src-20') THEN 'EXEMPT_ARCHIVE' WHEN source LIKE '%9' AND stale_days >= 7 THEN 'HIGH_VALUE_STALE_HOLD' WHEN stale_days >= 14 THEN 'AUTO_DISABLE' WHEN stale_days >= 7 THEN 'DISABLE_CANDIDATE' WHEN stale_days >= 3 THEN 'WATCH' ELSE 'KEEP' END AS action, newest_item <= {RUNS_AT} AND source NOT IN ('src-3', 'src-20') AND source NOT LIKE '%9' AND stale_days >= 20 AS safe_disable FROM q""")
 def h6(spark: SparkSession, d: str) -> DataFrame:
     r = runs(spark, d)
-    return health.stale_watchlist(_aged(r), r.where("source in ('src-3', 'src-20')").select("source").distinct(), RUNS_AS_OF, F.col("source").endswith("9"))
+    return health.stale_watchlist(_aged(r), r.where("source in ('src-3', 'src-20')").select("source").distinct(), RUNS_AS_OF, F.col("source").endswith("9"), safe_days=20)
 
 
 PLAIN = r"regexp_replace(regexp_replace(lower({}), '^https?://(www\.)?', ''), '(\?.*)?/*$', '')"

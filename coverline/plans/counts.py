@@ -98,17 +98,19 @@ def a5m(spark: SparkSession, d: str) -> DataFrame:
     return benchmark.benchmark_range(benchmark.benchmark_days(articles(spark, d), feeds(spark, d)), "month")
 
 
-@query("a6_benchmark_wide", f"""{HOURLY}, {DAYS_CTE},
-h AS (SELECT country, sum(published) AS published_24h, sum(inserted) AS inserted_24h FROM a2 GROUP BY 1), dd AS (SELECT country, sum(published) AS published_day, sum(inserted) AS inserted_day FROM days WHERE bucket = {DSTART} GROUP BY 1),
-m AS (SELECT country, sum(published) AS published_month, sum(inserted) AS inserted_month FROM days GROUP BY 1),
-w AS (SELECT coalesce(h.country, dd.country, m.country) AS country, {', '.join(f'CAST(coalesce({c}, 0) AS BIGINT) AS {c}' for c in ('published_24h', 'inserted_24h', 'published_day', 'inserted_day', 'published_month', 'inserted_month'))}
-  FROM h FULL JOIN dd ON h.country = dd.country FULL JOIN m ON m.country = coalesce(h.country, dd.country))
+PARTS = [f"{m}_{p}" for p in ("24h", "day", "week", "month") for m in ("published", "inserted")]
+
+
+@query("a6_benchmark_wide", f"""{HOURLY}, {DAYS_CTE}, {', '.join(f"{name} AS (SELECT country, sum(published) AS published_{part}, sum(inserted) AS inserted_{part} FROM {rows} GROUP BY 1)" for name, part, rows in (('h', '24h', 'a2'), ('dd', 'day', f'days WHERE bucket = {DSTART}'), ('wk', 'week', f'days WHERE bucket > {DSTART} - INTERVAL 7 DAY AND bucket <= {DSTART}'), ('m', 'month', 'days')))},
+k AS (SELECT country FROM h UNION SELECT country FROM dd UNION SELECT country FROM wk UNION SELECT country FROM m), w AS (SELECT k.country, {', '.join(f'CAST(coalesce({c}, 0) AS BIGINT) AS {c}' for c in PARTS)} FROM k LEFT JOIN h ON h.country = k.country LEFT JOIN dd ON dd.country = k.country LEFT JOIN wk ON wk.country = k.country LEFT JOIN m ON m.country = k.country)
 SELECT w.country, c.code, w.* EXCLUDE (country) FROM w LEFT JOIN (SELECT country, min(code) AS code FROM feeds GROUP BY 1) c ON c.country = w.country
-UNION ALL SELECT '(total)', NULL, {_sums('published_24h', 'inserted_24h', 'published_day', 'inserted_day', 'published_month', 'inserted_month')} FROM w""")
+UNION ALL SELECT '(total)', NULL, {_sums(*PARTS)} FROM w""")
 def a6(spark: SparkSession, d: str) -> DataFrame:
     a, f = articles(spark, d), feeds(spark, d)
     days = benchmark.benchmark_days(a, f)
-    return benchmark.benchmark_wide(benchmark.country_benchmark_hourly(a, f, AS_OF), days.where(F.col("bucket") == F.lit("1998-06-20").cast("timestamp_ntz")), days, f)
+    day = F.lit("1998-06-20").cast("timestamp_ntz")
+    week = days.where((F.col("bucket") > day - F.expr("INTERVAL '7' DAY")) & (F.col("bucket") <= day))
+    return benchmark.benchmark_wide(benchmark.country_benchmark_hourly(a, f, AS_OF), days.where(F.col("bucket") == day), week, days, f)
 
 
 @query("a7_benchmark_parity", f"""{DAILY}, {DAYS_CTE}, s AS (SELECT country, published, inserted, fresh, late FROM a3 WHERE country <> 'NATION_3'),
@@ -152,17 +154,33 @@ def a8h(spark: SparkSession, d: str) -> DataFrame:
     return mapview.map_source_metrics(articles(spark, d), AS_OF, "1h")
 
 
-@query("a9_map_country_metrics", f"""{BASE}, {A8}, {HEALTH},
-p AS (SELECT country, source, {_sums(*NAMES)} FROM a8 GROUP BY 1, 2), q AS (SELECT p.*, health, row_number() OVER (PARTITION BY country ORDER BY pub_24h DESC, p.source) AS k FROM p LEFT JOIN health ON health.source = p.source),
-t AS (SELECT country, {_sums(*NAMES)}, count(*) FILTER (pub_24h > 0) AS active_sources, count(*) FILTER (health = 'healthy') AS healthy_sources, count(*) FILTER (health IN ('degraded', 'failing')) AS degraded_sources,
-  coalesce(string_agg(source, '|' ORDER BY k) FILTER (k <= 3 AND pub_24h > 0), '') AS top_sources FROM q GROUP BY 1),
+#: Publisher and region of a source of the view; some have neither.
+PLACED_SOURCES = "pb AS (SELECT s_name AS source, 'Group ' || (s_suppkey % 4) AS publisher FROM supplier WHERE s_suppkey % 3 > 0), pl AS (SELECT s_name AS source, CASE WHEN s_suppkey % 7 = 0 THEN 'Foreign-operated' ELSE 'Area ' || (s_suppkey % 5) END AS region FROM supplier WHERE s_suppkey % 4 > 0)"
+METHODS = """mt AS (SELECT country, source, CASE WHEN bool_or(rss_url IS NOT NULL) AND bool_or(sitemap_url IS NOT NULL) THEN 'rss+sitemap' WHEN bool_or(rss_url IS NOT NULL) THEN 'rss' WHEN bool_or(sitemap_url IS NOT NULL) THEN 'sitemap' END AS method,
+  min(CASE WHEN distribution_class = 'portal' THEN 'portal' WHEN rss_url IS NOT NULL AND sitemap_url IS NOT NULL THEN 'rss_and_sitemap' WHEN rss_url IS NOT NULL THEN 'rss_only' WHEN sitemap_url IS NOT NULL THEN 'sitemap_only' ELSE 'none' END) AS profile FROM feeds WHERE enabled GROUP BY 1, 2)"""
+COUNTED = ("active_sources", "rss_sources", "sitemap_sources", "healthy_sources", "degraded_sources", "configured_sources", "rss_only", "sitemap_only", "rss_and_sitemap", "checked_sources")
+
+
+def _publishers(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "supplier").where("s_suppkey % 3 > 0").select(F.col("s_name").alias("source"), F.concat(F.lit("Group "), (F.col("s_suppkey") % 4).cast("string")).alias("publisher"))
+
+
+def _places(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("s_suppkey")
+    return table(spark, d, "supplier").where(k % 4 > 0).select(F.col("s_name").alias("source"), F.when(k % 7 == 0, mapview.FOREIGN).otherwise(F.concat(F.lit("Area "), (k % 5).cast("string"))).alias("region"))
+
+
+@query("a9_map_country_metrics", f"""{BASE}, {A8}, {HEALTH}, {PLACED_SOURCES}, {METHODS},
+p AS (SELECT country, source, {_sums(*NAMES)} FROM a8 GROUP BY 1, 2), q AS (SELECT p.*, health, method, coalesce(publisher, p.source) AS publisher FROM p LEFT JOIN health ON health.source = p.source LEFT JOIN mt ON mt.country = p.country AND mt.source = p.source LEFT JOIN pb ON pb.source = p.source),
+t AS (SELECT country, {_sums(*NAMES)}, count(*) FILTER (pub_24h > 0) AS active_sources, count(*) FILTER (pub_24h > 0 AND contains(method, 'rss')) AS rss_sources, count(*) FILTER (pub_24h > 0 AND contains(method, 'sitemap')) AS sitemap_sources, count(*) FILTER (health = 'healthy') AS healthy_sources, count(*) FILTER (health IN ('degraded', 'failing')) AS degraded_sources FROM q GROUP BY 1),
 e AS (SELECT country, count(DISTINCT source) AS configured_sources, count(*) FILTER (rss_url IS NOT NULL AND sitemap_url IS NULL) AS rss_only, count(*) FILTER (rss_url IS NULL AND sitemap_url IS NOT NULL) AS sitemap_only, count(*) FILTER (rss_url IS NOT NULL AND sitemap_url IS NOT NULL) AS rss_and_sitemap FROM feeds WHERE enabled AND distribution_class <> 'portal' GROUP BY 1),
-c AS (SELECT country, count(DISTINCT source) AS checked_sources FROM feeds WHERE outlet_id % 2 = 0 GROUP BY 1)
-SELECT t.*, coalesce(configured_sources, 0) AS configured_sources, coalesce(rss_only, 0) AS rss_only, coalesce(sitemap_only, 0) AS sitemap_only, coalesce(rss_and_sitemap, 0) AS rss_and_sitemap, coalesce(checked_sources, 0) AS checked_sources,
-  CAST(CASE WHEN first_seen_24h > 0 THEN floor((2 * late_24h * 100 + first_seen_24h) / (2 * first_seen_24h)) ELSE 0 END AS BIGINT) AS late_share FROM t LEFT JOIN e ON e.country = t.country LEFT JOIN c ON c.country = t.country""")
+c AS (SELECT country, count(DISTINCT source) AS checked_sources FROM feeds WHERE outlet_id % 2 = 0 GROUP BY 1), u AS (SELECT t.country, {', '.join(NAMES)}, {', '.join(f'coalesce({x}, 0) AS {x}' for x in COUNTED)} FROM t LEFT JOIN e ON e.country = t.country LEFT JOIN c ON c.country = t.country),
+v AS (SELECT * FROM u UNION ALL SELECT '(total)', {_sums(*NAMES, *COUNTED)} FROM u), sr AS (SELECT country, source AS name, row_number() OVER (PARTITION BY country ORDER BY sum(pub_24h) DESC, source) AS k FROM q GROUP BY 1, 2 HAVING sum(pub_24h) > 0), pr AS (SELECT country, publisher AS name, row_number() OVER (PARTITION BY country ORDER BY sum(pub_24h) DESC, publisher) AS k FROM q GROUP BY 1, 2 HAVING sum(pub_24h) > 0),
+st AS (SELECT country, string_agg(name, '|' ORDER BY k) AS top_sources FROM sr WHERE k <= 3 GROUP BY 1), pt AS (SELECT country, string_agg(name, '|' ORDER BY k) AS top_publishers FROM pr WHERE k <= 3 GROUP BY 1)
+SELECT v.*, coalesce(top_sources, '') AS top_sources, coalesce(top_publishers, '') AS top_publishers, CAST(CASE WHEN first_seen_24h > 0 THEN floor((2 * late_24h * 100 + first_seen_24h) / (2 * first_seen_24h)) ELSE 0 END AS BIGINT) AS late_share FROM v LEFT JOIN st ON st.country = v.country LEFT JOIN pt ON pt.country = v.country""")
 def a9(spark: SparkSession, d: str) -> DataFrame:
     f = feeds(spark, d)
-    return mapview.map_country_metrics(mapview.map_source_metrics(articles(spark, d), AS_OF), _health(spark, d), f, f.where("outlet_id % 2 = 0").select("country", "source"))
+    return mapview.map_country_metrics(mapview.map_source_metrics(articles(spark, d), AS_OF), _health(spark, d), f, f.where("outlet_id % 2 = 0").select("country", "source"), _publishers(spark, d))
 
 
 PUBLISHERS = "publishers AS (SELECT s_name AS source, 'group-' || (s_suppkey % 9) AS publisher, CAST(1 + s_suppkey % 3 AS INTEGER) AS score FROM supplier)"
@@ -178,17 +196,27 @@ def a10(spark: SparkSession, d: str) -> DataFrame:
     return mapview.map_publishers(mapview.map_source_metrics(articles(spark, d), AS_OF), named)
 
 
-@query("a11_map_country_sources", f"""{BASE}, {A8}, {HEALTH}, p AS (SELECT country, source, {_sums('pub_24h', 'fresh_24h', 'late_24h', 'first_seen_24h')} FROM a8 GROUP BY 1, 2),
-r AS (SELECT *, CAST(row_number() OVER (PARTITION BY country ORDER BY pub_24h DESC, first_seen_24h DESC, source) AS INTEGER) AS rank FROM p) SELECT r.*, coalesce(health, 'unknown') AS health FROM r LEFT JOIN health ON health.source = r.source WHERE rank <= 8""")
+M24 = [f"{m}_24h" for m in mapview.METRICS]
+
+
+@query("a11_map_country_sources", f"""{BASE}, {A8}, {HEALTH}, {PLACED_SOURCES}, {METHODS}, p AS (SELECT country, source, {_sums(*M24)} FROM a8 GROUP BY 1, 2),
+q AS (SELECT p.*, coalesce(health, 'unknown') AS health, method, profile, coalesce(publisher, p.source) AS publisher, coalesce(region, 'Unmapped / National') AS region FROM p LEFT JOIN health ON health.source = p.source LEFT JOIN mt ON mt.country = p.country AND mt.source = p.source LEFT JOIN pb ON pb.source = p.source LEFT JOIN pl ON pl.source = p.source),
+gp AS (SELECT country, publisher, {_sums(*M24)}, count(*) AS n_sources FROM q GROUP BY 1, 2), gr AS (SELECT country, region, {_sums(*M24)}, count(*) AS n_sources FROM q GROUP BY 1, 2),
+r AS (SELECT country, 'source' AS kind, source AS name, {', '.join(M24)}, CAST(1 AS BIGINT) AS n_sources, row_number() OVER (PARTITION BY country ORDER BY pub_24h DESC, first_seen_24h DESC, source) AS rank, health, method, profile, publisher FROM q
+  UNION ALL SELECT country, 'publisher', publisher, {', '.join(M24)}, n_sources, row_number() OVER (PARTITION BY country ORDER BY pub_24h DESC, publisher), NULL, NULL, NULL, NULL FROM gp
+  UNION ALL SELECT country, 'region', region, {', '.join(M24)}, n_sources, row_number() OVER (PARTITION BY country ORDER BY region IN ('Unmapped / National', 'Foreign-operated'), pub_24h DESC, n_sources DESC, region), NULL, NULL, NULL, NULL FROM gr)
+SELECT * REPLACE (CAST(rank AS INTEGER) AS rank) FROM r WHERE rank <= 8""")
 def a11(spark: SparkSession, d: str) -> DataFrame:
-    return mapview.map_country_sources(mapview.map_source_metrics(articles(spark, d), AS_OF), _health(spark, d))
+    return mapview.map_country_sources(mapview.map_source_metrics(articles(spark, d), AS_OF), _health(spark, d), feeds(spark, d), _publishers(spark, d), _places(spark, d))
 
 
 @query("a12_source_detail", f"""WITH {ARTICLES}, {RUNS},
 a AS (SELECT CASE WHEN true THEN 'src-' || (CAST(right(source, 9) AS BIGINT) % 60) END AS source, count(*) FILTER (publication_datetime >= {AT} - INTERVAL 24 HOUR) AS pub_24h, count(*) FILTER (created_at >= {AT} - INTERVAL 24 HOUR) AS first_seen_24h, max(publication_datetime) AS last_publication FROM articles GROUP BY 1),
+hh AS (SELECT 'src-' || (CAST(right(source, 9) AS BIGINT) % 60) AS source, CAST(date_diff('hour', {AT} - INTERVAL 24 HOUR, publication_datetime) AS INTEGER) AS h, count(*) AS n FROM articles WHERE publication_datetime >= {AT} - INTERVAL 24 HOUR AND publication_datetime < {AT} GROUP BY 1, 2),
+sl AS (SELECT k.source, string_agg(CAST(coalesce(n, 0) AS VARCHAR), ',' ORDER BY i) AS hourly FROM (SELECT source FROM a UNION SELECT source FROM runs) k CROSS JOIN range(24) g(i) LEFT JOIN hh ON hh.source = k.source AND hh.h = i GROUP BY 1),
 r AS (SELECT source, count(*) FILTER (attempted AND ran_at >= {RUNS_AT} - INTERVAL 24 HOUR) AS attempts_24h, count(*) FILTER (attempted AND NOT ok AND ran_at >= {RUNS_AT} - INTERVAL 24 HOUR) AS failures_24h, arg_max(error, (ran_at, id)) FILTER (NOT ok) AS last_error FROM runs GROUP BY 1)
 SELECT coalesce(a.source, r.source) AS source, coalesce(pub_24h, 0) AS pub_24h, coalesce(first_seen_24h, 0) AS first_seen_24h, coalesce(attempts_24h, 0) AS attempts_24h, coalesce(failures_24h, 0) AS failures_24h, last_publication, last_error,
-  CAST(CASE WHEN attempts_24h > 0 THEN floor((2 * failures_24h * 100 + attempts_24h) / (2 * attempts_24h)) ELSE 0 END AS BIGINT) AS failure_pct FROM a FULL JOIN r ON a.source = r.source""")
+  CAST(CASE WHEN attempts_24h > 0 THEN floor((2 * failures_24h * 100 + attempts_24h) / (2 * attempts_24h)) ELSE 0 END AS BIGINT) AS failure_pct, hourly FROM a FULL JOIN r ON a.source = r.source LEFT JOIN sl ON sl.source = coalesce(a.source, r.source)""")
 def a12(spark: SparkSession, d: str) -> DataFrame:
     renamed = articles(spark, d).withColumn("source", F.concat(F.lit("src-"), (F.substring("source", -9, 9).cast("long") % 60).cast("string")))
     return mapview.source_detail(renamed, runs(spark, d), AS_OF, RUNS_AS_OF)
@@ -204,9 +232,10 @@ def a13d(spark: SparkSession, d: str) -> DataFrame:
     return mapview.daily_series(benchmark.benchmark_days(articles(spark, d), feeds(spark, d)), "country")
 
 
-@query("a14_checked_sources", f"WITH {RUNS}, {FEEDS} SELECT DISTINCT country, source FROM runs WHERE attempted AND ran_at >= {RUNS_AT} - INTERVAL 48 HOUR AND outlet_id IN (SELECT outlet_id FROM feeds WHERE enabled)")
+@query("a14_checked_sources", f"WITH {RUNS}, {FEEDS} SELECT DISTINCT country, source FROM runs WHERE attempted AND id % 5 < 2 AND ran_at >= {RUNS_AT} - INTERVAL 48 HOUR AND outlet_id IN (SELECT outlet_id FROM feeds WHERE enabled)")
 def a14(spark: SparkSession, d: str) -> DataFrame:
-    return mapview.checked_sources(runs(spark, d), RUNS_AS_OF, 48, feeds(spark, d))
+    named = runs(spark, d).withColumn("runner", F.when(F.col("id") % 5 < 2, "worker").otherwise("manual"))
+    return mapview.checked_sources(named, RUNS_AS_OF, 48, feeds(spark, d), "worker")
 
 
 RECENT = f"created_at >= {AT} - INTERVAL 31 DAY"
@@ -286,11 +315,24 @@ def a23(spark: SparkSession, d: str) -> DataFrame:
     return dashboard.configured_coverage(feeds(spark, d))
 
 
+AUDITED = "n, n_others, n_empty, n_both, n_recoverable, others_pct, empty_pct, both_pct, recoverable_pct"
+
+
+def _audit_list(name: str, level: int, size: str, least: int, by: str) -> str:
+    order = f"n_{by} DESC, {by}_pct DESC, n DESC, coalesce(country, ''), coalesce(source, '')"
+    return f"SELECT * FROM (SELECT '{name}' AS list, row_number() OVER (ORDER BY {order}) AS rank, country, source, {AUDITED} FROM s WHERE level = {level} AND {size} >= {least}) WHERE rank <= 15"
+
+
+def _pct(part: str, whole: str) -> str:
+    return f"CAST(CASE WHEN {whole} > 0 THEN floor((2 * {part} * 100 + {whole}) / (2 * ({whole}))) ELSE 0 END AS BIGINT)"
+
+
 @query("a24_taxonomy_audit", f"""WITH {ARTICLES}, x AS (SELECT country, source, primary_section = 'others' AS o, len(feed_categories) = 0 AS e FROM articles WHERE created_at >= {AT} - INTERVAL 168 HOUR),
-g AS (SELECT country, source, grouping(country, source) AS level, count(*) AS n, count(*) FILTER (o) AS n_others, count(*) FILTER (e) AS n_empty, count(*) FILTER (o AND e) AS n_both, count(*) FILTER (o AND NOT e) AS n_recoverable FROM x GROUP BY GROUPING SETS ((), (country), (country, source)))
-SELECT *, CAST(floor((2 * n_others * 100 + n) / (2 * n)) AS BIGINT) AS others_pct, CAST(floor((2 * n_empty * 100 + n) / (2 * n)) AS BIGINT) AS empty_pct FROM g WHERE n >= 5""")
+g AS (SELECT country, source, grouping(country, source) AS level, count(*) AS n, count(*) FILTER (o) AS n_others, count(*) FILTER (e) AS n_empty, count(*) FILTER (o AND e) AS n_both, count(*) FILTER (o AND NOT e) AS n_recoverable FROM x GROUP BY GROUPING SETS ((), (country), (country, source))),
+s AS (SELECT *, n - n_empty AS filled, {_pct('n_others', 'n')} AS others_pct, {_pct('n_empty', 'n')} AS empty_pct, {_pct('n_both', 'n')} AS both_pct, {_pct('n_recoverable', '(n - n_empty)')} AS recoverable_pct FROM g)
+SELECT 'total' AS list, CAST(1 AS BIGINT) AS rank, country, source, {AUDITED} FROM s WHERE level = 3 UNION ALL {_audit_list('countries', 1, 'n', 50, 'others')} UNION ALL {_audit_list('missing_signal', 0, 'n', 5, 'both')} UNION ALL {_audit_list('recoverable', 0, 'filled', 4, 'recoverable')}""")
 def a24(spark: SparkSession, d: str) -> DataFrame:
-    return dashboard.taxonomy_audit(articles(spark, d), AS_OF)
+    return dashboard.taxonomy_audit(articles(spark, d), AS_OF, least_source=5, least_recoverable=4)
 
 
 @query("a25_unmapped_categories", f"""WITH {ARTICLES}, u AS (SELECT source, unnest(feed_categories) AS category FROM articles WHERE primary_section = 'others'), p AS (SELECT category, source, count(*) AS n FROM u GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY category ORDER BY n DESC, source) AS k FROM p)
@@ -300,8 +342,11 @@ def a25(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("a26_others_audit", f"""WITH {ARTICLES}, x AS (SELECT *, CASE WHEN len(feed_categories) = 0 THEN NULL ELSE primary_topic END AS label, length(title_original) / 20.0 AS score FROM articles WHERE primary_section = 'others'),
-r AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY score DESC, external_id, title_original) AS k FROM x WHERE label IS NOT NULL)
-SELECT label AS candidate, count(*) AS n_articles, CAST(floor(avg(score) * 100 + 0.5) AS BIGINT) AS mean_score, count(DISTINCT source) AS n_sources, string_agg(title_original, '|' ORDER BY k) FILTER (k <= 2) AS sample_titles FROM r GROUP BY 1""")
+r AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY score DESC, external_id, title_original) AS k FROM x WHERE label IS NOT NULL),
+ts AS (SELECT label, source AS name, count(*) AS n, row_number() OVER (PARTITION BY label ORDER BY count(*) DESC, source) AS k FROM r GROUP BY 1, 2), tc AS (SELECT label, name, count(*) AS n, row_number() OVER (PARTITION BY label ORDER BY count(*) DESC, name) AS k FROM (SELECT label, unnest(feed_categories) AS name FROM r) GROUP BY 1, 2),
+sp AS (SELECT label, string_agg(name || ':' || n, '|' ORDER BY k) AS top_sources FROM ts WHERE k <= 3 GROUP BY 1), cp AS (SELECT label, string_agg(name || ':' || n, '|' ORDER BY k) AS top_categories FROM tc WHERE k <= 3 GROUP BY 1),
+o AS (SELECT label, count(*) AS n_articles, CAST(floor(avg(score) * 100 + 0.5) AS BIGINT) AS mean_score, count(DISTINCT source) AS n_sources, string_agg(title_original, '|' ORDER BY k) FILTER (k <= 2) AS sample_titles FROM r GROUP BY 1)
+SELECT o.label AS candidate, o.* EXCLUDE (label), top_sources, top_categories FROM o LEFT JOIN sp ON sp.label = o.label LEFT JOIN cp ON cp.label = o.label""")
 def a26(spark: SparkSession, d: str) -> DataFrame:
     other = F.struct(F.lit("others").alias("label"), F.lit(0.99).alias("score"))
     best = F.struct(F.col("primary_topic").alias("label"), (F.length("title_original") / F.lit(20.0)).alias("score"))
@@ -311,8 +356,10 @@ def a26(spark: SparkSession, d: str) -> DataFrame:
 
 @query("a27_topic_audit", f"""WITH {ARTICLES}, t AS (SELECT primary_section AS section, count(*) AS total FROM articles GROUP BY 1),
 x AS (SELECT primary_section AS section, 'topic' AS kind, coalesce(primary_topic, '(empty)') AS name, count(*) AS n FROM articles GROUP BY 1, 3
-  UNION ALL SELECT section, 'unassigned_category', c, count(*) FROM (SELECT primary_section AS section, unnest(CASE WHEN len(feed_categories) = 0 THEN ['(empty)'] ELSE feed_categories END) AS c FROM articles WHERE primary_topic IS NULL) GROUP BY 1, 3)
-SELECT x.*, CAST(floor((2 * n * 100 + total) / (2 * total)) AS BIGINT) AS pct FROM x JOIN t ON t.section = x.section""")
+  UNION ALL SELECT section, 'unassigned_category', c, count(*) FROM (SELECT primary_section AS section, unnest(CASE WHEN len(feed_categories) = 0 THEN ['(empty)'] ELSE feed_categories END) AS c FROM articles WHERE primary_topic IS NULL) GROUP BY 1, 3
+  UNION ALL SELECT primary_section, 'unassigned_source', source, count(*) FROM articles WHERE primary_topic IS NULL GROUP BY 1, 3),
+r AS (SELECT *, row_number() OVER (PARTITION BY section, kind ORDER BY n DESC, name) AS k FROM x), g AS (SELECT section, kind, CAST(CASE WHEN k > 12 THEN 13 ELSE k END AS INTEGER) AS rank, CASE WHEN k > 12 THEN '(hidden)' ELSE name END AS name, CAST(sum(n) AS BIGINT) AS n, count(*) AS n_names FROM r GROUP BY 1, 2, 3, 4)
+SELECT g.*, {_pct('n', 'total')} AS pct FROM g JOIN t ON t.section = g.section""")
 def a27(spark: SparkSession, d: str) -> DataFrame:
     return dashboard.topic_audit(articles(spark, d))
 
@@ -353,14 +400,21 @@ def a29t(spark: SparkSession, d: str) -> DataFrame:
     return ops.top_failing(ops.ops_rollup(runs(spark, d), "day"))
 
 
-@query("a30_failure_reasons", f"WITH {RUNS} SELECT method || ':' || coalesce(error, 'unknown') AS reason, count(*) AS n FROM runs WHERE attempted AND NOT ok AND ran_at >= {RUNS_AT} - INTERVAL 168 HOUR GROUP BY 1")
+REASONS = "CASE id % 7 WHEN 0 THEN 'primary_invalid' WHEN 1 THEN 'network_error: reset' WHEN 2 THEN 'sitemap_policy_disabled' WHEN 3 THEN 'html_returned' ELSE error END"
+
+
+@query("a30_failure_reasons", f"""WITH {RUNS}, f AS (SELECT method, {REASONS} AS error FROM runs WHERE attempted AND NOT ok AND method = 'sitemap' AND outlet_id IN ({', '.join(map(str, range(0, 150, 2)))}) AND ran_at >= {RUNS_AT} - INTERVAL 168 HOUR),
+p AS (SELECT method || ':' || coalesce(error, 'unknown') AS reason, count(*) AS n, CASE coalesce(error, 'unknown') WHEN 'primary_invalid' THEN 0 WHEN 'html_returned' THEN 1 WHEN 'network_error: reset' THEN 2 WHEN 'sitemap_policy_disabled' THEN 4 ELSE 3 END AS priority FROM f GROUP BY ALL)
+SELECT *, CAST(row_number() OVER (ORDER BY priority, n DESC, reason) AS INTEGER) AS place FROM p""")
 def a30(spark: SparkSession, d: str) -> DataFrame:
-    return ops.failure_reasons(runs(spark, d), RUNS_AS_OF, 168)
+    k = F.col("id") % 7
+    error = F.when(k == 0, "primary_invalid").when(k == 1, "network_error: reset").when(k == 2, "sitemap_policy_disabled").when(k == 3, "html_returned").otherwise(F.col("error"))
+    return ops.failure_reasons(runs(spark, d).withColumn("error", error), RUNS_AS_OF, 168, method="sitemap", outlets=tuple(range(0, 150, 2)), weekly=True)
 
 
-@query("a31_ops_table", f"WITH {RUNS}, o AS ({ROLLUP.format('hour')}) SELECT *, (SELECT count(*) FROM o) AS total_count, (SELECT max(bucket) FROM o) AS last_updated FROM o ORDER BY failures DESC, bucket DESC, outlet_id, method LIMIT 25 OFFSET 50")
+@query("a31_ops_table", f"WITH {RUNS}, o AS (SELECT * FROM ({ROLLUP.format('hour')}) WHERE contains(method, 'sitemap') OR contains(CAST(outlet_id AS VARCHAR), 'sitemap')) SELECT *, (SELECT count(*) FROM o) AS total_count, (SELECT max(bucket) FROM o) AS last_updated FROM o ORDER BY failures DESC, bucket DESC, outlet_id, method LIMIT 25 OFFSET 50")
 def a31(spark: SparkSession, d: str) -> DataFrame:
-    return ops.paged(ops.ops_rollup(runs(spark, d), "hour"), [F.desc("failures"), F.desc("bucket"), F.col("outlet_id"), F.col("method")], 2, 25, "bucket")
+    return ops.paged(ops.ops_rollup(runs(spark, d), "hour"), [F.desc("failures"), F.desc("bucket"), F.col("outlet_id"), F.col("method")], 2, 25, "bucket", "SiteMap", ("method", "outlet_id"))
 
 
 @query("a31_feed_lag", f"WITH {RUNS}, x AS (SELECT outlet_id, method, max(newest_item_published_at) FILTER (ok) AS last_publication, max(ran_at) AS last_fetched FROM runs GROUP BY 1, 2) SELECT *, CAST(floor((epoch({RUNS_AT}) - floor(epoch(coalesce(last_publication, last_fetched)))) / 3600) AS BIGINT) AS lag_hours FROM x")
@@ -371,22 +425,29 @@ def a31l(spark: SparkSession, d: str) -> DataFrame:
 MENTIONS = "mentions AS (SELECT external_id AS article_external_id, ['team', 'person', 'competition', 'venue'][CAST(length(title_original) % 4 + 1 AS INTEGER)] AS entity_type FROM articles WHERE length(title_original) % 3 > 0 UNION ALL SELECT external_id, 'team' FROM articles WHERE length(source || title_original) % 5 = 0)"
 
 
-@query("a32_mention_lanes", f"""WITH {ARTICLES}, {MENTIONS}, g AS (SELECT article_external_id, bool_or(entity_type = 'team') AS t, bool_or(entity_type IN ('person', 'competition')) AS o FROM mentions GROUP BY 1)
-SELECT entity_type, count(*) AS n_mentions, count(DISTINCT article_external_id) AS n_articles FROM mentions GROUP BY 1 UNION ALL SELECT '(gap)', count(*) FILTER (o AND NOT t), count(*) FILTER (o AND NOT t) FROM g""")
+@query("a32_mention_lanes", f"""WITH {ARTICLES}, {MENTIONS}, o AS (SELECT external_id, min(source) AS team FROM articles GROUP BY 1), f AS (SELECT article_external_id, bool_or(entity_type = 'team') AS has_team, bool_or(entity_type IN ('person', 'competition')) AS has_other, array_to_string(list_sort(list_distinct(list(entity_type))), '+') AS types FROM mentions GROUP BY 1),
+m AS (SELECT o.*, has_team, has_other, types FROM o LEFT JOIN f ON f.article_external_id = o.external_id)
+SELECT 'totals' AS part, CAST(NULL AS VARCHAR) AS name, count(*) AS n_articles, count(has_team) AS n_linked, CAST(floor((2 * count(has_team) * 100 + count(*)) / (2 * count(*))) AS BIGINT) AS n_mentions FROM m
+UNION ALL SELECT 'type', entity_type, count(DISTINCT article_external_id), count(DISTINCT article_external_id), count(*) FROM mentions GROUP BY 2
+UNION ALL SELECT * FROM (SELECT 'team', team, count(*), count(has_team), count(*) FILTER (has_team) FROM m GROUP BY team ORDER BY count(*) DESC, team LIMIT 25)
+UNION ALL SELECT 'gap', types, count(*), count(*), 0 FROM m WHERE has_other AND NOT has_team GROUP BY types""")
 def a32(spark: SparkSession, d: str) -> DataFrame:
     a = articles(spark, d)
     n = F.length("title_original")
     first = a.where(n % 3 > 0).select(F.col("external_id").alias("article_external_id"), F.element_at(F.array(*map(F.lit, ("team", "person", "competition", "venue"))), (n % 4 + 1).cast("int")).alias("entity_type"))
     teams = a.where(F.length(F.concat("source", "title_original")) % 5 == 0).select("external_id", F.lit("team"))
-    return dashboard.mention_lanes(a, first.union(teams))
+    return dashboard.mention_lanes(a.select("external_id", F.col("source").alias("team")), first.union(teams))
 
 
-@query("a33_tool_usage", f"""WITH {RUNS}, c AS (SELECT CAST(ran_at AS DATE) AS day, method AS tool, CASE WHEN outlet_id % 2 = 0 THEN 'inspection' ELSE 'unclassified' END AS traffic, CASE WHEN ok THEN 'success' ELSE 'error' END AS outcome, response_ms AS duration_ms FROM runs)
+@query("a33_tool_usage", f"""WITH {RUNS}, c AS (SELECT CAST(ran_at AS DATE) AS day, method AS tool, CASE WHEN outlet_id % 2 = 0 THEN 'inspection' ELSE 'unclassified' END AS traffic, CASE WHEN ok THEN 'success' ELSE 'error' END AS outcome, response_ms AS duration_ms FROM runs UNION ALL SELECT CAST(ran_at AS DATE), CASE WHEN id % 8 = 0 THEN 'rss' ELSE 'inspect' END, 'inspection', CASE WHEN ok THEN 'success' ELSE 'refused' END, response_ms * 3 FROM runs WHERE id % 4 = 0)
 SELECT day, tool, traffic, count(*) AS calls, count(*) FILTER (outcome = 'success') AS successes, count(*) FILTER (outcome = 'error') AS errors, CAST(sum(duration_ms) AS BIGINT) AS sum_ms, max(duration_ms) AS max_ms, count(*) FILTER (duration_ms < 100) AS under_100, count(*) FILTER (duration_ms >= 100 AND duration_ms < 500) AS under_500,
-  count(*) FILTER (duration_ms >= 500 AND duration_ms < 2000) AS under_2000, count(*) FILTER (duration_ms >= 2000) AS from_2000, CAST(floor((2 * count(*) FILTER (outcome = 'error') * 100 + count(*)) / (2 * count(*))) AS BIGINT) AS error_pct FROM c GROUP BY 1, 2, 3""")
+  count(*) FILTER (duration_ms >= 500 AND duration_ms < 2000) AS under_2000, count(*) FILTER (duration_ms >= 2000) AS from_2000, CAST(floor((2 * count(*) FILTER (outcome = 'error') * 100 + count(*)) / (2 * count(*))) AS BIGINT) AS error_pct, CAST(floor((2 * sum(duration_ms) + count(duration_ms)) / (2 * count(duration_ms))) AS BIGINT) AS mean_ms FROM c GROUP BY 1, 2, 3""")
 def a33(spark: SparkSession, d: str) -> DataFrame:
     r = runs(spark, d)
-    return dashboard.tool_usage(r.select(F.to_date("ran_at").alias("day"), F.col("method").alias("tool"), F.when(F.col("outlet_id") % 2 == 0, "inspection").otherwise("unclassified").alias("traffic"), F.when(F.col("ok"), "success").otherwise("error").alias("outcome"), F.col("response_ms").alias("duration_ms")))
+    success = lambda other: F.when(F.col("ok"), "success").otherwise(other).alias("outcome")
+    one = r.select(F.to_date("ran_at").alias("day"), F.col("method").alias("tool"), F.when(F.col("outlet_id") % 2 == 0, "inspection").otherwise("unclassified").alias("traffic"), success("error"), F.col("response_ms").alias("duration_ms"))
+    two = r.where("id % 4 = 0").select(F.to_date("ran_at").alias("day"), F.when(F.col("id") % 8 == 0, "rss").otherwise("inspect").alias("tool"), F.lit("inspection").alias("traffic"), success("refused"), (F.col("response_ms") * 3).alias("duration_ms"))
+    return dashboard.tool_usage(one, two)
 
 
 @query("a34_endpoint_health", f"""WITH {RUNS}, l AS (SELECT *, row_number() OVER (PARTITION BY outlet_id, method ORDER BY ran_at DESC, id DESC) AS k FROM runs)

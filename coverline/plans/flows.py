@@ -109,21 +109,27 @@ def _events_stream(spark: SparkSession, d: str) -> DataFrame:
     return e.select(F.col("event_id").alias("id"), F.col("ts").cast("timestamp").alias("ran_at"), F.col("user_id").alias("outlet_id"), F.concat(F.lit("src-"), (F.col("user_id") % 50).cast("string")).alias("source"), F.when(F.col("event_id") % 3 == 0, "sitemap").otherwise("rss").alias("method"), (F.col("event_type") != "signup").alias("attempted"), ok.alias("ok"), F.get_json_object("props", "$.k").cast("int").alias("fetched_count"), F.when(ok | (F.col("event_id") % 10 != 7), status).alias("status_code"), F.when(~ok & (F.col("event_id") % 10 == 7), "timed out").alias("error"))
 
 
-@query("st1_stream_ops_rollup", f"WITH {RUNS} SELECT CAST(date_trunc('hour', ran_at) AS TIMESTAMP) AS bucket, outlet_id, method, count(*) AS attempts, count(*) FILTER (ok) AS successes, count(*) FILTER (NOT ok) AS failures, CAST(sum(fetched_count) AS BIGINT) AS fetched FROM runs WHERE attempted GROUP BY 1, 2, 3")
+@query("st1_stream_ops_rollup", f"WITH {RUNS} SELECT CAST(date_trunc('hour', ran_at) AS TIMESTAMP) AS bucket, CASE WHEN id % 5 < 2 THEN 'worker' ELSE 'manual' END AS runner, outlet_id, method, count(*) AS attempts, count(*) FILTER (ok) AS successes, count(*) FILTER (NOT ok) AS failures, CAST(sum(fetched_count) AS BIGINT) AS fetched FROM runs WHERE attempted GROUP BY 1, 2, 3, 4")
 def st1(spark: SparkSession, d: str) -> DataFrame:
-    out = jobs.drained(spark, _events_stream(spark, d), lambda s: jobs.rollup(s, late="1 hour"), "update", _shared(spark))
-    return jobs.last_of(out, ["bucket", "outlet_id", "method"]).withColumn("bucket", F.col("bucket").cast("timestamp_ntz"))
+    runner = F.when(F.col("id") % 5 < 2, "worker").otherwise("manual")
+    out = jobs.drained(spark, _events_stream(spark, d).withColumn("runner", runner), lambda s: jobs.rollup(s, late="1 hour"), "update", _shared(spark))
+    return jobs.last_of(out, ["bucket", "runner", "outlet_id", "method"]).withColumn("bucket", F.col("bucket").cast("timestamp_ntz"))
 
 
 ITEMS = "i AS (SELECT id, outlet_id, method, CASE WHEN id % 9 > 0 THEN ran_at END AS published_at FROM runs), w AS (SELECT outlet_id, method, max(ran_at) AS last_publication_at FROM runs WHERE ran_at < TIMESTAMP '2024-01-20' AND outlet_id % 4 > 0 GROUP BY 1, 2)"
 
 
-@query("st2_new_items", f"WITH {RUNS}, {ITEMS} SELECT i.* FROM i LEFT JOIN w ON w.outlet_id = i.outlet_id AND w.method = i.method WHERE published_at IS NULL OR published_at > greatest(coalesce(last_publication_at, TIMESTAMP '1900-01-01'), TIMESTAMP '2024-01-17')")
+#: Feeds are read as usual, sitemaps in a backfill that looks past their watermarks.
+PASSES = """((i.method = 'rss' AND (published_at IS NULL OR published_at > greatest(coalesce(last_publication_at, TIMESTAMP '1900-01-01'), TIMESTAMP '2024-01-17'))) OR (i.method = 'sitemap' AND published_at >= TIMESTAMP '2024-01-10' AND published_at < TIMESTAMP '2024-01-20'))"""
+BACKFILL = (datetime(2024, 1, 10), datetime(2024, 1, 20))
+
+
+@query("st2_new_items", f"WITH {RUNS}, {ITEMS} SELECT i.* FROM i LEFT JOIN w ON w.outlet_id = i.outlet_id AND w.method = i.method WHERE {PASSES}")
 def st2(spark: SparkSession, d: str) -> DataFrame:
     return _new(spark, d)[0]
 
 
-@query("st2_watermarks", f"WITH {RUNS}, {ITEMS}, k AS (SELECT i.* FROM i LEFT JOIN w ON w.outlet_id = i.outlet_id AND w.method = i.method WHERE published_at IS NULL OR published_at > greatest(coalesce(last_publication_at, TIMESTAMP '1900-01-01'), TIMESTAMP '2024-01-17')), s AS (SELECT outlet_id, method, max(published_at) AS seen FROM k GROUP BY 1, 2) SELECT coalesce(w.outlet_id, s.outlet_id) AS outlet_id, coalesce(w.method, s.method) AS method, greatest(last_publication_at, seen) AS last_publication_at FROM w FULL JOIN s ON w.outlet_id = s.outlet_id AND w.method = s.method")
+@query("st2_watermarks", f"WITH {RUNS}, {ITEMS}, k AS (SELECT i.* FROM i LEFT JOIN w ON w.outlet_id = i.outlet_id AND w.method = i.method WHERE {PASSES}), s AS (SELECT outlet_id, method, max(published_at) AS seen FROM k GROUP BY 1, 2) SELECT coalesce(w.outlet_id, s.outlet_id) AS outlet_id, coalesce(w.method, s.method) AS method, greatest(last_publication_at, seen) AS last_publication_at FROM w FULL JOIN s ON w.outlet_id = s.outlet_id AND w.method = s.method")
 def st2w(spark: SparkSession, d: str) -> DataFrame:
     return _new(spark, d)[1]
 
@@ -132,7 +138,9 @@ def _new(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     r = runs(spark, d)
     items = r.select("id", "outlet_id", "method", F.when(F.col("id") % 9 > 0, F.col("ran_at")).alias("published_at"))
     marks = r.where((F.col("ran_at") < F.lit("2024-01-20").cast("timestamp_ntz")) & (F.col("outlet_id") % 4 > 0)).groupBy("outlet_id", "method").agg(F.max("ran_at").alias("last_publication_at"))
-    return jobs.new_items(items, marks, datetime(2024, 1, 31))
+    feeds = jobs.new_items(items.where("method = 'rss'"), marks.where("method = 'rss'"), datetime(2024, 1, 31))
+    maps = jobs.new_items(items.where("method = 'sitemap'"), marks.where("method = 'sitemap'"), datetime(2024, 1, 31), backfill=BACKFILL, ignore_watermark=True)
+    return feeds[0].unionByName(maps[0]), feeds[1].unionByName(maps[1])
 
 
 @query("st2_stream_items", SQL["st2_new_items"])
@@ -141,7 +149,9 @@ def st2s(spark: SparkSession, d: str) -> DataFrame:
     stream = _events_stream(spark, d).withColumn("ran_at", F.col("ran_at").cast("timestamp_ntz"))
     marks = runs(spark, d).where((F.col("ran_at") < F.lit("2024-01-20").cast("timestamp_ntz")) & (F.col("outlet_id") % 4 > 0)).groupBy("outlet_id", "method").agg(F.max("ran_at").alias("last_publication_at"))
     items = stream.select("id", "outlet_id", "method", F.when(F.col("id") % 9 > 0, F.col("ran_at")).alias("published_at")).join(marks, ["outlet_id", "method"], "left")
-    return jobs.drained(spark, items, lambda s: jobs.new_items_stream(s, datetime(2024, 1, 31)), "append", _shared(spark)).drop("batch")
+    feeds = jobs.drained(spark, items.where("method = 'rss'"), lambda s: jobs.new_items_stream(s, datetime(2024, 1, 31)), "append", _shared(spark))
+    maps = jobs.drained(spark, items.where("method = 'sitemap'"), lambda s: jobs.new_items_stream(s, datetime(2024, 1, 31), backfill=BACKFILL, ignore_watermark=True), "append", _shared(spark))
+    return feeds.unionByName(maps).drop("batch")
 
 
 @query("st3_stream_dedupe", "SELECT DISTINCT user_id % 50 || '-' || event_id % 400 AS external_id FROM events")
@@ -156,7 +166,7 @@ def st4(spark: SparkSession, d: str) -> DataFrame:
     return jobs.last_of(jobs.drained(spark, stream, policy.policy_stream, "update", _shared(spark)), ["outlet_id"]).drop("blocked")
 
 
-@query("st5_stream_backoff", f"""WITH {RUNS}, x AS (SELECT *, time_bucket(INTERVAL 30 MINUTE, ran_at) AS b FROM runs WHERE attempted), s AS (SELECT *, b AS since FROM x UNION ALL SELECT *, b - INTERVAL 30 MINUTE FROM x)
+@query("st5_stream_backoff", f"""WITH {RUNS}, x AS (SELECT *, time_bucket(INTERVAL 5 MINUTE, ran_at) AS b FROM runs WHERE attempted), s AS (SELECT x.*, b - INTERVAL (k * 5) MINUTE AS since FROM x, range(12) AS g(k))
 SELECT since, source, method, count(*) AS attempts, count(*) FILTER (NOT ok) AS failures FROM s GROUP BY 1, 2, 3 HAVING count(*) >= 3 AND count(*) FILTER (NOT ok) * 100 >= 60 * count(*)""")
 def st5(spark: SparkSession, d: str) -> DataFrame:
     out = jobs.drained(spark, _events_stream(spark, d), lambda s: jobs.backoff(s, late="1 hour"), "update", _shared(spark))

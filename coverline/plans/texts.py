@@ -543,10 +543,16 @@ def a35l(spark: SparkSession, d: str) -> DataFrame:
     return _lift(spark, d)
 
 
-@query("a36_variant_audit", f"""{BASE}, l AS (SELECT country, source, 'https://h' || (length(source || country) % 3) || '/' || title_original AS url, right(source, 1) IN ('3', '7') AS v FROM articles), p AS (SELECT DISTINCT country, url FROM l WHERE NOT v), a AS (SELECT DISTINCT source AS feed, country, url FROM l WHERE v),
-c AS (SELECT feed, count(*) AS n_links, count(*) FILTER (NOT EXISTS (SELECT 1 FROM p WHERE p.country = a.country AND p.url = a.url)) AS n_unique FROM a GROUP BY 1) SELECT *, CASE WHEN n_unique = 0 THEN 'drop' WHEN n_unique * 2 < n_links THEN 'review' ELSE 'keep' END AS recommendation FROM c""")
+KIND_LINK = "'https://h' || (length(source || country) % 3) || '/' || CASE length(title_original) % 4 WHEN 0 THEN 'video/' WHEN 1 THEN 'a/fotos-' ELSE '' END || CASE WHEN length(title_original) % 4 = 2 THEN replace(title_original, ' ', '-') ELSE replace(title_original, ' ', '/') END"
+WORDED = "regexp_matches(lower(url), '(^|[^a-z])({0})([^a-z]|$)')"
+
+
+@query("a36_variant_audit", f"""{BASE}, l AS (SELECT country, source, {KIND_LINK} AS url, right(source, 1) IN ('3', '7') AS v FROM articles), p AS (SELECT DISTINCT country, url FROM l WHERE NOT v), a AS (SELECT DISTINCT source AS feed, country, url FROM l WHERE v),
+k AS (SELECT *, NOT EXISTS (SELECT 1 FROM p WHERE p.country = a.country AND p.url = a.url) AS u, CASE WHEN {WORDED.format('video|videos|videogallery|videoarticle')} THEN 'video' WHEN {WORDED.format('photo|photos|foto|fotos|photogallery|gallery')} THEN 'photo' WHEN regexp_matches(regexp_extract(lower(url), '^[a-z]+://[^/?#]*([^?#]*)', 1), '[a-z]+-[a-z]+|[0-9]{{4,}}') THEN 'article' ELSE 'other' END AS kind FROM a),
+c AS (SELECT feed, count(*) AS n_links, count(*) FILTER (u) AS n_unique, {', '.join(f"count(*) FILTER (u AND kind = '{x}') AS n_{x}" for x in ('article', 'photo', 'video', 'other'))} FROM k GROUP BY 1) SELECT *, CASE WHEN n_unique = 0 THEN 'drop' WHEN n_unique * 2 < n_links THEN 'review' ELSE 'keep' END AS recommendation FROM c""")
 def a36(spark: SparkSession, d: str) -> DataFrame:
-    url = F.concat(F.lit("https://h"), (F.length(F.concat("source", "country")) % 3).cast("string"), F.lit("/"), "title_original")
+    n = F.length("title_original") % 4
+    url = F.concat(F.lit("https://h"), (F.length(F.concat("source", "country")) % 3).cast("string"), F.lit("/"), F.when(n == 0, "video/").when(n == 1, "a/fotos-").otherwise(""), F.when(n == 2, F.regexp_replace("title_original", " ", "-")).otherwise(F.regexp_replace("title_original", " ", "/")))
     links = articles(spark, d).select(F.col("source").alias("feed"), "country", url.alias("url"))
     return compare.variant_audit(links, F.right("feed", F.lit(1)).isin("3", "7"))
 

@@ -7,12 +7,12 @@ from collections.abc import Callable, Iterator
 from datetime import datetime
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import IntegerType, StructField, StructType
 
-from coverline.functions.columns import at
+from coverline.functions.columns import at, within
 
 
 #: State that is larger than memory, and processors with several states, need this store.
@@ -21,19 +21,28 @@ ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvi
 
 
 def rollup(runs: DataFrame, unit: str = "1 hour", late: str | None = None) -> DataFrame:
-    """Additive counters of checks per (bucket, outlet, method); for a stream ``late`` says how long a bucket stays open."""
+    """Additive counters of checks per (bucket, runner, outlet, method); for a stream ``late`` says how long a bucket stays open."""
     rows = runs.where("attempted")
     rows = rows if late is None else rows.withWatermark("ran_at", late)
-    found = rows.groupBy(F.window("ran_at", unit), "outlet_id", "method").agg(F.count("*").alias("attempts"), F.count_if("ok").alias("successes"), F.count_if(~F.col("ok")).alias("failures"), F.sum("fetched_count").alias("fetched"))
-    return found.select(F.col("window.start").alias("bucket"), "outlet_id", "method", "attempts", "successes", "failures", "fetched")
+    found = rows.groupBy(F.window("ran_at", unit), "runner", "outlet_id", "method").agg(F.count("*").alias("attempts"), F.count_if("ok").alias("successes"), F.count_if(~F.col("ok")).alias("failures"), F.sum("fetched_count").alias("fetched"))
+    return found.select(F.col("window.start").alias("bucket"), "runner", "outlet_id", "method", "attempts", "successes", "failures", "fetched")
 
 
-def new_items(items: DataFrame, watermarks: DataFrame, as_of: datetime, max_age_days: int = 14) -> tuple[DataFrame, DataFrame]:
-    """Items newer than their feed's watermark or the age limit, whichever is later (undated ones pass), and the watermarks after them."""
+def _kept(published: Column, mark: Column, as_of: datetime, max_age_days: int, backfill: tuple[datetime, datetime] | None, ignore_watermark: bool) -> Column:
+    """Whether an item passes: newer than the watermark and the age limit, or undated; in a backfill dated inside its window."""
+    newer = published.isNull() | (published > F.greatest(mark, at(as_of) - F.expr(f"INTERVAL '{max_age_days}' DAY")))
+    passes = F.lit(True) if ignore_watermark else newer
+    return passes if backfill is None else passes & F.coalesce(within(published, *backfill), F.lit(False))
+
+
+def new_items(items: DataFrame, watermarks: DataFrame, as_of: datetime, max_age_days: int = 14, backfill: tuple[datetime, datetime] | None = None, ignore_watermark: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Items newer than their feed's watermark or the age limit, whichever is later (undated ones pass), and the watermarks after them.
+
+    A ``backfill`` (from, to) keeps only items dated in it; with ``ignore_watermark`` old ones too. Watermarks never go back.
+    """
     keys = ["outlet_id", "method"]
-    oldest = at(as_of) - F.expr(f"INTERVAL '{max_age_days}' DAY")
     known = items.join(watermarks, keys, "left")
-    kept = known.where(F.col("published_at").isNull() | (F.col("published_at") > F.greatest("last_publication_at", oldest))).select(*items.columns)
+    kept = known.where(_kept(F.col("published_at"), F.col("last_publication_at"), as_of, max_age_days, backfill, ignore_watermark)).select(*items.columns)
     seen = kept.groupBy(*keys).agg(F.max("published_at").alias("seen"))
     after = watermarks.join(seen, keys, "full").select(*keys, F.greatest("last_publication_at", "seen").alias("last_publication_at"))
     return kept, after
@@ -46,7 +55,7 @@ def dedupe(items: DataFrame, late: str | None = None) -> DataFrame:
     return items.dropDuplicates(["external_id"])
 
 
-def new_items_stream(items: DataFrame, as_of: datetime, max_age_days: int = 14) -> DataFrame:
+def new_items_stream(items: DataFrame, as_of: datetime, max_age_days: int = 14, backfill: tuple[datetime, datetime] | None = None, ignore_watermark: bool = False) -> DataFrame:
     """``new_items`` over a stream of (id, outlet_id, method, published_at, last_publication_at): a feed's watermark is keyed state.
 
     A feed's first batch starts from the watermark that its rows bring (``last_publication_at``, null for none). Items of a
@@ -61,7 +70,9 @@ def new_items_stream(items: DataFrame, as_of: datetime, max_age_days: int = 14)
             if first and mark is None and rows["last_publication_at"].notna().any():
                 mark = after = rows["last_publication_at"].max()
             cut = oldest if mark is None else max(mark, oldest)
-            kept = rows[rows["published_at"].isna() | (rows["published_at"] > cut)]
+            kept = rows if ignore_watermark else rows[rows["published_at"].isna() | (rows["published_at"] > cut)]
+            if backfill is not None:
+                kept = kept[(kept["published_at"] >= pd.Timestamp(backfill[0])) & (kept["published_at"] < pd.Timestamp(backfill[1]))]
             newest = kept["published_at"].max()
             after = after if pd.isna(newest) else newest if after is None else max(after, newest)
             yield kept[["id", "outlet_id", "method", "published_at"]]
@@ -72,10 +83,10 @@ def new_items_stream(items: DataFrame, as_of: datetime, max_age_days: int = 14)
 
 
 def backoff(runs: DataFrame, late: str | None = None, min_attempts: int = 3, min_fail_pct: int = 60) -> DataFrame:
-    """Feeds that nearly always fail within a sliding hour."""
+    """Feeds that nearly always fail within an hour that slides by five minutes."""
     rows = runs.where("attempted")
     rows = rows if late is None else rows.withWatermark("ran_at", late)
-    found = rows.groupBy(F.window("ran_at", "60 minutes", "30 minutes"), "source", "method").agg(F.count("*").alias("attempts"), F.count_if(~F.col("ok")).alias("failures"))
+    found = rows.groupBy(F.window("ran_at", "60 minutes", "5 minutes"), "source", "method").agg(F.count("*").alias("attempts"), F.count_if(~F.col("ok")).alias("failures"))
     return found.where((F.col("attempts") >= min_attempts) & (F.col("failures") * 100 >= min_fail_pct * F.col("attempts"))).select(F.col("window.start").alias("since"), "source", "method", "attempts", "failures")
 
 

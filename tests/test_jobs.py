@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 import random
-from datetime import datetime, timedelta
+from datetime import date, datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
@@ -66,7 +66,9 @@ def test_indexes_of_sitemaps_are_left_out(spark):
 def test_local_days_follow_summer_time(spark):
     rows = [(str(k), "e", t, "working_nonempty", "urlset", [BASE + str(k)], [S1]) for k, t in enumerate([datetime(2024, 3, 30, 22, 30), datetime(2024, 3, 30, 23, 30), datetime(2024, 3, 31, 21, 30), datetime(2024, 3, 31, 22, 30)])]
     c = collections(spark, rows)
-    days = {str(r.day): (r.new, r.state) for r in activity.activity_periods(activity.new_candidates(c, "source"), c, "source_id", "Europe/Berlin").collect()}
+    bindings = spark.createDataFrame([("s1", "e", datetime(2024, 1, 1), None)], "source_id string, endpoint_id string, since timestamp_ntz, until timestamp_ntz").withColumn("source_id", F.lit(S1[0]))
+    periods = activity.activity_periods(activity.new_candidates(c, "source"), c, bindings, "source_id", "Europe/Berlin", date(2024, 3, 30), date(2024, 4, 1), datetime(2024, 1, 1))
+    days = {str(r.day): (r.new, r.state) for r in periods.collect()}
     assert days == {"2024-03-30": (0, "complete"), "2024-03-31": (2, "complete"), "2024-04-01": (1, "complete")}
 
 
@@ -174,9 +176,9 @@ def test_rules_from_files(spark, tmp_path):
 
 
 def test_greedy_lift_counts_what_earlier_candidates_lack(spark):
-    items = [("n", c, link) for c, links in (("a", "123"), ("b", "3456"), ("c", "12"), ("d", "9")) for link in links]
-    got = sorted((r.place or 0, r.candidate, r.lift, r.n_links, r.overlap) for r in compare.candidate_lift(spark.createDataFrame(items, "network string, candidate string, link string"), spark.createDataFrame([("9",)], "link string")).collect())
-    assert got == [(0, "d", 0, 1, 1), (1, "b", 4, 4, 0), (2, "a", 2, 3, 0), (3, "c", 0, 2, 0)]
+    items = [("n", c, link, link) for c, links in (("a", "123"), ("b", "3456"), ("c", "12"), ("d", "9")) for link in links]
+    got = sorted((r.place, r.candidate, r.lift, r.penalty, r.n_links, r.overlap) for r in compare.candidate_lift(spark.createDataFrame(items, "network string, candidate string, title string, link string"), spark.createDataFrame([("9", "9")], "title string, link string")).collect())
+    assert got == [(1, "b", 4, 0, 4, 0), (2, "a", 2, 1, 3, 0), (3, "c", 0, 2, 2, 0), (4, "d", 0, 0, 1, 1)]
 
 
 def test_rows_behind_the_watermark_are_dropped_and_counted(spark, tmp_path):
@@ -190,8 +192,8 @@ def test_rows_behind_the_watermark_are_dropped_and_counted(spark, tmp_path):
 
 
 def test_streams_equal_their_batches(spark, small):
-    r = runs(spark, small).withColumn("ran_at", F.col("ran_at").cast("timestamp"))
-    keys = ["bucket", "outlet_id", "method", "attempts", "failures"]
+    r = runs(spark, small).withColumns({"ran_at": F.col("ran_at").cast("timestamp"), "runner": F.when(F.col("id") % 5 < 2, "worker").otherwise("manual")})
+    keys = ["bucket", "runner", "outlet_id", "method", "attempts", "failures"]
     batch = jobs.rollup(r).withColumn("bucket", F.col("bucket").cast("timestamp_ntz")).select(*keys)
     stream = flows.st1(spark, small).select(*keys)
     assert batch.count() > 0 and batch.exceptAll(stream).count() == stream.exceptAll(batch).count() == 0
