@@ -59,10 +59,15 @@ def n4(spark: SparkSession, d: str) -> DataFrame:
     return pages(spark, d).select("page_id", urls.article_id(F.col("url")).alias("article_id"))
 
 
-@query("n5_clean_text", r"SELECT doc_id, substr(trim(regexp_replace(text, '[ \t\n\x0B\f\r]+', ' ', 'g')), 1, 300) AS clean FROM documents")
+PLAIN_TEXT = r"trim(regexp_replace(text, '[ \t\n\x0B\f\r]+', ' ', 'g'))"
+
+
+@query("n5_clean_text", f"SELECT doc_id, substr({PLAIN_TEXT}, 1, 300) AS clean, length({PLAIN_TEXT}) AS n_chars, sha256({PLAIN_TEXT}) AS whole_sha256 FROM documents")
 def n5(spark: SparkSession, d: str) -> DataFrame:
+    """Cut, and whole."""
     escaped = F.replace(F.replace(F.replace(F.col("text"), F.lit("&"), F.lit("&amp;amp;amp;")), F.lit("<"), F.lit("&lt;")), F.lit("é"), F.lit("&#233;"))
-    return table(spark, d, "documents").select("doc_id", titles.clean_text(escaped, 300).alias("clean"))
+    rows = table(spark, d, "documents").select("doc_id", titles.clean_text(escaped, 300).alias("clean"), titles.clean_text(escaped, 1 << 30).alias("whole"))
+    return rows.select("doc_id", "clean", F.char_length("whole").cast("long").alias("n_chars"), F.sha2("whole", 256).alias("whole_sha256"))
 
 
 @query("n6_display_source", "SELECT s_suppkey, CASE s_suppkey % 3 WHEN 0 THEN s_name ELSE s_name || CASE WHEN s_suppkey % 3 = 1 THEN '' ELSE ' - World' END END AS display, lower(CASE s_suppkey % 3 WHEN 0 THEN s_name ELSE s_name || CASE WHEN s_suppkey % 3 = 1 THEN '' ELSE ' - World' END END) AS source_key FROM supplier")
@@ -77,10 +82,18 @@ def n7(spark: SparkSession, d: str) -> DataFrame:
     return articles(spark, d).select("url").distinct().select("url", urls.title_from_link(F.concat("url", F.lit(".html?id=3"))).alias("title"))
 
 
-@query("n8_assess_title", """SELECT page_id, CASE page_id % 5 WHEN 0 THEN 'suspect' WHEN 1 THEN 'suspect' ELSE 'ok' END AS quality, CASE page_id % 5 WHEN 0 THEN 'missing_title' WHEN 1 THEN 'low_signal_title' ELSE 'feed_title_ok' END AS reason, CASE page_id % 5 WHEN 0 THEN 'pending' WHEN 1 THEN 'pending' ELSE 'not_needed' END AS repair_status, CASE WHEN page_id % 5 < 2 THEN '' ELSE 'A story about number ' || page_id END AS readable FROM pages""")
+#: A page's own title and heading; their entities are those of the ampersand.
+def _between(tag: str) -> str:
+    return rf"trim(regexp_replace(replace(regexp_extract(html, '<{tag}[^>]*>(.*?)</', 1, 's'), '&amp;', '&'), '[ \t\n\x0B\f\r]+', ' ', 'g'))"
+
+
+@query("n8_assess_title", f"""WITH t AS (SELECT page_id, {_between('title')} AS title FROM pages) SELECT page_id, CASE WHEN page_id % 5 < 2 OR title = '' THEN 'suspect' ELSE 'ok' END AS quality, CASE WHEN page_id % 5 = 1 THEN 'low_signal_title' WHEN page_id % 5 = 0 OR title = '' THEN 'missing_title' ELSE 'feed_title_ok' END AS reason,
+CASE WHEN page_id % 5 < 2 OR title = '' THEN 'pending' ELSE 'not_needed' END AS repair_status, CASE WHEN page_id % 5 < 2 THEN '' ELSE title END AS readable FROM t""")
 def n8(spark: SparkSession, d: str) -> DataFrame:
+    """The pages' own titles, some of them missing or file names."""
     k = F.col("page_id") % 5
-    title = F.when(k == 0, "  ").when(k == 1, F.concat(F.lit("story2024010"), (F.col("page_id") % 10).cast("string"), F.lit(".html"))).otherwise(F.concat(F.lit(" A  story about\nnumber "), F.col("page_id").cast("string")))
+    own = F.regexp_extract("html", r"(?s)<title[^>]*>(.*?)</", 1)
+    title = F.when(k == 0, "  ").when(k == 1, F.concat(F.lit("story2024010"), (F.col("page_id") % 10).cast("string"), F.lit(".html"))).otherwise(F.concat(F.lit(" \n"), own, F.lit("  ")))
     return pages(spark, d).select("page_id", titles.assess_title(title, F.col("url")).alias("t")).select("page_id", "t.quality", "t.reason", "t.repair_status", "t.readable")
 
 
@@ -233,11 +246,13 @@ def p7(spark: SparkSession, d: str) -> DataFrame:
     return runs(spark, d).select("id", t.cast("timestamp_ntz").alias("moment"), dates.parse_loose_date(shown).cast("timestamp_ntz").alias("parsed"))
 
 
-@query("p8_infer_date", "SELECT page_id, CASE WHEN page_id % 3 = 0 THEN TIMESTAMP '2024-01-01' + INTERVAL (page_id % 28) DAY END AS from_link, TIMESTAMP '1998-07-01' - INTERVAL (page_id % 50) HOUR AS from_age FROM pages")
+@query("p8_infer_date", "SELECT page_id, CASE WHEN page_id % 3 = 0 THEN TIMESTAMP '2024-01-01' + INTERVAL (length(html) % 28) DAY END AS from_link, TIMESTAMP '1998-07-01' - INTERVAL (length(html) % 50) HOUR AS from_age FROM pages")
 def p8(spark: SparkSession, d: str) -> DataFrame:
-    k = F.col("page_id")
-    link = F.when(k % 3 == 0, F.concat(F.lit("https://a.example.com/2024/01/"), F.lpad((1 + k % 28).cast("string"), 2, "0"), F.lit("/story-99"))).otherwise(F.col("url"))
-    return pages(spark, d).select("page_id", urls.date_in_link(link).alias("from_link"), dates.relative_age(F.concat(F.lit("Posted "), (k % 50).cast("string"), F.lit(" hours ago")), AS_OF).alias("from_age"))
+    """Links of the pages, a third with a date after the host, and ages in a sentence; both follow from the size of the page."""
+    n = F.char_length("html")
+    dated = F.concat(F.regexp_extract("url", r"^([a-z]+://[^/]*)", 1), F.lit("/2024/01/"), F.lpad((1 + n % 28).cast("string"), 2, "0"), F.regexp_extract("url", r"^[a-z]+://[^/]*(.*)$", 1))
+    link = F.when(F.col("page_id") % 3 == 0, dated).otherwise(F.col("url"))
+    return pages(spark, d).select("page_id", urls.date_in_link(link).alias("from_link"), dates.relative_age(F.concat(F.lit("Posted "), (n % 50).cast("string"), F.lit(" hours ago")), AS_OF).alias("from_age"))
 
 
 def _scratch(spark: SparkSession, name: str) -> str:
@@ -557,12 +572,16 @@ def a36(spark: SparkSession, d: str) -> DataFrame:
     return compare.variant_audit(links, F.right("feed", F.lit(1)).isin("3", "7"))
 
 
-@query("a39_redirect_audit", """SELECT page_id, CASE WHEN page_id % 6 = 0 THEN 'http_error' WHEN page_id % 6 = 1 THEN 'redirected_home' WHEN page_id % 6 = 2 THEN 'redirected_section' WHEN page_id % 6 = 3 THEN 'title_mismatch' ELSE 'ok' END AS reason, page_id % 6 < 3 AS safe_prune FROM pages""")
+TITLE_WORDS = "list_distinct([w FOR w IN string_split_regex(lower({0}), '[^a-z0-9]+') IF length(w) >= 3])"
+
+
+@query("a39_redirect_audit", rf"""WITH t AS (SELECT page_id, {TITLE_WORDS.format(_between('title'))} AS a, {TITLE_WORDS.format(f"CASE WHEN page_id % 7 < 3 THEN {_between('div')} ELSE {_between('h1')} END")} AS b FROM pages), o AS (SELECT page_id, CASE WHEN len(a) > 0 AND len(b) > 0 THEN round(len(list_intersect(a, b)) / least(len(a), len(b)), 4) ELSE 0.0 END AS overlap FROM t),
+r AS (SELECT *, CASE WHEN page_id % 6 = 0 THEN 'http_error' WHEN page_id % 6 = 1 THEN 'redirected_home' WHEN page_id % 6 = 2 THEN 'redirected_section' WHEN overlap < 0.3 THEN 'title_mismatch' ELSE 'ok' END AS reason FROM o) SELECT *, page_id % 6 < 2 OR (page_id % 6 = 2 AND overlap < 0.3) AS safe_prune FROM r""")
 def a39(spark: SparkSession, d: str) -> DataFrame:
+    """Where the pages' links lead, and whether the title that was seen before is the heading that is there, or another text of the page."""
     k = F.col("page_id") % 6
-    base = F.lit("https://a.example.com")
-    fetched = pages(spark, d).select(
-        "page_id", F.concat(base, F.lit("/en/story-12")).alias("url"), F.concat(base, F.when(k == 1, "/").when(k == 2, "/news").otherwise("/en/story-12")).alias("final_url"), F.when(k == 0, 404).otherwise(200).alias("status"),
-        F.lit("Council votes on harbour plan").alias("title"), F.when((k == 2) | (k == 3), "Something else entirely here").otherwise("Harbour plan: council votes").alias("page_title"),
-    )
-    return compare.redirect_audit(fetched).select("page_id", "reason", "safe_prune")
+    inner = lambda tag: F.replace(F.regexp_extract("html", rf"(?s)<{tag}[^>]*>(.*?)</", 1), F.lit("&amp;"), F.lit("&"))
+    host = F.regexp_extract("url", r"^([a-z]+://[^/]*)", 1)
+    final = F.when(k == 1, F.concat(host, F.lit("/"))).when(k == 2, F.concat(host, F.lit("/news"))).otherwise(F.col("url"))
+    fetched = pages(spark, d).select("page_id", "url", final.alias("final_url"), F.when(k == 0, 404).otherwise(200).alias("status"), inner("title").alias("title"), F.when(F.col("page_id") % 7 < 3, inner("div")).otherwise(inner("h1")).alias("page_title"))
+    return compare.redirect_audit(fetched).select("page_id", "overlap", "reason", "safe_prune")
\ No newline at end of file
