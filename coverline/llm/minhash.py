@@ -43,8 +43,9 @@ _LANES = 64 // BITS
 _LOW = sum(1 << (BITS * i) for i in range(_LANES))
 _PACKS = BANDS * ROWS // _LANES
 _NOBODY = np.iinfo(np.int64).min
-#: Bits of the filter by which texts are found again (4 MB): good for some two million documents, beyond that more sets than needed are made.
-FILTER = 1 << 25
+#: Bits for each mark in the filter by which texts are found again, at least in all and at most (32 MB, for some 16 million marks); more marks
+#: than that meet the texts by a join.
+FILTER_BITS, LEAST_FILTER, MOST_FILTER = 16, 1 << 20, 1 << 28
 
 
 def _shingle_hashes(row: np.ndarray, hashes: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray]:
@@ -147,13 +148,19 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def _sets_where(wanted: np.ndarray):
+def _has(wanted: np.ndarray, bit: np.ndarray) -> np.ndarray:
+    return (wanted[bit >> 3] >> (bit & 7) & 1).astype(bool)
+
+
+def _sets_where(wanted: np.ndarray | None):
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """(node, mark, shingles) of the rows (mark, text) whose mark is in the filter; most of the others never leave their task."""
+        """(node, mark, shingles) of the rows (mark, text) whose mark is in the filter, or of all; most of the others never leave their task."""
         for batch in batches:
-            mark = batch.column(0).to_numpy()
-            mine = wanted[mark & (FILTER - 1)] & wanted[(mark >> 32) & (FILTER - 1)]
-            mark, texts = mark[mine], batch.column(1).filter(pa.array(mine))
+            mark, texts = batch.column(0).to_numpy(), batch.column(1)
+            if wanted is not None:
+                last = 8 * len(wanted) - 1
+                mine = _has(wanted, mark & last) & _has(wanted, (mark >> 32) & last)
+                mark, texts = mark[mine], texts.filter(pa.array(mine))
             node, held, marks, size = [], [], [], 0
             for i, found in shingle_sets(texts):
                 if len(found):
@@ -270,28 +277,29 @@ def _likely(pairs: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
 def _sets_of(marks: DataFrame, docs: DataFrame, repeated: bool) -> DataFrame:
     """(node, mark, shingles) of the documents with the given marks, and of few others, made anew from their texts.
 
-    The marks become a filter of ``FILTER`` bits, two for each mark, which goes to every task: texts stay where they are.
-    What else the filter lets through meets nothing, as sets are joined by node and mark. Where ids repeat, of rows that
-    have both in common one stays.
+    The marks become a filter, two bits for each mark, whose size follows their number and which goes to every task: texts stay where they
+    are. What else the filter lets through meets nothing, as sets are joined by node and mark. Marks that are too many for
+    ``MOST_FILTER`` bits meet the texts by a join. Where ids repeat, of rows that have both in common one stays.
     """
-    bits = marks.select(F.explode(F.array(*(F.col("mark").bitwiseAND(F.lit(FILTER - 1)) if k == 0 else F.shiftright("mark", k).bitwiseAND(F.lit(FILTER - 1)) for k in (0, 32)))).alias("bit"))
-    found = bits.groupBy(F.bitmap_bucket_number(F.col("bit") + 1).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(F.col("bit") + 1)).alias("bits")).collect()  # FILTER / 8 bytes in all at most
-    wanted = np.zeros((FILTER >> 15, 1 << 15), bool)
-    for r in found:
-        wanted[r.bucket - 1] = np.unpackbits(np.frombuffer(bytes(r.bits), np.uint8), bitorder="little")
-    packed = np.packbits(wanted.ravel())
     texts = docs.select(_mark(F.col("doc_id")).alias("mark"), "text").where("text is not null")
-    sets = texts.mapInArrow(_filtered(packed), "node long, mark long, shingles array<long>")
+    asked = marks.select("mark").distinct()
+    size = LEAST_FILTER
+    n = asked.count()
+    while size < FILTER_BITS * n:
+        size *= 2
+    if size > MOST_FILTER:
+        texts, packed = texts.join(asked, "mark", "left_semi"), None
+    else:
+        bits = asked.select(F.explode(F.array(F.col("mark").bitwiseAND(F.lit(size - 1)), F.shiftright("mark", 32).bitwiseAND(F.lit(size - 1)))).alias("bit"))
+        found = bits.groupBy(F.bitmap_bucket_number(F.col("bit") + 1).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(F.col("bit") + 1)).alias("bits")).collect()  # size / 8 bytes in all at most
+        packed = np.zeros((size >> 15, 1 << 12), np.uint8)
+        for r in found:
+            packed[r.bucket - 1] = np.frombuffer(bytes(r.bits), np.uint8)
+        packed = packed.ravel()
+    sets = texts.mapInArrow(_sets_where(packed), "node long, mark long, shingles array<long>")
     return keep(sets.dropDuplicates(["node", "mark"]) if repeated else sets, "sets")
 
 
-def _filtered(packed: np.ndarray):
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from _sets_where(np.unpackbits(packed).view(bool))(batches)
-
-    return sets
-
-
 def _mark(doc_id: Column) -> Column:
     return F.xxhash64(doc_id.cast("long"))
 

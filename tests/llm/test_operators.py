@@ -91,6 +91,16 @@ def test_near_duplicates_of_a_chain_and_a_cloud(spark):
     assert got == sorted(brute_components(rows))
 
 
+@pytest.mark.parametrize("most", [1 << 10, 1 << 20])
+def test_texts_are_found_again_by_a_join_or_a_small_filter(spark, odd, monkeypatch, most):
+    """More marks than a filter holds, or a filter that lets much through: the same components."""
+    monkeypatch.setattr(minhash, "MOST_FILTER", most)
+    monkeypatch.setattr(minhash, "LEAST_FILTER", 1 << 15)
+    monkeypatch.setattr(minhash, "FILTER_BITS", 1)
+    got = sorted(map(tuple, minhash.near_duplicates(odd).select("doc_id", "n_shingles", "component_id").collect()), key=repr)
+    assert got == sorted(brute_components([(r[0], r[1]) for r in ODD]), key=repr)
+
+
 def test_near_duplicates_of_nothing(none):
     assert minhash.near_duplicates(none).collect() == []
 
