@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import heapq
 from datetime import datetime, timedelta
+from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from coverline.functions.columns import at, present
+from coverline.functions.components import components
 from coverline.functions.titles import assess_title, clean_text
 from coverline.functions.urls import article_id, host_of
 from coverline.operators.merge import tokens
@@ -19,46 +24,101 @@ from coverline.sources.rules import small
 NO_NETWORK = "independent"
 
 
+BOTH = ["network", "candidate"]
+
+
+def _totals(items: DataFrame, current: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The totals of each candidate, and the distinct titles of each with whether they are known."""
+    known = lambda c: items.select(*BOTH, c).where(F.col(c).isNotNull()).distinct().join(current.select(c).distinct().withColumn("known", F.lit(True)), c, "left")
+    titles, links = known("title"), known("link")
+    counts = lambda rows, n, has: rows.groupBy(*BOTH).agg(F.count("*").alias(n), F.count_if(F.col("known")).alias(has))
+    totals = items.groupBy(*BOTH).agg(F.count("*").alias("n_items")).join(counts(titles, "n_titles", "title_overlap"), BOTH, "left").join(counts(links, "n_links", "overlap"), BOTH, "left")
+    zeros = {c: F.coalesce(c, F.lit(0)) for c in ("n_titles", "title_overlap", "n_links", "overlap")}
+    return totals.withColumns(zeros).withColumns({"new_titles": F.col("n_titles") - F.col("title_overlap"), "new_links": F.col("n_links") - F.col("overlap")}), titles
+
+
+def candidate_totals(items: DataFrame, current: DataFrame) -> DataFrame:
+    """Per candidate source: items, distinct titles and links, and how many of them current sources have."""
+    return _totals(items, current)[0]
+
+
 def candidate_lift(items: DataFrame, current: DataFrame) -> DataFrame:
-    """Per candidate source: items, distinct titles and links, how many of them current sources have, and what it adds in greedy order within its network.
+    """``candidate_totals``, and what each candidate adds in greedy order within its network.
 
     ``items`` has network, candidate, title and link, a row an item; ``current`` title and link. In a network of two or more the candidate
     that adds most new titles comes first (then more new titles in all, more items, the smaller name); ``lift`` is what it adds after those
     before it, ``penalty`` the new titles that these already brought. Others have all their new titles for lift, and no place.
 
-    A candidate that comes before all who share a title with it that is still open is chosen by the greedy order before any of
+    Candidates that share no title, not even through others, do not change what each other adds, so the order is found in
+    each class of candidates that do. A class of up to ``MOST_OPEN`` rows is ordered by one task. In a larger one, a
+    candidate that comes before all who share a title with it that is still open is chosen by the greedy order before any of
     these, so what it adds is settled; all such candidates are settled at once, their titles closed, and the rest counted
-    again. No task holds a network's titles, and a round's work is what is still open.
+    again, until what is open falls to that bound. No task holds more.
     """
-    both = ["network", "candidate"]
-    known = lambda c: items.select(*both, c).where(F.col(c).isNotNull()).distinct().join(current.select(c).distinct().withColumn("known", F.lit(True)), c, "left")
-    titles, links = keep(known("title"), "titles"), known("link")
-    counts = lambda rows, n, has: rows.groupBy(*both).agg(F.count("*").alias(n), F.count_if(F.col("known")).alias(has))
-    totals = items.groupBy(*both).agg(F.count("*").alias("n_items")).join(counts(titles, "n_titles", "title_overlap"), both, "left").join(counts(links, "n_links", "overlap"), both, "left")
-    zeros = {c: F.coalesce(c, F.lit(0)) for c in ("n_titles", "title_overlap", "n_links", "overlap")}
-    totals = totals.withColumns(zeros).withColumns({"new_titles": F.col("n_titles") - F.col("title_overlap"), "new_links": F.col("n_links") - F.col("overlap")})
+    totals, titles = _totals(items, current)
     sizes = totals.where(F.col("network") != NO_NETWORK).groupBy("network").agg(F.count("*").alias("n")).where("n > 1").select("network", F.lit(True).alias("ranked"))
     totals = keep(totals.join(sizes, "network", "left"), "totals")
-    lifts = _settled_lifts(titles.where("known is null").select(*both, "title").join(totals.where("ranked").select(*both, "new_titles", "n_items"), both))
-    out = totals.join(lifts, both, "left").withColumn("lift", F.when(F.col("ranked"), F.coalesce("lift", F.lit(0))).otherwise(F.col("new_titles")))
+    lifts = _settled_lifts(titles.where("known is null").select(*BOTH, "title").join(totals.where("ranked").select(*BOTH, "new_titles", "n_items"), BOTH))
+    out = totals.join(lifts, BOTH, "left").withColumn("lift", F.when(F.col("ranked"), F.coalesce("lift", F.lit(0))).otherwise(F.col("new_titles")))
     place = F.row_number().over(Window.partitionBy("ranked", "network").orderBy(F.desc("lift"), F.desc("new_titles"), F.desc("n_items"), "candidate"))
     return out.withColumns({"penalty": F.col("new_titles") - F.col("lift"), "place": F.when(F.col("ranked"), place).cast("long")}).drop("ranked")
 
 
-def _settled_lifts(open_titles: DataFrame) -> DataFrame:
+#: Rows (a candidate's open title) of a class that one task orders.
+MOST_OPEN = 500_000
+
+
+def _settled_lifts(open_titles: DataFrame, most: int = MOST_OPEN) -> DataFrame:
     """(network, candidate, lift) from rows of (network, candidate, title, new_titles, n_items)."""
-    both, left, settled = ["network", "candidate"], keep(open_titles, "open"), None
+    rows = keep(open_titles.withColumn("node", F.to_json(F.struct(*BOTH))), "open")
+    firsts = rows.groupBy("network", "title").agg(F.min("node").alias("first"))
+    classes = components(rows.join(firsts, ["network", "title"]).select(F.col("node").alias("a"), F.col("first").alias("b")).distinct())
+    settled, left = [], keep(rows.join(classes, "node").drop("node"), "open")
     while True:
-        gains = left.groupBy(*both, "new_titles", "n_items").agg(F.count("*").alias("gain"))
-        order = F.struct((-F.col("gain")).alias("gain"), (-F.col("new_titles")).alias("new"), (-F.col("n_items")).alias("items"), F.col("candidate").alias("name"))
-        keyed = left.join(gains.select(*both, "gain", order.alias("order")), both)
-        first = keyed.groupBy("network", "title").agg(F.min("order").alias("first"))
-        chosen = keep(keyed.join(first, ["network", "title"]).groupBy(*both).agg(F.bool_and(F.col("order") == F.col("first")).alias("all"), F.max("gain").alias("lift")).where("all").select(*both, "lift"), "chosen")
-        settled = chosen if settled is None else settled.unionByName(chosen)
-        closed = left.join(chosen.select(*both), both, "left_semi").select("network", "title").distinct()
-        left = keep(left.join(closed, ["network", "title"], "left_anti"), "open")
+        large = left.groupBy("class_id").agg(F.count("*").alias("n")).where(F.col("n") > most).select("class_id")
+        settled.append(keep(left.join(large, "class_id", "left_anti").groupBy("class_id").applyInPandas(_ordered, "network string, candidate string, lift long"), "chosen"))
+        left = keep(left.join(large, "class_id", "left_semi"), "open")
         if left.isEmpty():
-            return settled
+            return reduce(DataFrame.unionByName, settled)
+        chosen, left = _settle_round(left)
+        settled.append(chosen)
+
+
+def _settle_round(left: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The candidates that come before all who share an open title with them, and the rows that are open after these."""
+    gains = left.groupBy(*BOTH, "new_titles", "n_items").agg(F.count("*").alias("gain"))
+    order = F.struct((-F.col("gain")).alias("gain"), (-F.col("new_titles")).alias("new"), (-F.col("n_items")).alias("items"), F.col("candidate").alias("name"))
+    keyed = left.join(gains.select(*BOTH, "gain", order.alias("order")), BOTH)
+    first = keyed.groupBy("network", "title").agg(F.min("order").alias("first"))
+    chosen = keep(keyed.join(first, ["network", "title"]).groupBy(*BOTH).agg(F.bool_and(F.col("order") == F.col("first")).alias("all"), F.max("gain").alias("lift")).where("all").select(*BOTH, "lift"), "chosen")
+    closed = left.join(chosen.select(*BOTH), BOTH, "left_semi").select("network", "title").distinct()
+    return chosen, keep(left.join(closed, ["network", "title"], "left_anti"), "open")
+
+
+def _ordered(rows: pd.DataFrame) -> pd.DataFrame:
+    """What each candidate of one class adds, in greedy order; those that add nothing are left out."""
+    names = rows[["candidate", "new_titles", "n_items"]].drop_duplicates("candidate")
+    # Spark orders strings by their bytes
+    names = names.assign(name=names["candidate"].map(str.encode)).sort_values(["new_titles", "n_items", "name"], ascending=[False, False, True], ignore_index=True)
+    who = pd.Series(names.index, index=names["candidate"]).loc[rows["candidate"]].to_numpy()
+    what = pd.factorize(rows["title"])[0]
+    titles_of = np.split(what[np.argsort(who, kind="stable")], np.cumsum(np.bincount(who))[:-1])
+    ends = np.cumsum(np.bincount(what))
+    holders, is_open, gain = who[np.argsort(what, kind="stable")], np.ones(len(ends), bool), np.bincount(who)
+    # gains only fall, so a candidate whose gain still holds when it comes up is the first
+    heap, lifts = [(-g, k) for k, g in enumerate(gain.tolist())], np.zeros(len(gain), int)
+    heapq.heapify(heap)
+    while heap:
+        g, k = heapq.heappop(heap)
+        if -g != gain[k]:
+            if gain[k]:
+                heapq.heappush(heap, (-int(gain[k]), k))
+            continue
+        lifts[k] = gain[k]
+        for t in titles_of[k][is_open[titles_of[k]]]:
+            is_open[t] = False
+            gain[holders[ends[t - 1] if t else 0 : ends[t]]] -= 1
+    return pd.DataFrame({"network": rows["network"].iloc[0], "candidate": names["candidate"], "lift": lifts})[lifts > 0]
 
 
 def link_kind(url: Column) -> Column:

@@ -56,6 +56,34 @@ def test_lift_is_that_of_the_greedy_order(spark, seed):
     assert {(r.network, r.candidate): (r.n_items, r.n_titles, r.title_overlap, r.n_links) for r in got} == totals
 
 
+@pytest.mark.parametrize("most", [0, 40, 10_000])
+def test_lift_of_classes_of_any_size(spark, most):
+    """Classes ordered by a task, by rounds, and by rounds until they are small."""
+    rng = random.Random(most)
+    items = [(f"n{c % 3}", f"{rng.choice('aAé')}{c:02}", f"t{c % 2}-{rng.randrange(60)}", "l") for c in range(60) for _ in range(rng.randrange(1, 15))]
+    lifts, _ = greedy(items, [])
+    counted = {}
+    for n, c, t, _ in items:
+        counted.setdefault((n, c), []).append(t)
+    rows = [(n, c, t, len(set(ts)), len(ts)) for (n, c), ts in counted.items() for t in set(ts)]
+    got = compare._settled_lifts(spark.createDataFrame(rows, "network string, candidate string, title string, new_titles long, n_items long"), most).collect()
+    assert len(got) == len({(r.network, r.candidate) for r in got})
+    assert {(r.network, r.candidate): r.lift for r in got} == {k: lift for k, (lift, _, _) in lifts.items() if lift}
+
+
+def test_a_dense_network_takes_no_round_a_candidate(spark, monkeypatch):
+    """Sixty candidates that all share titles, each of which would be a round."""
+    kept = []
+    plain = compare.keep
+    monkeypatch.setattr(compare, "keep", lambda df, name: (kept.append(name), plain(df, name))[1])
+    items = spark.range(60).select(F.lit("n").alias("network"), F.format_string("c%05d", "id").alias("candidate"), F.explode(F.sequence(F.lit(0), F.col("id")).cast("array<string>")).alias("title"), F.lit("l").alias("link"))
+    current = items.select("title", "link").limit(0)
+    assert [r.lift for r in compare.candidate_lift(items, current).orderBy("place").collect()] == [60, *[0] * 59]
+    assert len(kept) <= 6
+    kept.clear()
+    assert compare.candidate_totals(items, current).agg(F.sum("new_titles")).first()[0] == 60 * 61 // 2 and not kept
+
+
 def test_many_candidates_take_few_rounds(spark, monkeypatch):
     """Ten thousand candidates whose titles overlap with their neighbours' only."""
     rounds = []
