@@ -81,23 +81,27 @@ def buckets_of(articles: DataFrame) -> Column:
 def benchmark_hours(articles: DataFrame, feeds: DataFrame, days: DataFrame | None = None) -> DataFrame:
     """``country_benchmark_hourly`` at every full hour at once, or those of some ``days`` (day): a row is spread over the hours whose day it counts in.
 
-    Counts are made per source before anything is ranked, so what is shuffled is a row for each bucket and source and task.
+    All bounds are full hours, so a source's articles are first counted by the hours of their two moments; these counts are
+    spread where all of a source lie in one partition, and what is shuffled after that is a row for each bucket and source.
     """
-    pub = clamped_publication()
     kept = articles.where(~low_signal_title(F.col("title_original"), F.col("url"), F.col("source"), F.col("title_quality")))
-    rows = kept.select("source_country", "source", pub.alias("pub"), "created_at", F.explode(buckets_of(kept)).alias("bucket"))
+    hour = lambda c: F.date_trunc("hour", c).cast("timestamp_ntz").alias(c)
+    pair = ("source_country", "source")
+    cells = kept.groupBy(*pair, hour("created_at"), hour("publication_datetime")).agg(F.count("*").alias("n"))
+    named = resolve_country(kept.select(*pair).distinct(), feeds).select(*(F.col(c).alias(f"__{c}") for c in pair), F.col("resolved_country").alias("country"))
+    cells = cells.join(named, F.col("source_country").eqNullSafe(F.col("__source_country")) & F.col("source").eqNullSafe(F.col("__source"))).withColumn("pub", clamped_publication())
+    rows = cells.repartition("country", "source").select("country", "source", "pub", "created_at", "n", F.explode(buckets_of(cells)).alias("bucket"))
     if days is not None:
-        rows = rows.join(days, F.to_date("bucket") == F.col("day"), "left_semi")
+        rows = rows.join(F.broadcast(days), F.to_date("bucket") == F.col("day"), "left_semi")
     start = F.col("bucket") - F.expr("INTERVAL '24' HOUR")
     inside = lambda c, first: (F.col(c) >= first) & (F.col(c) < F.col("bucket"))
     created, published = inside("created_at", start), inside("pub", start)
-    counts = rows.groupBy("bucket", "source_country", "source").agg(
-        F.count_if(inside("created_at", F.col("bucket") - F.expr("INTERVAL '1' HOUR"))).alias("inserted_1h"), F.count_if(created).alias("inserted"),
-        F.count_if(published).alias("published"), F.count_if(created & published).alias("fresh"), F.count_if(created & (F.col("pub") < start)).alias("late"),
+    of = lambda met: F.sum(F.when(met, F.col("n")).otherwise(0))
+    counts = rows.groupBy("bucket", "country", "source").agg(
+        of(inside("created_at", F.col("bucket") - F.expr("INTERVAL '1' HOUR"))).alias("inserted_1h"), of(created).alias("inserted"),
+        of(published).alias("published"), of(created & published).alias("fresh"), of(created & (F.col("pub") < start)).alias("late"),
     )
-    values = ("inserted_1h", "inserted", "published", "fresh", "late")
-    named = resolve_country(counts, feeds).groupBy("bucket", F.col("resolved_country").alias("country"), "source").agg(*(F.sum(c).alias(c) for c in values))
-    return country_totals(named, ("bucket", "country"))
+    return country_totals(counts, ("bucket", "country"))
 
 
 def source_daily(articles: DataFrame, feeds: DataFrame, day: datetime) -> DataFrame:

@@ -91,3 +91,27 @@ def test_snapshots_of_nothing(spark, small, tmp_path):
     to = exact.Snapshots(spark, str(tmp_path / "none"), feeds(spark, small))
     to.take(spark.createDataFrame([], "external_id string, source string, source_country string, country string, title_original string, title_quality string, url string, publication_datetime timestamp_ntz, created_at timestamp_ntz"), 0)
     assert to.notes().collect()[0].n == 0
+
+
+def test_no_load_is_written_by_one_task(spark, small, monkeypatch):
+    """What feeds the streams is written by as many tasks as hold it, and a slot by several."""
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    seen = []
+    plain = DataFrame.coalesce
+    monkeypatch.setattr(DataFrame, "coalesce", lambda df, n: (seen.append(df.columns), plain(df, n))[1])
+    plans.st3_settled(spark, small)
+    plans.exact_run(spark, small)
+    assert [c for c in seen if "external_id" in c] == []
+
+
+def test_hours_are_shuffled_before_they_are_spread(spark):
+    """What is shuffled by source are counts of hours, not a row for each article and bucket."""
+    from coverline.operators.benchmark import benchmark_hours
+
+    rows = spark.range(20_000).selectExpr("'s' AS source", "'C' AS source_country", "'t' AS title_original", "'u' AS url", "'ok' AS title_quality", "timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(0, 0, cast(id % 50 as int)) AS created_at", "timestamp_ntz'2023-12-31 20:10:00' AS publication_datetime")
+    registry = spark.createDataFrame([("C", "1", "s")], "country string, code string, source string")
+    found = benchmark_hours(rows, registry)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("explode") < plan.index("RepartitionByExpression") and "Aggregate" in plan[plan.index("RepartitionByExpression") :]
+    assert [(r.inserted_1h, r.inserted, r.published, r.fresh, r.late) for r in found.orderBy("bucket").collect()] == [(0, 0, 20_000, 0, 0)] * 3 + [(0, 0, 20_000, 0, 0)] + [(20_000, 20_000, 20_000, 20_000, 0)] + [(0, 20_000, 20_000, 20_000, 0)] * 19 + [(0, 20_000, 0, 0, 20_000)] * 4
