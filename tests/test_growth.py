@@ -45,3 +45,17 @@ def test_drift_makes_no_pairs_of_copies(spark):
     got = merge.reconcile_url_drift(rows).agg(F.count("*"), F.max("gap_seconds"), F.collect_set("match_id")).first()
     # a row of an even hour has ids of the hours before and after it as near; of both the smallest name is taken
     assert got[0] == 100_000 and got[1] == 3600 and set(got[2]) <= {str(x) for x in range(1, 200_000, 2)}
+
+
+def test_country_of_hosts_under_one_domain_makes_no_pairs(spark):
+    """60,000 hosts and as many feeds of one source under one domain: as pairs they would be thousands of millions."""
+    k = F.col("id")
+    link = lambda name, n: F.concat(F.lit(f"https://{name}"), n.cast("string"), F.lit(".big.com/x"))
+    feeds = spark.range(60_000).select(F.lit("s").alias("source"), F.when(k == 7, "B").otherwise("A").alias("country"), link("f", k).alias("rss_url"), F.lit(None).cast("string").alias("sitemap_url"))
+    alone = spark.createDataFrame([("s", "B", "https://b.net/rss", None), ("t", "C", "https://c.net/rss", None)], "source string, country string, rss_url string, sitemap_url string")
+    rows = spark.range(60_000).select(k.cast("string").alias("external_id"), F.lit("s").alias("source"), link("a", k).alias("url"))
+    more = spark.createDataFrame([("x", "s", "https://m.b.net/1"), ("y", "t", None), ("z", "u", "https://b.net/1"), ("f", "s", "https://f9.big.com/1")], "external_id string, source string, url string")
+    out = merge.assign_source_country(rows.unionByName(more), feeds.unionByName(alone), spark.createDataFrame([("com",), ("net",)], "rule string"))
+    got = {(r[0], r[1]): r[2] for r in out.groupBy("assigned_country", "decided_by").agg(F.count("*")).collect()}
+    # the domain has feeds of two countries, also for the host of a feed
+    assert got == {(None, "unresolved"): 60_002, ("B", "host"): 1, ("C", "source"): 1}
