@@ -77,3 +77,52 @@ def test_one_outlet_with_many_checks(spark, tmp_path, n):
     stream = spark.readStream.schema(SCHEMA).parquet(str(tmp_path / "runs"))
     got = jobs.last_of(jobs.drained(spark, stream, lambda s: policy.policy_stream(s, "40 days"), "update", str(tmp_path / "state")), ["outlet_id"]).drop("blocked").collect()
     assert got == want
+
+
+class _Store:
+    """A state store in memory that counts its calls."""
+
+    def __init__(self):
+        self.calls, self.kept, self.timers = 0, {}, set()
+
+    def getValueState(self, name, schema):  # noqa: N802
+        def update(value):
+            self.calls += 1
+            self.kept[name] = value
+
+        return SimpleNamespace(exists=lambda: name in self.kept, get=lambda: self.kept.get(name), update=update)
+
+    def getMapState(self, name, key, value):  # noqa: N802
+        rows = self.kept.setdefault(name, {})
+
+        def call(f):
+            def counted(*a):
+                self.calls += 1
+                return f(*a)
+
+            return counted
+
+        return SimpleNamespace(keys=lambda: list(rows), getValue=call(rows.get), updateValue=call(rows.__setitem__), removeKey=call(rows.pop))
+
+    def registerTimer(self, at):  # noqa: N802
+        self.calls += 1
+        self.timers.add(at)
+
+
+def test_outlets_with_a_check_an_hour_share_entries(tmp_path):
+    """200 outlets with a check in each of 30 hours: a call for each check and hour would be 6,000 and more."""
+    store, job = _Store(), policy.Policy()
+    job.init(store)
+    rows = [(check(k * 100 + h, h + k / 1000, k, 500 if k % 2 else 418)) for k in range(200) for h in range(30)]
+    frame = pd.DataFrame({"id": [r[0] for r in rows], "ran_at": [r[1] for r in rows], "ok": False, "status_code": [r[6] for r in rows], "failure": [f"http_{r[6]}" if r[6] != 418 else None for r in rows], "twin": False, "outlet": [str(r[2]) for r in rows]})
+    clock = lambda ms: SimpleNamespace(getCurrentWatermarkInMs=lambda: ms)
+    first = next(job.handleInputRows((0,), iter([frame]), clock(0)))
+    assert len(first) == 200 and store.calls < 200
+    # ten hours are over: they leave the store, the rest of their entries waits
+    over = int(pd.Timestamp(DAY).value // 1_000_000) + 10 * policy.HOUR_MS
+    assert not list(job.handleExpiredTimer((0,), clock(over), None))
+    waiting = [c for (text,) in store.kept["waiting"].values() for c in policy.json.loads(text)]
+    assert len(waiting) == 200 * 20 and store.calls < 400
+    again = next(job.handleInputRows((0,), iter([frame[:0], frame[-1:].assign(id=10**6)]), clock(over)))
+    want = folded([r for r in rows if r[2] == 199] + [(10**6, *rows[-1][1:])])
+    assert (again["outlet_id"][0], again["consecutive_failures"][0], again["disabled_until"][0]) == (199, 31, want["disabled_until"])
