@@ -266,3 +266,23 @@ def test_feeds_are_of_bounded_size_and_counted_whole(spark, tmp_path):
 
 def test_fnv(spark):
     assert one(spark, health.fnv1a(F.lit("foobar"))) == 0xBF9CF968
+
+
+def test_feeds_of_a_stream_share_groups(spark, tmp_path, monkeypatch):
+    """Two batches over 300 feeds, one without a name: each is held against its own watermark, in no more groups than there are."""
+    monkeypatch.setattr(jobs, "GROUPS", 4, raising=False)
+    schema = "id long, outlet_id long, method string, published_at timestamp_ntz, last_publication_at timestamp_ntz"
+    outlet = lambda k: None if k == 7 else k
+    one = [(k, outlet(k), "rss", time(20, k % 24), time(20, 11) if k % 2 else None) for k in range(300)]
+    two = [(1000 + k, outlet(k), "rss", time(20, 12), time(1)) for k in range(300)] + [(2000, 5, "rss", None, None)]
+    for rows in (one, two):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    out = jobs.drained(spark, stream, lambda s: jobs.new_items_stream(s, datetime(2024, 1, 31)), "append", str(tmp_path / "state"))
+    first = {k for k in range(300) if k % 2 == 0 or k % 24 > 11}
+    # the second batch has noon for all: news where the first left nothing newer, and not where it kept noon or later
+    second = {1000 + k for k in range(300) if not (k in first and k % 24 >= 12)} | {2000}
+    rows = out.collect()
+    assert {r.id for r in rows} == first | second and len(rows) == len(first | second)
+    assert {r.id % 1000: r.outlet_id for r in rows if r.id < 2000} == {k: outlet(k) for k in {i % 1000 for i in (first | second) - {2000}}}
+    assert "group" in jobs.new_items_stream(stream, datetime(2024, 1, 31))._jdf.queryExecution().analyzed().toString()
