@@ -78,3 +78,58 @@ def test_taxonomy_reads_the_articles_once(spark, small):
     from coverline.plans.news import QUERIES
 
     assert _plan(QUERIES["c5_build_taxonomy"](spark, small)).count("lineitem.parquet") == 1
+
+
+def _shuffled(spark, df):
+    """Bytes that a query's stages write to shuffles."""
+    store, jvm = spark.sparkContext._jsc.sc().statusStore(), spark._jvm
+    stages = lambda: store.stageList(None, False, False, spark.sparkContext._gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())
+    total = lambda listed: sum(listed.apply(k).shuffleWriteBytes() for k in range(listed.size()))
+    before = total(stages())
+    df.write.format("noop").mode("overwrite").save()
+    return total(stages()) - before
+
+
+def test_merged_rows_carry_their_rank_once(spark):
+    """Ranks that do not compress: a copy for each of nine columns would be nine times the ids."""
+    hashed = lambda *x: F.sha2(F.concat_ws("-", *x), 512)
+    names = [f"c{k}" for k in range(8)]
+    rows = spark.range(4_000).select(F.concat_ws("-", hashed("id"), hashed("id", "id")).alias("seen"), F.lit("ok").alias("title_quality"), F.lit(datetime(2024, 1, 1)).cast("timestamp_ntz").alias("publication_datetime"), F.col("id").cast("string").alias("external_id"), F.lit(None).cast("string").alias("stable_id"), F.array().cast("array<string>").alias("feed_categories"), *(F.col("id").alias(c) for c in names))
+    kept = rows.select(F.struct("seen", "external_id").alias("x")).groupBy("x").agg(F.count("*"))
+    merged = merge.dedupe_articles(rows, ["external_id", "stable_id", "publication_datetime", "title_quality", *names], ["feed_categories"])
+    assert len([x for x in _plan(merged).splitlines() if "min_by" in x]) == 0
+    assert _shuffled(spark, merged) < 6 * _shuffled(spark, kept)
+
+
+def _merged_by_hand(rows, columns):
+    better = {"suspect": 0, "recovered": 2}
+    def merge_by(rows, key):
+        groups = {}
+        for r in rows:
+            groups.setdefault(key(r), []).append(r)
+        out = []
+        for group in groups.values():
+            group.sort(key=lambda r: (-better.get(r["title_quality"], 1), r["publication_datetime"] is not None, -(r["publication_datetime"] or datetime(1970, 1, 1)).timestamp(), r["seen"]))
+            one = {c: next((r[c] for r in group if r[c] is not None), None) for c in columns}
+            out.append(one | {"tags": sorted({t for r in group for t in r["tags"] or []}), "seen": min(r["seen"] for r in group)})
+        return out
+    return merge_by(merge_by(rows, lambda r: ("s", r["stable_id"]) if r["stable_id"] is not None else ("e", r["external_id"])), lambda r: r["external_id"])
+
+
+def test_merge_takes_what_a_row_lacks_from_the_next_best(spark):
+    draw = random.Random(11)
+    maybe = lambda x, p=0.4: None if draw.random() < p else x
+    columns = ["external_id", "stable_id", "publication_datetime", "title_original", "title_quality", "country", "topic"]
+    rows = [{"external_id": f"e{draw.randrange(60)}", "stable_id": maybe(f"s{draw.randrange(40)}"), "publication_datetime": maybe(datetime(2024, 1, 1 + draw.randrange(5)), 0.2), "title_original": maybe(f"t{k}", 0.2), "title_quality": maybe(draw.choice(["ok", "suspect", "recovered"]), 0.2), "country": maybe(f"c{k}"), "topic": maybe(f"p{k}"), "tags": maybe([draw.choice("abcd")]), "seen": f"{k:04}"} for k in range(300)]
+    schema = "external_id string, stable_id string, publication_datetime timestamp_ntz, title_original string, title_quality string, country string, topic string, tags array<string>, seen string"
+    got = merge.dedupe_articles(spark.createDataFrame([tuple(r.values()) for r in rows], schema), columns, ["tags"]).collect()
+    show = lambda r: repr([r[c] for c in [*columns, "tags", "seen"]])
+    assert sorted(show(r) for r in got) == sorted(show(r) for r in _merged_by_hand(rows, columns))
+
+
+def test_items_of_one_story_fill_each_other(spark):
+    at = datetime(2024, 1, 1)
+    rows = [("s", "a", "title one", None, at, False, "ok", ["x"], "1"), ("s", None, None, "told", at, False, "ok", ["y"], "0"), (None, "b", "b", "d", None, True, "suspect", None, "2")]
+    items = spark.createDataFrame(rows, "stable_id string, link string, title string, description string, published_at timestamp_ntz, published_at_is_fallback boolean, title_quality string, cats array<string>, seen string")
+    got = sorted(tuple(r) for r in merge.merge_feed_items(items, ["link", "title", "description", "published_at"], ["cats"]).collect())
+    assert got == [("a", "title one", "told", at, ["x", "y"], 2), ("b", "b", "d", None, [], 1)]
