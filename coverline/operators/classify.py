@@ -244,22 +244,28 @@ def foreign_operated(rows: DataFrame, rules: DataFrame) -> DataFrame:
 def signatures(url: Column, depth: int = 3) -> Column:
     """host, host/first segment, ... up to ``depth`` segments, each with its depth."""
     path = F.slice(F.filter(F.split(F.regexp_extract(url, r"^[a-zA-Z]+://[^/?#]*([^?#]*)", 1), "/"), lambda s: s != ""), 1, depth)
-    return F.transform(F.sequence(F.lit(0), F.size(path)), lambda n: F.struct(n.alias("depth"), F.concat_ws("/", host_of(url), F.array_join(F.slice(path, 1, n), "/")).alias("signature")))
+    each = lambda x: F.transform(F.sequence(F.lit(0), F.size(x["path"])), lambda n: F.struct(n.alias("depth"), F.concat_ws("/", x["host"], F.array_join(F.slice(x["path"], 1, n), "/")).alias("signature")))
+    return let(F.struct(host_of(url).alias("host"), path.alias("path")), each)
+
+
+def _commonest(counts: DataFrame, *key: str) -> DataFrame:
+    """Per key the category of most articles, of equals the last by name, their number n, and samples, the articles of all categories."""
+    per = counts.groupBy(*key).agg(F.sum("n").alias("samples"), F.max(F.struct("n", "category")).alias("x"))
+    return per.select(*key, F.col("x.category").alias("category"), "samples", F.col("x.n").alias("n"))
 
 
 def learn_signature_categories(filled: DataFrame, min_support: int = 8, min_share: float = 0.6) -> DataFrame:
     """Per (source, signature) the category that most of its articles have, where enough have it. ``filled`` has source, url, category."""
     rows = filled.select("source", "category", F.explode(signatures(F.col("url"))).alias("s")).select("source", "category", "s.*")
     counts = rows.groupBy("source", "depth", "signature", "category").agg(F.count("*").alias("n"))
-    per = counts.groupBy("source", "depth", "signature").agg(F.sum("n").alias("samples"), F.max_by("category", F.struct("n", "category")).alias("category"), F.max("n").alias("n"))
-    return per.where((F.col("samples") >= min_support) & (F.col("n") >= min_share * F.col("samples"))).select("source", "depth", "signature", "category", "samples", "n")
+    return _commonest(counts, "source", "depth", "signature").where((F.col("samples") >= min_support) & (F.col("n") >= min_share * F.col("samples")))
 
 
 def predict_signature_categories(empty: DataFrame, learned: DataFrame, id_column: str) -> DataFrame:
     """For articles without a category that of their deepest learned signature."""
     rows = empty.select(id_column, "source", F.explode(signatures(F.col("url"))).alias("s")).select(id_column, "source", "s.*")
     found = rows.join(learned, ["source", "depth", "signature"])
-    return found.groupBy(id_column).agg(F.max_by(F.struct("category", "depth"), "depth").alias("x")).select(id_column, "x.*")
+    return found.groupBy(id_column).agg(F.max(F.struct("depth", "category")).alias("x")).select(id_column, "x.category", "x.depth")
 
 
 def learn_token_categories(filled: DataFrame, min_support: int = 5, min_share: float = 0.5) -> DataFrame:
@@ -267,15 +273,14 @@ def learn_token_categories(filled: DataFrame, min_support: int = 5, min_share: f
     words = F.array_distinct(F.filter(F.split(F.lower(F.regexp_extract("url", r"^[a-zA-Z]+://[^/?#]*([^?#]*)", 1)), "[^a-z]+"), lambda w: F.length(w) >= 3))
     rows = filled.select("source", "category", F.explode(words).alias("token"))
     counts = rows.groupBy("source", "token", "category").agg(F.count("*").alias("n"))
-    per = counts.groupBy("source", "token").agg(F.sum("n").alias("samples"), F.max_by("category", F.struct("n", "category")).alias("category"), F.max("n").alias("n"))
-    return per.where((F.col("samples") >= min_support) & (F.col("n") >= min_share * F.col("samples"))).select("source", "token", "category", "samples")
+    return _commonest(counts, "source", "token").where((F.col("samples") >= min_support) & (F.col("n") >= min_share * F.col("samples"))).drop("n")
 
 
 def predict_token_categories(empty: DataFrame, learned: DataFrame, id_column: str, min_score: int = 2) -> DataFrame:
     """Votes of an article's words; a category needs ``min_score`` of them."""
     words = F.array_distinct(F.filter(F.split(F.lower(F.regexp_extract("url", r"^[a-zA-Z]+://[^/?#]*([^?#]*)", 1)), "[^a-z]+"), lambda w: F.length(w) >= 3))
     votes = empty.select(id_column, "source", F.explode(words).alias("token")).join(learned, ["source", "token"]).groupBy(id_column, "category").agg(F.count("*").alias("score"))
-    return votes.where(F.col("score") >= min_score).groupBy(id_column).agg(F.max_by(F.struct("category", "score"), F.struct("score", "category")).alias("x")).select(id_column, "x.*")
+    return votes.where(F.col("score") >= min_score).groupBy(id_column).agg(F.max(F.struct("score", "category")).alias("x")).select(id_column, "x.category", "x.score")
 
 
 def path_segment_categories(articles: DataFrame, exact: dict[str, str], parts: tuple, min_support: int = 20) -> DataFrame:

@@ -7,7 +7,7 @@ from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
 
-from coverline.operators import merge
+from coverline.operators import classify, merge
 
 LINKS = "external_id string, stable_id string, publication_datetime timestamp_ntz, url string"
 
@@ -133,3 +133,14 @@ def test_items_of_one_story_fill_each_other(spark):
     items = spark.createDataFrame(rows, "stable_id string, link string, title string, description string, published_at timestamp_ntz, published_at_is_fallback boolean, title_quality string, cats array<string>, seen string")
     got = sorted(tuple(r) for r in merge.merge_feed_items(items, ["link", "title", "description", "published_at"], ["cats"]).collect())
     assert got == [("a", "title one", "told", at, ["x", "y"], 2), ("b", "b", "d", None, [], 1)]
+
+
+def test_commonest_category_is_carried_once(spark):
+    rows = spark.createDataFrame([("s", f"https://A.com:80/x/y/{k}", c) for k, c in enumerate("aabbbaccz")], "source string, url string, category string")
+    learned = classify.learn_signature_categories(rows, 8, 0.3)
+    assert sorted(tuple(r) for r in learned.collect()) == [("s", 0, "a.com/", "b", 9, 3), ("s", 1, "a.com/x", "b", 9, 3), ("s", 2, "a.com/x/y", "b", 9, 3)]
+    words = classify.learn_token_categories(rows.withColumn("url", F.lit("https://a.com/story")), 5, 0.3)
+    assert [tuple(r) for r in words.collect()] == [("s", "story", "b", 9)]
+    empty = rows.select("source", "url").distinct()
+    assert {tuple(r)[1:] for r in classify.predict_signature_categories(empty, learned, "url").collect()} == {("b", 2)}
+    assert "max_by" not in _plan(learned) + _plan(words) + _plan(classify.predict_signature_categories(empty, learned, "url"))
