@@ -46,6 +46,25 @@ def finder(literals: list[str]) -> Callable[[Column], Column]:
     return held
 
 
+def first_found(literals: list[str]) -> Callable[[Column], Column]:
+    """A column function: the place in ``literals`` of the first that a text holds; null for none and for a null text."""
+    places: dict[str, int] = {}
+    for k, literal in enumerate(literals):
+        if literal:
+            places.setdefault(literal, k)
+    kept, numbers = tuple(places), tuple(places.values())
+
+    @F.arrow_udf("int")
+    def first(texts: pa.Array) -> pa.Array:
+        if not kept:
+            return pa.nulls(len(texts), pa.int32())
+        automaton = _automaton(kept)
+        found = (min((k for _, k in automaton.iter(t.as_py())), default=None) if t.is_valid else None for t in texts)
+        return pa.array([None if k is None else numbers[k] for k in found], pa.int32())
+
+    return first
+
+
 def _best(options: list[frozenset[str] | None]) -> frozenset[str] | None:
     """Of several sets, each of which holds a literal of every match, the one whose shortest literal is longest."""
     known = [x for x in options if x]

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from coverline.functions.columns import SECTIONS, let, present, section_rank, since
 from coverline.functions.folding import fold_text
-from coverline.functions.matcher import finder, pattern_matches
+from coverline.functions.matcher import finder, first_found, pattern_matches
 from coverline.functions.urls import host_of
 from coverline.sources.rules import MOST_RULES, SCHEMAS, small
 
@@ -41,6 +41,40 @@ def _pieces(of: Column, lengths: list[int], mark: str) -> Column:
     return let(of, lambda x: F.array_distinct(F.concat(none, *(F.when(F.size(x) >= n, run(x, n)).otherwise(none) for n in lengths))))
 
 
+def _words(text: Column) -> Column:
+    return F.filter(F.split(text, APART), lambda w: w != "")
+
+
+def _whole(text: Column) -> Column:
+    """Words with one space around each."""
+    return F.concat(F.lit(" "), F.regexp_replace(text, APART, " "), F.lit(" "))
+
+
+def _keywords(rules: DataFrame) -> DataFrame:
+    """``rules`` with folded keywords, those of several words with single spaces, and whether a keyword is met anywhere in a text."""
+    own = rules.withColumn("keyword", fold_text("keyword")).withColumn("unspaced", F.col("keyword").rlike(UNSPACED))
+    return own.withColumn("keyword", F.when(F.col("unspaced"), F.col("keyword")).otherwise(F.array_join(_words(F.col("keyword")), " "))).where("keyword <> ''")
+
+
+def first_rule(rows: DataFrame, id_column: str, folded: Column, rules: DataFrame, *columns: str) -> DataFrame:
+    """``rows`` with ``columns`` of the first rule by priority whose keyword the text holds (as ``matches`` has it); null where there is none.
+
+    The automaton gives each row its rule, so that no row is shuffled; beyond ``MOST_RULES`` rules matches are joined by id.
+    """
+    known = _keywords(rules).where("priority is not null").select("keyword", "unspaced", "priority", *columns)
+    listed = known.limit(MOST_RULES + 1).collect()
+    if len(listed) > MOST_RULES:
+        best = matches(rows, id_column, folded, rules).groupBy("id").agg(F.min_by(F.struct(*columns), "priority").alias("x"))
+        return rows.join(best.select(F.col("id").alias(id_column), "x.*"), id_column, "left")
+    listed.sort(key=lambda r: (r.priority, r.keyword))
+    number = first_found([f" {r.keyword} " if not r.unspaced else "" for r in listed])(_whole(folded))
+    if any(r.unspaced for r in listed):
+        number = F.least(number, first_found([r.keyword if r.unspaced else "" for r in listed])(folded))
+    schema = "__rule int, " + ", ".join(f"`{c}` {known.schema[c].dataType.simpleString()}" for c in columns)
+    numbered = rows.sparkSession.createDataFrame([(k, *(r[c] for c in columns)) for k, r in enumerate(listed)], schema)
+    return rows.withColumn("__rule", number).join(F.broadcast(numbered), "__rule", "left").drop("__rule")  # at most MOST_RULES
+
+
 def matches(rows: DataFrame, id_column: str, folded: Column, rules: DataFrame) -> DataFrame:
     """(id, columns of the rule) of every rule whose keyword a text holds, as whole words or, in unspaced scripts, anywhere.
 
@@ -48,11 +82,10 @@ def matches(rows: DataFrame, id_column: str, folded: Column, rules: DataFrame) -
     ``MOST_RULES`` keywords the text's runs of as many words (characters) as some rule has meet the table instead, so that no
     task holds all rules. ``rules`` has keyword and whatever else a rule says.
     """
-    words = lambda text: F.filter(F.split(text, APART), lambda w: w != "")
     letters = lambda text: F.filter(F.split(text, ""), lambda c: c != "")
     base = rows.select(F.col(id_column).alias("id"), folded.alias("text"))
-    own = rules.withColumn("keyword", fold_text("keyword")).withColumn("unspaced", F.col("keyword").rlike(UNSPACED))
-    spaced = own.where(~F.col("unspaced")).withColumn("keyword", F.array_join(words(F.col("keyword")), " ")).where("keyword <> ''").drop("unspaced")
+    own = _keywords(rules)
+    spaced = own.where(~F.col("unspaced")).drop("unspaced")
     unspaced = own.where("unspaced").drop("unspaced")
 
     def met(base: DataFrame, table: DataFrame, text: Column, parts, mark: str, edge: str) -> DataFrame:
@@ -64,8 +97,7 @@ def matches(rows: DataFrame, id_column: str, folded: Column, rules: DataFrame) -
         lengths = sorted(r.n for r in sized.select("n").distinct().collect())  # of keywords, a handful
         return base.select("id", F.explode(_pieces(parts(F.col("text")), lengths, mark)).alias("keyword")).join(small(table), "keyword")
 
-    whole = F.concat(F.lit(" "), F.regexp_replace("text", APART, " "), F.lit(" "))
-    found = met(base, spaced, whole, words, " ", " ")
+    found = met(base, spaced, _whole(F.col("text")), _words, " ", " ")
     if unspaced.isEmpty():
         return found
     return found.unionByName(met(base.where(F.col("text").rlike(UNSPACED)), unspaced, F.col("text"), letters, "", ""))
@@ -183,18 +215,18 @@ def infer_geo(rows: DataFrame, id_column: str, folded: Column, places: DataFrame
     keyword, country; ``countries`` country, lat, lon; ``source_hints`` source_part, segment, country, for rows with source
     and url: the link's first two segments are looked up, and a hint without a country stands for none at all.
     """
-    first = lambda found, *columns: found.groupBy("id").agg(F.min_by(F.struct(*columns), "priority").alias("x")).select("id", "x.*")
-    hub = first(matches(rows, id_column, folded, places.withColumnRenamed("country", "hub_country")), "hub_country", F.col("name").alias("hub"), F.col("lat").alias("hub_lat"), F.col("lon").alias("hub_lon"))
-    named = first(matches(rows, id_column, folded, aliases.withColumnRenamed("country", "alias_country")), "alias_country")
-    out = rows.withColumn("id", F.col(id_column)).join(hub, "id", "left").join(named, "id", "left")
+    hubs = places.select("priority", "keyword", F.col("country").alias("hub_country"), F.col("name").alias("hub"), F.col("lat").alias("hub_lat"), F.col("lon").alias("hub_lon"))
+    out = first_rule(rows, id_column, folded, hubs, "hub_country", "hub", "hub_lat", "hub_lon")
+    out = first_rule(out, id_column, folded, aliases.withColumnRenamed("country", "alias_country"), "alias_country")
     if source_hints is None:
         out = out.withColumns({"hint_country": F.lit(None).cast("string"), "hinted": F.lit(False)})
     else:
         segments = F.slice(F.filter(F.split(F.lower(F.regexp_extract("url", r"^[a-zA-Z]+://[^/?#]*([^?#]*)", 1)), "/"), lambda x: x != ""), 1, 2)
-        probes = rows.select(F.col(id_column).alias("id"), F.lower("source").alias("name"), F.posexplode(segments).alias("depth", "segment"))
-        met = probes.join(small(source_hints), "segment").where(F.contains("name", F.col("source_part")))
-        best = met.groupBy("id").agg(F.max_by(F.struct(F.col("country").alias("hint_country"), F.lit(True).alias("hinted")), "depth").alias("x")).select("id", "x.*")
-        out = out.join(best, "id", "left").withColumn("hinted", F.coalesce("hinted", F.lit(False)))
+        by_segment = small(source_hints.groupBy("segment").agg(F.array_sort(F.collect_list(F.struct("source_part", F.col("country").alias("hint_country")))).alias("hints")))
+        for k in (0, 1):
+            out = out.withColumn("segment", F.get(segments, F.lit(k))).join(by_segment.withColumnRenamed("hints", f"__hints_{k}"), "segment", "left").drop("segment")
+        met = lambda k: F.get(F.filter(f"__hints_{k}", lambda h: F.contains(F.lower("source"), h.source_part)), 0)
+        out = out.withColumn("__hint", F.coalesce(met(1), met(0))).withColumns({"hint_country": F.col("__hint.hint_country"), "hinted": F.col("__hint").isNotNull()})
     by = F.when(F.col("hub").isNotNull(), "place").when(F.col("alias_country").isNotNull(), "country").when(F.col("hinted"), "hint").when(F.col(fallback).isNotNull(), "fallback").otherwise("none")
     country = F.when(F.col("hub").isNotNull(), F.col("hub_country")).when(F.col("alias_country").isNotNull(), F.col("alias_country")).when(F.col("hinted"), F.col("hint_country")).otherwise(F.col(fallback))
     out = out.withColumns({"geo_country": country, "decided_by": by})

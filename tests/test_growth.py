@@ -8,6 +8,7 @@ from datetime import datetime, timedelta
 from pyspark.sql import functions as F
 
 from coverline.operators import classify, merge
+from coverline.sources.rules import SCHEMAS
 
 LINKS = "external_id string, stable_id string, publication_datetime timestamp_ntz, url string"
 
@@ -135,6 +136,20 @@ def test_items_of_one_story_fill_each_other(spark):
     assert got == [("a", "title one", "told", at, ["x", "y"], 2), ("b", "b", "d", None, [], 1)]
 
 
+def test_places_and_hints_shuffle_no_row(spark):
+    made = lambda rows, kind: spark.createDataFrame(rows, SCHEMAS[kind])
+    places = made([(2, "red", "Second", "B", 1.0, 2.0), (1, "Steel  Ring", "First", "A", 3.0, 4.0), (3, "東京", "Tokyo", "J", 5.0, 6.0)], "places")
+    aliases = made([(1, "blue", "C")], "aliases")
+    hints = made([("desk", "local", "L"), ("desk", "deep", "D"), ("other", "deep", "O"), ("desk", "none", None)], "source_hints")
+    rows = [(1, "a red steel-ring", "x", None, "F"), (2, "red blue", "x", None, "F"), (3, "今日東京で", "x", None, "F"), (4, "blue", "x", None, None), (5, "redder", "My Desk", "https://a.com/local/deep/1", "F"), (6, None, "desk", "https://a.com/Local/x/deep", "F"), (7, "", "desk", "https://a.com/none", "F"), (8, "", "x", "https://a.com/deep", "F"), (9, "", None, None, None)]
+    table = spark.createDataFrame(rows, "id long, title string, source string, url string, country string")
+    geo = lambda rows: classify.infer_geo(rows, "id", F.lower("title"), places, aliases, made([("A", 9.0, 9.0)], "countries"), "country", hints)
+    got = {r.id: (r.geo_country, r.location, r.lat, r.decided_by) for r in geo(table).collect()}
+    assert got == {1: ("A", "First", 3.0, "place"), 2: ("B", "Second", 1.0, "place"), 3: ("J", "Tokyo", 5.0, "place"), 4: ("C", "C", None, "country"), 5: ("D", "D", None, "hint"), 6: ("L", "L", None, "hint"), 7: (None, None, None, "hint"), 8: ("F", "F", None, "fallback"), 9: (None, None, None, "none")}
+    many = spark.range(20_000).select(F.col("id"), F.concat(F.lit("red blue "), F.sha2(F.col("id").cast("string"), 256)).alias("title"), F.lit("desk").alias("source"), F.lit("https://a.com/local/x").alias("url"), F.lit("F").alias("country"))
+    assert _shuffled(spark, geo(many)) < 20_000
+
+
 def test_commonest_category_is_carried_once(spark):
     rows = spark.createDataFrame([("s", f"https://A.com:80/x/y/{k}", c) for k, c in enumerate("aabbbaccz")], "source string, url string, category string")
     learned = classify.learn_signature_categories(rows, 8, 0.3)
