@@ -93,7 +93,7 @@ def export_catalog(feeds: DataFrame, audit: DataFrame) -> DataFrame:
 def incremental_export(articles: DataFrame, last_to: datetime, to: datetime, overlap_seconds: int = 120) -> tuple[DataFrame, DataFrame]:
     """Rows created since the last cursor less an overlap, one for each id, and the next cursor."""
     rows = articles.where((F.col("created_at") >= at(last_to - timedelta(seconds=overlap_seconds))) & (F.col("created_at") < at(to)))
-    newest = rows.groupBy("external_id").agg(F.max_by(F.struct("created_at", "title_original", "url"), F.struct("created_at", "title_original", "url", "country")).alias("x")).select("external_id", "x.*")
+    newest = rows.groupBy("external_id").agg(F.max(F.struct("created_at", "title_original", "url", "country")).alias("x")).select("external_id", "x.created_at", "x.title_original", "x.url")
     return newest, rows.agg(F.coalesce(F.max("created_at"), at(last_to)).alias("cursor"))
 
 
@@ -128,9 +128,8 @@ class ExportFeed:
 
     def rows(self) -> DataFrame:
         """The newest copy of each id that was told, as the batch form has it."""
-        order = F.struct("created_at", "title_original", "url", "country")
         told = self.spark.read.parquet(f"{self.folder}/rows")
-        return told.groupBy("external_id").agg(F.max_by(F.struct("created_at", "title_original", "url"), order).alias("x")).select("external_id", "x.*")
+        return told.groupBy("external_id").agg(F.max(F.struct("created_at", "title_original", "url", "country")).alias("x")).select("external_id", "x.created_at", "x.title_original", "x.url")
 
     def cursor(self) -> datetime | None:
         return self.spark.read.parquet(f"{self.folder}/cursors").agg(F.max("cursor")).first()[0]

@@ -8,6 +8,7 @@ from datetime import datetime, timedelta
 from pyspark.sql import functions as F
 
 from coverline.operators import classify, merge
+from coverline.sources import registry
 from coverline.sources.rules import SCHEMAS
 
 LINKS = "external_id string, stable_id string, publication_datetime timestamp_ntz, url string"
@@ -159,3 +160,11 @@ def test_commonest_category_is_carried_once(spark):
     empty = rows.select("source", "url").distinct()
     assert {tuple(r)[1:] for r in classify.predict_signature_categories(empty, learned, "url").collect()} == {("b", 2)}
     assert "max_by" not in _plan(learned) + _plan(words) + _plan(classify.predict_signature_categories(empty, learned, "url"))
+
+
+def test_newest_copy_is_carried_once(spark):
+    at = datetime(2024, 1, 1, 12)
+    rows = spark.createDataFrame([("a", at, "t", "u", "c"), ("a", at, "t", None, "d"), ("a", at - timedelta(hours=1), "z", "z", "z"), ("b", at, None, "u", None)], "external_id string, created_at timestamp_ntz, title_original string, url string, country string")
+    newest = registry.incremental_export(rows, at - timedelta(hours=3), at + timedelta(hours=3))[0]
+    assert sorted(tuple(r) for r in newest.collect()) == [("a", at, "t", "u"), ("b", at, None, "u")]
+    assert "max_by" not in _plan(newest)
