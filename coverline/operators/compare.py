@@ -27,19 +27,42 @@ NO_NETWORK = "independent"
 BOTH = ["network", "candidate"]
 
 
-def _totals(items: DataFrame, current: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The totals of each candidate, and the distinct titles of each with whether they are known."""
-    known = lambda c: items.select(*BOTH, c).where(F.col(c).isNotNull()).distinct().join(current.select(c).distinct().withColumn("known", F.lit(True)), c, "left")
-    titles, links = known("title"), known("link")
-    counts = lambda rows, n, has: rows.groupBy(*BOTH).agg(F.count("*").alias(n), F.count_if(F.col("known")).alias(has))
-    totals = items.groupBy(*BOTH).agg(F.count("*").alias("n_items")).join(counts(titles, "n_titles", "title_overlap"), BOTH, "left").join(counts(links, "n_links", "overlap"), BOTH, "left")
+def _known(rows: DataFrame, current: DataFrame, c: str) -> DataFrame:
+    """``rows`` with known: whether a current source has their value of ``c``."""
+    return rows.join(current.select(c).distinct().withColumn("known", F.lit(True)), c, "left")
+
+
+def _counts(rows: DataFrame, n: str, has: str, weight: Column | int = 1) -> DataFrame:
+    each = F.lit(weight) if isinstance(weight, int) else weight
+    return rows.groupBy(*BOTH).agg(F.sum(each).cast("long").alias(n), F.sum(F.when(F.col("known"), each).otherwise(0)).cast("long").alias(has))
+
+
+def _distinct(items: DataFrame, c: str) -> DataFrame:
+    return items.select(*BOTH, c).where(F.col(c).isNotNull()).distinct()
+
+
+def _totals(items: DataFrame, current: DataFrame, titles: DataFrame) -> DataFrame:
+    """The totals of each candidate, from its items and the counts of its titles."""
+    links = _counts(_known(_distinct(items, "link"), current, "link"), "n_links", "overlap")
+    totals = items.groupBy(*BOTH).agg(F.count("*").alias("n_items")).join(titles, BOTH, "left").join(links, BOTH, "left")
     zeros = {c: F.coalesce(c, F.lit(0)) for c in ("n_titles", "title_overlap", "n_links", "overlap")}
-    return totals.withColumns(zeros).withColumns({"new_titles": F.col("n_titles") - F.col("title_overlap"), "new_links": F.col("n_links") - F.col("overlap")}), titles
+    return totals.withColumns(zeros).withColumns({"new_titles": F.col("n_titles") - F.col("title_overlap"), "new_links": F.col("n_links") - F.col("overlap")})
 
 
 def candidate_totals(items: DataFrame, current: DataFrame) -> DataFrame:
     """Per candidate source: items, distinct titles and links, and how many of them current sources have."""
-    return _totals(items, current)[0]
+    return _totals(items, current, _counts(_known(_distinct(items, "title"), current, "title"), "n_titles", "title_overlap"))
+
+
+def _holders(titles: DataFrame) -> DataFrame:
+    """Of rows of (network, candidate, title) a row for each title of a network with the candidates that have it."""
+    return titles.groupBy("network", "title").agg(F.array_sort(F.collect_set("candidate")).alias("who"))
+
+
+def _numbered(totals: DataFrame) -> DataFrame:
+    """With tie, the place of a candidate among those of its network that add as much, and node, its number."""
+    tie = F.row_number().over(Window.partitionBy("network").orderBy(F.desc("new_titles"), F.desc("n_items"), "candidate"))
+    return keep(totals.withColumn("tie", tie).withColumn("node", F.monotonically_increasing_id()), "totals")
 
 
 def candidate_lift(items: DataFrame, current: DataFrame) -> DataFrame:
@@ -49,34 +72,44 @@ def candidate_lift(items: DataFrame, current: DataFrame) -> DataFrame:
     that adds most new titles comes first (then more new titles in all, more items, the smaller name); ``lift`` is what it adds after those
     before it, ``penalty`` the new titles that these already brought. Others have all their new titles for lift, and no place.
 
-    Candidates that share no title, not even through others, do not change what each other adds, so the order is found in
-    each class of candidates that do. A class of up to ``MOST_OPEN`` rows is ordered by one task. In a larger one, a
-    candidate that comes before all who share a title with it that is still open is chosen by the greedy order before any of
-    these, so what it adds is settled; all such candidates are settled at once, their titles closed, and the rest counted
-    again, until what is open falls to that bound. No task holds more.
+    Titles that the same candidates of a network have count alike, so they are one set of candidates with their number; all
+    that follows is over sets, and over numbers for candidates. Candidates that share no title, not even through others, do
+    not change what each other adds, so the order is found in each class of candidates that do. A class of up to
+    ``MOST_OPEN`` rows is ordered by one task. In a larger one, a candidate that comes before all who share a title with it
+    that is still open is chosen by the greedy order before any of these, so what it adds is settled; all such candidates are
+    settled at once, their titles closed, and the rest counted again, until what is open falls to that bound. No task holds more.
     """
-    totals, titles = _totals(items, current)
+    titles = _known(_holders(items.where("title is not null")), current, "title")
+    sets = keep(titles.groupBy("network", "known", "who").agg(F.count("*").alias("n")).withColumn("set_id", F.monotonically_increasing_id()), "sets")
+    totals = _totals(items, current, _counts(sets.select("network", "known", "n", F.explode("who").alias("candidate")), "n_titles", "title_overlap", F.col("n")))
     sizes = totals.where(F.col("network") != NO_NETWORK).groupBy("network").agg(F.count("*").alias("n")).where("n > 1").select("network", F.lit(True).alias("ranked"))
-    totals = keep(totals.join(sizes, "network", "left"), "totals")
-    lifts = _settled_lifts(titles.where("known is null").select(*BOTH, "title").join(totals.where("ranked").select(*BOTH, "new_titles", "n_items"), BOTH))
-    out = totals.join(lifts, BOTH, "left").withColumn("lift", F.when(F.col("ranked"), F.coalesce("lift", F.lit(0))).otherwise(F.col("new_titles")))
-    place = F.row_number().over(Window.partitionBy("ranked", "network").orderBy(F.desc("lift"), F.desc("new_titles"), F.desc("n_items"), "candidate"))
-    return out.withColumns({"penalty": F.col("new_titles") - F.col("lift"), "place": F.when(F.col("ranked"), place).cast("long")}).drop("ranked")
+    totals = _numbered(totals.join(sizes, "network", "left"))
+    out = totals.join(_lifts(sets.where("known is null"), totals.where("ranked")), "node", "left").drop("node")
+    out = out.withColumn("lift", F.when(F.col("ranked"), F.coalesce("lift", F.lit(0))).otherwise(F.col("new_titles")))
+    place = F.row_number().over(Window.partitionBy("ranked", "network").orderBy(F.desc("lift"), "tie"))
+    return out.withColumns({"penalty": F.col("new_titles") - F.col("lift"), "place": F.when(F.col("ranked"), place).cast("long")}).drop("ranked", "tie")
 
 
-#: Rows (a candidate's open title) of a class that one task orders.
-MOST_OPEN = 500_000
+#: Rows (a candidate's open set of titles, in four numbers) of a class that one task orders.
+MOST_OPEN = 4_000_000
 
 
 def _settled_lifts(open_titles: DataFrame, most: int = MOST_OPEN) -> DataFrame:
     """(network, candidate, lift) from rows of (network, candidate, title, new_titles, n_items)."""
-    rows = keep(open_titles.withColumn("node", F.to_json(F.struct(*BOTH))), "open")
-    firsts = rows.groupBy("network", "title").agg(F.min("node").alias("first"))
-    classes = components(rows.join(firsts, ["network", "title"]).select(F.col("node").alias("a"), F.col("first").alias("b")).distinct())
-    settled, left = [], keep(rows.join(classes, "node").drop("node"), "open")
+    sets = _holders(open_titles).groupBy("network", "who").agg(F.count("*").alias("n")).withColumn("set_id", F.monotonically_increasing_id())
+    totals = _numbered(open_titles.select(*BOTH, "new_titles", "n_items").distinct())
+    return totals.join(_lifts(keep(sets, "sets"), totals, most), "node").select(*BOTH, "lift")
+
+
+def _lifts(sets: DataFrame, totals: DataFrame, most: int = MOST_OPEN) -> DataFrame:
+    """(node, lift) from sets of candidates that have ``n`` open titles together, and the candidates' nodes and order in ties."""
+    rows = sets.select("network", "set_id", "n", F.explode("who").alias("candidate")).join(totals.select(*BOTH, "node", "tie"), BOTH).select("set_id", "node", "tie", "n")
+    rows = keep(rows, "rows")
+    links = rows.groupBy("set_id").agg(F.min("node").alias("a"), F.collect_set("node").alias("b")).select("a", F.explode("b").alias("b")).distinct()
+    settled, left = [], keep(rows.join(components(links), "node"), "open")
     while True:
-        large = left.groupBy("class_id").agg(F.count("*").alias("n")).where(F.col("n") > most).select("class_id")
-        settled.append(keep(left.join(large, "class_id", "left_anti").groupBy("class_id").applyInPandas(_ordered, "network string, candidate string, lift long"), "chosen"))
+        large = left.groupBy("class_id").agg(F.count("*").alias("rows")).where(F.col("rows") > most).select("class_id")
+        settled.append(keep(left.join(large, "class_id", "left_anti").groupBy("class_id").applyInPandas(_ordered, "node long, lift long"), "chosen"))
         left = keep(left.join(large, "class_id", "left_semi"), "open")
         if left.isEmpty():
             return reduce(DataFrame.unionByName, settled)
@@ -86,27 +119,27 @@ def _settled_lifts(open_titles: DataFrame, most: int = MOST_OPEN) -> DataFrame:
 
 def _settle_round(left: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The candidates that come before all who share an open title with them, and the rows that are open after these."""
-    gains = left.groupBy(*BOTH, "new_titles", "n_items").agg(F.count("*").alias("gain"))
-    order = F.struct((-F.col("gain")).alias("gain"), (-F.col("new_titles")).alias("new"), (-F.col("n_items")).alias("items"), F.col("candidate").alias("name"))
-    keyed = left.join(gains.select(*BOTH, "gain", order.alias("order")), BOTH)
-    first = keyed.groupBy("network", "title").agg(F.min("order").alias("first"))
-    chosen = keep(keyed.join(first, ["network", "title"]).groupBy(*BOTH).agg(F.bool_and(F.col("order") == F.col("first")).alias("all"), F.max("gain").alias("lift")).where("all").select(*BOTH, "lift"), "chosen")
-    closed = left.join(chosen.select(*BOTH), BOTH, "left_semi").select("network", "title").distinct()
-    return chosen, keep(left.join(closed, ["network", "title"], "left_anti"), "open")
+    gains = left.groupBy("node").agg(F.sum("n").alias("gain"), F.struct((-F.sum("n")).alias("gain"), F.first("tie").alias("tie")).alias("order"))
+    keyed = left.join(gains, "node")
+    first = keyed.groupBy("set_id").agg(F.min("order").alias("first"))
+    chosen = keep(keyed.join(first, "set_id").groupBy("node").agg(F.bool_and(F.col("order") == F.col("first")).alias("all"), F.max("gain").alias("lift")).where("all").select("node", "lift"), "chosen")
+    closed = left.join(chosen.select("node"), "node", "left_semi").select("set_id").distinct()
+    return chosen, keep(left.join(closed, "set_id", "left_anti"), "open")
 
 
 def _ordered(rows: pd.DataFrame) -> pd.DataFrame:
     """What each candidate of one class adds, in greedy order; those that add nothing are left out."""
-    names = rows[["candidate", "new_titles", "n_items"]].drop_duplicates("candidate")
-    # Spark orders strings by their bytes
-    names = names.assign(name=names["candidate"].map(str.encode)).sort_values(["new_titles", "n_items", "name"], ascending=[False, False, True], ignore_index=True)
-    who = pd.Series(names.index, index=names["candidate"]).loc[rows["candidate"]].to_numpy()
-    what = pd.factorize(rows["title"])[0]
-    titles_of = np.split(what[np.argsort(who, kind="stable")], np.cumsum(np.bincount(who))[:-1])
+    names = rows[["node", "tie"]].drop_duplicates("node").sort_values("tie", ignore_index=True)
+    who = np.searchsorted(names["tie"].to_numpy(), rows["tie"].to_numpy())
+    what = pd.factorize(rows["set_id"])[0]
+    sizes = np.zeros(what.max() + 1, np.int64)
+    sizes[what] = rows["n"].to_numpy()
+    sets_of = np.split(what[np.argsort(who, kind="stable")], np.cumsum(np.bincount(who))[:-1])
     ends = np.cumsum(np.bincount(what))
-    holders, is_open, gain = who[np.argsort(what, kind="stable")], np.ones(len(ends), bool), np.bincount(who)
+    holders, is_open, gain = who[np.argsort(what, kind="stable")], np.ones(len(ends), bool), np.zeros(len(names), np.int64)
+    np.add.at(gain, who, sizes[what])
     # gains only fall, so a candidate whose gain still holds when it comes up is the first
-    heap, lifts = [(-g, k) for k, g in enumerate(gain.tolist())], np.zeros(len(gain), int)
+    heap, lifts = [(-g, k) for k, g in enumerate(gain.tolist())], np.zeros(len(gain), np.int64)
     heapq.heapify(heap)
     while heap:
         g, k = heapq.heappop(heap)
@@ -115,10 +148,12 @@ def _ordered(rows: pd.DataFrame) -> pd.DataFrame:
                 heapq.heappush(heap, (-int(gain[k]), k))
             continue
         lifts[k] = gain[k]
-        for t in titles_of[k][is_open[titles_of[k]]]:
-            is_open[t] = False
-            gain[holders[ends[t - 1] if t else 0 : ends[t]]] -= 1
-    return pd.DataFrame({"network": rows["network"].iloc[0], "candidate": names["candidate"], "lift": lifts})[lifts > 0]
+        closed = sets_of[k][is_open[sets_of[k]]]
+        is_open[closed] = False
+        counts = np.diff(ends, prepend=0)[closed]
+        at_holder = np.repeat(ends[closed] - np.cumsum(counts), counts) + np.arange(counts.sum())
+        np.subtract.at(gain, holders[at_holder], np.repeat(sizes[closed], counts))
+    return pd.DataFrame({"node": names["node"], "lift": lifts})[lifts > 0]
 
 
 def link_kind(url: Column) -> Column:

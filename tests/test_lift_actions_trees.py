@@ -96,6 +96,23 @@ def test_many_candidates_take_few_rounds(spark, monkeypatch):
     assert rounds.count("chosen") <= 12
 
 
+def test_titles_of_the_same_candidates_are_one_row(spark, monkeypatch):
+    """Twelve candidates share 6,000 titles in 66 pairs; what a task orders is counted in pairs, so they take no round."""
+    kept = []
+    plain = compare.keep
+    monkeypatch.setattr(compare, "keep", lambda df, name: (kept.append(name), plain(df, name))[1])
+    pairs = [(a, b) for a in range(12) for b in range(a)]
+    items = [("n", f"c{c:02}", f"t{t}", "l") for t in range(6_000) for c in pairs[t * t % 66]]
+    counted = {}
+    for _, c, t, _ in items:
+        counted.setdefault(c, set()).add(t)
+    rows = [("n", c, t, len(ts), len(ts)) for c, ts in counted.items() for t in ts]
+    got = compare._settled_lifts(spark.createDataFrame(rows, "network string, candidate string, title string, new_titles long, n_items long"), 200).collect()
+    lifts, _ = greedy(items, [])
+    assert {("n", r.candidate): r.lift for r in got} == {k: lift for k, (lift, _, _) in lifts.items() if lift}
+    assert kept.count("chosen") == 1
+
+
 def test_lift_of_nothing(spark):
     none = spark.createDataFrame([], "network string, candidate string, title string, link string")
     assert compare.candidate_lift(none, none.select("title", "link")).collect() == []
