@@ -73,34 +73,52 @@ def window_ends(moment: Column, hours: int = 24) -> Column:
     return F.when(moment.isNotNull(), ends).otherwise(F.array().cast("array<timestamp_ntz>"))
 
 
-def buckets_of(articles: DataFrame) -> Column:
-    """The buckets of ``benchmark_hours`` that a row of ``articles`` counts in."""
-    return F.array_distinct(F.concat(window_ends(articles["created_at"]), window_ends(articles["publication_datetime"])))
+def days_of(articles: DataFrame) -> DataFrame:
+    """(day): the days of the buckets of ``benchmark_hours`` that ``articles`` count in."""
+    hours = articles.select(F.explode(F.array(*(F.date_trunc("hour", c).cast("timestamp_ntz") for c in ("created_at", "publication_datetime")))).alias("hour")).distinct()
+    return hours.select(F.explode(window_ends(F.col("hour"))).alias("bucket")).select(F.to_date("bucket").alias("day")).distinct()
+
+
+def _hours_of(articles: DataFrame) -> DataFrame:
+    """Per (source_country, source) and hour: how many articles were created and published in it, how many of these can be
+    fresh in any bucket, and how many it has by the publication as it stands (``told``)."""
+    hour = lambda c: F.date_trunc("hour", c).cast("timestamp_ntz")
+    rows = articles.select("source_country", "source", hour("created_at").alias("hc"), hour("publication_datetime").alias("hq")).withColumn("hp", F.least("hc", "hq"))
+    can = F.coalesce(F.col("hp") + F.expr("INTERVAL '23' HOUR") >= F.col("hc"), F.lit(False))
+    rows = rows.withColumns({"can": can.cast("long"), "by_created": (F.coalesce(F.col("hp") == F.col("hc"), F.lit(False))).cast("long")})
+    zero, one = F.lit(0).cast("long"), F.lit(1).cast("long")
+    event = lambda h, **n: F.struct(F.col(h).alias("hour"), *(n.get(c, zero).alias(c) for c in ("created", "created_can", "published", "published_can", "told")))
+    at_created = event("hc", created=one, created_can=F.col("can"), published=F.col("by_created"), published_can=F.col("by_created") * F.col("can"))
+    at_told = event("hq", published=one - F.col("by_created"), published_can=(one - F.col("by_created")) * F.col("can"), told=one)
+    events = rows.select("source_country", "source", F.inline(F.array(at_created, at_told))).where("hour is not null")
+    return events.groupBy("source_country", "source", "hour").agg(*(F.sum(c).alias(c) for c in ("created", "created_can", "published", "published_can", "told")))
 
 
 def benchmark_hours(articles: DataFrame, feeds: DataFrame, days: DataFrame | None = None) -> DataFrame:
-    """``country_benchmark_hourly`` at every full hour at once, or those of some ``days`` (day): a row is spread over the hours whose day it counts in.
+    """``country_benchmark_hourly`` at every full hour at once, or those of some ``days`` (day).
 
-    All bounds are full hours, so a source's articles are first counted by the hours of their two moments; these counts are
-    spread where all of a source lie in one partition, and what is shuffled after that is a row for each bucket and source.
+    All bounds are full hours, so a source's articles are first counted by hour. An hour's counts come into the buckets from
+    the next hour on and leave them 24 hours later (those of the last hour: one later); an article published ``p`` and created ``c``
+    is fresh from ``c`` until 24 hours after ``p``, and late from then until 24 hours after ``c``. So a source's buckets are
+    running sums over what comes and goes, and no article is spread over the buckets it counts in.
     """
     kept = articles.where(~low_signal_title(F.col("title_original"), F.col("url"), F.col("source"), F.col("title_quality")))
-    hour = lambda c: F.date_trunc("hour", c).cast("timestamp_ntz").alias(c)
-    pair = ("source_country", "source")
-    cells = kept.groupBy(*pair, hour("created_at"), hour("publication_datetime")).agg(F.count("*").alias("n"))
-    named = resolve_country(kept.select(*pair).distinct(), feeds).select(*(F.col(c).alias(f"__{c}") for c in pair), F.col("resolved_country").alias("country"))
-    cells = cells.join(named, F.col("source_country").eqNullSafe(F.col("__source_country")) & F.col("source").eqNullSafe(F.col("__source"))).withColumn("pub", clamped_publication())
-    rows = cells.repartition("country", "source").select("country", "source", "pub", "created_at", "n", F.explode(buckets_of(cells)).alias("bucket"))
-    if days is not None:
-        rows = rows.join(F.broadcast(days), F.to_date("bucket") == F.col("day"), "left_semi")
-    start = F.col("bucket") - F.expr("INTERVAL '24' HOUR")
-    inside = lambda c, first: (F.col(c) >= first) & (F.col(c) < F.col("bucket"))
-    created, published = inside("created_at", start), inside("pub", start)
-    of = lambda met: F.sum(F.when(met, F.col("n")).otherwise(0))
-    counts = rows.groupBy("bucket", "country", "source").agg(
-        of(inside("created_at", F.col("bucket") - F.expr("INTERVAL '1' HOUR"))).alias("inserted_1h"), of(created).alias("inserted"),
-        of(published).alias("published"), of(created & published).alias("fresh"), of(created & (F.col("pub") < start)).alias("late"),
+    hours = resolve_country(_hours_of(kept), feeds).withColumnRenamed("resolved_country", "country").repartition("country", "source")
+    values = ("inserted_1h", "inserted", "published", "fresh", "late", "told")
+    n, zero = F.col, F.lit(0).cast("long")
+    never = n("created") - n("created_can")
+    step = lambda after, **by: F.struct((n("hour") + F.expr(f"INTERVAL '{after}' HOUR")).alias("bucket"), *(by.get(v, zero).alias(v) for v in values))
+    steps = F.array(
+        step(1, inserted_1h=n("created"), inserted=n("created"), published=n("published"), fresh=n("created_can"), late=never, told=n("told")), step(2, inserted_1h=-n("created")),
+        step(25, inserted=-n("created"), published=-n("published"), fresh=-n("published_can"), late=n("published_can") - n("created"), told=-n("told")),
     )
+    changes = hours.select("country", "source", F.inline(steps)).groupBy("country", "source", "bucket").agg(*(F.sum(v).alias(v) for v in values))
+    along = Window.partitionBy("country", "source").orderBy("bucket")
+    sums = changes.select("country", "source", "bucket", F.lead("bucket").over(along).alias("next"), *(F.sum(v).over(along.rowsBetween(Window.unboundedPreceding, 0)).alias(v) for v in values))
+    hour = F.expr("INTERVAL '1' HOUR")
+    counts = sums.where("inserted > 0 or told > 0").withColumn("bucket", F.explode(F.sequence("bucket", F.col("next") - hour, hour))).drop("next", "told")
+    if days is not None:
+        counts = counts.join(F.broadcast(days), F.to_date("bucket") == F.col("day"), "left_semi")
     return country_totals(counts, ("bucket", "country"))
 
 

@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
 from coverline.functions.columns import at
-from coverline.operators.benchmark import benchmark_hours, buckets_of, write_snapshots
-from coverline.sources.kept import exists
+from coverline.operators.benchmark import benchmark_hours, days_of, write_snapshots
+from coverline.sources.kept import exists, keep
 
 VERSION = "v1"
 
@@ -45,7 +45,7 @@ class Snapshots:
         newest = self._newest(batch)
         behind = F.lit(False) if newest is None else F.col("created_at") < at(newest - self.late)
         note = own.agg(F.count("*").alias("n"), F.count_if(behind).alias("behind"), F.max("created_at").alias("newest"))
-        days = own.select(F.explode(buckets_of(own)).alias("bucket")).select(F.to_date("bucket").alias("day")).distinct()
+        days = keep(days_of(own), "days")
         first, last = days.agg(F.min("day"), F.max("day")).first()
         if first is not None:
             # rows of other days are left to the scan's filters; what counts in a day is at most a day older than it

@@ -115,3 +115,32 @@ def test_hours_are_shuffled_before_they_are_spread(spark):
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("explode") < plan.index("RepartitionByExpression") and "Aggregate" in plan[plan.index("RepartitionByExpression") :]
     assert [(r.inserted_1h, r.inserted, r.published, r.fresh, r.late) for r in found.orderBy("bucket").collect()] == [(0, 0, 20_000, 0, 0)] * 3 + [(0, 0, 20_000, 0, 0)] + [(20_000, 20_000, 20_000, 20_000, 0)] + [(0, 20_000, 20_000, 20_000, 0)] * 19 + [(0, 20_000, 0, 0, 20_000)] * 4
+
+
+def test_no_article_is_spread_over_its_buckets(spark):
+    """Buckets are running sums of what comes and goes, also for missing times and for articles published after they were stored."""
+    import random
+    from datetime import datetime, timedelta
+
+    from coverline.operators.benchmark import benchmark_hours
+
+    draw, start, hour = random.Random(5), datetime(2024, 1, 1), timedelta(hours=1)
+    moment = lambda spread: None if draw.random() < 0.1 else start + timedelta(minutes=draw.randrange(spread * 60))
+    rows = [(draw.choice("abc"), draw.choice(["C", None]), f"a long enough title of {k}", f"https://a.com/{k}", "ok", moment(90), moment(90)) for k in range(120)]
+    registry = spark.createDataFrame([("C", "1", "a"), ("D", "2", "b")], "country string, code string, source string")
+    found = benchmark_hours(spark.createDataFrame(rows, "source string, source_country string, title_original string, url string, title_quality string, created_at timestamp_ntz, publication_datetime timestamp_ntz"), registry)
+    wanted = {}
+    for source, country, *_, created, told in rows:
+        country = country or {"a": "C", "b": "D"}.get(source, "(unknown)")
+        pub = min(t for t in (created, told, datetime.max) if t)
+        for k in range(1, 140):
+            b = start + k * hour
+            day = lambda t: t is not None and b - 24 * hour <= t < b  # noqa: E731, B023
+            if not day(created) and not day(told):
+                continue
+            one = wanted.setdefault((b, country), [0] * 5)
+            for n, met in enumerate((day(created) and created >= b - hour, day(created), day(pub), day(created) and day(pub), day(created) and pub < b - 24 * hour)):
+                one[n] += met
+    assert {(r.bucket, r.country): [r.inserted_1h, r.inserted, r.published, r.fresh, r.late] for r in found.collect()} == wanted
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.rindex("sequence(") < plan.rindex("Window [")
