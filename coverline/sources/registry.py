@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from coverline.functions.columns import at, present
 from coverline.functions.urls import normalize_link
+from coverline.sources.kept import exists, repeated
 
 REGISTRY = """countries array<struct<name string, code string, feeds array<struct<name string, url string, sitemapUrl string, enabled boolean, category string, language string, tier int, distributionClass string>>>>"""
 ARTICLES = """external_id string, stable_id string, publication_datetime timestamp_ntz, created_at timestamp_ntz, updated_at timestamp_ntz, title_original string, title_quality string, snippet_original string, country string, source_country string, url string, source string,
@@ -93,43 +94,80 @@ def export_catalog(feeds: DataFrame, audit: DataFrame) -> DataFrame:
 def incremental_export(articles: DataFrame, last_to: datetime, to: datetime, overlap_seconds: int = 120) -> tuple[DataFrame, DataFrame]:
     """Rows created since the last cursor less an overlap, one for each id, and the next cursor."""
     rows = articles.where((F.col("created_at") >= at(last_to - timedelta(seconds=overlap_seconds))) & (F.col("created_at") < at(to)))
-    newest = rows.groupBy("external_id").agg(F.max(F.struct("created_at", "title_original", "url", "country")).alias("x")).select("external_id", "x.created_at", "x.title_original", "x.url")
-    return newest, rows.agg(F.coalesce(F.max("created_at"), at(last_to)).alias("cursor"))
+    return _newest(rows), rows.agg(F.coalesce(F.max("created_at"), at(last_to)).alias("cursor"))
 
 
 EXPORT = ("external_id", "created_at", "title_original", "url", "country")
 
 
+def _newest(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("external_id").agg(F.max(F.struct("created_at", "title_original", "url", "country")).alias("x")).select("external_id", "x.created_at", "x.title_original", "x.url")
+
+
 class ExportFeed:
     """``incremental_export`` as a stream into ``folder``: rows by batch and the cursor after each.
 
-    What is told once within the overlap is not told again: exact repeats are kept as state until the watermark, the newest row less the
-    overlap, has passed them. Rows behind the watermark are dropped, as the batch form drops what lies before its cursor less the overlap
-    (to the millisecond). A batch that comes again replaces its own files.
+    What was told once within the overlap is not told again: a batch is held against the rows that earlier ones told since the
+    cursor less the overlap. Rows before that are dropped, as the batch form drops them, and counted. A batch that comes
+    again replaces its own files.
+
+    Most rows are unlike all others, and most ids are told once. So hashes and ids are counted first, and only rows that share
+    one with another are shuffled whole.
     """
 
     def __init__(self, spark: SparkSession, folder: str, overlap_seconds: int = 120):
         self.spark, self.folder, self.overlap = spark, folder.rstrip("/"), overlap_seconds
 
-    def fresh(self, articles: DataFrame) -> DataFrame:
-        rows = articles.select(*EXPORT).withColumn("created_at", F.col("created_at").cast("timestamp"))
-        return rows.withWatermark("created_at", f"{self.overlap * 1000 + 1} milliseconds").dropDuplicatesWithinWatermark(list(EXPORT))
+    def _told(self) -> DataFrame:
+        types = {"created_at": "timestamp_ntz"}
+        return self.spark.read.schema(", ".join(f"{c} {types.get(c, 'string')}" for c in EXPORT) + ", batch int").parquet(f"{self.folder}/rows")
+
+    def _notes(self) -> DataFrame:
+        return self.spark.read.schema("cursor timestamp_ntz, behind long, batch int").parquet(f"{self.folder}/cursors")
+
+    def fresh(self, rows: DataFrame, edge: datetime | None, batch: int) -> DataFrame:
+        """The distinct rows since ``edge`` that no earlier batch told."""
+        rows = rows.select(*EXPORT).where(F.col("created_at").isNotNull() if edge is None else F.col("created_at") >= at(edge))
+        both = rows.withColumn("told", F.lit(0))
+        if edge is not None:
+            both = both.unionByName(self._told().where((F.col("batch") < batch) & (F.col("created_at") >= at(edge))).select(*EXPORT, F.lit(1).alias("told")))
+        once = lambda rows: rows.groupBy(*EXPORT).agg(F.max("told").alias("told")).where("told = 0").select(*EXPORT)
+        # equal rows have equal hashes
+        hashed, x = both.withColumn("hash", F.xxhash64(*EXPORT)), F.col("hash") == F.col("x")
+        shared = repeated(hashed, F.col("hash"))
+        if shared is None:
+            return once(both)
+        return hashed.where("told = 0").join(shared, x, "left_anti").select(*EXPORT).unionByName(once(hashed.join(shared, x, "left_semi")))
 
     def take(self, rows: DataFrame, batch: int) -> None:
-        rows.withColumn("created_at", F.col("created_at").cast("timestamp_ntz")).write.mode("overwrite").parquet(f"{self.folder}/rows/batch={batch}")
-        told = self.spark.read.parquet(f"{self.folder}/rows/batch={batch}")
-        told.agg(F.max("created_at").alias("cursor")).coalesce(1).write.mode("overwrite").parquet(f"{self.folder}/cursors/batch={batch}")
+        cursor = self.cursor(batch)
+        edge = None if cursor is None else cursor - timedelta(seconds=self.overlap)
+        rows = rows.withColumn("created_at", F.col("created_at").cast("timestamp_ntz"))
+        behind = 0 if edge is None else rows.where(F.col("created_at") < at(edge)).count()
+        self.fresh(rows, edge, batch).write.mode("overwrite").parquet(f"{self.folder}/rows/batch={batch}")
+        told = self._told().where(F.col("batch") == batch)
+        told.agg(F.max("created_at").alias("cursor"), F.lit(behind).cast("long").alias("behind")).coalesce(1).write.mode("overwrite").parquet(f"{self.folder}/cursors/batch={batch}")
 
     def drain(self, articles: DataFrame) -> int:
-        """Takes all that the stream holds now; returns how many rows came behind the watermark."""
-        running = self.fresh(articles).writeStream.option("checkpointLocation", f"{self.folder}/state").trigger(availableNow=True).foreachBatch(self.take).start()
-        running.awaitTermination()
-        return sum(o.numRowsDroppedByWatermark for p in running.recentProgress for o in p.stateOperators)
+        """Takes all that the stream holds now; returns how many rows came behind the overlap."""
+        last = self._notes().agg(F.max("batch")).first()[0] if exists(self.spark, f"{self.folder}/cursors") else None
+        articles.writeStream.option("checkpointLocation", f"{self.folder}/state").trigger(availableNow=True).foreachBatch(self.take).start().awaitTermination()
+        if not exists(self.spark, f"{self.folder}/cursors"):
+            return 0
+        return self._notes().where(F.col("batch") > (-1 if last is None else last)).agg(F.coalesce(F.sum("behind"), F.lit(0))).first()[0]
 
     def rows(self) -> DataFrame:
         """The newest copy of each id that was told, as the batch form has it."""
-        told = self.spark.read.parquet(f"{self.folder}/rows")
-        return told.groupBy("external_id").agg(F.max(F.struct("created_at", "title_original", "url", "country")).alias("x")).select("external_id", "x.created_at", "x.title_original", "x.url")
-
-    def cursor(self) -> datetime | None:
-        return self.spark.read.parquet(f"{self.folder}/cursors").agg(F.max("cursor")).first()[0]
+        told = self._told().drop("batch")
+        several = repeated(told, F.col("external_id"))
+        if several is None:
+            return _newest(told)
+        x = F.col("external_id").eqNullSafe(F.col("x"))
+        return told.join(several, x, "left_anti").select("external_id", "created_at", "title_original", "url").unionByName(_newest(told.join(several, x, "left_semi")))
+
+    def cursor(self, before: int | None = None) -> datetime | None:
+        """The newest moment told by the batches (before ``before``)."""
+        if not exists(self.spark, f"{self.folder}/cursors"):
+            return None
+        notes = self._notes() if before is None else self._notes().where(F.col("batch") < before)
+        return notes.agg(F.max("cursor")).first()[0]

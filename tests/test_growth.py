@@ -8,7 +8,7 @@ from datetime import datetime, timedelta
 from pyspark.sql import functions as F
 
 from coverline.operators import classify, merge
-from coverline.sources import registry
+from coverline.sources import kept, registry
 from coverline.sources.rules import SCHEMAS
 
 LINKS = "external_id string, stable_id string, publication_datetime timestamp_ntz, url string"
@@ -168,3 +168,39 @@ def test_newest_copy_is_carried_once(spark):
     newest = registry.incremental_export(rows, at - timedelta(hours=3), at + timedelta(hours=3))[0]
     assert sorted(tuple(r) for r in newest.collect()) == [("a", at, "t", "u"), ("b", at, None, "u")]
     assert "max_by" not in _plan(newest)
+
+
+def test_ids_of_one_row_are_not_shuffled_whole(spark, monkeypatch):
+    """The second merge of D2 and the newest rows of a kept table: the same rows, whether few ids repeat or too many for a broadcast."""
+    at = datetime(2024, 1, 1)
+    rows = [(f"e{k}", None if k % 3 else f"s{k // 2}", at, f"t{k}", "ok", ["b", "a"], f"{k:05}") for k in range(2_000)] + [("e1", "s9", at, "again", "recovered", ["c"], "z"), (None, "s7", at, "none", "ok", None, "y"), (None, "s8", at, "none", "ok", None, "x")]
+    table = spark.createDataFrame(rows, "external_id string, stable_id string, publication_datetime timestamp_ntz, title_original string, title_quality string, tags array<string>, seen string").withColumn("title_original", F.concat("title_original", F.sha2("title_original", 512)))
+    merged = lambda: merge.dedupe_articles(table, ["external_id", "stable_id", "publication_datetime", "title_original", "title_quality"], ["tags"])
+    latest = lambda: merge.latest_of_kept(table, "external_id", ["seen"])
+    found = [sorted(map(repr, rows().collect())) for rows in (merged, latest)]
+    assert len(found[1]) == 2_001 and _shuffled(spark, merged()) < 10_000 and _shuffled(spark, latest()) < 10_000
+    monkeypatch.setattr(kept, "MOST_REPEATED", 0)
+    assert [sorted(map(repr, rows().collect())) for rows in (merged, latest)] == found
+    assert sorted(map(repr, merge.latest_first(table, "external_id", ["seen"]).collect())) == found[1]
+
+
+def test_an_export_shuffles_only_what_repeats(spark, tmp_path, monkeypatch):
+    """Exact repeats are told once, copies and rows without values each, rows behind the overlap not; no state is kept beside what was told."""
+    at = datetime(2024, 1, 1, 12)
+    schema = "external_id string, created_at timestamp_ntz, title_original string, url string, country string"
+    row = lambda k, hours=0, title="t": (None if k == 5 else f"e{k}", at + timedelta(hours=hours), title + str(k), None if k == 7 else f"https://a.com/{k * k:060}", "c")
+    loads = [[row(k) for k in range(3_000)] + [row(3), row(5), row(7)], [row(k, 1) for k in range(3_000, 3_010)] + [row(3), row(5), row(7), row(8, 0, "new"), row(9, 5), row(9, 5), row(4, -4, "late"), row(4, -4, "late")], [row(9, 5), row(10, 1)]]
+    found = []
+    for most in (kept.MOST_REPEATED, 0):
+        monkeypatch.setattr(kept, "MOST_REPEATED", most)
+        feed, behind = registry.ExportFeed(spark, f"{tmp_path}/feed{most}", 3 * 3600), []
+        for k, rows in enumerate(loads):
+            spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/in{most}/{k}")
+            behind.append(feed.drain(spark.readStream.schema(schema).option("recursiveFileLookup", True).parquet(f"{tmp_path}/in{most}")))
+        told = spark.read.parquet(f"{feed.folder}/rows").drop("batch")
+        assert behind == [0, 2, 1] and told.count() == told.distinct().count() == 3_000 + 10 + 2
+        assert feed.cursor() == at + timedelta(hours=5) and not (tmp_path / f"feed{most}" / "state" / "state").exists()
+        found.append(sorted(map(repr, feed.rows().collect())))
+        if most:
+            assert _shuffled(spark, feed.rows()) < 10_000
+    assert found[0] == found[1] and len(found[0]) == 3_010
