@@ -144,3 +144,23 @@ def test_no_article_is_spread_over_its_buckets(spark):
     assert {(r.bucket, r.country): [r.inserted_1h, r.inserted, r.published, r.fresh, r.late] for r in found.collect()} == wanted
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert plan.rindex("sequence(") < plan.rindex("Window [")
+
+
+def test_a_batch_is_copied_once(spark, tmp_path, monkeypatch):
+    """Of a batch only the preferred copies are kept, and a merged row goes from its merge into its slot."""
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    from coverline.streaming import store as stores
+
+    kept, spread = [], []
+    plain, repartition = stores.keep, DataFrame.repartition
+    monkeypatch.setattr(stores, "keep", lambda df, name: (kept.append(df.count()), plain(df, name))[1])
+    monkeypatch.setattr(DataFrame, "repartition", lambda df, *by: (spread.append(df.columns), repartition(df, *by))[1])
+    columns = "external_id string, stable_id string, primary_section string, primary_topic string, source_country string, source string, country string, url string, title_original string, title_quality string, publication_datetime timestamp_ntz, feed_categories array<string>, arrived_at timestamp_ntz"
+    rows = spark.sql("SELECT concat('e', id % 40) AS external_id, timestamp_ntz'2024-01-01' AS arrived_at FROM range(100)")
+    rows = rows.selectExpr(*(f"CAST({n if n in rows.columns else 'NULL'} AS {t}) AS {n}" for n, t in (c.split(" ") for c in columns.split(", "))))
+    to = Store(spark, str(tmp_path / "store"), ARTICLE, slots=4)
+    for batch in (0, 1):
+        settle(to, lambda items: items.dropDuplicates(["external_id"]))(rows, batch)
+    assert kept == [40, 40] and spread == []
+    assert to.read().count() == to.read().select("external_id").distinct().count() == 40
